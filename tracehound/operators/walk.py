@@ -34,13 +34,15 @@ def _nonempty(c):
     return c.isNotNull() & (c != "")
 
 
-def adjacency(edges: DataFrame, upstream: bool) -> DataFrame:
+def adjacency(edges: DataFrame, upstream: bool, key: str | None = None) -> DataFrame:
     """Orient the edge set for a walk: ``src`` is the node being expanded.
-    Walking upstream follows edges from downstream to upstream."""
+    Walking upstream follows edges from downstream to upstream. With ``key``, the edges
+    are per key (e.g. one evidence subgraph per incident) and the walk joins on it."""
     src, dst = ("downstream", "upstream") if upstream else ("upstream", "downstream")
-    return (edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    keys = [key] if key else []
+    return (edges.select(*keys, F.col(src).alias("src"), F.col(dst).alias("dst"))
             .where(_nonempty(F.col("src")) & _nonempty(F.col("dst")))
-            .dropDuplicates(["src", "dst"]))
+            .dropDuplicates(keys + ["src", "dst"]))
 
 
 def _cap_rank(df: DataFrame, key: str, order_cols, cap: int) -> DataFrame:
@@ -83,7 +85,8 @@ def walk(starts: DataFrame, edges: DataFrame, *, upstream: bool, max_hops: int |
         if frontier.isEmpty():
             break
         hop += 1
-        cand = frontier.select(key, F.col("urn").alias("src")).join(adj, "src")
+        on = [key, "src"] if key in adj.columns else ["src"]
+        cand = frontier.select(key, F.col("urn").alias("src")).join(adj, on)
         if max_per_node is not None:
             cand = _per_node(cand, key, max_per_node)
         cand = cand.select(key, F.col("dst").alias("urn")).dropDuplicates([key, "urn"])
@@ -147,6 +150,15 @@ def walked_edges(nodes: DataFrame, edges: DataFrame, *, upstream: bool, max_hops
     return e.select(key, up.alias("upstream"), down.alias("downstream")).dropDuplicates()
 
 
+def induced_edges(nodes: DataFrame, edges: DataFrame, key: str = "incident_id") -> DataFrame:
+    """Edges whose two ends are both in a key's node set: ``(key, upstream, downstream)``."""
+    n = nodes.select(key, "urn")
+    return (edges.select("upstream", "downstream")
+            .join(n.withColumnRenamed("urn", "downstream"), "downstream")
+            .join(n.withColumnRenamed("urn", "upstream"), [key, "upstream"], "left_semi")
+            .select(key, "upstream", "downstream").dropDuplicates())
+
+
 def hop_label(hop="hop"):
     """Reference parity: the start is 0, every other node 1."""
     return F.least(F.col(hop), F.lit(1))
