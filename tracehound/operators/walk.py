@@ -34,15 +34,26 @@ def _nonempty(c):
     return c.isNotNull() & (c != "")
 
 
+def node_key(urn) -> list:
+    """The walk's join key for a URN: two independent 64-bit hashes (xxhash64 of the URN
+    and of the URN behind a prefix byte). Joins, de-duplication and anti-joins compare two
+    longs instead of long URN strings; the URN rides along as payload. Two URNs merge only
+    if both hashes collide (about n^2 / 2^129 for n nodes)."""
+    u = F.col(urn) if isinstance(urn, str) else urn
+    return [F.xxhash64(u).alias("n1"), F.xxhash64(F.concat(F.lit("\u0001"), u)).alias("n2")]
+
+
 def adjacency(edges: DataFrame, upstream: bool, key: str | None = None) -> DataFrame:
-    """Orient the edge set for a walk: ``src`` is the node being expanded.
-    Walking upstream follows edges from downstream to upstream. With ``key``, the edges
-    are per key (e.g. one evidence subgraph per incident) and the walk joins on it."""
+    """Orient the edge set for a walk: ``(src1, src2)`` is the hashed node being expanded,
+    ``(n1, n2, urn)`` the node reached. Walking upstream follows edges from downstream
+    to upstream. With ``key``, the edges are per key (e.g. one evidence subgraph per
+    incident) and the walk joins on it too."""
     src, dst = ("downstream", "upstream") if upstream else ("upstream", "downstream")
     keys = [key] if key else []
-    return (edges.select(*keys, F.col(src).alias("src"), F.col(dst).alias("dst"))
-            .where(_nonempty(F.col("src")) & _nonempty(F.col("dst")))
-            .dropDuplicates(keys + ["src", "dst"]))
+    s1, s2 = node_key(src)
+    return (edges.where(_nonempty(F.col(src)) & _nonempty(F.col(dst)))
+            .select(*keys, s1.alias("src1"), s2.alias("src2"), *node_key(dst), F.col(dst).alias("urn"))
+            .dropDuplicates(keys + ["src1", "src2", "n1", "n2"]))
 
 
 def _cap_rank(df: DataFrame, key: str, order_cols, cap: int) -> DataFrame:
@@ -50,29 +61,27 @@ def _cap_rank(df: DataFrame, key: str, order_cols, cap: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(cap))
 
 
-def walk(starts: DataFrame, edges: DataFrame, *, upstream: bool, max_hops: int | None,
+def walk(starts: DataFrame, edges: DataFrame | None, *, upstream: bool, max_hops: int | None,
          max_nodes: int | None = None, max_per_node: int | None = None,
-         key: str = "incident_id", adj: DataFrame | None = None,
-         materialize_adjacency: bool = True) -> DataFrame:
+         key: str = "incident_id", adj: DataFrame | None = None) -> DataFrame:
     """G1: bounded multi-source walk.
 
-    ``starts`` has columns ``(key, urn)``; ``edges`` is ``(upstream, downstream)``.
-    Returns ``(key, urn, hop)``; the start is hop 0 and counts toward ``max_nodes``
-    (W1, order ``(hop, urn)``). ``max_per_node`` caps the neighbours taken per expanded
-    node, in ``dst`` order (W2). ``max_hops=None`` walks until the frontier is empty
-    (cycles end because reached nodes are never re-entered).
+    ``starts`` has columns ``(key, urn)``; ``edges`` is ``(upstream, downstream)``
+    (or pass a prepared ``adj`` from :func:`adjacency`). Returns ``(key, urn, hop)``;
+    the start is hop 0 and counts toward ``max_nodes`` (W1, order ``(hop, urn)``).
+    ``max_per_node`` caps the neighbours taken per expanded node, in URN order (W2).
+    ``max_hops=None`` walks until the frontier is empty (cycles end because reached
+    nodes are never re-entered).
     """
     if adj is None:
-        adj = adjacency(edges, upstream)
-        if materialize_adjacency:
-            adj = materialize(adj, "adjacency")
+        adj = materialize(adjacency(edges, upstream), "adjacency")
     level0 = (starts.select(F.col(key), F.col("urn"))
               .where(_nonempty(F.col("urn")) & F.col(key).isNotNull())
               .dropDuplicates([key, "urn"]))
     if max_nodes is not None:
         # several start rows per key: keep the smallest URNs first
         level0 = _cap_rank(level0, key, [F.col("urn")], max_nodes).drop("_rn")
-    level0 = materialize(level0.withColumn("hop", F.lit(0)), "walk-level")
+    level0 = materialize(level0.select(key, *node_key("urn"), "urn", F.lit(0).alias("hop")), "walk-level")
     levels = [level0]
     frontier = level0
     counts = None
@@ -80,24 +89,24 @@ def walk(starts: DataFrame, edges: DataFrame, *, upstream: bool, max_hops: int |
         counts = materialize(level0.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "walk-counts")
         frontier = frontier.join(counts.where(F.col("n") < max_nodes), key, "left_semi")
 
+    on = ([key] if key in adj.columns else []) + ["src1", "src2"]
     hop = 0
     while max_hops is None or hop < max_hops:
         if frontier.isEmpty():
             break
         hop += 1
-        on = [key, "src"] if key in adj.columns else ["src"]
-        cand = frontier.select(key, F.col("urn").alias("src")).join(adj, on)
+        cand = frontier.select(key, F.col("n1").alias("src1"), F.col("n2").alias("src2")).join(adj, on)
         if max_per_node is not None:
             cand = _per_node(cand, key, max_per_node)
-        cand = cand.select(key, F.col("dst").alias("urn")).dropDuplicates([key, "urn"])
-        visited = _union_all(levels).select(key, "urn")
-        new = cand.join(visited, [key, "urn"], "left_anti")
+        cand = cand.select(key, "n1", "n2", "urn").dropDuplicates([key, "n1", "n2"])
+        visited = _union_all([lv.select(key, "n1", "n2") for lv in levels])
+        new = cand.join(visited, [key, "n1", "n2"], "left_anti")
         if max_nodes is not None:
             ranked = _cap_rank(new, key, [F.col("urn")], max_nodes)
             ranked = ranked.join(counts, key, "left").where(
                 F.col("_rn") <= F.lit(max_nodes) - F.coalesce(F.col("n"), F.lit(0)))
-            new = ranked.select(key, "urn")
-        new = materialize(new.withColumn("hop", F.lit(hop)), "walk-level")
+            new = ranked.select(key, "n1", "n2", "urn")
+        new = materialize(new.select(key, "n1", "n2", "urn", F.lit(hop).alias("hop")), "walk-level")
         levels.append(new)
         frontier = new
         if max_nodes is not None:
@@ -107,11 +116,11 @@ def walk(starts: DataFrame, edges: DataFrame, *, upstream: bool, max_hops: int |
                     key, (F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.col("k"), F.lit(0))).alias("n")),
                 "walk-counts")
             frontier = frontier.join(counts.where(F.col("n") < max_nodes), key, "left_semi")
-    return _union_all(levels)
+    return _union_all([lv.select(key, "urn", "hop") for lv in levels])
 
 
 def _per_node(cand: DataFrame, key: str, k: int) -> DataFrame:
-    w = Window.partitionBy(key, "src").orderBy("dst")
+    w = Window.partitionBy(key, "src1", "src2").orderBy("urn")
     return cand.withColumn("_pn", F.row_number().over(w)).where(F.col("_pn") <= F.lit(k)).drop("_pn")
 
 
@@ -142,7 +151,9 @@ def walked_edges(nodes: DataFrame, edges: DataFrame, *, upstream: bool, max_hops
     Every node expanded by the walk (``hop < max_hops``) contributes all its edges in the
     walk direction; an edge is kept when both of its ends were reached. The output keeps
     the (upstream, downstream) orientation."""
-    adj = adjacency(edges, upstream)
+    src, dst = ("downstream", "upstream") if upstream else ("upstream", "downstream")
+    adj = (edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+           .where(_nonempty(F.col("src")) & _nonempty(F.col("dst"))))
     expanded = nodes if max_hops is None else nodes.where(F.col("hop") < max_hops)
     e = (expanded.select(key, F.col("urn").alias("src")).join(adj, "src")
          .join(nodes.select(key, F.col("urn").alias("dst")), [key, "dst"], "left_semi"))
