@@ -132,8 +132,9 @@ def json_key_drift(df: DataFrame, ts: str, json_col: str) -> DataFrame:
 
 
 def schema_diff(before: DataFrame, after: DataFrame, max_distance: int = 3) -> DataFrame:
-    """X3 on column lists ``(column, type)``: added, dropped, and rename candidates
-    (a dropped and an added column of the same type within ``max_distance`` edits).
+    """X3 on column lists ``(column, type)``: added, dropped, and rename candidates: a
+    dropped and an added column of the same type whose names are within ``max_distance``
+    edits or where one name contains the other ('email' -> 'email_address').
     Candidates are joined on the type, not paired across all columns."""
     b = before.select(F.col("column").alias("b_col"), F.col("type").alias("b_type"))
     a = after.select(F.col("column").alias("a_col"), F.col("type").alias("a_type"))
@@ -141,7 +142,8 @@ def schema_diff(before: DataFrame, after: DataFrame, max_distance: int = 3) -> D
     added = full.where(F.col("b_col").isNull()).select(F.col("a_col").alias("column"), F.col("a_type").alias("type"))
     dropped = full.where(F.col("a_col").isNull()).select(F.col("b_col").alias("column"), F.col("b_type").alias("type"))
     ren = (dropped.alias("d").join(added.alias("n"), F.col("d.type") == F.col("n.type"))
-           .where(F.levenshtein(F.col("d.column"), F.col("n.column")) <= max_distance)
+           .where((F.levenshtein(F.col("d.column"), F.col("n.column")) <= max_distance)
+                  | F.col("d.column").contains(F.col("n.column")) | F.col("n.column").contains(F.col("d.column")))
            .select(F.col("d.column").alias("column"), F.col("d.type").alias("type"),
                    F.col("n.column").alias("renamed_to")))
     return (added.select("column", "type", F.lit("added").alias("change"), F.lit(None).cast("string").alias("renamed_to"))
