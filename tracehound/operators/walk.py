@@ -63,7 +63,8 @@ def _cap_rank(df: DataFrame, key: str, order_cols, cap: int) -> DataFrame:
 
 def walk(starts: DataFrame, edges: DataFrame | None, *, upstream: bool, max_hops: int | None,
          max_nodes: int | None = None, max_per_node: int | None = None,
-         key: str = "incident_id", adj: DataFrame | None = None) -> DataFrame:
+         key: str = "incident_id", adj: DataFrame | None = None,
+         edges_distinct: bool = False) -> DataFrame:
     """G1: bounded multi-source walk.
 
     ``starts`` has columns ``(key, urn)``; ``edges`` is ``(upstream, downstream)``
@@ -71,23 +72,30 @@ def walk(starts: DataFrame, edges: DataFrame | None, *, upstream: bool, max_hops
     the start is hop 0 and counts toward ``max_nodes`` (W1, order ``(hop, urn)``).
     ``max_per_node`` caps the neighbours taken per expanded node, in URN order (W2).
     ``max_hops=None`` walks until the frontier is empty (cycles end because reached
-    nodes are never re-entered).
+    nodes are never re-entered). ``edges_distinct`` skips the edge de-duplication when
+    the caller's edge set is already a set.
+
+    With a cap, each level row carries ``n``: its key's node count after that level. The
+    frontier of the next level takes ``n`` along through the join, so the remaining room
+    of a key is known without a per-level counts table; a key at its cap stops.
     """
     if adj is None:
-        adj = materialize(adjacency(edges, upstream), "adjacency")
+        a = _no_dedup(edges, upstream) if edges_distinct else adjacency(edges, upstream)
+        adj = materialize(a, "adjacency")
+    capped = max_nodes is not None
     level0 = (starts.select(F.col(key), F.col("urn"))
               .where(_nonempty(F.col("urn")) & F.col(key).isNotNull())
               .dropDuplicates([key, "urn"]))
-    if max_nodes is not None:
+    cols = [key, "n1", "n2", "urn", "hop"]
+    if capped:
         # several start rows per key: keep the smallest URNs first
-        level0 = _cap_rank(level0, key, [F.col("urn")], max_nodes).drop("_rn")
-    level0 = materialize(level0.select(key, *node_key("urn"), "urn", F.lit(0).alias("hop")), "walk-level")
+        level0 = _cap_rank(level0, key, [F.col("urn")], max_nodes)
+        level0 = level0.withColumn("n", F.max("_rn").over(Window.partitionBy(key))).drop("_rn")
+        cols = cols + ["n"]
+    level0 = materialize(level0.select(key, *node_key("urn"), "urn", F.lit(0).alias("hop"),
+                                       *(["n"] if capped else [])), "walk-level")
     levels = [level0]
-    frontier = level0
-    counts = None
-    if max_nodes is not None:
-        counts = materialize(level0.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "walk-counts")
-        frontier = frontier.join(counts.where(F.col("n") < max_nodes), key, "left_semi")
+    frontier = level0.where(F.col("n") < max_nodes) if capped else level0
 
     on = ([key] if key in adj.columns else []) + ["src1", "src2"]
     hop = 0
@@ -95,30 +103,33 @@ def walk(starts: DataFrame, edges: DataFrame | None, *, upstream: bool, max_hops
         if frontier.isEmpty():
             break
         hop += 1
-        cand = frontier.select(key, F.col("n1").alias("src1"), F.col("n2").alias("src2")).join(adj, on)
+        carry = [F.col("n").alias("n_prev")] if capped else []
+        cand = frontier.select(key, F.col("n1").alias("src1"), F.col("n2").alias("src2"), *carry).join(adj, on)
         if max_per_node is not None:
             cand = _per_node(cand, key, max_per_node)
-        cand = cand.select(key, "n1", "n2", "urn").dropDuplicates([key, "n1", "n2"])
+        cand = cand.select(key, "n1", "n2", "urn", *(["n_prev"] if capped else [])) \
+            .dropDuplicates([key, "n1", "n2"])
         visited = _union_all([lv.select(key, "n1", "n2") for lv in levels])
         new = cand.join(visited, [key, "n1", "n2"], "left_anti")
-        if max_nodes is not None:
+        if capped:
             ranked = _cap_rank(new, key, [F.col("urn")], max_nodes)
-            ranked = ranked.join(counts, key, "left").where(
-                F.col("_rn") <= F.lit(max_nodes) - F.coalesce(F.col("n"), F.lit(0)))
-            new = ranked.select(key, "n1", "n2", "urn")
-        new = materialize(new.select(key, "n1", "n2", "urn", F.lit(hop).alias("hop")), "walk-level")
+            ranked = ranked.where(F.col("_rn") <= F.lit(max_nodes) - F.col("n_prev"))
+            # rows left per key are at most the cap, so this window is bounded
+            new = ranked.withColumn("n", F.col("n_prev") + F.max("_rn").over(Window.partitionBy(key)))
+        new = materialize(new.select(key, "n1", "n2", "urn", F.lit(hop).alias("hop"),
+                                     *(["n"] if capped else [])), "walk-level")
         levels.append(new)
-        frontier = new
-        if max_nodes is not None:
-            added = new.groupBy(key).agg(F.count(F.lit(1)).alias("k"))
-            counts = materialize(
-                counts.join(added, key, "full_outer").select(
-                    key, (F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.col("k"), F.lit(0))).alias("n")),
-                "walk-counts")
-            frontier = frontier.join(counts.where(F.col("n") < max_nodes), key, "left_semi")
+        frontier = new.where(F.col("n") < max_nodes) if capped else new
     return _union_all([lv.select(key, "urn", "hop") for lv in levels])
 
 
+def _no_dedup(edges: DataFrame, upstream: bool) -> DataFrame:
+    src, dst = ("downstream", "upstream") if upstream else ("upstream", "downstream")
+    s1, s2 = node_key(src)
+    return (edges.where(_nonempty(F.col(src)) & _nonempty(F.col(dst)))
+            .select(s1.alias("src1"), s2.alias("src2"), *node_key(dst), F.col(dst).alias("urn")))
+
+
 def _per_node(cand: DataFrame, key: str, k: int) -> DataFrame:
     w = Window.partitionBy(key, "src1", "src2").orderBy("urn")
     return cand.withColumn("_pn", F.row_number().over(w)).where(F.col("_pn") <= F.lit(k)).drop("_pn")
@@ -132,15 +143,18 @@ def _union_all(dfs: list[DataFrame]) -> DataFrame:
 
 
 def walk_upstream(starts: DataFrame, edges: DataFrame, max_hops: int = 3, max_nodes: int | None = 40,
-                  key: str = "incident_id") -> DataFrame:
+                  key: str = "incident_id", edges_distinct: bool = False) -> DataFrame:
     """G2 (walk part): upstream evidence nodes, the start included at hop 0."""
-    return walk(starts, edges, upstream=True, max_hops=max_hops, max_nodes=max_nodes, key=key)
+    return walk(starts, edges, upstream=True, max_hops=max_hops, max_nodes=max_nodes, key=key,
+                edges_distinct=edges_distinct)
 
 
 def walk_downstream(starts: DataFrame, edges: DataFrame, max_hops: int = 5, max_nodes: int | None = 60,
-                    key: str = "incident_id", include_root: bool = False) -> DataFrame:
+                    key: str = "incident_id", include_root: bool = False,
+                    edges_distinct: bool = False) -> DataFrame:
     """G3 (walk part): downstream nodes; the root is counted in the cap but excluded (F2)."""
-    out = walk(starts, edges, upstream=False, max_hops=max_hops, max_nodes=max_nodes, key=key)
+    out = walk(starts, edges, upstream=False, max_hops=max_hops, max_nodes=max_nodes, key=key,
+               edges_distinct=edges_distinct)
     return out if include_root else out.where(F.col("hop") > 0)
 
 

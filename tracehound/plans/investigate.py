@@ -33,9 +33,14 @@ SUSPECT_FIELDS = ["urn", "why", "check_next", "owner", "confidence", "rank", "sc
                   "class", "source"]
 
 
-def evidence_signals(cat: Catalog, nodes: DataFrame) -> DataFrame:
-    """Text signals of the reached entities only, plus the catalog's data signals."""
-    reached = cat.entities.join(nodes.select("urn").distinct(), "urn", "left_semi")
+def evidence_signals(cat: Catalog, nodes: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """Text signals of the reached entities only, plus the catalog's data signals.
+    With the (materialized) enriched ``evidence``, the entity text is taken from it once
+    per URN instead of joining the catalog's entities again."""
+    if evidence is not None:
+        reached = evidence.select("urn", "description", "custom_properties").dropDuplicates(["urn"])
+    else:
+        reached = cat.entities.join(nodes.select("urn").distinct(), "urn", "left_semi")
     sig = text_signals(reached)
     if cat.signals is not None:
         sig = sig.unionByName(cat.signals.join(nodes.select("urn").distinct(), "urn", "left_semi"))
@@ -47,9 +52,10 @@ def investigate(cat: Catalog, *, max_hops: int = 3, max_nodes: int = 40, top: in
                 act_on_text: bool = False, key: str = "incident_id") -> Investigation:
     inc = cat.incidents.select(key, "symptom", "affected_urn")
     starts = inc.select(key, F.col("affected_urn").alias("urn"))
-    nodes = walk_upstream(starts, cat.edges, max_hops=max_hops, max_nodes=max_nodes, key=key)
+    nodes = walk_upstream(starts, cat.edges, max_hops=max_hops, max_nodes=max_nodes, key=key,
+                          edges_distinct=cat.edges_distinct)
     ev = materialize(enrich(nodes, cat.entities), "evidence")
-    sig = evidence_signals(cat, nodes)
+    sig = evidence_signals(cat, nodes, ev)
     sus = rank_suspects(ev, inc, sig, cat.edges, key=key, top=top, text_only_high=text_only_high)
     sus = materialize(guard_suspects(sus, nodes, key), "suspects")
     miss = missing_evidence(inc, sus, key)
@@ -73,7 +79,8 @@ def investigate(cat: Catalog, *, max_hops: int = 3, max_nodes: int = 40, top: in
     if act:
         store = store or TagStore.fresh(ev.sparkSession)
         gated = act_gate(sus, key, act_on_text=act_on_text)
-        containment = contain(store, gated, cat.edges, cat.entities, key=key)
+        containment = contain(store, gated, cat.edges, cat.entities, key=key,
+                              edges_distinct=cat.edges_distinct)
         rep = (rep.join(containment["action"], key, "left")
                .join(containment["blast_radius"], key, "left"))
     else:

@@ -51,7 +51,8 @@ def _big(df: DataFrame, *cols) -> DataFrame:
 def fk(spark: SparkSession, sf: str, with_signals: bool = True) -> Catalog:
     configure(spark)
     t = FK.read_tables(spark, sf)
-    cat = Catalog(edges=materialize(FK.edges(t), "fk-edges"), entities=FK.entities(t), incidents=FK.incidents(t))
+    cat = Catalog(edges=materialize(FK.edges(t), "fk-edges"), entities=FK.entities(t), incidents=FK.incidents(t),
+                  edges_distinct=True)
     if with_signals:
         cat = cat.with_(signals=customer_freshness_signals(spark, sf))
     return cat
@@ -65,14 +66,14 @@ def _starts(inc: DataFrame) -> DataFrame:
 
 def q_walk_upstream(spark, sf):
     cat = fk(spark, sf, False)
-    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS)
+    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, edges_distinct=True)
     return _big(w, "hop")
 
 
 def q_walk_downstream(spark, sf):
     cat = fk(spark, sf, False)
     starts = _starts(FK.region_incidents(FK.read_tables(spark, sf, ["region"])))
-    return _big(walk(starts, cat.edges, upstream=False, max_hops=None), "hop")
+    return _big(walk(starts, cat.edges, upstream=False, max_hops=None, edges_distinct=True), "hop")
 
 
 def q_walk_multi_source(spark, sf):
@@ -80,7 +81,7 @@ def q_walk_multi_source(spark, sf):
     o = _t(spark, sf, "orders")
     starts = o.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("incident_id"),
                       FK.node_urn("orders", F.col("o_orderkey")).alias("urn"))
-    return _big(walk(starts, cat.edges, upstream=True, max_hops=None), "hop")
+    return _big(walk(starts, cat.edges, upstream=True, max_hops=None, edges_distinct=True), "hop")
 
 
 def _cust_supp_starts(spark, sf):
@@ -92,7 +93,7 @@ def _cust_supp_starts(spark, sf):
 
 def q_walk_capped(spark, sf):
     cat = fk(spark, sf, False)
-    w = walk(_cust_supp_starts(spark, sf), cat.edges, upstream=False, max_hops=DOWN_HOPS, max_nodes=DOWN_CAP)
+    w = walk(_cust_supp_starts(spark, sf), cat.edges, upstream=False, max_hops=DOWN_HOPS, max_nodes=DOWN_CAP, edges_distinct=True)
     return _big(w, "hop")
 
 
@@ -118,7 +119,7 @@ def q_walk_cyclic(spark, sf):
 
 def q_walk_edges(spark, sf):
     cat = fk(spark, sf, False)
-    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS)
+    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, edges_distinct=True)
     return walked_edges(w, cat.edges, upstream=True, max_hops=UP_HOPS)
 
 
@@ -137,7 +138,7 @@ def q_chain_edges(spark, sf):
 
 def _evidence(spark, sf, cap=UP_CAP):
     cat = fk(spark, sf, False)
-    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, max_nodes=cap)
+    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, max_nodes=cap, edges_distinct=True)
     return cat, enrich(w, cat.entities)
 
 
@@ -159,7 +160,7 @@ def q_evidence_block(spark, sf):
 
 def q_evidence_count(spark, sf):
     cat = fk(spark, sf, False)
-    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, max_nodes=UP_CAP)
+    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, max_nodes=UP_CAP, edges_distinct=True)
     return evidence_count(w)
 
 
@@ -197,7 +198,7 @@ def q_blast_radius(spark, sf):
     edges = materialize(FK.edges(t), "fk-edges")
     roots = (t["nation"].select(FK.node_urn("nation", F.col("n_nationkey")).alias("root_urn"))
              .unionByName(t["supplier"].select(FK.node_urn("supplier", F.col("s_suppkey")).alias("root_urn"))))
-    nodes = C.blast_radius_nodes(roots, edges, FK.entities(t), DOWN_HOPS, DOWN_CAP)
+    nodes = C.blast_radius_nodes(roots, edges, FK.entities(t), DOWN_HOPS, DOWN_CAP, edges_distinct=True)
     s = C.blast_radius_summary(nodes)
     return s.select("root_urn", "impacted_count", F.array_join("dashboards", ", ").alias("dashboards"),
                     F.array_join("assets", ", ").alias("assets"))
@@ -228,9 +229,9 @@ def q_signals(spark, sf):
 
 def _ranked(spark, sf, text_only_high=False):
     cat = fk(spark, sf, True)
-    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, max_nodes=UP_CAP)
+    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, max_nodes=UP_CAP, edges_distinct=True)
     ev = materialize(enrich(w, cat.entities), "evidence")
-    sig = evidence_signals(cat, w)
+    sig = evidence_signals(cat, w, ev)
     return cat, rank_suspects(ev, cat.incidents, sig, cat.edges, text_only_high=text_only_high)
 
 

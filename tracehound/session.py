@@ -22,6 +22,10 @@ SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # Written intermediates are parquet with dictionary-encoded URN columns; their
+    # in-memory size is several times their file size. Scale file-size estimates so the
+    # broadcast threshold bounds the real hash-table size, not the compressed bytes.
+    "spark.sql.sources.fileCompressionFactor": "8",
 }
 
 

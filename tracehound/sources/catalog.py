@@ -26,6 +26,7 @@ class Catalog:
     tags: DataFrame | None = None
     entity_tags: DataFrame | None = None
     signals: DataFrame | None = None
+    edges_distinct: bool = False   # True when ``edges`` is already a set (skips a shuffle)
 
     def with_(self, **kw) -> "Catalog":
         return replace(self, **kw)
