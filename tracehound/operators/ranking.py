@@ -75,7 +75,9 @@ def score_evidence(evidence: DataFrame, incidents: DataFrame, signals: DataFrame
 def distance_from_signals(scored: DataFrame, edges: DataFrame, key: str = "incident_id") -> DataFrame:
     """Hops downstream from the nearest scoring node, inside each key's evidence subgraph."""
     starts = scored.where(F.col("score") > 0).select(key, "urn")
-    inner = induced_edges(scored.select(key, "urn"), edges, key)
+    # only incidents with a scoring node can have a distance; the others stay NULL
+    flagged = scored.select(key, "urn").join(starts.select(key).distinct(), key, "left_semi")
+    inner = induced_edges(flagged, edges, key)
     adj = materialize(adjacency(inner, upstream=False, key=key), "evidence-adjacency")
     d = walk(starts, edges, upstream=False, max_hops=None, key=key, adj=adj)
     return d.select(key, "urn", F.col("hop").alias("dist"))
