@@ -255,7 +255,6 @@ def _contained(spark, sf):
 
 def q_tags_add(spark, sf):
     _, inv = _contained(spark, sf)
-    inv.reports.count()  # run the containment writes
     store_root = inv.containment
     return store_root["quarantine_applied"].unionByName(store_root["impact_applied"]).select(
         "entity_urn", "tag_urn").distinct()
@@ -271,8 +270,7 @@ def q_tags_verify(spark, sf):
 def q_tags_remove(spark, sf):
     cat = fk(spark, sf, True)
     store = C.TagStore.fresh(spark)
-    inv = investigate(cat, act=True, store=store)
-    inv.reports.count()
+    investigate(cat, act=True, store=store)  # containment writes run inside
     removal = store.entity_tags().where(F.col("tag_urn") == C.QUARANTINE_TAG)
     return store.remove_tags(removal)
 
