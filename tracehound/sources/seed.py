@@ -14,10 +14,12 @@ from ..functions.urn import dataset_urn
 
 def upsert_entities(current: DataFrame, updates: DataFrame, version_col: str = "version") -> DataFrame:
     """Union the updates with the current entities and keep the latest version of each
-    URN. Both inputs carry ``version_col``; a missing URN in ``updates`` is built from
-    ``platform`` and ``name``. Ties on the version prefer the update."""
+    URN. Both inputs carry ``version_col``; a missing or NULL URN in ``updates`` is built
+    from ``platform`` and ``name``. Ties on the version prefer the update."""
     if "urn" not in updates.columns:
         updates = updates.withColumn("urn", dataset_urn(F.col("platform"), F.col("name")))
+    elif {"platform", "name"} <= set(updates.columns):
+        updates = updates.withColumn("urn", F.coalesce(F.col("urn"), dataset_urn(F.col("platform"), F.col("name"))))
     both = (current.withColumn("_src", F.lit(0))
             .unionByName(updates.withColumn("_src", F.lit(1)), allowMissingColumns=True))
     w = Window.partitionBy("urn").orderBy(F.col(version_col).desc_nulls_last(), F.col("_src").desc())
