@@ -44,8 +44,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the required settings to an existing session (e.g. the driver's)."""
-    for k, v in REQUIRED_CONF.items():
+    """Apply the required and the scale settings to an existing session (e.g. the
+    driver's). All of them are runtime SQL settings."""
+    for k, v in {**SCALE_CONF, **REQUIRED_CONF}.items():
         spark.conf.set(k, v)
     checkpoint_root(spark)
     return spark
