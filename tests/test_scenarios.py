@@ -127,3 +127,16 @@ def test_negated_notes_raise_no_signal(spark):
     ents = spark.createDataFrame([(f"u{i}", None, None, None, [], [], {"last_run_note": t})
                                   for i, t in enumerate(F8_HARMLESS)], schemas.ENTITIES)
     assert text_signals(ents).count() == 0
+
+
+def test_tagstore_skips_partial_version(spark):
+    import os
+    store = C.TagStore.fresh(spark)
+    store.ensure_vocabulary()
+    store.seed(spark.createDataFrame([("a", C.IMPACT_TAG)], schemas.ENTITY_TAGS))
+    # a failed write leaves v=1 without _SUCCESS
+    root = store.root.replace("file:", "")
+    os.makedirs(os.path.join(root, "entity_tags", "v=1"))
+    assert store.entity_tags().count() == 1
+    applied, _ = store.add_tags(spark.createDataFrame([("b", C.IMPACT_TAG)], schemas.ENTITY_TAGS))
+    assert applied.first().applied and store.entity_tags().count() == 2
