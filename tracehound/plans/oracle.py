@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from ..operators import containment as C
 from ..operators.ranking import CHECK_NEXT  # noqa: F401  (documents the shared constants)
+from ..functions import text as TX
+from ..operators import ranking as R
 from ..operators.signals import TEXT_RULES
 from ..sources import fk_catalog as FK
 from . import queries as Q
@@ -132,7 +134,8 @@ def _classes_sql(text_sql: str, which: int, veto: bool) -> list[tuple[str, str]]
 
 
 TEXT_SIGNALS = "tsig AS (" + " UNION ALL ".join(
-    f"SELECT urn, {_s(cls)} AS class, 'text' AS source FROM fk_entities WHERE {cond}"
+    f"SELECT urn, {_s(cls)} AS class, 'text' AS source, COALESCE(note, description) AS detail "
+    f"FROM fk_entities WHERE {cond}"
     for cls, cond in _classes_sql(NODE_TEXT, 1, True)) + ")"
 
 FRESH = f"""fresh AS (
@@ -140,8 +143,10 @@ FRESH = f"""fresh AS (
          (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) AS as_of
   FROM orders GROUP BY o_custkey)"""
 
-DATA_SIGNALS = f"dsig AS (SELECT urn, 'stale' AS class, 'data' AS source FROM fresh " \
-               f"WHERE date_diff('day', last_day, as_of) > {Q.STALE_DAYS})"
+DATA_SIGNALS = (f"dsig AS (SELECT urn, 'stale' AS class, 'data' AS source, 'last data ' || "
+                f"CAST(last_day AS VARCHAR) || ', ' || CAST(date_diff('day', last_day, as_of) AS VARCHAR) || "
+                f"' days before ' || CAST(as_of AS VARCHAR) AS detail FROM fresh "
+                f"WHERE date_diff('day', last_day, as_of) > {Q.STALE_DAYS})")
 
 
 def _fits(sym_sql: str) -> str:
@@ -155,14 +160,15 @@ RANKED = [
     _walk("w", INC_STARTS, True, Q.UP_HOPS),
     _nodes("w", "ev", Q.UP_CAP),
     TEXT_SIGNALS, DATA_SIGNALS,
-    "sig AS (SELECT DISTINCT urn, class, source FROM (SELECT * FROM tsig UNION ALL SELECT * FROM dsig) u)",
-    f"""hits AS (SELECT ev.incident_id, ev.urn, s.class, s.source,
+    "sig AS (SELECT DISTINCT urn, class, source, detail FROM (SELECT * FROM tsig UNION ALL SELECT * FROM dsig) u)",
+    f"""hits AS (SELECT ev.incident_id, ev.urn, s.class, s.source, s.detail,
         CASE WHEN s.source = 'data' THEN CASE WHEN {_fits('i.symptom')} THEN 4 ELSE 3 END
              ELSE CASE WHEN {_fits('i.symptom')} THEN 2 ELSE 1 END END AS score
         FROM ev JOIN sig s ON s.urn = ev.urn JOIN fk_incidents i ON i.incident_id = ev.incident_id)""",
-    """best AS (SELECT incident_id, urn, score, class, source FROM (SELECT *, row_number() OVER (
+    """best AS (SELECT incident_id, urn, score, class, source, detail FROM (SELECT *, row_number() OVER (
         PARTITION BY incident_id, urn ORDER BY score DESC, class, source) AS r FROM hits) h WHERE r = 1)""",
-    """scored AS (SELECT ev.incident_id, ev.urn, ev.hop, COALESCE(b.score, 0) AS score, b.class, b.source
+    """scored AS (SELECT ev.incident_id, ev.urn, ev.hop, COALESCE(b.score, 0) AS score, b.class, b.source,
+        b.detail
         FROM ev LEFT JOIN best b ON b.incident_id = ev.incident_id AND b.urn = ev.urn)""",
     """inner_e AS (SELECT a.incident_id, e.upstream, e.downstream FROM fk_edges e
         JOIN ev a ON a.urn = e.downstream JOIN ev b ON b.incident_id = a.incident_id AND b.urn = e.upstream)""",
@@ -317,6 +323,27 @@ SELECT urn, CAST(as_of AS VARCHAR), 'stale', round(CAST(date_diff('day', last_da
 UNION ALL
 SELECT 'urn:li:dataset:(urn:li:dataPlatform:looker,orders.priority.' || o_orderpriority || ',PROD)',
   CAST(day AS VARCHAR), 'stale', 0.0, 0.0, 'data' FROM zero"""
+    miss_case = "CASE " + " ".join(
+        f"WHEN {c} THEN {_s(R.MISSING[cls])}" for cls, c in _classes_sql("i.symptom", 2, False)) + \
+        f" ELSE {_s(R.MISSING_NONE)} END"
+    s["investigate"] = _with(*RANKED) + f""", top1 AS (SELECT c.incident_id, e.name, c.class, c.source,
+    c.confidence, c.score, c.source || ' signal (' || c.class || '): ' || COALESCE(c.detail, '') AS why
+    FROM conf c JOIN fk_entities e ON e.urn = c.urn WHERE c.rank = 1),
+  cnt AS (SELECT incident_id, count(*) AS n FROM ev GROUP BY incident_id),
+  ns AS (SELECT incident_id, count(*) AS n_sus, max(score) AS max_score FROM conf GROUP BY incident_id)
+SELECT i.incident_id,
+  CASE WHEN t.score > 0 THEN 'Most likely root cause: ' || t.name || ' (' || t.class || ', ' || t.source ||
+    ' signal, confidence ' || t.confidence || '). ' || t.why
+  ELSE 'No signal found in ' || CAST(COALESCE(cnt.n, 0) AS VARCHAR) ||
+    ' upstream nodes; suspects are ranked by position only.' END AS summary,
+  CASE WHEN COALESCE(ns.max_score, 0) = 0 THEN {miss_case} END AS missing_evidence,
+  CAST(COALESCE(cnt.n, 0) AS BIGINT) AS evidence_nodes, CAST(COALESCE(ns.n_sus, 0) AS BIGINT) AS n_suspects
+FROM fk_incidents i LEFT JOIN top1 t ON t.incident_id = i.incident_id
+  LEFT JOIN cnt ON cnt.incident_id = i.incident_id LEFT JOIN ns ON ns.incident_id = i.incident_id"""
+    s["report_parse"] = f"""SELECT conv_id, turn,
+  CASE WHEN turn % 3 = 2 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE text END AS summary,
+  CASE WHEN turn % 3 = 2 THEN {_s(TX.FALLBACK_MISSING)} END AS missing_evidence, CAST(0 AS BIGINT) AS n_suspects
+FROM conversations"""
     s["search_entities"] = f"SELECT doc_id FROM documents WHERE contains(lower(text), {_s(Q.SEARCH_TERM)})"
     return s
 

@@ -407,7 +407,7 @@ def q_investigate(spark, sf):
     cat = fk(spark, sf, True)
     inv = investigate(cat, act=False)
     return inv.reports.select("incident_id", "summary", "missing_evidence", "evidence_nodes",
-                              F.size("suspects").alias("n_suspects"))
+                              F.size("suspects").cast("bigint").alias("n_suspects"))
 
 
 def q_report_json(spark, sf):
