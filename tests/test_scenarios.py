@@ -140,3 +140,18 @@ def test_tagstore_skips_partial_version(spark):
     assert store.entity_tags().count() == 1
     applied, _ = store.add_tags(spark.createDataFrame([("b", C.IMPACT_TAG)], schemas.ENTITY_TAGS))
     assert applied.first().applied and store.entity_tags().count() == 2
+
+
+def test_guard_drops_suspects_outside_evidence(spark):
+    from tracehound.functions.text import parse_answer
+    from tracehound.operators.ranking import guard_suspects
+    cat = f1_catalog(spark)
+    inv = investigate(cat, text_only_high=True)
+    json_answer = '{"summary": "s", "suspects": [{"urn": "%s", "confidence": "high"}, ' \
+        '{"urn": "urn:li:dataset:(urn:li:dataPlatform:x,made.up,PROD)", "confidence": "high"}]}' % \
+        ds("bigquery", "prod.raw.orders")
+    parsed = spark.createDataFrame([("A", json_answer)], "incident_id string, text string").select(
+        "incident_id", F.posexplode(parse_answer("text")["suspects"]).alias("pos", "s")).select(
+        "incident_id", F.col("s")["urn"].alias("urn"))
+    kept = [r.urn for r in guard_suspects(parsed, inv.evidence).collect()]
+    assert kept == [ds("bigquery", "prod.raw.orders")]

@@ -52,7 +52,7 @@ def fk(spark: SparkSession, sf: str, with_signals: bool = True) -> Catalog:
     configure(spark)
     t = FK.read_tables(spark, sf)
     cat = Catalog(edges=materialize(FK.edges(t), "fk-edges"), entities=materialize(FK.entities(t), "fk-entities"),
-                  incidents=FK.incidents(t), edges_distinct=True)
+                  incidents=materialize(FK.incidents(t), "fk-incidents"), edges_distinct=True)
     if with_signals:
         cat = cat.with_(signals=customer_freshness_signals(spark, sf))
     return cat
