@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import owner_label
 from ..session import materialize
 from .signals import TEXT_RULES, symptom_classes
-from .walk import adjacency, induced_edges, walk
+from .walk import induced_adjacency, walk
 
 # ---- fixed values: next checks and missing-evidence statements -------------------
 CHECK_NEXT = {
@@ -58,42 +58,58 @@ def best_signal_per_node(signals: DataFrame) -> DataFrame:
 
 def score_evidence(evidence: DataFrame, incidents: DataFrame, signals: DataFrame,
                    key: str = "incident_id", rules=TEXT_RULES) -> DataFrame:
-    """Score every evidence node; keep its best signal (class, source, detail)."""
+    """Score every evidence node; keep its best signal (class, source, detail).
+
+    Signals are pre-aggregated per (urn, class, source) and packed into one small array
+    per URN (at most classes x sources entries), so the best signal of each evidence row
+    is an ``array_max`` over scored structs: no window and no join back. Ties on the score
+    go to the alphabetically first class, then to data over text."""
     sym = incidents.select(key, symptom_classes("symptom", rules).alias("sym_classes"))
-    sig = best_signal_per_node(signals)
-    hits = (evidence.select(key, "urn").join(sig, "urn").join(sym, key, "left")
-            .withColumn("fits", F.coalesce(F.array_contains("sym_classes", F.col("class")), F.lit(False)))
-            .withColumn("score", F.when(F.col("source") == "data", F.when(F.col("fits"), 4).otherwise(3))
-                        .otherwise(F.when(F.col("fits"), 2).otherwise(1))))
-    w = Window.partitionBy(key, "urn").orderBy(F.col("score").desc(), F.col("class"), F.col("source"))
-    best = (hits.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-            .select(key, "urn", "score", "class", "source", "detail"))
-    return (evidence.join(best, [key, "urn"], "left")
-            .withColumn("score", F.coalesce(F.col("score"), F.lit(0))))
-
-
-def distance_from_signals(scored: DataFrame, edges: DataFrame, key: str = "incident_id") -> DataFrame:
+    packed = (best_signal_per_node(signals).groupBy("urn")
+              .agg(F.collect_list(F.struct("class", "source", "detail")).alias("_sigs")))
+    classes = sorted({r[0] for r in rules})
+    # narrow rows only: names, owners and properties are joined back for the top rows
+    ev = evidence.select(key, "urn", "hop").join(sym, key, "left").join(packed, "urn", "left")
+
+    def scored(sg):
+        fits = F.coalesce(F.array_contains(F.col("sym_classes"), sg["class"]), F.lit(False))
+        score = F.when(sg["source"] == "data", F.when(fits, 4).otherwise(3)).otherwise(F.when(fits, 2).otherwise(1))
+        ck = F.lit(0)
+        for i, c in enumerate(classes):
+            ck = F.when(sg["class"] == c, F.lit(len(classes) - i)).otherwise(ck)
+        sk = F.when(sg["source"] == "data", 2).otherwise(1)
+        return F.struct(score.alias("score"), ck.alias("ck"), sk.alias("sk"), sg["class"].alias("class"),
+                        sg["source"].alias("source"), sg["detail"].alias("detail"))
+
+    empty = F.array().cast("array<struct<class:string,source:string,detail:string>>")
+    best = F.array_max(F.transform(F.coalesce(F.col("_sigs"), empty), scored))
+    return ev.select(key, "urn", "hop", F.coalesce(best["score"], F.lit(0)).alias("score"),
+                     best["class"].alias("class"), best["source"].alias("source"), best["detail"].alias("detail"))
+
+
+def distance_from_signals(scored: DataFrame, edges: DataFrame, key: str = "incident_id",
+                          edges_distinct: bool = False) -> DataFrame:
     """Hops downstream from the nearest scoring node, inside each key's evidence subgraph."""
     starts = scored.where(F.col("score") > 0).select(key, "urn")
     # only incidents with a scoring node can have a distance; the others stay NULL
     flagged = scored.select(key, "urn").join(starts.select(key).distinct(), key, "left_semi")
-    inner = induced_edges(flagged, edges, key)
-    adj = materialize(adjacency(inner, upstream=False, key=key), "evidence-adjacency")
+    adj = materialize(induced_adjacency(flagged, edges, key, edges_distinct), "evidence-adjacency")
     d = walk(starts, edges, upstream=False, max_hops=None, key=key, adj=adj)
     return d.select(key, "urn", F.col("hop").alias("dist"))
 
 
 def rank_suspects(evidence: DataFrame, incidents: DataFrame, signals: DataFrame, edges: DataFrame,
                   key: str = "incident_id", top: int = 3, text_only_high: bool = False,
-                  rules=TEXT_RULES) -> DataFrame:
+                  rules=TEXT_RULES, edges_distinct: bool = False) -> DataFrame:
     """R1 + R5: the ``top`` suspects per incident with score, distance, confidence, owner,
     reason and next check. ``evidence`` is the enriched upstream walk (hop 0 = symptom)."""
     scored = materialize(score_evidence(evidence, incidents, signals, key, rules), "scored")
-    dist = distance_from_signals(scored, edges, key)
+    dist = distance_from_signals(scored, edges, key, edges_distinct)
     cand = scored.where(F.col("hop") > 0).join(dist, [key, "urn"], "left")
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("dist").asc_nulls_last(),
                                         F.col("hop").desc(), F.col("urn"))
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(top))
+    ranked = ranked.join(evidence.select(key, "urn", "name", "owners", "custom_properties"), [key, "urn"])
     high = F.col("score") == 4
     if text_only_high:
         high = high | (F.col("score") == 2)

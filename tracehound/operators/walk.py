@@ -184,6 +184,23 @@ def induced_edges(nodes: DataFrame, edges: DataFrame, key: str = "incident_id")
             .select(key, "upstream", "downstream").dropDuplicates())
 
 
+def induced_adjacency(nodes: DataFrame, edges: DataFrame, key: str = "incident_id",
+                      edges_distinct: bool = False) -> DataFrame:
+    """The walk adjacency (downstream direction) of each key's induced subgraph: edges whose
+    two ends are both in the key's node set, on hashed node keys. The join starts from the
+    downstream end (small in-degree), so a hub's fan-out is never expanded per key."""
+    n = nodes.select(key, *node_key("urn"))
+    u1, u2 = node_key("upstream")
+    d1, d2 = node_key("downstream")
+    e = edges.where(_nonempty(F.col("upstream")) & _nonempty(F.col("downstream"))).select(
+        u1.alias("src1"), u2.alias("src2"), d1.alias("n1"), d2.alias("n2"), F.col("downstream").alias("urn"))
+    out = (e.join(n, ["n1", "n2"])
+           .join(n.select(key, F.col("n1").alias("src1"), F.col("n2").alias("src2")), [key, "src1", "src2"],
+                 "left_semi")
+           .select(key, "src1", "src2", "n1", "n2", "urn"))
+    return out if edges_distinct else out.dropDuplicates([key, "src1", "src2", "n1", "n2"])
+
+
 def hop_label(hop="hop"):
     """Reference parity: the start is 0, every other node 1."""
     return F.least(F.col(hop), F.lit(1))

@@ -37,10 +37,10 @@ def evidence_signals(cat: Catalog, nodes: DataFrame, evidence: DataFrame | None
     """Text signals of the reached entities only, plus the catalog's data signals.
     With the (materialized) enriched ``evidence``, the entity text is taken from it once
     per URN instead of joining the catalog's entities again."""
-    reached = cat.entities.join(nodes.select("urn").distinct(), "urn", "left_semi")
-    sig = text_signals(reached)
+    urns = nodes.select("urn").distinct()
+    sig = text_signals(cat.entities.join(urns, "urn", "left_semi"))
     if cat.signals is not None:
-        sig = sig.unionByName(cat.signals.join(nodes.select("urn").distinct(), "urn", "left_semi"))
+        sig = sig.unionByName(cat.signals.join(urns, "urn", "left_semi"))
     return sig
 
 
@@ -53,7 +53,8 @@ def investigate(cat: Catalog, *, max_hops: int = 3, max_nodes: int = 40, top: in
                           edges_distinct=cat.edges_distinct)
     ev = materialize(enrich(nodes, cat.entities), "evidence")
     sig = evidence_signals(cat, nodes, ev)
-    sus = rank_suspects(ev, inc, sig, cat.edges, key=key, top=top, text_only_high=text_only_high)
+    sus = rank_suspects(ev, inc, sig, cat.edges, key=key, top=top, text_only_high=text_only_high,
+                        edges_distinct=cat.edges_distinct)
     # F7 holds by construction here: suspects are ranked evidence rows. guard_suspects is
     # for suspects that come from outside, e.g. parsed stored answers.
     sus = materialize(sus, "suspects")

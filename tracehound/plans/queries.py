@@ -232,7 +232,8 @@ def _ranked(spark, sf, text_only_high=False):
     w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, max_nodes=UP_CAP, edges_distinct=True)
     ev = materialize(enrich(w, cat.entities), "evidence")
     sig = evidence_signals(cat, w, ev)
-    return cat, rank_suspects(ev, cat.incidents, sig, cat.edges, text_only_high=text_only_high)
+    return cat, rank_suspects(ev, cat.incidents, sig, cat.edges, text_only_high=text_only_high,
+                              edges_distinct=True)
 
 
 def q_rank_suspects(spark, sf):
