@@ -241,6 +241,13 @@ def _sql() -> dict[str, str]:
                  f"UNION ALL SELECT {U('supplier', 's_suppkey')}, {U('supplier', 's_suppkey')} FROM supplier")
     s["walk_capped"] = _with(FK_EDGES, _walk("w", cs_starts, False, Q.DOWN_HOPS), _nodes("w", "n", Q.DOWN_CAP)) + \
         "SELECT incident_id, urn, CAST(hop AS BIGINT) AS hop FROM n"
+    ns_starts = (f"SELECT {U('nation', 'n_nationkey')} AS incident_id, {U('nation', 'n_nationkey')} AS urn FROM nation "
+                 f"UNION ALL SELECT {U('supplier', 's_suppkey')}, {U('supplier', 's_suppkey')} FROM supplier")
+    capped_edges = (f"capped_edges AS (SELECT upstream, downstream FROM (SELECT *, row_number() OVER "
+                    f"(PARTITION BY upstream ORDER BY downstream) AS rn FROM fk_edges) x WHERE rn <= {Q.DRAW_PER_NODE})")
+    s["walk_per_node_cap"] = _with(FK_EDGES, capped_edges, _walk("w", ns_starts, False, Q.DRAW_HOPS, "capped_edges"),
+                                   _nodes("w", "n", Q.DRAW_CAP)) + \
+        "SELECT incident_id, urn, CAST(hop AS BIGINT) AS hop FROM n"
     ev_edges = (f"ev_edges AS (SELECT DISTINCT {_EVENT_URN.format('event_type')} AS upstream, "
                 f"{_EVENT_URN.format('next_type')} AS downstream FROM (SELECT event_type, lead(event_type) OVER "
                 f"(PARTITION BY user_id ORDER BY ts, event_id) AS next_type FROM events) t WHERE next_type IS NOT NULL)")

@@ -31,6 +31,7 @@ from ..sources.catalog import Catalog, search_entities
 UP_HOPS, UP_CAP = 3, 40            # upstream evidence walk (reference defaults)
 DOWN_HOPS, DOWN_CAP = 5, 60        # blast radius walk (reference defaults)
 CYCLE_HOPS = 3
+DRAW_HOPS, DRAW_CAP, DRAW_PER_NODE = 6, 40, 50   # drawing walk (reference defaults)
 STALE_DAYS = 365                   # customer freshness threshold (X4)
 DROP_RATIO = 0.6                   # volume anomaly threshold (X1)
 SEARCH_TERM = "license"            # keyword for S12
@@ -97,6 +98,22 @@ def q_walk_capped(spark, sf):
     return _big(w, "hop")
 
 
+def _nation_supplier_starts(spark, sf):
+    t = FK.read_tables(spark, sf, ["nation", "supplier"])
+    n = t["nation"].select(FK.node_urn("nation", F.col("n_nationkey")).alias("urn"))
+    s = t["supplier"].select(FK.node_urn("supplier", F.col("s_suppkey")).alias("urn"))
+    return n.unionByName(s).select(F.col("urn").alias("incident_id"), "urn")
+
+
+def q_walk_per_node_cap(spark, sf):
+    """W2 + W1: the drawing walk: at most 50 neighbours per expanded node (in URN order),
+    40 nodes per walk, 6 hops, downstream from every nation and supplier."""
+    cat = fk(spark, sf, False)
+    w = walk(_nation_supplier_starts(spark, sf), cat.edges, upstream=False, max_hops=DRAW_HOPS,
+             max_nodes=DRAW_CAP, max_per_node=DRAW_PER_NODE, edges_distinct=True)
+    return _big(w, "hop")
+
+
 def event_transition_edges(spark, sf) -> DataFrame:
     """A cyclic lineage graph: event type -> next event type of the same user."""
     e = _t(spark, sf, "events")
@@ -431,6 +448,7 @@ QUERIES = {
     "walk_multi_source": q_walk_multi_source,
     "walk_capped": q_walk_capped,
     "walk_cyclic": q_walk_cyclic,
+    "walk_per_node_cap": q_walk_per_node_cap,
     "walk_edges": q_walk_edges,
     "chain_edges": q_chain_edges,
     "entity_enrich": q_entity_enrich,
