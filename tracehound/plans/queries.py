@@ -52,8 +52,10 @@ def _big(df: DataFrame, *cols) -> DataFrame:
 def fk(spark: SparkSession, sf: str, with_signals: bool = True) -> Catalog:
     configure(spark)
     t = FK.read_tables(spark, sf)
-    cat = Catalog(edges=materialize(FK.edges(t), "fk-edges"), entities=materialize(FK.entities(t), "fk-entities"),
-                  incidents=materialize(FK.incidents(t), "fk-incidents"), edges_distinct=True)
+    lines = materialize(FK.line_groups(t), "fk-lines")
+    cat = Catalog(edges=materialize(FK.edges(t, lines), "fk-edges"),
+                  entities=materialize(FK.entities(t, lines), "fk-entities"),
+                  incidents=materialize(FK.incidents(t, lines), "fk-incidents"), edges_distinct=True)
     if with_signals:
         cat = cat.with_(signals=customer_freshness_signals(spark, sf))
     return cat

@@ -70,9 +70,21 @@ def line_key(orderkey="l_orderkey", linenumber="l_linenumber") -> Column:
     return F.concat(F.col(orderkey).cast("string"), F.lit("-"), F.col(linenumber).cast("string"))
 
 
-def edges(t: dict[str, DataFrame]) -> DataFrame:
-    """The six foreign keys as (upstream, downstream) URN pairs, de-duplicated."""
-    li = t["lineitem"]
+def line_groups(t: dict[str, DataFrame]) -> DataFrame:
+    """One row per line id ``(l_orderkey, l_linenumber)``: its row count, largest return
+    flag and set of suppliers. The one pass over lineitem that edges, entities and
+    incidents share (the id repeats, so every use needs this grouping anyway)."""
+    return t["lineitem"].groupBy("l_orderkey", "l_linenumber").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("l_returnflag").alias("flag"),
+        F.collect_set("l_suppkey").alias("suppliers"))
+
+
+def edges(t: dict[str, DataFrame], lines: DataFrame | None = None) -> DataFrame:
+    """The six foreign keys as (upstream, downstream) URN pairs, de-duplicated.
+
+    The line-item edges come from the per-line groups and are unique by construction;
+    the other four are de-duplicated (they are small next to lineitem)."""
+    lines = lines if lines is not None else line_groups(t)
     parts = [
         t["nation"].select(node_urn("region", F.col("n_regionkey")).alias("upstream"),
                            node_urn("nation", F.col("n_nationkey")).alias("downstream")),
@@ -82,15 +94,17 @@ def edges(t: dict[str, DataFrame]) -> DataFrame:
                              node_urn("supplier", F.col("s_suppkey")).alias("downstream")),
         t["orders"].select(node_urn("customer", F.col("o_custkey")).alias("upstream"),
                            node_urn("orders", F.col("o_orderkey")).alias("downstream")),
-        li.select(node_urn("orders", F.col("l_orderkey")).alias("upstream"),
-                  node_urn("lineitem", line_key()).alias("downstream")),
-        li.select(node_urn("supplier", F.col("l_suppkey")).alias("upstream"),
-                  node_urn("lineitem", line_key()).alias("downstream")),
     ]
-    out = parts[0]
+    small = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("upstream").isNotNull() & F.col("downstream").isNotNull()).distinct()
+        small = small.unionByName(p)
+    li = lines.select(node_urn("lineitem", line_key()).alias("downstream"),
+                      node_urn("orders", F.col("l_orderkey")).alias("by_order"), "suppliers")
+    li_edges = (li.select(F.col("by_order").alias("upstream"), "downstream")
+                .unionByName(li.select(F.explode("suppliers").alias("s"), "downstream")
+                             .select(node_urn("supplier", F.col("s")).alias("upstream"), "downstream")))
+    ok = F.col("upstream").isNotNull() & F.col("downstream").isNotNull()
+    return small.where(ok).distinct().unionByName(li_edges.where(ok))
 
 
 def _note(key: Column) -> Column:
@@ -123,10 +137,10 @@ def _entity(table: str, key: Column, description: Column, owners: Column | None,
     ]
 
 
-def entities(t: dict[str, DataFrame]) -> DataFrame:
+def entities(t: dict[str, DataFrame], lines: DataFrame | None = None) -> DataFrame:
     """One entity per node, schema ``tracehound.schemas.ENTITIES``."""
-    r, n, c, s, o, li = (t[x] for x in TABLES)
-    lines = li.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n_rows"))
+    r, n, c, s, o = (t[x] for x in TABLES[:5])
+    lines = lines if lines is not None else line_groups(t)
     parts = [
         r.select(*_entity("region", F.col("r_regionkey"), F.concat(F.lit("Region "), F.col("r_name")),
                           None, F.concat(F.lower(F.col("r_name")), F.lit("@geo")), F.col("r_regionkey"))),
@@ -153,13 +167,13 @@ def entities(t: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def incidents(t: dict[str, DataFrame]) -> DataFrame:
+def incidents(t: dict[str, DataFrame], lines: DataFrame | None = None) -> DataFrame:
     """One incident per distinct line item; the symptom follows its largest return flag."""
-    flag = F.max("l_returnflag")
+    lines = lines if lines is not None else line_groups(t)
     sym = F.lit(None).cast("string")
     for k in sorted(SYMPTOMS, reverse=True):
         sym = F.when(F.col("flag") == k, F.lit(SYMPTOMS[k])).otherwise(sym)
-    return (t["lineitem"].groupBy("l_orderkey", "l_linenumber").agg(flag.alias("flag"))
+    return (lines
             .select(F.concat(F.lit("L"), line_key()).alias("incident_id"), sym.alias("symptom"),
                     node_urn("lineitem", line_key()).alias("affected_urn")))
 
@@ -173,4 +187,5 @@ def region_incidents(t: dict[str, DataFrame]) -> DataFrame:
 
 def build(spark: SparkSession, sf_dir: str) -> Catalog:
     t = read_tables(spark, sf_dir)
-    return Catalog(edges=edges(t), entities=entities(t), incidents=incidents(t))
+    lines = line_groups(t)
+    return Catalog(edges=edges(t, lines), entities=entities(t, lines), incidents=incidents(t, lines))
