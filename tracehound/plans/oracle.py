@@ -15,6 +15,7 @@ from ..operators import ranking as R
 from ..operators.signals import TEXT_RULES
 from ..sources import fk_catalog as FK
 from . import queries as Q
+from . import report as RP
 
 NL = "chr(10)"
 LINE = "(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR))"
@@ -333,12 +334,12 @@ SELECT 'urn:li:dataset:(urn:li:dataPlatform:looker,orders.priority.' || o_orderp
     miss_case = "CASE " + " ".join(
         f"WHEN {c} THEN {_s(R.MISSING[cls])}" for cls, c in _classes_sql("i.symptom", 2, False)) + \
         f" ELSE {_s(R.MISSING_NONE)} END"
-    s["investigate"] = _with(*RANKED) + f""", top1 AS (SELECT c.incident_id, e.name, c.class, c.source,
+    inv_ctes = f"""top1 AS (SELECT c.incident_id, e.name, c.class, c.source,
     c.confidence, c.score, c.source || ' signal (' || c.class || '): ' || COALESCE(c.detail, '') AS why
     FROM conf c JOIN fk_entities e ON e.urn = c.urn WHERE c.rank = 1),
   cnt AS (SELECT incident_id, count(*) AS n FROM ev GROUP BY incident_id),
-  ns AS (SELECT incident_id, count(*) AS n_sus, max(score) AS max_score FROM conf GROUP BY incident_id)
-SELECT i.incident_id,
+  ns AS (SELECT incident_id, count(*) AS n_sus, max(score) AS max_score FROM conf GROUP BY incident_id),
+  inv AS (SELECT i.incident_id, i.symptom, i.affected_urn,
   CASE WHEN t.score > 0 THEN 'Most likely root cause: ' || t.name || ' (' || t.class || ', ' || t.source ||
     ' signal, confidence ' || t.confidence || '). ' || t.why
   ELSE 'No signal found in ' || CAST(COALESCE(cnt.n, 0) AS VARCHAR) ||
@@ -346,7 +347,45 @@ SELECT i.incident_id,
   CASE WHEN COALESCE(ns.max_score, 0) = 0 THEN {miss_case} END AS missing_evidence,
   CAST(COALESCE(cnt.n, 0) AS BIGINT) AS evidence_nodes, CAST(COALESCE(ns.n_sus, 0) AS BIGINT) AS n_suspects
 FROM fk_incidents i LEFT JOIN top1 t ON t.incident_id = i.incident_id
-  LEFT JOIN cnt ON cnt.incident_id = i.incident_id LEFT JOIN ns ON ns.incident_id = i.incident_id"""
+  LEFT JOIN cnt ON cnt.incident_id = i.incident_id LEFT JOIN ns ON ns.incident_id = i.incident_id)"""
+    s["investigate"] = _with(*RANKED) + ", " + inv_ctes + \
+        "\nSELECT incident_id, summary, missing_evidence, evidence_nodes, n_suspects FROM inv"
+    icon = "CASE lower(c.confidence) " + " ".join(f"WHEN {_s(k)} THEN {_s(v)}" for k, v in TX.CONF_ICONS.items()) + \
+        f" ELSE {_s(TX.UNKNOWN_ICON)} END"
+    nxt = "CASE c.class " + " ".join(f"WHEN {_s(k)} THEN {_s(v)}" for k, v in R.CHECK_NEXT.items()) + \
+        f" ELSE {_s(R.CHECK_NEXT_NONE)} END"
+    why = ("CASE WHEN c.score > 0 THEN c.source || ' signal (' || c.class || '): ' || COALESCE(c.detail, '') "
+           "WHEN c.dist IS NOT NULL THEN 'downstream of a flagged node (' || CAST(c.dist AS VARCHAR) || "
+           "' hop(s)); no signal of its own' ELSE 'on the upstream path of the symptom; no signal found' END")
+    dash = " OR ".join(f"COALESCE(strpos(e.platform, {_s(m)}) > 0, false)" for m in C.DASHBOARD_MARKERS)
+    tag_line = _s(TX.STATUS_APPLIED + ": tagged ")
+    tag_name = _s(" '" + C.QUARANTINE_TAG.split(":")[-1] + "'" + RP.WARNED)
+    s["report_text"] = _with(*CONTAINED) + ", " + inv_ctes + f""",
+  sus AS (SELECT c.incident_id, string_agg('  ' || CAST(c.rank AS VARCHAR) || '. ' || {icon} || ' [' ||
+      upper(COALESCE(c.confidence, '?')) || '] ' || e.name || '   -> contact: ' ||
+      COALESCE(NULLIF({OWNER_LABEL}, ''), {_s(TX.OWNER_UNKNOWN)}) || {NL} || '       why : ' || {why} || {NL} ||
+      '       next: ' || {nxt}, {NL} ORDER BY c.rank) AS lines
+    FROM conf c JOIN fk_entities e ON e.urn = c.urn GROUP BY c.incident_id),
+  blast AS (SELECT b.root_urn, count(*) AS n,
+      string_agg(e.name, ', ' ORDER BY e.name) FILTER (WHERE {dash}) AS dashboards,
+      string_agg(e.name, ', ' ORDER BY e.name) FILTER (WHERE NOT ({dash})) AS assets
+    FROM bnodes b JOIN fk_entities e ON e.urn = b.urn GROUP BY b.root_urn),
+  acted AS (SELECT g.incident_id, e.name AS root_name, COALESCE(bl.n, 0) AS n, bl.dashboards, bl.assets
+    FROM gated g JOIN fk_entities e ON e.urn = g.urn LEFT JOIN blast bl ON bl.root_urn = g.urn)
+SELECT v.incident_id, concat_ws({NL}, {_s(RP.RULE)}, {_s(RP.TITLE)}, {_s(RP.RULE)},
+  'Symptom  : ' || COALESCE(v.symptom, ''),
+  'Affected : ' || rtrim(string_split(v.affected_urn, '(')[-1], ')'),
+  'Traced   : ' || CAST(v.evidence_nodes AS VARCHAR) || ' upstream entities via lineage',
+  '', 'SUMMARY', '  ' || v.summary, '', 'ROOT-CAUSE SUSPECTS (ranked)', su.lines,
+  CASE WHEN a.incident_id IS NOT NULL THEN {NL} || 'ACTION TAKEN (write-back to the catalog)' || {NL} ||
+    '  ' || {tag_line} || a.root_name || {tag_name} END,
+  CASE WHEN a.incident_id IS NOT NULL THEN {NL} || 'BLAST RADIUS - ' || CAST(a.n AS VARCHAR) ||
+    ' downstream assets contaminated (' || CAST(a.n AS VARCHAR) || ' tagged IMPACTED)' END,
+  CASE WHEN a.dashboards IS NOT NULL THEN '  dashboards affected: ' || a.dashboards END,
+  CASE WHEN a.assets IS NOT NULL THEN '  data assets affected: ' || a.assets END,
+  CASE WHEN COALESCE(v.missing_evidence, '') <> '' THEN {NL} || 'TO CONFIRM' || {NL} || '  ' || v.missing_evidence END,
+  {_s(RP.RULE)}) AS report_text
+FROM inv v LEFT JOIN sus su ON su.incident_id = v.incident_id LEFT JOIN acted a ON a.incident_id = v.incident_id"""
     s["report_parse"] = f"""SELECT conv_id, turn,
   CASE WHEN turn % 3 = 2 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE text END AS summary,
   CASE WHEN turn % 3 = 2 THEN {_s(TX.FALLBACK_MISSING)} END AS missing_evidence, CAST(0 AS BIGINT) AS n_suspects
