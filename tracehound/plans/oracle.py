@@ -386,6 +386,42 @@ SELECT v.incident_id, concat_ws({NL}, {_s(RP.RULE)}, {_s(RP.TITLE)}, {_s(RP.RULE
   CASE WHEN COALESCE(v.missing_evidence, '') <> '' THEN {NL} || 'TO CONFIRM' || {NL} || '  ' || v.missing_evidence END,
   {_s(RP.RULE)}) AS report_text
 FROM inv v LEFT JOIN sus su ON su.incident_id = v.incident_id LEFT JOIN acted a ON a.incident_id = v.incident_id"""
+    def q_(x):
+        return f"replace({x}, '\"', '\\\"')"
+    role = ("CASE WHEN n.urn = i.root THEN CASE WHEN COALESCE(i.applied, false) THEN 'quarantine' ELSE 'suspect' END "
+            "WHEN n.urn = i.affected_urn THEN 'symptom' WHEN n.impacted THEN 'impacted' ELSE 'other' END")
+    suffix = "CASE role " + " ".join(f"WHEN {_s(k)} THEN {_s(v[0])}" for k, v in RP._STYLE.items()) + " END"
+    style = "CASE role " + " ".join(f"WHEN {_s(k)} THEN {_s(v[1])}" for k, v in RP._STYLE.items()) + " END"
+    name = _URN_NAME.replace("urn", "n.urn")
+    s["lineage_dot"] = _with(*CONTAINED) + f""",
+  top AS (SELECT incident_id, urn FROM conf WHERE rank = 1),
+  inc AS (SELECT i.incident_id, i.affected_urn, COALESCE(g.urn, t.urn) AS root,
+      CASE WHEN g.urn IS NOT NULL THEN true END AS applied
+    FROM fk_incidents i LEFT JOIN gated g ON g.incident_id = i.incident_id
+      LEFT JOIN top t ON t.incident_id = i.incident_id),
+  bn AS (SELECT i.incident_id, b.urn, b.hop FROM inc i JOIN bnodes b ON b.root_urn = i.root),
+  nodes AS (SELECT incident_id, urn, bool_or(impacted) AS impacted FROM (
+      SELECT incident_id, urn, false AS impacted FROM ev UNION ALL SELECT incident_id, urn, true FROM bn) u
+    GROUP BY incident_id, urn),
+  down_nodes AS (SELECT incident_id, urn FROM bn UNION SELECT incident_id, root FROM inc WHERE root IS NOT NULL),
+  e_up AS (SELECT a.incident_id, e.upstream, e.downstream FROM ev a JOIN fk_edges e ON e.downstream = a.urn
+      JOIN ev b ON b.incident_id = a.incident_id AND b.urn = e.upstream WHERE a.hop < {Q.UP_HOPS}),
+  e_down AS (SELECT a.incident_id, e.upstream, e.downstream FROM down_nodes a JOIN fk_edges e ON e.upstream = a.urn
+      JOIN down_nodes b ON b.incident_id = a.incident_id AND b.urn = e.downstream),
+  all_edges AS (SELECT DISTINCT x.incident_id, x.upstream, x.downstream FROM (
+      SELECT * FROM e_up UNION ALL SELECT * FROM e_down) x
+    JOIN nodes nu ON nu.incident_id = x.incident_id AND nu.urn = x.upstream
+    JOIN nodes nd ON nd.incident_id = x.incident_id AND nd.urn = x.downstream),
+  roled AS (SELECT n.incident_id, n.urn, {role} AS role,
+      CASE WHEN regexp_extract(n.urn, 'dataPlatform:([^,]+)', 1) <> ''
+        THEN {name} || '\\n(' || regexp_extract(n.urn, 'dataPlatform:([^,]+)', 1) || ')' ELSE {name} END AS label
+    FROM nodes n JOIN inc i ON i.incident_id = n.incident_id),
+  lines AS (SELECT incident_id, '  "' || {q_('urn')} || '" [label="' || {q_('label')} || {suffix} || '", ' || {style} ||
+      '];' AS line FROM roled
+    UNION ALL SELECT incident_id, '  "' || {q_('upstream')} || '" -> "' || {q_('downstream')} || '";' FROM all_edges)
+SELECT incident_id, 'digraph lineage {{' || {NL} || '  rankdir=LR;' || {NL} || '  node [shape=box, fontsize=11];' || {NL} ||
+  string_agg(line, {NL} ORDER BY line) || {NL} || '}}' AS lineage_dot
+FROM lines GROUP BY incident_id"""
     s["report_parse"] = f"""SELECT conv_id, turn,
   CASE WHEN turn % 3 = 2 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE text END AS summary,
   CASE WHEN turn % 3 = 2 THEN {_s(TX.FALLBACK_MISSING)} END AS missing_evidence, CAST(0 AS BIGINT) AS n_suspects
