@@ -24,12 +24,16 @@ Scale notes
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 
+PARTITION_ADJACENCY = True
+
+
 def _nonempty(c):
     return c.isNotNull() & (c != "")
 
@@ -98,6 +102,12 @@ def walk(starts: DataFrame, edges: DataFrame | None, *, upstream: bool, max_hops
     frontier = level0.where(F.col("n") < max_nodes) if capped else level0
 
     on = ([key] if key in adj.columns else []) + ["src1", "src2"]
+    if PARTITION_ADJACENCY:
+        # hash-partition the adjacency on the join key once and keep it (memory, then
+        # disk; a lost block is recomputed from the written parquet): later levels shuffle
+        # only their frontier, not the whole edge set again
+        n_parts = int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        adj = adj.repartition(n_parts, *on).persist(StorageLevel.MEMORY_AND_DISK)
     hop = 0
     while max_hops is None or hop < max_hops:
         if frontier.isEmpty():
@@ -120,6 +130,8 @@ def walk(starts: DataFrame, edges: DataFrame | None, *, upstream: bool, max_hops
                                      *(["n"] if capped else [])), "walk-level")
         levels.append(new)
         frontier = new.where(F.col("n") < max_nodes) if capped else new
+    if PARTITION_ADJACENCY:
+        adj.unpersist()
     return _union_all([lv.select(key, "urn", "hop") for lv in levels])
 
 
