@@ -71,19 +71,19 @@ def line_key(orderkey="l_orderkey", linenumber="l_linenumber") -> Column:
 
 
 def line_groups(t: dict[str, DataFrame]) -> DataFrame:
-    """One row per line id ``(l_orderkey, l_linenumber)``: its row count, largest return
-    flag and set of suppliers. The one pass over lineitem that edges, entities and
-    incidents share (the id repeats, so every use needs this grouping anyway)."""
+    """One row per line id ``(l_orderkey, l_linenumber)``: its row count and largest
+    return flag (fixed-size aggregates, partially computed before the shuffle). Shared
+    by edges, entities and incidents."""
     return t["lineitem"].groupBy("l_orderkey", "l_linenumber").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max("l_returnflag").alias("flag"),
-        F.collect_set("l_suppkey").alias("suppliers"))
+        F.count(F.lit(1)).alias("n_rows"), F.max("l_returnflag").alias("flag"))
 
 
 def edges(t: dict[str, DataFrame], lines: DataFrame | None = None) -> DataFrame:
     """The six foreign keys as (upstream, downstream) URN pairs, de-duplicated.
 
-    The line-item edges come from the per-line groups and are unique by construction;
-    the other four are de-duplicated (they are small next to lineitem)."""
+    Order-to-line edges come from the per-line groups (unique by construction);
+    supplier-to-line edges are a ``distinct`` over (order, line, supplier), which
+    de-duplicates map-side, so a line id repeated very often costs no large group."""
     lines = lines if lines is not None else line_groups(t)
     parts = [
         t["nation"].select(node_urn("region", F.col("n_regionkey")).alias("upstream"),
@@ -98,11 +98,12 @@ def edges(t: dict[str, DataFrame], lines: DataFrame | None = None) -> DataFrame:
     small = parts[0]
     for p in parts[1:]:
         small = small.unionByName(p)
-    li = lines.select(node_urn("lineitem", line_key()).alias("downstream"),
-                      node_urn("orders", F.col("l_orderkey")).alias("by_order"), "suppliers")
-    li_edges = (li.select(F.col("by_order").alias("upstream"), "downstream")
-                .unionByName(li.select(F.explode("suppliers").alias("s"), "downstream")
-                             .select(node_urn("supplier", F.col("s")).alias("upstream"), "downstream")))
+    by_order = lines.select(node_urn("orders", F.col("l_orderkey")).alias("upstream"),
+                            node_urn("lineitem", line_key()).alias("downstream"))
+    by_supplier = (t["lineitem"].select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
+                   .select(node_urn("supplier", F.col("l_suppkey")).alias("upstream"),
+                           node_urn("lineitem", line_key()).alias("downstream")))
+    li_edges = by_order.unionByName(by_supplier)
     ok = F.col("upstream").isNotNull() & F.col("downstream").isNotNull()
     return small.where(ok).distinct().unionByName(li_edges.where(ok))
 
