@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import owner_label
 from ..session import materialize
 from .signals import TEXT_RULES, symptom_classes
+from .enrich import enrich
 from .walk import induced_adjacency, walk
 
 # ---- fixed values: next checks and missing-evidence statements -------------------
@@ -100,16 +101,22 @@ def distance_from_signals(scored: DataFrame, edges: DataFrame, key: str = "incid
 
 def rank_suspects(evidence: DataFrame, incidents: DataFrame, signals: DataFrame, edges: DataFrame,
                   key: str = "incident_id", top: int = 3, text_only_high: bool = False,
-                  rules=TEXT_RULES, edges_distinct: bool = False) -> DataFrame:
+                  rules=TEXT_RULES, edges_distinct: bool = False,
+                  entities: DataFrame | None = None) -> DataFrame:
     """R1 + R5: the ``top`` suspects per incident with score, distance, confidence, owner,
-    reason and next check. ``evidence`` is the enriched upstream walk (hop 0 = symptom)."""
+    reason and next check. ``evidence`` is the upstream walk (hop 0 = symptom), either
+    enriched, or narrow ``(key, urn, hop)`` with ``entities`` given: then only the top
+    rows are joined with the catalog."""
     scored = materialize(score_evidence(evidence, incidents, signals, key, rules), "scored")
     dist = distance_from_signals(scored, edges, key, edges_distinct)
     cand = scored.where(F.col("hop") > 0).join(dist, [key, "urn"], "left")
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("dist").asc_nulls_last(),
                                         F.col("hop").desc(), F.col("urn"))
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(top))
-    ranked = ranked.join(evidence.select(key, "urn", "name", "owners", "custom_properties"), [key, "urn"])
+    if entities is not None:
+        ranked = enrich(ranked, entities)
+    else:
+        ranked = ranked.join(evidence.select(key, "urn", "name", "owners", "custom_properties"), [key, "urn"])
     high = F.col("score") == 4
     if text_only_high:
         high = high | (F.col("score") == 2)

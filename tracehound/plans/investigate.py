@@ -33,10 +33,9 @@ SUSPECT_FIELDS = ["urn", "why", "check_next", "owner", "confidence", "rank", "sc
                   "class", "source"]
 
 
-def evidence_signals(cat: Catalog, nodes: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
-    """Text signals of the reached entities only, plus the catalog's data signals.
-    With the (materialized) enriched ``evidence``, the entity text is taken from it once
-    per URN instead of joining the catalog's entities again."""
+def evidence_signals(cat: Catalog, nodes: DataFrame) -> DataFrame:
+    """Text signals of the reached entities only (rules run once per reached URN), plus
+    the catalog's data signals for those URNs."""
     urns = nodes.select("urn").distinct()
     sig = text_signals(cat.entities.join(urns, "urn", "left_semi"))
     if cat.signals is not None:
@@ -51,10 +50,10 @@ def investigate(cat: Catalog, *, max_hops: int = 3, max_nodes: int = 40, top: in
     starts = inc.select(key, F.col("affected_urn").alias("urn"))
     nodes = walk_upstream(starts, cat.edges, max_hops=max_hops, max_nodes=max_nodes, key=key,
                           edges_distinct=cat.edges_distinct)
-    ev = materialize(enrich(nodes, cat.entities), "evidence")
-    sig = evidence_signals(cat, nodes, ev)
-    sus = rank_suspects(ev, inc, sig, cat.edges, key=key, top=top, text_only_high=text_only_high,
-                        edges_distinct=cat.edges_distinct)
+    ev = enrich(nodes, cat.entities)  # returned for callers; ranking stays narrow
+    sig = evidence_signals(cat, nodes)
+    sus = rank_suspects(nodes, inc, sig, cat.edges, key=key, top=top, text_only_high=text_only_high,
+                        edges_distinct=cat.edges_distinct, entities=cat.entities)
     # F7 holds by construction here: suspects are ranked evidence rows. guard_suspects is
     # for suspects that come from outside, e.g. parsed stored answers.
     sus = materialize(sus, "suspects")

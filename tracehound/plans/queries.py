@@ -249,10 +249,9 @@ def q_signals(spark, sf):
 def _ranked(spark, sf, text_only_high=False):
     cat = fk(spark, sf, True)
     w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, max_nodes=UP_CAP, edges_distinct=True)
-    ev = materialize(enrich(w, cat.entities), "evidence")
-    sig = evidence_signals(cat, w, ev)
-    return cat, rank_suspects(ev, cat.incidents, sig, cat.edges, text_only_high=text_only_high,
-                              edges_distinct=True)
+    sig = evidence_signals(cat, w)
+    return cat, rank_suspects(w, cat.incidents, sig, cat.edges, text_only_high=text_only_high,
+                              edges_distinct=True, entities=cat.entities)
 
 
 def q_rank_suspects(spark, sf):
