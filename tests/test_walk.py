@@ -115,3 +115,12 @@ def test_chain_edges_dense_positions(spark):
                               "chain string, pos int, urn string")
     got = {(r.chain, r.upstream, r.downstream) for r in chain_edges(a).collect()}
     assert got == {("A", "x", "y"), ("A", "y", "z")}
+
+
+def test_partitioned_adjacency_same_result(spark):
+    e = edges_df(spark, CYCLE + DIAMOND)
+    s = starts_df(spark, [("i", "a"), ("j", "d")])
+    plain = {(r.incident_id, r.urn, r.hop) for r in walk(s, e, upstream=False, max_hops=None).collect()}
+    part = {(r.incident_id, r.urn, r.hop) for r in
+            walk(s, e, upstream=False, max_hops=None, partition_adjacency=True).collect()}
+    assert plain == part and len(plain) > 4

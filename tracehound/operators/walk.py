@@ -31,9 +31,6 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
-PARTITION_ADJACENCY = True
-
-
 def _nonempty(c):
     return c.isNotNull() & (c != "")
 
@@ -68,7 +65,7 @@ def _cap_rank(df: DataFrame, key: str, order_cols, cap: int) -> DataFrame:
 def walk(starts: DataFrame, edges: DataFrame | None, *, upstream: bool, max_hops: int | None,
          max_nodes: int | None = None, max_per_node: int | None = None,
          key: str = "incident_id", adj: DataFrame | None = None,
-         edges_distinct: bool = False) -> DataFrame:
+         edges_distinct: bool = False, partition_adjacency: bool = False) -> DataFrame:
     """G1: bounded multi-source walk.
 
     ``starts`` has columns ``(key, urn)``; ``edges`` is ``(upstream, downstream)``
@@ -77,7 +74,11 @@ def walk(starts: DataFrame, edges: DataFrame | None, *, upstream: bool, max_hops
     ``max_per_node`` caps the neighbours taken per expanded node, in URN order (W2).
     ``max_hops=None`` walks until the frontier is empty (cycles end because reached
     nodes are never re-entered). ``edges_distinct`` skips the edge de-duplication when
-    the caller's edge set is already a set.
+    the caller's edge set is already a set. ``partition_adjacency`` hash-partitions and
+    persists the adjacency on the join key once, so each level shuffles only its
+    frontier; at sf0.1 on one machine persisting cost about what it saved (measured),
+    so it is off by default and meant for long walks of large frontiers over very large
+    edge sets (small frontiers are broadcast by AQE anyway).
 
     With a cap, each level row carries ``n``: its key's node count after that level. The
     frontier of the next level takes ``n`` along through the join, so the remaining room
@@ -102,7 +103,7 @@ def walk(starts: DataFrame, edges: DataFrame | None, *, upstream: bool, max_hops
     frontier = level0.where(F.col("n") < max_nodes) if capped else level0
 
     on = ([key] if key in adj.columns else []) + ["src1", "src2"]
-    if PARTITION_ADJACENCY:
+    if partition_adjacency:
         # hash-partition the adjacency on the join key once and keep it (memory, then
         # disk; a lost block is recomputed from the written parquet): later levels shuffle
         # only their frontier, not the whole edge set again
@@ -130,7 +131,7 @@ def walk(starts: DataFrame, edges: DataFrame | None, *, upstream: bool, max_hops
                                      *(["n"] if capped else [])), "walk-level")
         levels.append(new)
         frontier = new.where(F.col("n") < max_nodes) if capped else new
-    if PARTITION_ADJACENCY:
+    if partition_adjacency:
         adj.unpersist()
     return _union_all([lv.select(key, "urn", "hop") for lv in levels])
 
