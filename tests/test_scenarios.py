@@ -155,3 +155,12 @@ def test_guard_drops_suspects_outside_evidence(spark):
         "incident_id", F.col("s")["urn"].alias("urn"))
     kept = [r.urn for r in guard_suspects(parsed, inv.evidence).collect()]
     assert kept == [ds("bigquery", "prod.raw.orders")]
+
+
+def test_dot_marks_unverified_root_as_suspect(spark):
+    cat = f1_catalog(spark)
+    inv = investigate(cat, text_only_high=True)  # no action taken
+    dot = {r.incident_id: r.lineage_dot for r in lineage_dot(inv.evidence, inv.reports, cat.edges).collect()}
+    assert "QUARANTINE" not in dot["A"]
+    line = [l for l in dot["A"].splitlines() if "prod.raw.orders" in l and "label" in l][0]
+    assert "\\nsuspect" in line
