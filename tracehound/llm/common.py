@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 #: The contract's word: a run of characters other than space, \t, \n, \v, \f and \r.
 #: ``bytes.split()`` splits on exactly these six, ``bytes.lower()`` lowers exactly A-Z.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -90,3 +92,12 @@ def with_column_names(df: DataFrame, *names: str) -> DataFrame:
 
 def long_ids(df: DataFrame, col: str = "doc_id") -> DataFrame:
     return df.withColumn(col, F.col(col).cast(T.LongType()))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: writes to the shared folder (zstd, for wide binary rows) and reads
+    the table back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

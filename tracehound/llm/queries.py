@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import language_id, quality_classifier, quality_rules
+import public_tokenizers
+
+from . import language_id, quality_classifier, quality_rules, token_codec
 from .common import table
 
 
+def op1_token_codec(spark, sf_dir):
+    return token_codec.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_quality_classifier(spark, sf_dir):
     return quality_classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,6 +24,6 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op7_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_codec, op3_quality_classifier, op7_language_id, op10_quality_rules)}
 
 ORACLE_SQL = {"op10_quality_rules": quality_rules.DIGEST_SQL}
