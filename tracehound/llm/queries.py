@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import language_id, quality_classifier, quality_rules, token_codec
+from . import language_id, quality_classifier, quality_rules, sharding, token_codec
 from .common import table
 
 
@@ -20,10 +20,14 @@ def op7_language_id(spark, sf_dir):
     return language_id.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark, sf_dir):
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codec, op3_quality_classifier, op7_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_codec, op3_quality_classifier, op7_language_id, op8_sharding, op10_quality_rules)}
 
 ORACLE_SQL = {"op10_quality_rules": quality_rules.DIGEST_SQL}
