@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import language_id, quality_classifier, quality_rules, sharding, token_codec
+from . import html_extract, language_id, mixing, quality_classifier, quality_rules, sharding, token_codec
 from .common import table
 
 
@@ -12,10 +12,18 @@ def op1_token_codec(spark, sf_dir):
     return token_codec.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_classifier(spark, sf_dir):
     return quality_classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_extract(spark, sf_dir):
+    return html_extract.digest(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.digest(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,6 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codec, op3_quality_classifier, op7_language_id, op8_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_codec, op2_mixing, op3_quality_classifier, op5_html_extract, op7_language_id, op8_sharding, op10_quality_rules)}
 
 ORACLE_SQL = {"op10_quality_rules": quality_rules.DIGEST_SQL}
