@@ -6,8 +6,9 @@ dictionary gives the smallest result wins. When the second smallest is within
 ``min_margin`` of it (relative to the spread that a text of this size can show), the
 answer is rejected: ``confident`` is false, and the general interface can put ``und``.
 
-The sample: per language the ``docs_per_language`` ids with the smallest hash, at most
-``dictionary_bytes`` of text in all; the dictionaries (languages x 64 kB) are broadcast.
+The sample: per language the ids whose hash falls in a share that gives ``docs_per_language``
+ids on average (all ids of a smaller language), at most ``dictionary_bytes`` of text in
+all; the dictionaries (languages x 64 kB) are broadcast.
 Prediction reads every whole text in one pass without a shuffle.
 
 Defined results: null text or a text without a letter gives ``und``, score 0, not
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, long_ids, with_column_names
@@ -43,11 +44,13 @@ _LETTER = re.compile(r"[^\W\d_]")
 def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE,
           dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Raw-content dictionaries from ``doc_id, text, lang``. The ids are chosen on narrow
-    rows (row_number <= constant: a limit per map task before the shuffle), so a language
-    that holds most of the rows moves only its few candidates."""
+    rows with one count per language and no window, so a language that holds most of the
+    rows moves only its few candidates."""
     narrow = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = narrow.withColumn("_r", rank).where(F.col("_r") <= docs_per_language).select("doc_id", "lang").distinct()
+    share_of = F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.col("n"))  # one count per language
+    sizes = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    ids = narrow.join(F.broadcast(sizes), "lang").where(draw < share_of).select("doc_id", "lang").distinct()
     texts = docs.join(F.broadcast(ids), ["doc_id", "lang"]).where("text is not null")
     # every sampled text gives an equal share of its language's dictionary
     share = dictionary_bytes // docs_per_language

@@ -7,10 +7,11 @@
    with the smallest hash; the model table is bounded too and is broadcast.
 2. Nonnegative document rates are fitted by projected-gradient least squares. With n_d tokens,
    posteriors p_dk and T tokens in all, the mix is A_k = sum_d r_d n_d p_dk / T; minimised is
-   sum_k (A_k - t_k)^2 + ridge * sum_d (n_d / T)(r_d - 1)^2 over r >= 0, in the metric n_d / T,
-   so that a step is r_d <- max(0, r_d - step * (sum_k p_dk (A_k - t_k) + ridge (r_d - 1))).
-   Every step is one aggregation to k sums; the driver holds k numbers per step. The rates are
-   a column over the written posterior table, written anew every ``CUT`` steps.
+   sum_k (A_k - t_k)^2 + ridge * sum_d (n_d / T)(r_d - 1)^2 over r >= 0. In the metric n_d / T
+   the gradient at a document is p_d . (A - t), the same k numbers for all documents, so the
+   steps are summed in k numbers and projected: r_d = max(0, 1 - p_d . sum of steps), with
+   momentum and restarts. A step is one aggregation to k sums over the written posterior table;
+   the driver holds k numbers, and no rate is kept between steps.
 
 DataFrame functions only. Defined results: a null or empty text has no tokens, the prior's
 posteriors and rate 1 (it can't change the mix); a label repeated for an id counts once
@@ -28,10 +29,9 @@ from .common import SPACE_RE, long_ids, with_column_names, written
 
 MAX_TRAIN = 6_000
 MAX_FEATURES = 4_096
-TEMPER = 0.5
+TEMPER = 1.0
 RIDGE = 1e-4
 STEPS = 60
-CUT = 10
 TOLERANCE = 1e-4
 
 #: Target token shares of the registered query.
@@ -122,19 +122,21 @@ def fit_rates(table: DataFrame, targets: dict[str, float], upsample: bool = True
     if not upsample:
         want = want * min(h / w for h, w in zip(have, want) if w > 0)
     step = 1.0 / (float(np.linalg.eigvalsh(gram)[-1]) + ridge)
-    rated, rate, mix = table.withColumn("rate", F.lit(1.0)), F.col("rate"), have
+    pulled = ahead = np.zeros(k)
     for t in range(1, steps + 1):
-        pull = sum((x * F.lit(float(v)) for x, v in zip(p, step * (mix - want))), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate * (1.0 - step * ridge) + step * ridge - pull)
-        if t % CUT == 0:  # a shallow expression over a written table again
-            rated, rate = written(rated.withColumn("rate", rate), "mixing-rates"), F.col("rate")
-        new = np.array(rated.agg(*[F.sum(rate * share * x) for x in p]).first()) / total
-        still = np.abs(new - mix).max() < TOLERANCE * 0.05
-        mix = new
-        if np.abs(mix - want).max() < TOLERANCE or still:
+        rate = projected(p, ahead)
+        mix = np.array(table.agg(*[F.sum(rate * share * x) for x in p]).first()) / total
+        if np.abs(mix - want).max() < TOLERANCE:
             break
-    rate = F.when(F.col("n_tokens") == 0, 1.0).otherwise(rate)
-    return rated.withColumn("rate", rate)
+        before, pulled = pulled, ahead + step * (mix - want - ridge * ahead)
+        forth = float((mix - want) @ (pulled - before)) >= 0  # else the momentum overshot: start it anew
+        ahead = pulled + (t / (t + 3) * (pulled - before) if forth else 0.0)
+    return table.withColumn("rate", F.when(F.col("n_tokens") == 0, 1.0).otherwise(projected(p, ahead)))
+
+
+def projected(p: list[Column], pulled: np.ndarray) -> Column:
+    """The rates after the gradient steps summed in ``pulled``, projected on r >= 0."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((x * F.lit(float(v)) for x, v in zip(p, pulled)), F.lit(0.0)))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], upsample: bool = True) -> DataFrame:
