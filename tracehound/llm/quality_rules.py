@@ -136,8 +136,8 @@ def digest(docs: DataFrame, version: str = DEFAULT_POLICY) -> DataFrame:
 #: DuckDB SQL of the registered query (independent: lists and windows instead of hashes).
 DIGEST_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 pos AS (SELECT doc_id, p, array_to_string(ws[p:p+7], ' ') AS g
         FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 7, 0))) AS p FROM w)),
 hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM pos) WHERE c > 1),

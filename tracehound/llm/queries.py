@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import html_extract, language_id, mixing, quality_classifier, quality_rules, sharding, token_codec
+from . import html_extract, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_codec
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_quality_classifier(spark, sf_dir):
     return quality_classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extract(spark, sf_dir):
     return html_extract.digest(table(spark, sf_dir, "pages"))
 
@@ -36,6 +40,6 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codec, op2_mixing, op3_quality_classifier, op5_html_extract, op7_language_id, op8_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_codec, op2_mixing, op3_quality_classifier, op4_jaccard_join, op5_html_extract, op7_language_id, op8_sharding, op10_quality_rules)}
 
-ORACLE_SQL = {"op10_quality_rules": quality_rules.DIGEST_SQL}
+ORACLE_SQL = {"op4_jaccard_join": jaccard_join.DIGEST_SQL, "op10_quality_rules": quality_rules.DIGEST_SQL}
