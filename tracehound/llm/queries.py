@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import html_extract, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_codec
+from . import decontaminate, html_extract, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_codec
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_html_extract(spark, sf_dir):
     return html_extract.digest(table(spark, sf_dir, "pages"))
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.digest(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codec, op2_mixing, op3_quality_classifier, op4_jaccard_join, op5_html_extract, op7_language_id, op8_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_codec, op2_mixing, op3_quality_classifier, op4_jaccard_join, op5_html_extract, op6_decontaminate, op7_language_id, op8_sharding, op10_quality_rules)}
 
 ORACLE_SQL = {"op4_jaccard_join": jaccard_join.DIGEST_SQL, "op10_quality_rules": quality_rules.DIGEST_SQL}
