@@ -3,24 +3,71 @@ to target weights, sharding.
 
 ``STAGES`` lists ``(name, function)``; each function takes ``(spark, docs, sf_dir)`` and returns
 a DataFrame, written as Parquet in the shared folder and read again as the next one's ``docs``.
+Every stage but the last returns the columns it was given; ``docs`` must be a table read from
+files (rows are numbered by their place in it, twice alike).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracehound.llm import quality_rules
-from tracehound.llm.common import table
+from tracehound.llm import decontaminate, jaccard_join, mixing, quality_rules, sharding
+from tracehound.llm.common import long_ids, table, with_column_names
 from tracehound.session import materialize
 
+#: The mix that the corpus is brought to: no toxic text, no repetition.
+TARGETS = {"clean": 1.0, "toxic": 0.0}
+
+_ROW = "__row"
+
 
 def quality_stage(spark, docs, sf_dir):
-    """Documents that the rule policy rejects go."""
-    verdict = quality_rules.apply_policy(quality_rules.rule_ledger(docs))
-    return docs.join(verdict.where("not kept").select("doc_id"), "doc_id", "left_anti")
+    """Documents that the rule policy rejects go (a null doc_id is judged by its row)."""
+    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
+    ledger = quality_rules.rule_ledger(numbered.withColumn("doc_id", F.col(_ROW)))
+    kept = quality_rules.apply_policy(ledger).where("kept").select(F.col("doc_id").alias(_ROW))
+    return numbered.join(kept, _ROW, "left_semi").drop(_ROW)
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """Of every group of linked documents the one with the smallest doc_id stays; documents
+    without a shingle are in no group and stay."""
+    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
+    rows = jaccard_join.classes(numbered, row_id=_ROW)
+    first = rows.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m"))
+    keep = first.select(F.col("m.rid").alias(_ROW)).union(rows.where("n_shingles = 0").select("rid"))
+    return numbered.join(keep, _ROW, "left_semi").drop(_ROW)
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark, docs, sf_dir):
+    """Documents are taken as often as their fitted rate says."""
+    labels = long_ids(with_column_names(table(spark, sf_dir, "labels"), "doc_id", "toxic"))
+    labelled = labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").alias("domain"))
+    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
+    rates = mixing.mix(numbered, labelled, TARGETS, upsample=False, row_id=_ROW)
+    times = rates.select(F.col("rid").alias(_ROW), mixing.copies(F.col("rate"), F.col("rid")).alias("__copies")).where("__copies > 0")
+    return (numbered.join(times, _ROW).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies"))))
+            .select(*docs.columns))
+
+
+def sharding_stage(spark, docs, sf_dir):
+    """Every remaining row gets its shard and slot."""
+    return sharding.digest(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
 #: Classifier posteriors, iterative fitting and label propagation are beyond SQL; the stages
 #: are tested against brute-force versions in tests/llm.

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIN_SIMILARITY_PCT, long_ids, mix, shingle_set, with_column_names, written
+from .common import MIN_SIMILARITY_PCT, mix, shingle_set, written
 from .components import connected, numbered
 
 PAGE_ROWS = 11  # a page is 2**11 consecutive rows of a partition
@@ -259,12 +259,15 @@ def _verify(nodes: DataFrame, placed: DataFrame, off_diagonal: bool) -> DataFram
     return rows.groupBy("cluster", "block", "block2").applyInPandas(_verify_group, "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     """``rid, doc_id, n_shingles, class_id, component_id`` of every row: ``class_id`` is the
-    smallest doc_id with the same set, ``component_id`` the smallest one reachable by links."""
+    smallest doc_id with the same set, ``component_id`` the smallest one reachable by links.
+    ``row_id`` names a column of ``docs`` with a distinct long for each row, which comes back
+    as ``rid``; without it rows are numbered here."""
     spark = docs.sparkSession
-    d = long_ids(with_column_names(docs, "doc_id", "text"))
-    d = written(d.withColumn("rid", F.monotonically_increasing_id()), "jaccard-docs").withColumn("page", F.shiftright("rid", PAGE_ROWS))
+    rid = F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rid.alias("rid"), F.monotonically_increasing_id().alias("at"))
+    d = written(d, "jaccard-docs").withColumn("page", F.shiftright("at", PAGE_ROWS))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(24, max(4, (2 * parts - 1).bit_length()))  # buckets: two to four to a shuffle partition
     asked = d.select("page", "text").mapInArrow(_requests(bits), "page long, bucket int, vals binary, many binary, times binary")

@@ -47,7 +47,8 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 def _marked(docs: DataFrame) -> DataFrame:
     """``rid, doc_id, n_tokens, feature hashes`` of every whole text."""
     text = F.coalesce("text", F.lit(""))
-    d = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"))
+    rid = F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id()
+    d = docs.select(rid.alias("rid"), "doc_id", text.alias("text"))
     d = d.withColumn("words", F.array_remove(F.split(F.lower("text"), SPACE_RE), ""))
     n, chars = F.size("words"), F.greatest(F.length("text"), F.lit(1))
     d = d.withColumn("kinds", F.array_distinct("words"))
@@ -139,9 +140,12 @@ def projected(p: list[Column], pulled: np.ndarray) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - sum((x * F.lit(float(v)) for x, v in zip(p, pulled)), F.lit(0.0)))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], upsample: bool = True) -> DataFrame:
-    """``rid, doc_id, n_tokens, p_<domain>.., rate`` for every row of ``docs``."""
-    d = long_ids(with_column_names(docs, "doc_id", "text"))
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], upsample: bool = True,
+        row_id: str | None = None) -> DataFrame:
+    """``rid, doc_id, n_tokens, p_<domain>.., rate`` for every row of ``docs``; ``rid`` is the
+    column ``row_id`` (a distinct long for each row), or a number given here."""
+    rid = F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rid.alias("rid"))
     domains = list(targets)
     model = learn(d, labelled, domains)
     if model is None:
