@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, html_extract, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_codec
+from . import decontaminate, html_extract, jaccard_join, language_id, mixing, ngram_lm, quality_classifier, quality_rules, sharding, token_codec
 from .common import table
 
 
@@ -40,10 +40,14 @@ def op8_sharding(spark, sf_dir):
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_lm(spark, sf_dir):
+    return ngram_lm.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codec, op2_mixing, op3_quality_classifier, op4_jaccard_join, op5_html_extract, op6_decontaminate, op7_language_id, op8_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_codec, op2_mixing, op3_quality_classifier, op4_jaccard_join, op5_html_extract, op6_decontaminate, op7_language_id, op8_sharding, op9_ngram_lm, op10_quality_rules)}
 
 ORACLE_SQL = {"op4_jaccard_join": jaccard_join.DIGEST_SQL, "op10_quality_rules": quality_rules.DIGEST_SQL}
