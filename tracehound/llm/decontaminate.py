@@ -120,8 +120,10 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         own = (table.where(F.col("gram") == gram).select("len", F.posexplode("shingles").alias("at", "h"))
                .groupBy("h", "at", "len").agg(F.count(F.lit(1)).alias("c")).drop("c"))
         own = written(own, "bench-shingles")
+        # "outer": else the optimiser makes every list once more, in a filter under the scan
         hits = (d.select("doc_id", "text_hash", _hashed_words("text").alias("words"))
-                .select("doc_id", "text_hash", F.size("words").alias("n"), F.posexplode(_shingles(F.col("words"), gram)).alias("pos", "h"))
+                .select("doc_id", "text_hash", F.size("words").alias("n"), _shingles(F.col("words"), gram).alias("grams"))
+                .select("doc_id", "text_hash", "n", F.posexplode_outer("grams").alias("pos", "h"))
                 .join(_small(own, own.count()), "h")
                 .select("doc_id", "text_hash", "len", F.lit(gram).alias("gram"),
                         F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("len"))).alias("start")))
