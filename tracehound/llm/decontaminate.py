@@ -121,24 +121,24 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                .groupBy("h", "at", "len").agg(F.count(F.lit(1)).alias("c")).drop("c"))
         own = written(own, "bench-shingles")
         # "outer": else the optimiser makes every list once more, in a filter under the scan
-        hits = (d.select("doc_id", "text_hash", _hashed_words("text").alias("words"))
-                .select("doc_id", "text_hash", F.size("words").alias("n"), _shingles(F.col("words"), gram).alias("grams"))
-                .select("doc_id", "text_hash", "n", F.posexplode_outer("grams").alias("pos", "h"))
+        hits = (d.select("text_hash", _hashed_words("text").alias("words"))
+                .select("text_hash", F.size("words").alias("n"), _shingles(F.col("words"), gram).alias("grams"))
+                .select("text_hash", "n", F.posexplode_outer("grams").alias("pos", "h"))
                 .join(_small(own, own.count()), "h")
-                .select("doc_id", "text_hash", "len", F.lit(gram).alias("gram"),
+                .select("text_hash", "len", F.lit(gram).alias("gram"),
                         F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("len"))).alias("start")))
         windows = hits if windows is None else windows.unionByName(hits)
     if windows is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, distance int, similarity double")
     windows = written(windows.distinct(), "bench-windows")
 
-    # the windows' words: only documents with a seed are read in full again
-    slots = windows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "len", "gram")).alias("slots"))
-    seeded = d.join(slots, ["doc_id", "text_hash"])
-    cut = (seeded.select("doc_id", "text_hash", _hashed_words("text").alias("all_words"), "slots")
-           .select("doc_id", "all_words", F.explode("slots").alias("s"))
-           .select("doc_id", F.col("s.start").alias("start"), F.col("s.len").alias("len"), F.col("s.gram").alias("gram"),
-                   F.slice("all_words", F.col("s.start") + 1, F.col("s.len")).alias("words")))
+    # the windows' words: only texts with a seed are read in full again, equal texts' windows count once
+    slots = windows.groupBy("text_hash").agg(F.collect_list(F.struct("start", "len", "gram")).alias("slots"))
+    cut = (d.join(slots, "text_hash").select("text_hash", _hashed_words("text").alias("all_words"), "slots")
+           .select("text_hash", "all_words", F.explode_outer("slots").alias("s"))
+           .select("text_hash", F.col("s.start").alias("start"), F.col("s.len").alias("len"), F.col("s.gram").alias("gram"),
+                   F.slice("all_words", F.col("s.start") + 1, F.col("s.len")).alias("words"))
+           .groupBy("text_hash", "start", "len", "gram").agg(F.first("words").alias("words")))
     prints = written(cut.withColumn("fingerprint", simhash(F.col("words"))).withColumn("window", F.monotonically_increasing_id()),
                      "bench-prints")
     keys = F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("fingerprint"), k).alias("value")) for k in range(BLOCKS)])
@@ -155,11 +155,12 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         shingles = F.when(F.col("gram") == gram, _shingles(F.col("words"), gram)).otherwise(shingles)
     told = told.withColumn("shingles", shingles)
     least, most = weighted_similarity(F.col("shingles"), F.col("item_shingles"))
-    told = (told.select("doc_id", "item_id", "start", "len", "distance", least.alias("least"), most.alias("most"))
+    told = (told.select("text_hash", "item_id", "start", "len", "distance", least.alias("least"), most.alias("most"))
             .where(100 * F.col("least") >= MIN_SIMILARITY_PCT * F.col("most"))
             .withColumn("similarity", F.col("least") / F.col("most")))
     best = F.max_by(F.struct("start", "len", "distance", "similarity"), F.struct("similarity", -F.col("distance"), -F.col("start")))
-    return (told.groupBy("doc_id", "item_id").agg(best.alias("b"))
+    told = written(told.groupBy("text_hash", "item_id").agg(best.alias("b")), "bench-matches").select("text_hash", "item_id", "b.*")
+    return (d.select("doc_id", "text_hash").join(told, "text_hash").groupBy("doc_id", "item_id").agg(best.alias("b"))
             .select("doc_id", "item_id", F.col("b.start").alias("start_word"), F.col("b.len").alias("n_words"),
                     F.col("b.distance").cast("int").alias("distance"), F.col("b.similarity").alias("similarity")))
 
