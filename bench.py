@@ -11,6 +11,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,6 +28,10 @@ HEADLINE = [
     "zero_row_days",      # X5
     "hop_volume",         # X6
     "signals_union",      # X7
+    "chain_edges",        # W7
+    "report_text",        # full investigation with containment, as text
+    "writeback_proof",    # C7
+    "lineage_dot",        # drawings
 ]
 
 
@@ -38,6 +43,7 @@ def main() -> None:
     from tracehound.session import build_session
     spark = build_session(f"local[{cpus}]", int(cpus), app_name="tracehound-bench",
                           extra={"spark.ui.showConsoleProgress": "false",
+                                 "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tracehound-bench-"),
                                  "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     spark.sparkContext.setLogLevel("ERROR")
     # untimed warm-up (JVM, JIT, codegen caches): a small walk over the events table

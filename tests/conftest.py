@@ -12,9 +12,12 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from tracehound.session import build_session
     s = build_session("local[4]", 4, app_name="tracehound-tests",
-                      extra={"spark.ui.showConsoleProgress": "false"})
+                      extra={"spark.ui.showConsoleProgress": "false",
+                             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tracehound-tests-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -21,7 +21,7 @@ def test_entry_smoke(spark):
 def test_registry_consistent():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
-    assert len(q) >= 38 and len(s) >= 37
+    assert len(q) >= 39 and len(s) >= 39
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,7 @@ def _rows(pdf):
 FAST = ["walk_upstream", "walk_cyclic", "chain_edges", "urn_parse", "owner_label", "props_label", "props_map",
         "symptom_class", "signals", "volume_anomaly", "null_rate", "schema_diff", "freshness", "zero_row_days",
         "hop_volume", "signals_union", "search_entities", "evidence_block", "rank_suspects", "blast_radius",
-        "walk_per_node_cap", "report_parse", "investigate", "report_text", "tags_add", "lineage_dot"]
+        "walk_per_node_cap", "report_parse", "investigate", "report_text", "tags_verify", "writeback_proof", "lineage_dot", "blast_nodes", "report_json"]
 
 
 @pytest.mark.parametrize("name", FAST)

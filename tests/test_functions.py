@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracehound.functions import evidence as EV
 from tracehound.functions import text as TX
 from tracehound.functions.urn import tag_short, urn_name, urn_platform, urn_tail
-from tracehound.sources.catalog import decode_entities, decode_lineage, entity_tags_from_entities
+from tracehound.sources.catalog import decode_entities, decode_lineage, entity_tags_from_entities, malformed_answers
 
 F5 = [
     ("urn:li:dataset:(urn:li:dataPlatform:bigquery,prod.raw.orders,PROD)", "prod.raw.orders", "bigquery"),
@@ -84,6 +84,7 @@ def test_decode_lineage_direction_and_empty_urns(spark):
                                            {"entity": {"urn": "b", "name": "B"}}]},
            "downstreams": {"searchResults": [{"entity": {"urn": "z"}}]}}
     df = spark.createDataFrame([("s", json.dumps(ans)), ("t", "garbage")], "start_urn string, text string")
+    assert [r.start_urn for r in malformed_answers(df).collect()] == ["t"]  # told apart from "no lineage"
     up = decode_lineage(df, upstream=True).collect()
     assert sorted(r.urn for r in up) == ["a", "b"]
     down = decode_lineage(df, upstream=False).collect()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fixtures import EXPECTED_SUSPECTS, ds, f1_catalog, f1_expected
 from tracehound import schemas
 from tracehound.operators import containment as C
+from tracehound.operators.enrich import evidence_lines
 from tracehound.operators.evaluate import clean_slate, scenario_results, scenario_score, writeback_check
 from tracehound.operators.signals import text_signals
 from tracehound.plans.investigate import investigate
@@ -16,7 +17,7 @@ from tracehound.sources.catalog import Catalog
 @pytest.fixture(scope="module")
 def parity(spark):
     cat = f1_catalog(spark)
-    return cat, investigate(cat, text_only_high=True, act=True, act_on_text=True)
+    return cat, investigate(cat, text_only_high=True, act=True, act_on_text=True, store=C.TagStore.fresh(spark))
 
 
 def test_suspects_order_and_confidence(parity):
@@ -43,35 +44,43 @@ def test_evidence_counts_and_scenario_score(spark, parity):
 def test_blast_radius_and_tags(parity):
     _, inv = parity
     a = inv.reports.where("incident_id = 'A'").first()
-    assert a.action.applied and a.action.urn == ds("bigquery", "prod.raw.orders")
+    assert a.action.applied and a.action.urn == ds("bigquery", "lake.intake.parcel_scans")
     br = a.blast_radius
     assert (br.impacted_count, br.tagged) == (3, 3)
-    assert br.dashboards == ["bi.revenue_overview"]
-    assert br.assets == ["analytics.marts.fct_revenue", "analytics.staging.stg_orders"]
+    assert (br.n_dashboards, br.n_assets) == (1, 2)
+    nodes = inv.containment["nodes"].where(F.col("root_urn") == a.action.urn).collect()
+    assert sorted((r.label, r.is_dashboard) for r in nodes) == [
+        ("bi.depot_board", True), ("wh.agg.daily_parcels", False), ("wh.clean.scans", False)]
 
 
 def test_reports_render(spark, parity):
     cat, inv = parity
     txt = {r.incident_id: r.report_text for r in report_text(inv.reports).collect()}
-    assert "1. [!!!] [HIGH] prod.raw.orders   -> contact: alice@data-eng" in txt["A"]
-    assert "BLAST RADIUS - 3 downstream assets contaminated (3 tagged IMPACTED)" in txt["A"]
-    assert "Traced   : 3 upstream entities" in txt["C"]
+    assert "suspect 1: lake.intake.parcel_scans [!!!] confidence high; ask uma@intake" in txt["A"]
+    assert "reach: 3 below it, of them dashboards 1, others 2, tagged 3" in txt["A"]
+    assert "nodes read, itself included: 3" in txt["C"]
     js = {r.incident_id: r.report_json for r in report_json(inv.reports).collect()}
-    assert '"evidence_nodes":4' in js["A"]
-    dot = {r.incident_id: r.lineage_dot for r in lineage_dot(inv.evidence, inv.reports, cat.edges,
-                                                              inv.containment["nodes"]).collect()}
-    assert "QUARANTINE" in dot["A"] and "symptom" in dot["A"] and dot["A"].startswith("digraph")
-    assert dot["A"].count("->") == 3
+    assert '"evidence_nodes":4' in js["A"] and '"missing_evidence":null' in js["A"]
+    dot = drawing(lineage_dot(inv.evidence, inv.reports, cat.edges, inv.containment["nodes"]), "A")
+    assert "[quarantined]" in dot and "[symptom]" in dot and dot.startswith("digraph") and dot.endswith("}")
+    assert dot.count("->") == 3
+
+
+def drawing(lines, incident):
+    rows = lines.where(F.col("incident_id") == incident).orderBy("part", "line").collect()
+    return "\n".join(r.line for r in rows)
 
 
 def test_default_gate_needs_data_signal(spark):
     cat = f1_catalog(spark)
-    inv = investigate(cat, act=True)
+    with pytest.raises(ValueError):
+        investigate(cat, act=True)  # tags need a store to go to
+    inv = investigate(cat, act=True, store=C.TagStore.fresh(spark))
     assert inv.reports.where(F.col("action").isNotNull()).count() == 0
     # a data signal on the root turns it into an action
-    sig = spark.createDataFrame([(ds("bigquery", "prod.raw.orders"), None, "volume", 0.6, 0.6, "data", "rows fell")],
+    sig = spark.createDataFrame([(ds("bigquery", "lake.intake.parcel_scans"), None, "volume", 0.6, 0.6, "data", "rows fell")],
                                 schemas.SIGNALS)
-    inv2 = investigate(cat.with_(signals=sig), act=True)
+    inv2 = investigate(cat.with_(signals=sig), act=True, store=C.TagStore.fresh(spark))
     acted = inv2.reports.where(F.col("action").isNotNull()).collect()
     assert [r.incident_id for r in acted] == ["A"]
     top = inv2.suspects.where("incident_id = 'A' and rank = 1").first()
@@ -82,8 +91,8 @@ def test_writeback_idempotent_and_rejects_unknown(spark):
     cat = f1_catalog(spark)
     store = C.TagStore.fresh(spark)
     store.ensure_vocabulary()
-    chain = spark.createDataFrame([(u,) for u in [ds("bigquery", "prod.raw.orders"),
-                                                  ds("dbt", "analytics.staging.stg_orders")]], "urn string")
+    chain = spark.createDataFrame([(u,) for u in [ds("bigquery", "lake.intake.parcel_scans"),
+                                                  ds("dbt", "wh.clean.scans")]], "urn string")
     assert clean_slate(store.entity_tags(), chain).first().clean
     investigate(cat, act=True, act_on_text=True, text_only_high=True, store=store)
     after = C.TagStore(spark, store.root).entity_tags()
@@ -93,8 +102,8 @@ def test_writeback_idempotent_and_rejects_unknown(spark):
     assert C.TagStore(spark, store.root).entity_tags().count() == n1  # acting twice changes nothing
     applied, rejected = store.add_tags(spark.createDataFrame([("x", "urn:li:tag:NOPE")], schemas.ENTITY_TAGS))
     assert applied.count() == 0 and rejected.count() == 1
-    down = spark.createDataFrame([(ds("dbt", "analytics.staging.stg_orders"),)], "urn string")
-    wb = writeback_check(C.TagStore(spark, store.root).entity_tags(), ds("bigquery", "prod.raw.orders"), down, True).first()
+    down = spark.createDataFrame([(ds("dbt", "wh.clean.scans"),)], "urn string")
+    wb = writeback_check(C.TagStore(spark, store.root).entity_tags(), ds("bigquery", "lake.intake.parcel_scans"), down, True).first()
     assert wb.root_quarantined and wb.downstream_tagged == 1 and wb["pass"]
     removed = store.remove_tags(store.entity_tags().where(F.col("tag_urn") == C.QUARANTINE_TAG))
     assert removed.where(F.col("tag_urn") == C.QUARANTINE_TAG).count() == 0
@@ -149,18 +158,50 @@ def test_guard_drops_suspects_outside_evidence(spark):
     inv = investigate(cat, text_only_high=True)
     json_answer = '{"summary": "s", "suspects": [{"urn": "%s", "confidence": "high"}, ' \
         '{"urn": "urn:li:dataset:(urn:li:dataPlatform:x,made.up,PROD)", "confidence": "high"}]}' % \
-        ds("bigquery", "prod.raw.orders")
+        ds("bigquery", "lake.intake.parcel_scans")
     parsed = spark.createDataFrame([("A", json_answer)], "incident_id string, text string").select(
         "incident_id", F.posexplode(parse_answer("text")["suspects"]).alias("pos", "s")).select(
         "incident_id", F.col("s")["urn"].alias("urn"))
     kept = [r.urn for r in guard_suspects(parsed, inv.evidence).collect()]
-    assert kept == [ds("bigquery", "prod.raw.orders")]
+    assert kept == [ds("bigquery", "lake.intake.parcel_scans")]
 
 
 def test_dot_marks_unverified_root_as_suspect(spark):
     cat = f1_catalog(spark)
     inv = investigate(cat, text_only_high=True)  # no action taken
-    dot = {r.incident_id: r.lineage_dot for r in lineage_dot(inv.evidence, inv.reports, cat.edges).collect()}
-    assert "QUARANTINE" not in dot["A"]
-    line = [l for l in dot["A"].splitlines() if "prod.raw.orders" in l and "label" in l][0]
-    assert "\\nsuspect" in line
+    dot = drawing(lineage_dot(inv.evidence, inv.reports, cat.edges), "A")
+    assert "[quarantined]" not in dot
+    line = [x for x in dot.splitlines() if "lake.intake.parcel_scans" in x and "label" in x][0]
+    assert "[suspect]" in line
+
+
+def test_tagstore_keeps_a_write_that_came_in_between(spark):
+    store = C.TagStore.fresh(spark)
+    store.ensure_vocabulary()
+    other = spark.createDataFrame([("theirs", C.IMPACT_TAG)], schemas.ENTITY_TAGS)
+    calls = []
+
+    def change(t):
+        if not calls:  # another writer commits after our base was read
+            calls.append(1)
+            store.seed(other)
+        return t.unionByName(spark.createDataFrame([("ours", C.IMPACT_TAG)], schemas.ENTITY_TAGS))
+
+    store._update("entity_tags", schemas.ENTITY_TAGS, change)
+    assert sorted(r.entity_urn for r in store.entity_tags().collect()) == ["ours", "theirs"]
+
+
+def test_nothing_is_cut_by_default(spark):
+    """A root with 300 assets below it in a chain of 8 hops, and a symptom with as long an upstream."""
+    urn = lambda k: ds("dbt", f"n{k}")
+    pairs = [(urn(k), urn(k + 1)) for k in range(8)] + [(urn(8), urn(100 + k)) for k in range(300)]
+    ents = spark.createDataFrame([(urn(k), f"n{k}", "dbt", "", [], [f"c{i}" for i in range(30)],
+                                   {"last_run_note": "fewer rows"} if k == 0 else {}) for k in [*range(9), *range(100, 400)]], schemas.ENTITIES)
+    inc = spark.createDataFrame([("M", "a drop", urn(150))], schemas.INCIDENTS)
+    cat = Catalog(edges=spark.createDataFrame(pairs, schemas.EDGES), entities=ents, incidents=inc)
+    inv = investigate(cat, act=True, act_on_text=True, text_only_high=True, store=C.TagStore.fresh(spark))
+    r = inv.reports.first()
+    assert r.evidence_nodes == 10 and r.suspects[0].urn == urn(0)
+    assert (r.blast_radius.impacted_count, r.blast_radius.tagged) == (308, 308)
+    line = evidence_lines(inv.evidence).where("hop = 9").first().line
+    assert "c29" in line  # all columns, not the first twenty

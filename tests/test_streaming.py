@@ -23,4 +23,4 @@ def test_intake_stream(spark):
     reps = {r.incident_id: json.loads(r.report_json) for r in read_reports(spark, out_dir).collect()}
     assert sorted(reps) == ["A", "B", "C"]  # each incident exactly once over two runs
     assert reps["C"]["evidence_nodes"] == 3
-    assert reps["A"]["suspects"][0]["name"] == "prod.raw.orders"
+    assert reps["A"]["suspects"][0]["name"] == "lake.intake.parcel_scans"

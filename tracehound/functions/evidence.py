@@ -123,13 +123,14 @@ def node_summary(hop="hop", name="name", urn="urn", platform="platform", owners=
     return F.concat(head, F.when(p != "", F.concat(F.lit("\n    properties: "), p)).otherwise(F.lit("")))
 
 
-def evidence_item(hop="hop", max_columns: int = 20) -> Column:
-    """P15 (one node): '- summary', urn, description, first ``max_columns`` columns."""
+def evidence_item(hop="hop", max_columns: int | None = None) -> Column:
+    """P15 (one node): '- summary', urn, description, columns (W6: the first ``max_columns``
+    if that is given, else all)."""
     fields = F.coalesce(F.col("schema_fields"), F.array())
     desc = _blank_to_null(F.col("description"))
     return F.concat(
         F.lit("- "), node_summary(hop=hop), F.lit("\n    urn: "), F.col("urn"),
         F.when(desc.isNotNull(), F.concat(F.lit("\n    description: "), desc)).otherwise(F.lit("")),
         F.when(F.size(fields) > 0, F.concat(F.lit("\n    columns: "),
-                                             F.array_join(F.slice(fields, 1, max_columns), ", ")))
+                                             F.array_join(fields if max_columns is None else F.slice(fields, 1, max_columns), ", ")))
         .otherwise(F.lit("")))

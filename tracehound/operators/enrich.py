@@ -36,15 +36,10 @@ def with_labels(ev: DataFrame, hop: str = "hop") -> DataFrame:
                      evidence_item(hop=hop).alias("evidence_item"))
 
 
-def evidence_block(ev: DataFrame, key: str = "incident_id", hop: str = "hop") -> DataFrame:
-    """One text per key: the evidence items in (hop, urn) order, newline-joined.
-
-    Items are collected per key, so the node set must be bounded (a capped walk, W1)."""
-    items = ev.select(key, F.struct(F.col(hop).alias("h"), F.col("urn").alias("u"),
-                                    evidence_item(hop=hop).alias("t")).alias("it"))
-    return (items.groupBy(key).agg(F.array_sort(F.collect_list("it")).alias("its"))
-            .select(key, F.array_join(F.transform("its", lambda x: x["t"]), "\n").alias("evidence_block"),
-                    F.size("its").alias("evidence_nodes")))
+def evidence_lines(ev: DataFrame, key: str = "incident_id", hop: str = "hop", max_columns: int | None = None) -> DataFrame:
+    """The evidence of each key as rows ``(key, hop, urn, line)``; sorted by hop and URN they
+    are its text. Rows, not one text per key, so that a key may reach any number of nodes."""
+    return ev.select(key, hop, "urn", evidence_item(hop=hop, max_columns=max_columns).alias("line"))
 
 
 def evidence_count(nodes: DataFrame, key: str = "incident_id") -> DataFrame:

@@ -155,14 +155,15 @@ def _union_all(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def walk_upstream(starts: DataFrame, edges: DataFrame, max_hops: int = 3, max_nodes: int | None = 40,
+def walk_upstream(starts: DataFrame, edges: DataFrame, max_hops: int | None = None, max_nodes: int | None = None,
                   key: str = "incident_id", edges_distinct: bool = False) -> DataFrame:
-    """G2 (walk part): upstream evidence nodes, the start included at hop 0."""
+    """G2 (walk part): upstream evidence nodes, the start included at hop 0; all of them
+    unless a bound is given."""
     return walk(starts, edges, upstream=True, max_hops=max_hops, max_nodes=max_nodes, key=key,
                 edges_distinct=edges_distinct)
 
 
-def walk_downstream(starts: DataFrame, edges: DataFrame, max_hops: int = 5, max_nodes: int | None = 60,
+def walk_downstream(starts: DataFrame, edges: DataFrame, max_hops: int | None = None, max_nodes: int | None = None,
                     key: str = "incident_id", include_root: bool = False,
                     edges_distinct: bool = False) -> DataFrame:
     """G3 (walk part): downstream nodes; the root is counted in the cap but excluded (F2)."""

@@ -43,9 +43,13 @@ def evidence_signals(cat: Catalog, nodes: DataFrame) -> DataFrame:
     return sig
 
 
-def investigate(cat: Catalog, *, max_hops: int = 3, max_nodes: int = 40, top: int = 3,
+def investigate(cat: Catalog, *, max_hops: int | None = None, max_nodes: int | None = None, top: int = 3,
                 act: bool = False, store: TagStore | None = None, text_only_high: bool = False,
                 act_on_text: bool = False, key: str = "incident_id") -> Investigation:
+    """Reads the whole upstream of every incident unless a bound is given. ``act`` writes tags and
+    needs the ``store`` that they go to."""
+    if act and store is None:
+        raise ValueError("acting writes tags: pass the store that they go to")
     inc = cat.incidents.select(key, "symptom", "affected_urn")
     starts = inc.select(key, F.col("affected_urn").alias("urn"))
     nodes = walk_upstream(starts, cat.edges, max_hops=max_hops, max_nodes=max_nodes, key=key,
@@ -76,7 +80,6 @@ def investigate(cat: Catalog, *, max_hops: int = 3, max_nodes: int = 40, top: in
                      F.coalesce(F.col("evidence_nodes"), F.lit(0)).alias("evidence_nodes"))
     containment = None
     if act:
-        store = store or TagStore.fresh(ev.sparkSession)
         gated = act_gate(sus, key, act_on_text=act_on_text)
         containment = contain(store, gated, cat.edges, cat.entities, key=key,
                               edges_distinct=cat.edges_distinct)
@@ -85,6 +88,6 @@ def investigate(cat: Catalog, *, max_hops: int = 3, max_nodes: int = 40, top: in
     else:
         rep = rep.select("*", F.lit(None).cast(
             "struct<urn:string,tag:string,applied:boolean,note:string,downstream_warned:boolean>").alias("action"),
-            F.lit(None).cast("struct<impacted_count:bigint,tagged:bigint,assets:array<string>,"
-                             "dashboards:array<string>>").alias("blast_radius"))
+            F.lit(None).cast("struct<impacted_count:bigint,tagged:bigint,n_assets:bigint,"
+                             "n_dashboards:bigint>").alias("blast_radius"))
     return Investigation(evidence=ev, suspects=sus, reports=rep, containment=containment)

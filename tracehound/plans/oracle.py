@@ -9,7 +9,6 @@ both sides use the same constants.
 from __future__ import annotations
 
 from ..operators import containment as C
-from ..operators.ranking import CHECK_NEXT  # noqa: F401  (documents the shared constants)
 from ..functions import text as TX
 from ..operators import ranking as R
 from ..operators.signals import TEXT_RULES
@@ -36,7 +35,7 @@ def _note(key_sql: str) -> str:
 
 
 def _fields(table: str) -> str:
-    return _s(", ".join(FK.SCHEMA_FIELDS[table][:20]))
+    return _s(", ".join(FK.SCHEMA_FIELDS[table]))
 
 
 def _ncols(table: str) -> int:
@@ -158,8 +157,8 @@ def _fits(sym_sql: str) -> str:
 
 RANKED = [
     FK_EDGES, FK_INCIDENTS, FK_ENTITIES, FRESH,
-    _walk("w", INC_STARTS, True, Q.UP_HOPS),
-    _nodes("w", "ev", Q.UP_CAP),
+    _walk("w", INC_STARTS, True, None),
+    _nodes("w", "ev"),
     TEXT_SIGNALS, DATA_SIGNALS,
     "sig AS (SELECT DISTINCT urn, class, source, detail FROM (SELECT * FROM tsig UNION ALL SELECT * FROM dsig) u)",
     f"""hits AS (SELECT ev.incident_id, ev.urn, s.class, s.source, s.detail,
@@ -175,7 +174,7 @@ RANKED = [
         JOIN ev a ON a.urn = e.downstream JOIN ev b ON b.incident_id = a.incident_id AND b.urn = e.upstream)""",
     f"""d(incident_id, urn, dist) AS (SELECT incident_id, urn, 0 FROM scored WHERE score > 0
         UNION SELECT d.incident_id, i.downstream, d.dist + 1 FROM d JOIN inner_e i
-        ON i.incident_id = d.incident_id AND i.upstream = d.urn WHERE d.dist < {Q.UP_CAP})""",
+        ON i.incident_id = d.incident_id AND i.upstream = d.urn WHERE d.dist < 40)""",
     "dmin AS (SELECT incident_id, urn, min(dist) AS dist FROM d GROUP BY incident_id, urn)",
     """ranked AS (SELECT * FROM (SELECT s.*, dm.dist, row_number() OVER (PARTITION BY s.incident_id
         ORDER BY s.score DESC, dm.dist ASC NULLS LAST, s.hop DESC, s.urn) AS rank
@@ -189,35 +188,40 @@ RANKED = [
 
 CONTAINED = RANKED + [
     "roots AS (SELECT DISTINCT urn AS root_urn FROM gated)",
-    _walk("bw", "SELECT root_urn AS incident_id, root_urn AS urn FROM roots", False, Q.DOWN_HOPS),
-    _nodes("bw", "bnodes_all", Q.DOWN_CAP),
+    _walk("bw", "SELECT root_urn AS incident_id, root_urn AS urn FROM roots", False, None),
+    _nodes("bw", "bnodes_all"),
     "bnodes AS (SELECT incident_id AS root_urn, urn, hop FROM bnodes_all WHERE hop > 0)",
     f"""requested AS (SELECT DISTINCT root_urn AS entity_urn, {_s(C.QUARANTINE_TAG)} AS tag_urn FROM roots
         UNION SELECT DISTINCT urn, {_s(C.IMPACT_TAG)} FROM bnodes)""",
 ]
 
 
-def _blast_sql() -> str:
+def _blast_sql(names: bool = False) -> str:
     starts = (f"SELECT {U('nation', 'n_nationkey')} AS incident_id, {U('nation', 'n_nationkey')} AS urn FROM nation "
               f"UNION ALL SELECT {U('supplier', 's_suppkey')}, {U('supplier', 's_suppkey')} FROM supplier")
     dash = " OR ".join(f"COALESCE(strpos(platform, {_s(m)}) > 0, false)" for m in C.DASHBOARD_MARKERS)
-    return _with(FK_EDGES, FK_ENTITIES, _walk("bw", starts, False, Q.DOWN_HOPS), _nodes("bw", "bn", Q.DOWN_CAP)) + f"""
+    return _with(FK_EDGES, FK_ENTITIES, _walk("bw", starts, False, None), _nodes("bw", "bn")) + (f"""
 SELECT bn.incident_id AS root_urn, CAST(count(*) AS BIGINT) AS impacted_count,
-  COALESCE(string_agg(COALESCE(NULLIF(e.name, ''), bn.urn), ', ' ORDER BY COALESCE(NULLIF(e.name, ''), bn.urn))
-           FILTER (WHERE ({dash})), '') AS dashboards,
-  COALESCE(string_agg(COALESCE(NULLIF(e.name, ''), bn.urn), ', ' ORDER BY COALESCE(NULLIF(e.name, ''), bn.urn))
-           FILTER (WHERE NOT ({dash})), '') AS assets
-FROM bn LEFT JOIN fk_entities e ON e.urn = bn.urn WHERE bn.hop > 0 GROUP BY bn.incident_id"""
+  CAST(count(*) FILTER (WHERE ({dash})) AS BIGINT) AS n_dashboards, CAST(count(*) FILTER (WHERE NOT ({dash})) AS BIGINT) AS n_assets
+FROM bn LEFT JOIN fk_entities e ON e.urn = bn.urn WHERE bn.hop > 0 GROUP BY bn.incident_id""" if not names else f"""
+SELECT bn.incident_id AS root_urn, bn.urn, CAST(bn.hop AS BIGINT) AS hop, COALESCE(NULLIF(e.name, ''), bn.urn) AS label,
+  ({dash}) AS is_dashboard FROM bn LEFT JOIN fk_entities e ON e.urn = bn.urn WHERE bn.hop > 0""")
 
 
-EV40 = [FK_EDGES, FK_INCIDENTS, FK_ENTITIES, _walk("w", INC_STARTS, True, Q.UP_HOPS), _nodes("w", "ev", Q.UP_CAP)]
+EVIDENCE = [FK_EDGES, FK_INCIDENTS, FK_ENTITIES, _walk("w", INC_STARTS, True, None), _nodes("w", "ev")]
 
 _URN_NAME = ("CASE WHEN len(string_split(rtrim(string_split(urn, '(')[-1], ')'), ',')) >= 2 "
              "THEN trim(string_split(rtrim(string_split(urn, '(')[-1], ')'), ',')[-2]) ELSE urn END")
 
 _EVENT_URN = "('urn:li:dataset:(urn:li:dataPlatform:kafka,events.' || {} || ',PROD)')"
 
-VOLUME = f"""vd AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n_rows FROM events GROUP BY ALL),
+FAULTY = """faulty AS (SELECT event_id, ts, user_id, event_type,
+  CASE WHEN day(ts) = 10 AND event_id % 11 = 0 THEN NULL ELSE value END AS value,
+  CASE WHEN day(ts) BETWEEN 12 AND 15 THEN '{"src": 1, ' || substr(props, 2) ELSE props END AS props
+  FROM events WHERE day(ts) <> 20 OR event_id % 4 = 0)"""
+
+VOLUME = f"""{FAULTY},
+vd AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n_rows FROM faulty GROUP BY ALL),
 va AS (SELECT *, avg(n_rows) OVER (PARTITION BY event_type ORDER BY (day - DATE '1970-01-01')
         RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING) AS prior_avg FROM vd),
 vol AS (SELECT *, n_rows / prior_avg AS ratio, COALESCE(n_rows / prior_avg < {Q.DROP_RATIO}, false) AS flagged FROM va)"""
@@ -253,7 +257,7 @@ def _sql() -> dict[str, str]:
                 f"{_EVENT_URN.format('next_type')} AS downstream FROM (SELECT event_type, lead(event_type) OVER "
                 f"(PARTITION BY user_id ORDER BY ts, event_id) AS next_type FROM events) t WHERE next_type IS NOT NULL)")
     ev_starts = f"SELECT DISTINCT event_type AS incident_id, {_EVENT_URN.format('event_type')} AS urn FROM events"
-    s["walk_cyclic"] = _with(ev_edges, _walk("w", ev_starts, False, Q.CYCLE_HOPS, "ev_edges")) + \
+    s["walk_cyclic"] = _with(ev_edges, _walk("w", ev_starts, False, 0, "ev_edges").replace("w.hop < 0", "w.hop < (SELECT count(DISTINCT event_type) FROM events)")) + \
         "SELECT incident_id, urn, CAST(min(hop) AS BIGINT) AS hop FROM w GROUP BY incident_id, urn"
     s["walk_edges"] = _with(FK_EDGES, FK_INCIDENTS, _walk("w", INC_STARTS, True, Q.UP_HOPS), _nodes("w", "n")) + f"""
 SELECT DISTINCT n.incident_id, e.upstream, e.downstream FROM n JOIN fk_edges e ON e.downstream = n.urn
@@ -261,14 +265,13 @@ JOIN n m ON m.incident_id = n.incident_id AND m.urn = e.upstream WHERE n.hop < {
     s["chain_edges"] = f"""SELECT chain, upstream, downstream FROM (SELECT {U('customer', 'o_custkey')} AS chain,
   {U('orders', 'o_orderkey')} AS upstream, lead({U('orders', 'o_orderkey')}) OVER (PARTITION BY o_custkey
   ORDER BY o_orderdate, o_orderkey) AS downstream FROM orders) t WHERE downstream IS NOT NULL"""
-    s["entity_enrich"] = _with(*EV40) + f"""SELECT ev.incident_id, ev.urn, CAST(ev.hop AS BIGINT) AS hop, e.name,
+    s["entity_enrich"] = _with(*EVIDENCE) + f"""SELECT ev.incident_id, ev.urn, CAST(ev.hop AS BIGINT) AS hop, e.name,
   e.platform, e.description, {OWNER_LABEL} AS owner FROM ev LEFT JOIN fk_entities e ON e.urn = ev.urn"""
-    s["node_summary"] = _with(*EV40) + f"""SELECT ev.incident_id, urn, {SUMMARY('least(ev.hop, 1)')} AS summary
+    s["node_summary"] = _with(*EVIDENCE) + f"""SELECT ev.incident_id, urn, {SUMMARY('least(ev.hop, 1)')} AS summary
+FROM ev JOIN fk_entities e USING (urn)"""
+    s["evidence_block"] = _with(*EVIDENCE) + f"""SELECT ev.incident_id, urn, CAST(ev.hop AS BIGINT) AS hop, {ITEM('ev.hop')} AS line
 FROM ev JOIN fk_entities e USING (urn)"""
-    s["evidence_block"] = _with(*EV40) + f"""SELECT ev.incident_id, string_agg({ITEM('ev.hop')}, {NL}
-  ORDER BY ev.hop, urn) AS evidence_block, CAST(count(*) AS BIGINT) AS evidence_nodes
-FROM ev JOIN fk_entities e USING (urn) GROUP BY ev.incident_id"""
-    s["evidence_count"] = _with(*EV40) + \
+    s["evidence_count"] = _with(*EVIDENCE) + \
         "SELECT incident_id, CAST(count(*) AS BIGINT) AS evidence_nodes FROM ev GROUP BY incident_id"
     s["urn_parse"] = _with(FK_ENTITIES) + f"""SELECT urn, {_URN_NAME} AS name,
   regexp_extract(urn, 'dataPlatform:([^,]+)', 1) AS platform, rtrim(string_split(urn, '(')[-1], ')') AS tail,
@@ -279,6 +282,7 @@ FROM (SELECT urn FROM fk_entities UNION SELECT owners_str FROM fk_entities WHERE
     s["props_map"] = """SELECT event_id, key, json_extract_string(props, '$."' || key || '"') AS value
 FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) t WHERE key IS NOT NULL AND key <> ''"""
     s["blast_radius"] = _blast_sql()
+    s["blast_nodes"] = _blast_sql(names=True)
     sym_cols = ", ".join(f"CASE WHEN {c} THEN {_s(cls)} END" for cls, c in _classes_sql("symptom", 2, False))
     s["symptom_class"] = _with(FK_INCIDENTS) + f"SELECT incident_id, concat_ws(',', {sym_cols}) AS classes FROM fk_incidents"
     s["signals"] = _with(FK_ENTITIES, TEXT_SIGNALS) + "SELECT urn, class, source FROM tsig"
@@ -286,25 +290,27 @@ FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) t WHE
   CAST(score AS BIGINT) AS score, CAST(dist AS BIGINT) AS dist, confidence FROM conf"""
     s["act_gate"] = _with(*RANKED) + "SELECT incident_id, urn, confidence, source FROM gated"
     s["tags_add"] = _with(*CONTAINED) + "SELECT entity_urn, tag_urn FROM requested"
-    s["tags_verify"] = _with(*CONTAINED) + "SELECT entity_urn, tag_urn, true AS applied FROM requested"
+    s["tags_verify"] = _with(*CONTAINED) + f"""SELECT entity_urn, tag_urn, true AS applied, false AS rejected FROM requested
+UNION ALL SELECT {U('region', 'r_regionkey')}, {_s(Q.UNKNOWN_TAG)}, false, true FROM region"""
     s["tags_remove"] = _with(*CONTAINED) + \
         f"SELECT entity_urn, tag_urn FROM requested WHERE tag_urn <> {_s(C.QUARANTINE_TAG)}"
     s["writeback_proof"] = _with(*CONTAINED) + """SELECT g.incident_id, true AS root_quarantined,
-  CAST(COALESCE(c.n, 0) AS BIGINT) AS downstream_tagged, COALESCE(c.n, 0) >= 1 AS pass
+  CAST(COALESCE(c.n, 0) AS BIGINT) AS downstream_tagged, COALESCE(c.n, 0) >= 1 AS pass,
+  (SELECT count(*) FROM customer) + (SELECT count(*) FROM region) AS tags_removed
 FROM gated g LEFT JOIN (SELECT root_urn, count(*) AS n FROM bnodes GROUP BY root_urn) c ON c.root_urn = g.urn"""
     s["volume_anomaly"] = "WITH " + VOLUME + """
 SELECT event_type, CAST(day AS VARCHAR) AS day, n_rows, round(prior_avg, 4) AS prior_avg, round(ratio, 4) AS ratio,
   flagged FROM vol"""
     cols = Q.EVENT_COLUMNS
     sums = ", ".join(f"sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS {c}" for c in cols)
-    s["null_rate"] = f"""WITH daily AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n_rows, {sums} FROM events GROUP BY 1),
+    s["null_rate"] = f"""WITH {FAULTY}, daily AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n_rows, {sums} FROM faulty GROUP BY 1),
 long AS (UNPIVOT daily ON {', '.join(cols)} INTO NAME "column" VALUE n_null),
 r AS (SELECT *, n_null / n_rows AS null_rate FROM long),
 p AS (SELECT *, lag(null_rate) OVER (PARTITION BY "column" ORDER BY day) AS prev_rate FROM r)
 SELECT CAST(day AS VARCHAR) AS day, "column", n_rows, CAST(n_null AS BIGINT) AS n_null, round(null_rate, 6) AS null_rate,
   round(prev_rate, 6) AS prev_rate, round(null_rate - prev_rate, 6) AS delta FROM p"""
-    s["schema_diff"] = """WITH keys AS (SELECT DISTINCT CAST(ts AS DATE) AS day, unnest(json_keys(props)) AS key FROM events),
-days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events),
+    s["schema_diff"] = "WITH " + FAULTY + """, keys AS (SELECT DISTINCT CAST(ts AS DATE) AS day, unnest(json_keys(props)) AS key FROM faulty),
+days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM faulty),
 pairs AS (SELECT a.day, b.day AS prev_day FROM days a JOIN days b ON b.day = a.day - 1)
 SELECT CAST(p.day AS VARCHAR) AS day, k.key, 'added' AS change FROM pairs p JOIN keys k ON k.day = p.day
   WHERE NOT EXISTS (SELECT 1 FROM keys b WHERE b.day = p.prev_day AND b.key = k.key)
@@ -358,33 +364,26 @@ FROM fk_incidents i LEFT JOIN top1 t ON t.incident_id = i.incident_id
            "WHEN c.dist IS NOT NULL THEN 'downstream of a flagged node (' || CAST(c.dist AS VARCHAR) || "
            "' hop(s)); no signal of its own' ELSE 'on the upstream path of the symptom; no signal found' END")
     dash = " OR ".join(f"COALESCE(strpos(e.platform, {_s(m)}) > 0, false)" for m in C.DASHBOARD_MARKERS)
-    tag_line = _s(TX.STATUS_APPLIED + ": tagged ")
-    tag_name = _s(" '" + C.QUARANTINE_TAG.split(":")[-1] + "'" + RP.WARNED)
+    dash_e = dash
+    s["report_json"] = _with(*RANKED) + ", " + inv_ctes + """, first AS (SELECT incident_id, urn FROM conf WHERE rank = 1)
+SELECT inv.incident_id, summary, missing_evidence, missing_evidence IS NULL AS missing_is_null, evidence_nodes, first.urn AS top_urn
+FROM inv LEFT JOIN first ON first.incident_id = inv.incident_id"""
     s["report_text"] = _with(*CONTAINED) + ", " + inv_ctes + f""",
-  sus AS (SELECT c.incident_id, string_agg('  ' || CAST(c.rank AS VARCHAR) || '. ' || {icon} || ' [' ||
-      upper(COALESCE(c.confidence, '?')) || '] ' || e.name || '   -> contact: ' ||
-      COALESCE(NULLIF({OWNER_LABEL}, ''), {_s(TX.OWNER_UNKNOWN)}) || {NL} || '       why : ' || {why} || {NL} ||
-      '       next: ' || {nxt}, {NL} ORDER BY c.rank) AS lines
+  sus AS (SELECT c.incident_id, string_agg('suspect ' || CAST(c.rank AS VARCHAR) || ': ' || e.name || ' ' || {icon} || ' confidence ' ||
+      lower(COALESCE(c.confidence, 'unknown')) || '; ask ' || COALESCE(NULLIF({OWNER_LABEL}, ''), {_s(TX.OWNER_UNKNOWN)}) || {NL} ||
+      '- evidence: ' || {why} || {NL} || '- check: ' || {nxt}, {NL} ORDER BY c.rank) AS lines
     FROM conf c JOIN fk_entities e ON e.urn = c.urn GROUP BY c.incident_id),
-  blast AS (SELECT b.root_urn, count(*) AS n,
-      string_agg(e.name, ', ' ORDER BY e.name) FILTER (WHERE {dash}) AS dashboards,
-      string_agg(e.name, ', ' ORDER BY e.name) FILTER (WHERE NOT ({dash})) AS assets
+  blast AS (SELECT b.root_urn, count(*) AS n, count(*) FILTER (WHERE {dash_e}) AS d
     FROM bnodes b JOIN fk_entities e ON e.urn = b.urn GROUP BY b.root_urn),
-  acted AS (SELECT g.incident_id, e.name AS root_name, COALESCE(bl.n, 0) AS n, bl.dashboards, bl.assets
+  acted AS (SELECT g.incident_id, e.name AS root_name, COALESCE(bl.n, 0) AS n, COALESCE(bl.d, 0) AS d
     FROM gated g JOIN fk_entities e ON e.urn = g.urn LEFT JOIN blast bl ON bl.root_urn = g.urn)
-SELECT v.incident_id, concat_ws({NL}, {_s(RP.RULE)}, {_s(RP.TITLE)}, {_s(RP.RULE)},
-  'Symptom  : ' || COALESCE(v.symptom, ''),
-  'Affected : ' || rtrim(string_split(v.affected_urn, '(')[-1], ')'),
-  'Traced   : ' || CAST(v.evidence_nodes AS VARCHAR) || ' upstream entities via lineage',
-  '', 'SUMMARY', '  ' || v.summary, '', 'ROOT-CAUSE SUSPECTS (ranked)', su.lines,
-  CASE WHEN a.incident_id IS NOT NULL THEN {NL} || 'ACTION TAKEN (write-back to the catalog)' || {NL} ||
-    '  ' || {tag_line} || a.root_name || {tag_name} END,
-  CASE WHEN a.incident_id IS NOT NULL THEN {NL} || 'BLAST RADIUS - ' || CAST(a.n AS VARCHAR) ||
-    ' downstream assets contaminated (' || CAST(a.n AS VARCHAR) || ' tagged IMPACTED)' END,
-  CASE WHEN a.dashboards IS NOT NULL THEN '  dashboards affected: ' || a.dashboards END,
-  CASE WHEN a.assets IS NOT NULL THEN '  data assets affected: ' || a.assets END,
-  CASE WHEN COALESCE(v.missing_evidence, '') <> '' THEN {NL} || 'TO CONFIRM' || {NL} || '  ' || v.missing_evidence END,
-  {_s(RP.RULE)}) AS report_text
+SELECT v.incident_id, concat_ws({NL}, {_s(RP.TITLE + " on ")} || rtrim(string_split(v.affected_urn, '(')[-1], ')'),
+  'reported: ' || COALESCE(v.symptom, ''), 'finding: ' || v.summary,
+  'nodes read, itself included: ' || CAST(v.evidence_nodes AS VARCHAR), su.lines,
+  CASE WHEN COALESCE(v.missing_evidence, '') <> '' THEN 'still open: ' || v.missing_evidence END,
+  'tag {C.QUARANTINE_TAG.split(":")[-1]} on ' || a.root_name || {_s(": " + TX.STATUS_APPLIED)},
+  'reach: ' || CAST(a.n AS VARCHAR) || ' below it, of them dashboards ' || CAST(a.d AS VARCHAR) || ', others ' ||
+    CAST(a.n - a.d AS VARCHAR) || ', tagged ' || CAST(a.n AS VARCHAR)) AS report_text
 FROM inv v LEFT JOIN sus su ON su.incident_id = v.incident_id LEFT JOIN acted a ON a.incident_id = v.incident_id"""
     def q_(x):
         return f"replace({x}, '\"', '\\\"')"
@@ -405,7 +404,7 @@ FROM inv v LEFT JOIN sus su ON su.incident_id = v.incident_id LEFT JOIN acted a
     GROUP BY incident_id, urn),
   down_nodes AS (SELECT incident_id, urn FROM bn UNION SELECT incident_id, root FROM inc WHERE root IS NOT NULL),
   e_up AS (SELECT a.incident_id, e.upstream, e.downstream FROM ev a JOIN fk_edges e ON e.downstream = a.urn
-      JOIN ev b ON b.incident_id = a.incident_id AND b.urn = e.upstream WHERE a.hop < {Q.UP_HOPS}),
+      JOIN ev b ON b.incident_id = a.incident_id AND b.urn = e.upstream ),
   e_down AS (SELECT a.incident_id, e.upstream, e.downstream FROM down_nodes a JOIN fk_edges e ON e.upstream = a.urn
       JOIN down_nodes b ON b.incident_id = a.incident_id AND b.urn = e.downstream),
   all_edges AS (SELECT DISTINCT x.incident_id, x.upstream, x.downstream FROM (
@@ -414,17 +413,19 @@ FROM inv v LEFT JOIN sus su ON su.incident_id = v.incident_id LEFT JOIN acted a
     JOIN nodes nd ON nd.incident_id = x.incident_id AND nd.urn = x.downstream),
   roled AS (SELECT n.incident_id, n.urn, {role} AS role,
       CASE WHEN regexp_extract(n.urn, 'dataPlatform:([^,]+)', 1) <> ''
-        THEN {name} || '\\n(' || regexp_extract(n.urn, 'dataPlatform:([^,]+)', 1) || ')' ELSE {name} END AS label
+        THEN regexp_extract(n.urn, 'dataPlatform:([^,]+)', 1) || ': ' || {name} ELSE {name} END AS label
     FROM nodes n JOIN inc i ON i.incident_id = n.incident_id),
-  lines AS (SELECT incident_id, '  "' || {q_('urn')} || '" [label="' || {q_('label')} || {suffix} || '", ' || {style} ||
-      '];' AS line FROM roled
-    UNION ALL SELECT incident_id, '  "' || {q_('upstream')} || '" -> "' || {q_('downstream')} || '";' FROM all_edges)
-SELECT incident_id, 'digraph lineage {{' || {NL} || '  rankdir=LR;' || {NL} || '  node [shape=box, fontsize=11];' || {NL} ||
-  string_agg(line, {NL} ORDER BY line) || {NL} || '}}' AS lineage_dot
-FROM lines GROUP BY incident_id"""
+  lines AS (SELECT incident_id, 1 AS part, '"' || {q_('urn')} || '" [label="' || {q_('label')} || {suffix} || '" fillcolor=' || {style} ||
+      ']' AS line FROM roled
+    UNION ALL SELECT incident_id, 2, '"' || {q_('upstream')} || '" -> "' || {q_('downstream')} || '"' FROM all_edges
+    UNION ALL SELECT incident_id, 0, unnest([{", ".join(_s(x) for x in RP.DOT_HEAD)}]) FROM inc
+    UNION ALL SELECT incident_id, 3, '}}' FROM inc)
+SELECT incident_id, CAST(part AS BIGINT) AS part, line FROM lines"""
     s["report_parse"] = f"""SELECT conv_id, turn,
-  CASE WHEN turn % 3 = 2 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE text END AS summary,
-  CASE WHEN turn % 3 = 2 THEN {_s(TX.FALLBACK_MISSING)} END AS missing_evidence, CAST(0 AS BIGINT) AS n_suspects
+  CASE WHEN conv_id % 7 = 3 THEN regexp_replace('{{"summary": ' || text, '^\\s+|\\s+$', '', 'g')
+    WHEN turn % 3 = 2 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE text END AS summary,
+  CASE WHEN conv_id % 7 = 3 OR turn % 3 = 2 THEN {_s(TX.FALLBACK_MISSING)} END AS missing_evidence,
+  CAST(CASE WHEN conv_id % 7 = 3 OR turn % 3 = 2 THEN 0 ELSE conv_id % 4 END AS BIGINT) AS n_suspects
 FROM conversations"""
     s["search_entities"] = f"SELECT doc_id FROM documents WHERE contains(lower(text), {_s(Q.SEARCH_TERM)})"
     return s

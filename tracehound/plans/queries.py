@@ -13,12 +13,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.evidence import cols_label, evidence_item, node_summary, owner_label, props_label
+from ..functions.evidence import cols_label, node_summary, owner_label, props_label
 from ..functions.text import parse_answer
 from ..functions.urn import tag_short, urn_name, urn_platform, urn_tail
 from ..operators import containment as C
 from ..operators import signals as X
-from ..operators.enrich import enrich, evidence_block, evidence_count
+from ..operators.enrich import enrich, evidence_count, evidence_lines
 from ..operators.ranking import act_gate, rank_suspects
 from ..operators.sequence import next_in_sequence
 from ..operators.walk import hop_label, walk, walked_edges
@@ -29,14 +29,14 @@ from ..sources import fk_catalog as FK
 from ..sources.catalog import Catalog, search_entities
 
 # ---- fixed parameters of the registered queries ------------------------------------
-UP_HOPS, UP_CAP = 3, 40            # upstream evidence walk (reference defaults)
-DOWN_HOPS, DOWN_CAP = 5, 60        # blast radius walk (reference defaults)
-CYCLE_HOPS = 3
+UP_HOPS = 3                        # hop bound of the bounded upstream walks (F3)
+DOWN_HOPS, DOWN_CAP = 5, 60        # the capped walk (W1), where the cap is the feature
 DRAW_HOPS, DRAW_CAP, DRAW_PER_NODE = 6, 40, 50   # drawing walk (reference defaults)
 STALE_DAYS = 365                   # customer freshness threshold (X4)
 DROP_RATIO = 0.6                   # volume anomaly threshold (X1)
 SEARCH_TERM = "license"            # keyword for S12
 EVENT_PLATFORM = "kafka"
+UNKNOWN_TAG = "urn:li:tag:NOT_IN_VOCABULARY"
 # -------------------------------------------------------------------------------------
 
 
@@ -50,13 +50,14 @@ def _big(df: DataFrame, *cols) -> DataFrame:
     return df
 
 
-def fk(spark: SparkSession, sf: str, with_signals: bool = True) -> Catalog:
+def fk(spark: SparkSession, sf: str, with_signals: bool = True, needs=("edges", "entities", "incidents")) -> Catalog:
     configure(spark)
     t = FK.read_tables(spark, sf)
     lines = materialize(FK.line_groups(t), "fk-lines")
-    cat = Catalog(edges=materialize(FK.edges(t, lines), "fk-edges"),
-                  entities=materialize(FK.entities(t, lines), "fk-entities"),
-                  incidents=materialize(FK.incidents(t, lines), "fk-incidents"), edges_distinct=True)
+    # each table is written only for queries that read it
+    table = {"edges": FK.edges, "entities": FK.entities, "incidents": FK.incidents}
+    made = {k: materialize(table[k](t, lines), f"fk-{k}") if k in needs else None for k in table}
+    cat = Catalog(**made, edges_distinct=True)
     if with_signals:
         cat = cat.with_(signals=customer_freshness_signals(spark, sf))
     return cat
@@ -69,19 +70,19 @@ def _starts(inc: DataFrame) -> DataFrame:
 # ---- walks (G1-G4, W1, W2, W7, S6) ----------------------------------------------------
 
 def q_walk_upstream(spark, sf):
-    cat = fk(spark, sf, False)
+    cat = fk(spark, sf, False, ("edges", "incidents"))
     w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, edges_distinct=True)
     return _big(w, "hop")
 
 
 def q_walk_downstream(spark, sf):
-    cat = fk(spark, sf, False)
+    cat = fk(spark, sf, False, ("edges",))
     starts = _starts(FK.region_incidents(FK.read_tables(spark, sf, ["region"])))
     return _big(walk(starts, cat.edges, upstream=False, max_hops=None, edges_distinct=True), "hop")
 
 
 def q_walk_multi_source(spark, sf):
-    cat = fk(spark, sf, False)
+    cat = fk(spark, sf, False, ("edges",))
     o = _t(spark, sf, "orders")
     starts = o.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("incident_id"),
                       FK.node_urn("orders", F.col("o_orderkey")).alias("urn"))
@@ -96,7 +97,7 @@ def _cust_supp_starts(spark, sf):
 
 
 def q_walk_capped(spark, sf):
-    cat = fk(spark, sf, False)
+    cat = fk(spark, sf, False, ("edges",))
     w = walk(_cust_supp_starts(spark, sf), cat.edges, upstream=False, max_hops=DOWN_HOPS, max_nodes=DOWN_CAP, edges_distinct=True)
     return _big(w, "hop")
 
@@ -111,7 +112,7 @@ def _nation_supplier_starts(spark, sf):
 def q_walk_per_node_cap(spark, sf):
     """W2 + W1: the drawing walk: at most 50 neighbours per expanded node (in URN order),
     40 nodes per walk, 6 hops, downstream from every nation and supplier."""
-    cat = fk(spark, sf, False)
+    cat = fk(spark, sf, False, ("edges",))
     w = walk(_nation_supplier_starts(spark, sf), cat.edges, upstream=False, max_hops=DRAW_HOPS,
              max_nodes=DRAW_CAP, max_per_node=DRAW_PER_NODE, edges_distinct=True)
     return _big(w, "hop")
@@ -133,11 +134,11 @@ def q_walk_cyclic(spark, sf):
     starts = e.select("event_type").distinct().select(
         F.col("event_type").alias("incident_id"),
         FK.dataset_urn(F.lit(EVENT_PLATFORM), F.concat(F.lit("events."), F.col("event_type"))).alias("urn"))
-    return _big(walk(starts, edges, upstream=False, max_hops=CYCLE_HOPS), "hop")
+    return _big(walk(starts, edges, upstream=False, max_hops=None), "hop")
 
 
 def q_walk_edges(spark, sf):
-    cat = fk(spark, sf, False)
+    cat = fk(spark, sf, False, ("edges", "incidents"))
     w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, edges_distinct=True)
     return walked_edges(w, cat.edges, upstream=True, max_hops=UP_HOPS)
 
@@ -155,9 +156,9 @@ def q_chain_edges(spark, sf):
 
 # ---- evidence (J2, P1-P15, A1) ---------------------------------------------------------
 
-def _evidence(spark, sf, cap=UP_CAP):
+def _evidence(spark, sf):
     cat = fk(spark, sf, False)
-    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, max_nodes=cap, edges_distinct=True)
+    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=None, edges_distinct=True)
     return cat, enrich(w, cat.entities)
 
 
@@ -174,12 +175,12 @@ def q_node_summary(spark, sf):
 
 def q_evidence_block(spark, sf):
     _, ev = _evidence(spark, sf)
-    return _big(evidence_block(ev), "evidence_nodes")
+    return _big(evidence_lines(ev), "hop")
 
 
 def q_evidence_count(spark, sf):
-    cat = fk(spark, sf, False)
-    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, max_nodes=UP_CAP, edges_distinct=True)
+    cat = fk(spark, sf, False, ("edges", "incidents"))
+    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=None, edges_distinct=True)
     return evidence_count(w)
 
 
@@ -211,16 +212,23 @@ def q_props_map(spark, sf):
 
 # ---- blast radius (G3, F2, F5, A2, A3) ---------------------------------------------------
 
-def q_blast_radius(spark, sf):
+def _blast(spark, sf):
     configure(spark)
     t = FK.read_tables(spark, sf)
     edges = materialize(FK.edges(t), "fk-edges")
     roots = (t["nation"].select(FK.node_urn("nation", F.col("n_nationkey")).alias("root_urn"))
              .unionByName(t["supplier"].select(FK.node_urn("supplier", F.col("s_suppkey")).alias("root_urn"))))
-    nodes = C.blast_radius_nodes(roots, edges, FK.entities(t), DOWN_HOPS, DOWN_CAP, edges_distinct=True)
-    s = C.blast_radius_summary(nodes)
-    return s.select("root_urn", "impacted_count", F.array_join("dashboards", ", ").alias("dashboards"),
-                    F.array_join("assets", ", ").alias("assets"))
+    return C.blast_radius_nodes(roots, edges, FK.entities(t), edges_distinct=True)
+
+
+def q_blast_radius(spark, sf):
+    s = C.blast_radius_summary(_blast(spark, sf))
+    return s.select("root_urn", "impacted_count", "n_dashboards", "n_assets")
+
+
+def q_blast_nodes(spark, sf):
+    """The blast radius itself, one row per root and asset."""
+    return _big(_blast(spark, sf).select("root_urn", "urn", "hop", "label", "is_dashboard"), "hop")
 
 
 # ---- signals and ranking (R1-R5, F4, F7) ----------------------------------------------------
@@ -248,7 +256,7 @@ def q_signals(spark, sf):
 
 def _ranked(spark, sf, text_only_high=False):
     cat = fk(spark, sf, True)
-    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=UP_HOPS, max_nodes=UP_CAP, edges_distinct=True)
+    w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=None, edges_distinct=True)
     sig = evidence_signals(cat, w)
     return cat, rank_suspects(w, cat.incidents, sig, cat.edges, text_only_high=text_only_high,
                               edges_distinct=True, entities=cat.entities)
@@ -268,22 +276,30 @@ def q_act_gate(spark, sf):
 
 def _contained(spark, sf):
     cat = fk(spark, sf, True)
-    inv = investigate(cat, act=True)
-    return cat, inv
+    store = C.TagStore.fresh(spark)
+    inv = investigate(cat, act=True, store=store)
+    return cat, inv, store
 
 
 def q_tags_add(spark, sf):
-    _, inv = _contained(spark, sf)
+    _, inv, _ = _contained(spark, sf)
     store_root = inv.containment
     return store_root["quarantine_applied"].unionByName(store_root["impact_applied"]).select(
         "entity_urn", "tag_urn").distinct()
 
 
 def q_tags_verify(spark, sf):
-    _, inv = _contained(spark, sf)
+    """J5 + J6: what containment requested, and one request per region for a tag that the
+    vocabulary lacks: it is rejected, and found missing in the read-back."""
+    _, inv, store = _contained(spark, sf)
     c = inv.containment
-    return c["quarantine_applied"].unionByName(c["impact_applied"]).groupBy("entity_urn", "tag_urn").agg(
-        F.bool_or("applied").alias("applied"))
+    unknown = FK.read_tables(spark, sf, ["region"])["region"].select(
+        FK.node_urn("region", F.col("r_regionkey")).alias("entity_urn"), F.lit(UNKNOWN_TAG).alias("tag_urn"))
+    accepted, rejected = store.add_tags(unknown)
+    asked = c["quarantine_applied"].unionByName(c["impact_applied"]).select("entity_urn", "tag_urn").distinct()
+    found = C.verify(asked.unionByName(accepted.select("entity_urn", "tag_urn")).unionByName(rejected), store.entity_tags())
+    return found.join(rejected.withColumn("_r", F.lit(True)), ["entity_urn", "tag_urn"], "left").select(
+        "entity_urn", "tag_urn", "applied", F.coalesce("_r", F.lit(False)).alias("rejected"))
 
 
 def q_tags_remove(spark, sf):
@@ -295,11 +311,19 @@ def q_tags_remove(spark, sf):
 
 
 def q_writeback_proof(spark, sf):
-    """Clean slate -> act -> fresh read-back; per acted incident whether its root is
-    quarantined and how many of its blast-radius nodes carry the impact tag."""
+    """Leftover tags (every customer impacted, every region quarantined) -> removed -> clean
+    slate -> act -> fresh read-back; per acted incident whether its root is quarantined and how
+    many of its blast-radius nodes carry the impact tag."""
     cat = fk(spark, sf, True)
     store = C.TagStore.fresh(spark)
     store.ensure_vocabulary()
+    t = FK.read_tables(spark, sf, ["customer", "region"])
+    store.add_tags(t["customer"].select(FK.node_urn("customer", F.col("c_custkey")).alias("entity_urn"), F.lit(C.IMPACT_TAG).alias("tag_urn"))
+                   .unionByName(t["region"].select(FK.node_urn("region", F.col("r_regionkey")), F.lit(C.QUARANTINE_TAG))
+                                .toDF("entity_urn", "tag_urn")))
+    leftover = store.entity_tags()
+    n_left = leftover.count()
+    store.remove_tags(leftover.where(F.col("tag_urn").isin(C.QUARANTINE_TAG, C.IMPACT_TAG)))
     before = store.entity_tags()
     clean = before.where(F.col("tag_urn").isin(C.QUARANTINE_TAG, C.IMPACT_TAG)).isEmpty()  # A5
     inv = investigate(cat, act=True, store=store)
@@ -313,6 +337,7 @@ def q_writeback_proof(spark, sf):
     out = (acted.join(q, "root", "left").join(tagged, "root", "left")
            .select("incident_id", F.coalesce("root_quarantined", F.lit(False)).alias("root_quarantined"),
                    F.coalesce("downstream_tagged", F.lit(0)).cast("bigint").alias("downstream_tagged")))
+    out = out.withColumn("tags_removed", F.lit(n_left).cast("bigint"))
     return out.withColumn("pass", F.lit(clean) & F.col("root_quarantined") & (F.col("downstream_tagged") >= 1))
 
 
@@ -320,17 +345,29 @@ def q_writeback_proof(spark, sf):
 
 def q_volume_anomaly(spark, sf):
     configure(spark)
-    v = X.volume_anomaly(_t(spark, sf, "events"), "ts", ["event_type"], DROP_RATIO)
+    v = X.volume_anomaly(faulty_events(spark, sf), "ts", ["event_type"], DROP_RATIO)
     return v.select("event_type", F.col("day").cast("string").alias("day"), "n_rows",
                     F.round("prior_avg", 4).alias("prior_avg"), F.round("ratio", 4).alias("ratio"), "flagged")
 
 
+def faulty_events(spark, sf) -> DataFrame:
+    """``events`` with faults by rule, so that the checks have something to find: on the 20th of
+    a month three rows of four are missing (X1), on the 10th every eleventh value is null
+    (X2), from the 12th to the 15th the property map has one more key (X3)."""
+    e = _t(spark, sf, "events")
+    day = F.dayofmonth("ts")
+    return (e.where((day != 20) | (F.col("event_id") % 4 == 0))
+            .withColumn("value", F.when((day == 10) & (F.col("event_id") % 11 == 0), None).otherwise(F.col("value")))
+            .withColumn("props", F.when(day.between(12, 15), F.concat(F.lit('{"src": 1, '), F.substring("props", 2, 1 << 30)))
+                        .otherwise(F.col("props"))))
+
+
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 
 def q_null_rate(spark, sf):
     configure(spark)
-    n = X.null_rates(_t(spark, sf, "events"), "ts", EVENT_COLUMNS)
+    n = X.null_rates(faulty_events(spark, sf), "ts", EVENT_COLUMNS)
     return n.select(F.col("day").cast("string").alias("day"), "column", "n_rows", "n_null",
                     F.round("null_rate", 6).alias("null_rate"), F.round("prev_rate", 6).alias("prev_rate"),
                     F.round("delta", 6).alias("delta"))
@@ -338,7 +375,7 @@ def q_null_rate(spark, sf):
 
 def q_schema_diff(spark, sf):
     configure(spark)
-    d = X.json_key_drift(_t(spark, sf, "events"), "ts", "props")
+    d = X.json_key_drift(faulty_events(spark, sf), "ts", "props")
     return d.select(F.col("day").cast("string").alias("day"), "key", "change")
 
 
@@ -382,7 +419,7 @@ ORDERS_FEED = "urn:li:dataset:(urn:li:dataPlatform:looker,orders.priority.{},PRO
 def q_signals_union(spark, sf):
     """Volume, freshness and zero-row checks as one typed signal table."""
     configure(spark)
-    v = X.volume_anomaly(_t(spark, sf, "events"), "ts", ["event_type"], DROP_RATIO).select(
+    v = X.volume_anomaly(faulty_events(spark, sf), "ts", ["event_type"], DROP_RATIO).select(
         "*", FK.dataset_urn(F.lit(EVENT_PLATFORM), F.concat(F.lit("events."), F.col("event_type"))).alias("urn"),
         F.lit(DROP_RATIO).alias("threshold"))
     z = X.zero_row_days(_t(spark, sf, "orders"), "o_orderdate", ["o_orderpriority"]).select(
@@ -403,13 +440,19 @@ def q_search_entities(spark, sf):
 
 def stored_answers(spark, sf) -> DataFrame:
     """Reasoning answers as they would be stored: each conversation turn wrapped as a JSON
-    answer; by turn, fenced with 'json', fenced without, or left as plain prose."""
+    answer with up to three suspects; by turn, fenced with 'json', bare, or left as plain
+    prose; every seventh conversation's JSON is broken."""
     c = _t(spark, sf, "conversations")
-    obj = F.to_json(F.struct(F.col("text").alias("summary"), F.array().cast("array<string>").alias("suspects"),
+    suspect = F.struct(FK.dataset_urn(F.lit(EVENT_PLATFORM), F.concat(F.lit("turn."), F.col("turn").cast("string"))).alias("urn"),
+                       F.lit("high").alias("confidence"))
+    obj = F.to_json(F.struct(F.col("text").alias("summary"),
+                             F.array_repeat(suspect, F.pmod(F.col("conv_id"), F.lit(4)).cast("int")).alias("suspects"),
                              F.lit(None).cast("string").alias("missing_evidence")))
     k = F.pmod(F.col("turn"), F.lit(3))
     wrapped = (F.when(k == 0, F.concat(F.lit("```json\n"), obj, F.lit("\n```")))
                .when(k == 1, obj).otherwise(F.col("text")))
+    broken = F.concat(F.lit('{"summary": '), F.col("text"))
+    wrapped = F.when(F.pmod(F.col("conv_id"), F.lit(7)) == 3, broken).otherwise(wrapped)
     return c.select("conv_id", "turn", wrapped.alias("answer"))
 
 
@@ -430,17 +473,22 @@ def q_investigate(spark, sf):
 
 
 def q_report_json(spark, sf):
-    return report_json(investigate(fk(spark, sf, True), act=False).reports)
+    """S9, read back: the fields of the JSON documents, absent values as JSON nulls."""
+    docs = report_json(investigate(fk(spark, sf, True), act=False).reports)
+    get = lambda path: F.get_json_object("report_json", path)
+    null = F.col("report_json").contains('"missing_evidence":null')
+    return docs.select("incident_id", get("$.summary").alias("summary"), get("$.missing_evidence").alias("missing_evidence"),
+                       null.alias("missing_is_null"), get("$.evidence_nodes").cast("bigint").alias("evidence_nodes"),
+                       get("$.suspects[0].urn").alias("top_urn"))
 
 
 def q_report_text(spark, sf):
-    return report_text(investigate(fk(spark, sf, True), act=True).reports)
+    return report_text(_contained(spark, sf)[1].reports)
 
 
 def q_lineage_dot(spark, sf):
-    cat = fk(spark, sf, True)
-    inv = investigate(cat, act=True)
-    return lineage_dot(inv.evidence, inv.reports, cat.edges, inv.containment["nodes"])
+    cat, inv, _ = _contained(spark, sf)
+    return _big(lineage_dot(inv.evidence, inv.reports, cat.edges, inv.containment["nodes"]), "part")
 
 
 QUERIES = {
@@ -461,6 +509,7 @@ QUERIES = {
     "props_label": q_props_label,
     "props_map": q_props_map,
     "blast_radius": q_blast_radius,
+    "blast_nodes": q_blast_nodes,
     "symptom_class": q_symptom_class,
     "signals": q_signals,
     "rank_suspects": q_rank_suspects,

@@ -55,9 +55,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written snapshots.
 
-    Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only when neither is set (a bare local test session)
-    is a local temporary folder created.
+    Read from the session (``spark.checkpoint.dir`` or the context's checkpoint dir). Only a
+    session in local mode, whose tasks all run on this machine, may leave both unset and gets
+    a temporary folder; on a cluster that is an error, since executors don't share it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -65,6 +65,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current.rsplit("/", 1)[0] if _is_uuid_leaf(current) else current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tracehound-ckpt-")
     sc.setCheckpointDir(configured)
     return configured

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +50,10 @@ def read_catalog(spark: SparkSession, path: str) -> Catalog:
         p = os.path.join(path, name)
         try:
             return spark.read.schema(schema).parquet(p)
-        except Exception:  # table not written: absent, not empty
-            return None
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None  # table not written: absent, not empty
     return Catalog(
         edges=spark.read.schema(schemas.EDGES).parquet(os.path.join(path, "edges")),
         entities=spark.read.schema(schemas.ENTITIES).parquet(os.path.join(path, "entities")),
@@ -75,7 +78,8 @@ def decode_lineage(answers: DataFrame, upstream: bool = True, text_col: str = "t
     """S3: one JSON lineage answer per row -> one row per reached entity (normalised).
 
     The wanted direction's block is used; there is no fallback to the other direction
-    (SURVEY 2.12 #3). Entities without an URN are dropped (F1)."""
+    (SURVEY 2.12 #3). Entities without an URN are dropped (F1). Answers that are not JSON
+    give no rows here and are returned by :func:`malformed_answers`."""
     block = "upstreams" if upstream else "downstreams"
     parsed = F.from_json(F.col(text_col), schemas.RAW_LINEAGE)
     keep_cols = [c for c in keep if c in answers.columns]
@@ -89,7 +93,8 @@ def decode_lineage(answers: DataFrame, upstream: bool = True, text_col: str = "t
 
 def decode_entities(answers: DataFrame, text_col: str = "text") -> DataFrame:
     """JSON entity answers (a list, or {"entities": [...]}) -> normalised entities with
-    their tags. Malformed answers yield no rows; entities without an URN are dropped."""
+    their tags. Entities without an URN are dropped; answers that are not JSON give no rows
+    here and are returned by :func:`malformed_answers`."""
     t = F.trim(F.col(text_col))
     as_list = F.from_json(t, schemas.T.ArrayType(schemas.RAW_ENTITY))
     as_obj = F.from_json(t, schemas.RAW_ENTITY_LIST)["entities"]
@@ -98,6 +103,13 @@ def decode_entities(answers: DataFrame, text_col: str = "text") -> DataFrame:
     return e.select(*normalise_entity("e"), raw_tag_urns("e").alias("tag_urns"))
 
 
+def malformed_answers(answers: DataFrame, text_col: str = "text") -> DataFrame:
+    """Answers with a text that is not JSON (for instance cut off): to be asked again, not to
+    be read as "no lineage" or "no entities"."""
+    t = F.trim(F.col(text_col))
+    return answers.where((t != "") & F.try_parse_json(t).isNull())
+
+
 def entity_tags_from_entities(decoded: DataFrame) -> DataFrame:
     """Nested tag lists -> the entity_tags set."""
     return (decoded.select(F.col("urn").alias("entity_urn"), F.explode("tag_urns").alias("tag_urn"))

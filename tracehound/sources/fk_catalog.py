@@ -43,9 +43,9 @@ SCHEMA_FIELDS = {
 # Run note chosen by (numeric key mod NOTE_MOD); keys with no entry get no note.
 NOTE_MOD = 29
 NOTES = {
-    0: "load returned fewer rows than the 7-day average; backfill not yet run",
+    0: "only 61 of 100 expected batches arrived, fewer rows than usual",
     1: "upstream schema changed: column code renamed to code_v2",
-    2: "vendor feed has been down 3 days; job succeeds but writes no new rows",
+    2: "partner endpoint unreachable since Tuesday, feed went down",
     3: "all checks passed, no fewer rows than yesterday",
     4: "not stale: loaded 02:00",
 }
