@@ -187,17 +187,19 @@ def weak_label(b: Block) -> float | None:
 PRIOR = np.array([-1.5, 2.0, -4.0, 1.0, -1.5, 0.5, 1.0, 0.5, 3.0, *[-6.0] * 8])
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by gradient steps from the prior, which also anchors it."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, trust: float = 20.0) -> np.ndarray:
+    """Logistic regression by gradient steps from the prior, which also anchors it: it weighs as
+    much as ``trust`` blocks, so a small sample can't overrule it."""
     if not len(y) or y.min() == y.max():
         return PRIOR.copy()
     x2 = x.copy()
     x2[:, N_TEXT:] = 0.0
     x, y = np.vstack([x, x2]), np.concatenate([y, y])
-    w = PRIOR.copy()
+    w, ridge = PRIOR.copy(), trust / len(y)
+    rate = 1.0 / (0.5 + ridge)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        w -= 2.0 * (x.T @ (p - y) / len(y) + ridge * (w - PRIOR))
+        w -= rate * (x.T @ (p - y) / len(y) + ridge * (w - PRIOR))
     # roles stay evidence in the known direction whatever the sample holds
     w[N_TEXT] = max(w[N_TEXT], PRIOR[N_TEXT])
     w[N_TEXT + 1:] = np.minimum(w[N_TEXT + 1:], PRIOR[N_TEXT + 1:])
@@ -205,9 +207,10 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-3) ->
 
 
 def train(pages: DataFrame, max_pages: int = MAX_TRAIN_PAGES) -> np.ndarray:
-    """Weights from the ``max_pages`` pages with the smallest hash; the features are made in
-    tasks, and X'... sums are small: a bounded sample of narrow rows reaches the driver."""
-    sample = pages.where("html is not null").select("html", F.xxhash64("page_id").alias("h")).orderBy("h").limit(max_pages)
+    """Weights from the ``max_pages`` pages with the smallest hash, chosen on narrow rows; the
+    features are made where the pages are, and those of the bounded sample reach the driver."""
+    ids = pages.where("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages).distinct()
+    sample = pages.where("html is not null").join(F.broadcast(ids), "page_id", "left_semi").select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
