@@ -110,8 +110,8 @@ def item_index(items: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, start_word, n_words, distance, similarity``: the best window of every
     contaminated (document, item)."""
-    d = long_ids(with_column_names(docs, "doc_id", "text")).where("text is not null")
-    d = d.withColumn("text_hash", F.xxhash64("text"))
+    d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text",
+                    F.xxhash64("text").alias("text_hash")).where("text is not null")
     table = item_table(long_ids(with_column_names(items, "item_id", "text"), "item_id"))
     n_items = table.count()
     grams = [r.gram for r in table.select("gram").distinct().collect()]  # at most five
@@ -121,24 +121,25 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                .groupBy("h", "at", "len").agg(F.count(F.lit(1)).alias("c")).drop("c"))
         own = written(own, "bench-shingles")
         # "outer": else the optimiser makes every list once more, in a filter under the scan
-        hits = (d.select("text_hash", _hashed_words("text").alias("words"))
-                .select("text_hash", F.size("words").alias("n"), _shingles(F.col("words"), gram).alias("grams"))
-                .select("text_hash", "n", F.posexplode_outer("grams").alias("pos", "h"))
+        hits = (d.select("rid", "text_hash", _hashed_words("text").alias("words"))
+                .select("rid", "text_hash", F.size("words").alias("n"), _shingles(F.col("words"), gram).alias("grams"))
+                .select("rid", "text_hash", "n", F.posexplode_outer("grams").alias("pos", "h"))
                 .join(_small(own, own.count()), "h")
-                .select("text_hash", "len", F.lit(gram).alias("gram"),
+                .select("rid", "text_hash", "len", F.lit(gram).alias("gram"),
                         F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("len"))).alias("start")))
         windows = hits if windows is None else windows.unionByName(hits)
     if windows is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, distance int, similarity double")
-    windows = written(windows.distinct(), "bench-windows")
+    # equal texts have equal windows: their first row stands for all of them
+    windows = written(windows.groupBy("text_hash", "len", "gram", "start").agg(F.min("rid").alias("rid")), "bench-windows")
 
-    # the windows' words: only texts with a seed are read in full again, equal texts' windows count once
-    slots = windows.groupBy("text_hash").agg(F.collect_list(F.struct("start", "len", "gram")).alias("slots"))
-    cut = (d.join(slots, "text_hash").select("text_hash", _hashed_words("text").alias("all_words"), "slots")
+    # the windows' words, from their texts; a shuffle join by row number at any size (the seeded
+    # rows grow with the corpus, so they are never broadcast), in which no key repeats
+    slots = windows.groupBy("rid").agg(F.collect_list(F.struct("start", "len", "gram")).alias("slots"))
+    cut = (d.join(slots.hint("merge"), "rid").select("text_hash", _hashed_words("text").alias("all_words"), "slots")
            .select("text_hash", "all_words", F.explode_outer("slots").alias("s"))
            .select("text_hash", F.col("s.start").alias("start"), F.col("s.len").alias("len"), F.col("s.gram").alias("gram"),
-                   F.slice("all_words", F.col("s.start") + 1, F.col("s.len")).alias("words"))
-           .groupBy("text_hash", "start", "len", "gram").agg(F.first("words").alias("words")))
+                   F.slice("all_words", F.col("s.start") + 1, F.col("s.len")).alias("words")))
     prints = written(cut.withColumn("fingerprint", simhash(F.col("words"))).withColumn("window", F.monotonically_increasing_id()),
                      "bench-prints")
     keys = F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("fingerprint"), k).alias("value")) for k in range(BLOCKS)])
