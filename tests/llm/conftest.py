@@ -3,6 +3,8 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+from corpora import sentence, vocabulary
+
 #: More columns than the operators know, with names that they use themselves.
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
                      T.StructField("source", T.StringType()), *[T.StructField(c, T.StringType()) for c in (
@@ -10,14 +12,6 @@ DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text"
 EXTRA = ["x"] * 13
 
 
-def sentence(rng, n, vocabulary):
-    return " ".join(rng.choice(vocabulary) for _ in range(n))
-
-
-def vocabulary(rng, size=400, letters="abcdefghijklmnopqrstuvwxyz"):
-    return ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(size)]
-
-
 @pytest.fixture(scope="session")
 def make_docs(spark):
     def make(rows):

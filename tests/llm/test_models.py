@@ -10,7 +10,7 @@ import pytest
 
 from tracehound.llm import html_extract, language_id, mixing, ngram_lm, pages, quality_classifier, quality_rules, sharding
 
-from conftest import sentence, vocabulary
+from corpora import sentence, vocabulary
 
 
 # --- 2: mixing -----------------------------------------------------------------------------

@@ -8,7 +8,7 @@ import pytest
 from tracehound.llm import decontaminate, jaccard_join
 from tracehound.llm.common import shingle_set
 
-from conftest import sentence, vocabulary
+from corpora import sentence, vocabulary
 
 
 def brute_components(rows):

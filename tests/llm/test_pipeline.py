@@ -9,7 +9,7 @@ from test_pairs import brute_components
 from tracehound.llm import quality_rules
 from tracehound.session import materialize
 
-from conftest import sentence, vocabulary
+from corpora import sentence, vocabulary
 
 
 def test_stages(spark, make_docs, tmp_path):
