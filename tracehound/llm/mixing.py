@@ -1,8 +1,8 @@
 """Operator 2, mixing sources to target weights by soft membership.
 
 1. A classifier made from a labelled table predicts the domain posteriors of every document:
-   naive Bayes over the presence of hashed words and of four form marks (share of distinct
-   words, symbols, capitals, length), on the ``MAX_FEATURES`` features that differ most
+   naive Bayes over the presence of hashed words and of three form marks (share of distinct
+   words, symbols, length), on the ``MAX_FEATURES`` features that differ most
    between domains (z score). It learns from a bounded sample, the ``MAX_TRAIN`` labelled ids
    with the smallest hash; the model table is bounded too and is broadcast.
 2. Nonnegative document rates are fitted by projected-gradient least squares. With n_d tokens,
@@ -30,16 +30,13 @@ from .common import SPACE_RE, long_ids, with_column_names, written
 MAX_TRAIN = 6_000
 MAX_FEATURES = 4_096
 TEMPER = 1.0
-RIDGE = 1e-4
+RIDGE = 1e-6
 STEPS = 60
 TOLERANCE = 1e-4
 
 #: Target token shares of the registered query.
 TARGETS = {"good": 0.85, "poor": 0.05, "toxic": 0.10}
 
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
 def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 1, "good").when(quality == 0, "poor")
 
@@ -50,14 +47,13 @@ def _marked(docs: DataFrame) -> DataFrame:
     rid = F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id()
     d = docs.select(rid.alias("rid"), "doc_id", text.alias("text"))
     d = d.withColumn("words", F.array_remove(F.split(F.lower("text"), SPACE_RE), ""))
-    n, chars = F.size("words"), F.greatest(F.length("text"), F.lit(1))
+    n = F.size("words")
     d = d.withColumn("kinds", F.array_distinct("words"))
-    gone = lambda marks: F.length("text") - F.length(F.translate("text", marks, ""))
+    symbols = sum((F.length("text") - F.length(F.replace("text", F.lit(c), F.lit(""))) for c in "#*$%&|<"), F.lit(0))
     tenth = lambda x: F.floor(10 * x).cast("string")
     some = F.greatest(n, F.lit(1))
     form = F.array(F.lit("\u0001bias"), F.concat(F.lit("\u0001kinds"), tenth(F.size("kinds") / some)),
-                   F.concat(F.lit("\u0001symbols"), tenth(F.least(gone("#*$%&|<>") / some, F.lit(2.0)))),
-                   F.concat(F.lit("\u0001capitals"), tenth(gone(_CAPITALS) / chars)),
+                   F.concat(F.lit("\u0001symbols"), tenth(F.least(symbols / some, F.lit(2.0)))),
                    F.concat(F.lit("\u0001length"), F.floor(F.log2(some)).cast("string")))
     return d.select("rid", "doc_id", n.cast("long").alias("n_tokens"), F.concat("kinds", form).alias("marks"))
 
@@ -76,7 +72,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_train: i
     if not sum(sizes):
         return None
     total = float(sum(sizes))
-    c = (marks.select("domain", F.explode("marks").alias("m")).groupBy(F.xxhash64("m").alias("h")).agg(*one)
+    c = (marks.select("domain", F.explode_outer("marks").alias("m")).groupBy(F.xxhash64("m").alias("h")).agg(*one)
          .withColumn("c", sum((F.col(f"c_{i}") for i in range(1, len(domains))), F.col("c_0"))))
     q = F.col("c") / total
     z = F.greatest(*[F.abs(F.col(f"c_{i}") - s * q) / F.sqrt(s * q * (1 - q) + 0.5) for i, s in enumerate(sizes)], F.lit(0.0))
@@ -92,8 +88,10 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_train: i
 
 def posteriors(docs: DataFrame, model: DataFrame, domains: list[str]) -> DataFrame:
     """``rid, doc_id, n_tokens, p_<domain>..`` of every row. The words meet the broadcast
-    model before anything moves; what is shuffled is a few sums per document."""
-    hits = (_marked(docs).select("rid", "doc_id", "n_tokens", F.explode("marks").alias("m"))
+    model before anything moves; what is shuffled is a few sums per document. (No list of
+    marks is empty; ``explode_outer`` keeps the optimiser from testing that by making every
+    list once more in a filter under the scan.)"""
+    hits = (_marked(docs).select("rid", "doc_id", "n_tokens", F.explode_outer("marks").alias("m"))
             .withColumn("h", F.xxhash64("m")).join(F.broadcast(model), "h"))
     logit = (hits.groupBy("rid", "doc_id", "n_tokens").agg(*[F.sum(f"w_{i}").alias(f"l_{i}") for i in range(len(domains))]))
     top = F.greatest(*[F.col(f"l_{i}") for i in range(len(domains))], F.lit(-1e300))
