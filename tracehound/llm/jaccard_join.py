@@ -254,7 +254,9 @@ def _verify(nodes: DataFrame, placed: DataFrame, off_diagonal: bool) -> DataFram
     pairs = pairs.where("not (lo = hi and lo2 = hi2 and lo = lo2)").select("cluster", "block", "block2")
     sides = pairs.select("cluster", F.col("block").alias("at"), "block", "block2").union(
         pairs.where("block <> block2").select("cluster", F.col("block2").alias("at"), "block", "block2"))
-    rows = (placed.withColumnRenamed("block", "at").join(sides, ["cluster", "at"])
+    # dealt by block, not by cluster alone: a hot cluster's blocks go to different tasks
+    at = ["cluster", "at"]
+    rows = (placed.withColumnRenamed("block", "at").repartition(*at).join(sides.repartition(*at), at)
             .select("node", "comp", "cluster", "block", "block2").join(nodes.select("node", "tokens"), "node"))
     return rows.groupBy("cluster", "block", "block2").applyInPandas(_verify_group, "a long, b long")
 
