@@ -42,20 +42,35 @@ SEGMENT_IDS = 1 << 20
 TEXTS = 500  # encoded together
 _ID = np.dtype("<u4")
 
+
+def id_type(vocabulary: int) -> np.dtype:
+    """Ids of a small vocabulary take two bytes in the intermediate table."""
+    return np.dtype("<u2") if vocabulary <= 1 << 16 else _ID
+
+
+def _width(raw: bytes, n: int) -> np.dtype:
+    return np.dtype("<u2") if n and len(raw) == 2 * n else _ID
+
+
 # --- text to ids -------------------------------------------------------------------------
 
 #: A text with none of these is cut at its spaces: each piece (a space and what follows up
 #: to the next one) is a union of the pre-tokenizer's pieces, which a byte-level BPE merges
 #: independently. Any other text (rare characters, whose classes could differ between
 #: libraries, or a space beside other white space) goes to the library as it is.
-_WHOLE = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u024f]| \s|\s ")
+_ODD = re.compile(r"[^\n\x20-\x7e\xa1-\u024f]")
+
+
+def _whole(text: str) -> bool:
+    return _ODD.search(text) is not None or "  " in text or " \n" in text or "\n " in text
 
 
 class TextEncoder:
     """The ``tokenizers`` library with a bounded memo of the pieces between spaces, which
-    lives as long as its worker process."""
+    lives as long as its worker process. The memo has two generations: when the younger
+    is full, the elder is forgotten, so that frequent pieces stay."""
 
-    memo_pieces = 600_000
+    generation = 700_000
     _shared: dict[str, TextEncoder] = {}
 
     def __init__(self, path: str):
@@ -63,9 +78,11 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = id_type(size)
         #: ids whose token begins with the byte-level mark of a space
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.memo: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> TextEncoder:
@@ -75,30 +92,36 @@ class TextEncoder:
         return cls._shared[path]
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, _ID) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes the pieces together; every piece opens with a token that opens with a space."""
         ids, = self.library([" " + " ".join(pieces)])
         at = np.flatnonzero(self.opens[ids])
         if len(at) == len(pieces):
-            raw, ends = ids.tobytes(), np.append(at[1:], len(ids))
-            self.memo.update((p, raw[4 * a:4 * e]) for p, a, e in zip(pieces, at.tolist(), ends.tolist()))
+            raw, w = ids.tobytes(), self.dtype.itemsize
+            ends = (np.append(at[1:], len(ids)) * w).tolist()
+            self.memo.update(zip(pieces, [raw[a:e] for a, e in zip((at * w).tolist(), ends)]))
         else:
             self.memo.update((p, i.tobytes()) for p, i in zip(pieces, self.library([" " + p for p in pieces])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if _WHOLE.search(t) else t.split(" ") for t in texts]
-        memo = self.memo
-        new = list({p for c in cut if c for p in c[1:] if p not in memo} - {""})
-        if len(memo) + len(new) > self.memo_pieces:
-            memo.clear()
-            new = list({p for c in cut if c for p in c[1:]} - {""})
-        if new:
-            self._learn(new)
-        if "" not in memo:
+        """The ids of each text as little-endian integers of the vocabulary's width."""
+        cut = [None if _whole(t) else t.split(" ") for t in texts]
+        if len(self.memo) > self.generation:
+            self.memo, self.elder = {}, self.memo
+        memo, elder = self.memo, self.elder
+        new = set()
+        new.update(*(c[1:] for c in cut if c))
+        new -= memo.keys()
+        known = new & elder.keys()
+        memo.update((p, elder[p]) for p in known)
+        new -= known
+        if "" in new:
+            new.remove("")
             memo[""] = self.library([" "])[0].tobytes()
+        if new:
+            self._learn(list(new))
         first = iter(self.library([t if c is None else c[0] for t, c in zip(texts, cut)]))
         return [next(first).tobytes() + (b"".join(map(memo.__getitem__, c[1:])) if c else b"") for c in cut]
 
@@ -106,38 +129,25 @@ class TextEncoder:
 def token_rows(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """``part, doc_id, at, n, ids``: documents in ascending id order within and across
     parts; ``at`` counts the ids before a document in its part."""
-    end = np.array([end_id], _ID).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at = TextEncoder.of(path), 0
+        end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
         for b in batches:
-            out, starts, ns = [], [], []
             texts = b.column("text")
-            for ids in (x + end for k in range(0, len(texts), TEXTS) for x in encoder.encode(texts.slice(k, TEXTS).to_pylist())):
-                out.append(np.frombuffer(ids, _ID).astype("<u2").tobytes() if narrow else ids)
-                starts.append(at)
-                ns.append(len(ids) // 4)
-                at += len(ids) // 4
+            out = [x + end for k in range(0, len(texts), TEXTS) for x in encoder.encode(texts.slice(k, TEXTS).to_pylist())]
+            ns = np.array([len(x) // width for x in out], np.int64)
+            ends = at + np.cumsum(ns)
             yield pa.RecordBatch.from_arrays(
-                [b.column("part"), b.column("doc_id"), pa.array(starts, pa.int64()), pa.array(ns, pa.int64()),
-                 pa.array(out, pa.binary())], ["part", "doc_id", "at", "n", "ids"])
+                [b.column("part"), b.column("doc_id"), pa.array(ends - ns), pa.array(ns), pa.array(out, pa.binary())],
+                ["part", "doc_id", "at", "n", "ids"])
+            at = int(ends[-1]) if len(ends) else at
 
-    narrow = vocabulary_size(path) <= 1 << 16
     order = [F.col("doc_id"), F.xxhash64("text")]
     d = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(*order)
          .sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     return d.mapInArrow(run, "part int, doc_id long, at long, n long, ids binary")
 
 
-def vocabulary_size(path: str) -> int:
-    from tokenizers import Tokenizer
-    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
-
-
-def _id_type(row_ids: bytes, n: int) -> np.dtype:
-    return np.dtype("<u2") if n and len(row_ids) == 2 * n else _ID
-
-
 # --- the code ----------------------------------------------------------------------------
 
 def code_lengths(counts: dict[int, int], max_bits: int = MAX_BITS) -> dict[int, int]:
@@ -229,7 +239,7 @@ def count_ids(rows: DataFrame) -> DataFrame:
         for b in batches:
             for ids, n in zip(b.column("ids"), b.column("n")):
                 raw = ids.as_py()
-                got = np.bincount(np.frombuffer(raw, _id_type(raw, n.as_py())), minlength=len(total))
+                got = np.bincount(np.frombuffer(raw, _width(raw, n.as_py())), minlength=len(total))
                 got[:len(total)] += total
                 total = got
         s = np.flatnonzero(total)
@@ -277,7 +287,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
                 if not docs_:
                     key = (part, base[part] + at)
                 docs_.append((doc, n))
-                ids_.append(np.frombuffer(ids, _id_type(ids, n)))
+                ids_.append(np.frombuffer(ids, _width(ids, n)))
                 held += n
         if docs_:
             yield segment()
