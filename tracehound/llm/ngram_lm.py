@@ -11,7 +11,7 @@ token is held out in turn, that is, predicted from counts from which it has been
 
 1. Texts are packed in pages. Every page sends its distinct words (64-bit hashes) and word pairs
    (``32 + bucket bits`` bits, 40 and more) with their training counts to buckets, which add them
-   up over all documents and answer each page where the total is not the page's own count.
+   up over all documents and answer each page, key by key, by how much the total is above its own.
 2. Each page meets its answers; every token's two counts are written, per document.
 3. One pass over them counts the held-out tokens by (class, probability bins of half an
    octave): a table of bounded size, on which the driver runs the EM. Another pass scores.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, mix, word_hashes, written
-from .pages import bucket_bits, by_bucket, pack, totals, unpack
+from .pages import bucket_bits, by_bucket, pack, squeeze, stretch, totals, unpack
 
 EM_ROUNDS = 60
 CLASSES = 96
@@ -74,40 +74,32 @@ def _request(bits: int):
                     keys, counts = page_keys(docs, pairs)
                     bucket, at = by_bucket(keys, bits)
                     low = (keys >> np.uint64(32 - bits)).astype("<u4") if pairs else keys.astype("<u8")
-                    one = [np.flatnonzero(counts[s] != 1).astype("<u4") for s in at]  # most counts are 1
                     n = len(bucket)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r["page"]] * n, pa.int64()), pa.array(bucket, pa.int32()), pa.array([pairs] * n, pa.bool_()),
-                         pa.array([low[s].tobytes() for s in at], pa.binary()), pa.array([x.tobytes() for x in one], pa.binary()),
-                         pa.array([counts[s][x].astype("<u4").tobytes() for s, x in zip(at, one)], pa.binary())],
-                        ["page", "bucket", "pairs", "vals", "other", "times"])
+                         pa.array([squeeze(low[s], ascending=True) for s in at], pa.binary()),
+                         pa.array([squeeze(counts[s].astype("<u4")) for s in at], pa.binary())],
+                        ["page", "bucket", "pairs", "vals", "times"])
 
     return run
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
-    """One bucket of one order: sums over the pages; back go the totals that a page can't know.
-    A last row (page -1) has the distinct and all training tokens of the bucket."""
+    """One bucket of one order: sums over the pages. Back goes, for every key of a page in the
+    page's order, how much the total is above the page's own count. A last row (page -1) has
+    the distinct and all training tokens of the bucket."""
     pairs = bool(group.pairs.iloc[0])
-    vals = [np.frombuffer(v, "<u4" if pairs else "<u8") for v in group.vals]
-    sizes = [len(v) for v in vals]
-    own = []
-    for n, other, times in zip(sizes, group.other, group.times):
-        c = np.ones(n, np.int64)
-        c[np.frombuffer(other, "<u4")] = np.frombuffer(times, "<u4")
-        own.append(c)
-    keys, counts = np.concatenate(vals), np.concatenate(own)
+    vals = [stretch(v, "<u4" if pairs else "<u8", ascending=True) for v in group.vals]
+    own = [stretch(t, "<u4") for t in group.times]
+    keys, counts = np.concatenate(vals), np.concatenate(own).astype(np.int64)
     total = totals(keys, counts)
-    out, at = [], 0
-    for page, bucket, v, c in zip(group.page, group.bucket, vals, own):
-        t = total[at:at + len(v)]
+    more, at, out = (total - counts).astype("<u4"), 0, []
+    for page, bucket, v in zip(group.page, group.bucket, vals):
+        out.append((page, bucket, pairs, squeeze(more[at:at + len(v)]), 0, 0))
         at += len(v)
-        x = t != c
-        if x.any():
-            out.append((page, bucket, pairs, v[x].tobytes(), t[x].astype("<u4").tobytes(), 0, 0))
     _, first = np.unique(keys, return_index=True)
-    out.append((-1, group.bucket.iloc[0], pairs, b"", b"", int((total[first] > 0).sum()), int(counts.sum())))
-    return pd.DataFrame(out, columns=["page", "bucket", "pairs", "vals", "total", "distinct", "tokens"])
+    out.append((-1, group.bucket.iloc[0], pairs, b"", int((total[first] > 0).sum()), int(counts.sum())))
+    return pd.DataFrame(out, columns=["page", "bucket", "pairs", "more", "distinct", "tokens"])
 
 
 def _counts(bits: int):
@@ -122,16 +114,10 @@ def _counts(bits: int):
             tables = []
             for pairs in (False, True):
                 keys, counts = page_keys([(t, f) for _, _, f, t in rows], pairs)
+                place = dict(zip(*(x if isinstance(x, list) else x.tolist() for x in by_bucket(keys, bits))))
                 got = answers[answers.pairs == pairs]
-                if len(got):
-                    vals = np.concatenate([((np.uint64(b) << np.uint64(32)) | np.frombuffer(v, "<u4").astype(np.uint64)) if pairs
-                                           else np.frombuffer(v, "<u8") for b, v in zip(got.bucket, got.vals)])
-                    sums = np.concatenate([np.frombuffer(t, "<u4") for t in got.total]).astype(np.int64)
-                    order = np.argsort(vals, kind="stable")
-                    vals, sums = vals[order], sums[order]
-                    short = keys >> np.uint64(32 - bits) if pairs else keys
-                    at = np.minimum(np.searchsorted(vals, short), len(vals) - 1)
-                    counts = np.where(vals[at] == short, sums[at], counts)
+                for bucket, more in zip(got.bucket, got.more):
+                    counts[place[bucket]] += stretch(more, "<u4")
                 tables.append((keys, counts))
             end = look(mix(np.array([END])), *tables[0])[0]
             for rid, doc, f, t in rows:
@@ -203,11 +189,11 @@ def token_counts(docs: DataFrame, learn) -> tuple[DataFrame, int, int]:
     spark = docs.sparkSession
     bits = bucket_bits(spark)
     pages = pack(docs, F.monotonically_increasing_id(), learn, "lm-pages")
-    asked = pages.mapInArrow(_request(bits), "page long, bucket int, pairs boolean, vals binary, other binary, times binary")
+    asked = pages.mapInArrow(_request(bits), "page long, bucket int, pairs boolean, vals binary, times binary")
     answers = written(asked.groupBy("bucket", "pairs").applyInPandas(
-        _answer, "page long, bucket int, pairs boolean, vals binary, total binary, distinct long, tokens long"), "lm-answers")
+        _answer, "page long, bucket int, pairs boolean, more binary, distinct long, tokens long"), "lm-answers")
     size = answers.where("page = -1 and not pairs").agg(F.sum("distinct"), F.sum("tokens")).first()
-    back = answers.where("page >= 0").select("page", "bucket", "pairs", "vals", "total")
+    back = answers.where("page >= 0").select("page", "bucket", "pairs", "more")
     table = written(pages.groupBy("page").cogroup(back.groupBy("page")).applyInPandas(
         _counts(bits), "rid long, doc_id long, learn boolean, n long, n_texts long, c1 binary, c2 binary"), "lm-counts")
     return table, size[0] or 0, size[1] or 0

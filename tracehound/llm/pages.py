@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-PAGE_BYTES = 6 << 20
+PAGE_BYTES = 14 << 20
 PAGE_ROWS = 8192
 SCHEMA = "page long, rid binary, doc_id binary, flag binary, size binary, texts binary"
 COLUMNS = ["page", "rid", "doc_id", "flag", "size", "texts"]
@@ -82,6 +82,22 @@ def by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:
     return bucket[cut], [slice(a, e) for a, e in zip(cut, ends)]
 
 
+def squeeze(numbers: np.ndarray, ascending: bool = False) -> bytes:
+    """Unsigned integers (their differences, if ascending) as byte planes under zstandard."""
+    if ascending:
+        numbers = np.diff(numbers, prepend=numbers.dtype.type(0))
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def stretch(raw: bytes, dtype: str, ascending: bool = False) -> np.ndarray:
+    """The numbers that ``squeeze`` packed."""
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1)
+    numbers = np.ascontiguousarray(planes.T).view(dtype).ravel()
+    return np.cumsum(numbers, dtype=dtype) if ascending else numbers
+
+
 def totals(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """For every key the sum of the weights of all equal keys."""
     order = np.argsort(keys, kind="stable")
