@@ -15,9 +15,6 @@ from tracehound.llm import decontaminate, jaccard_join, mixing, quality_rules, s
 from tracehound.llm.common import long_ids, table, with_column_names
 from tracehound.session import materialize
 
-#: The mix that the corpus is brought to: no toxic text, no repetition.
-TARGETS = {"clean": 1.0, "toxic": 0.0}
-
 _ROW = "__row"
 
 
@@ -46,14 +43,13 @@ def decontamination_stage(spark, docs, sf_dir):
 
 
 def mixing_stage(spark, docs, sf_dir):
-    """Documents are taken as often as their fitted rate says."""
+    """The corpus is brought to the mix of its surely clean documents, which stay, each once;
+    none is repeated."""
     labels = long_ids(with_column_names(table(spark, sf_dir, "labels"), "doc_id", "toxic"))
     labelled = labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").alias("domain"))
     numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
-    rates = mixing.mix(numbered, labelled, TARGETS, upsample=False, row_id=_ROW)
-    times = rates.select(F.col("rid").alias(_ROW), mixing.copies(F.col("rate"), F.col("rid")).alias("__copies")).where("__copies > 0")
-    return (numbered.join(times, _ROW).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies"))))
-            .select(*docs.columns))
+    kept = mixing.keep_domain(numbered, labelled, "clean", ["toxic"], _ROW).where("copies > 0").select(F.col("rid").alias(_ROW))
+    return numbered.join(kept, _ROW, "left_semi").select(*docs.columns)
 
 
 def sharding_stage(spark, docs, sf_dir):

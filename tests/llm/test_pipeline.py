@@ -68,3 +68,14 @@ def test_run_is_the_stages(spark, make_docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in out.collect()) == list(range(12))
+
+
+def test_clean_documents_stay_exactly_once(spark, make_docs, tmp_path):
+    rng = random.Random(17)
+    v = vocabulary(rng, 1500)
+    rows = [(k, sentence(rng, rng.randint(40, 120), v) + (" vile nasty vile" if k % 9 == 0 else "")) for k in range(400)]
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, 1, int(k % 9 == 0)) for k in range(200)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.mixing_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == [k for k in range(400) if k % 9]

@@ -3,18 +3,21 @@
 1. A classifier made from a labelled table predicts the domain posteriors of every document:
    naive Bayes over the presence of hashed words and of three form marks (share of distinct
    words, symbols, length), on the ``MAX_FEATURES`` features that differ most
-   between domains (z score). It learns from a bounded sample, the ``MAX_TRAIN`` labelled ids
-   with the smallest hash; the model table is bounded too and is broadcast.
+   between domains (z score). ``keep_domain`` scores their absence too, so that a text without
+   any telling word has a sure posterior and not the prior's; for three domains on texts with
+   copies that made the posteriors worse (README). It learns from a bounded sample, the
+   ``MAX_TRAIN`` labelled ids with the smallest hash; the model table is bounded too and is
+   broadcast.
 2. Nonnegative document rates are fitted by projected-gradient least squares. With n_d tokens,
    posteriors p_dk and T tokens in all, the mix is A_k = sum_d r_d n_d p_dk / T; minimised is
    sum_k (A_k - t_k)^2 + ridge * sum_d (n_d / T)(r_d - 1)^2 over r >= 0. In the metric n_d / T
    the gradient at a document is p_d . (A - t), the same k numbers for all documents, so the
    steps are summed in k numbers and projected: r_d = max(0, 1 - p_d . sum of steps), with
-   momentum and restarts. A step is one aggregation to k sums over the written posterior table;
+   momentum and restarts. With ``most`` the rates are projected on 0 <= r <= most. A step is one aggregation to k sums over the written posterior table;
    the driver holds k numbers, and no rate is kept between steps.
 
-DataFrame functions only. Defined results: a null or empty text has no tokens, the prior's
-posteriors and rate 1 (it can't change the mix); a label repeated for an id counts once
+DataFrame functions only. Defined results: a null or empty text has no tokens, the
+posteriors of no feature and rate 1 (it can't change the mix); a label repeated for an id counts once
 (largest domain name); null labels are ignored; with no labelled row there is nothing to fit
 and all rates are 1 and posteriors null; repeated rows get equal rates; extra columns are not read.
 """
@@ -32,7 +35,10 @@ MAX_FEATURES = 4_096
 TEMPER = 1.0
 RIDGE = 1e-6
 STEPS = 60
+BIAS = "\u0001bias"
 TOLERANCE = 1e-4
+#: A document whose posterior is at least this is surely of its domain.
+SURE = 0.95
 
 #: Target token shares of the registered query.
 TARGETS = {"good": 0.85, "poor": 0.05, "toxic": 0.10}
@@ -52,16 +58,18 @@ def _marked(docs: DataFrame) -> DataFrame:
     symbols = sum((F.length("text") - F.length(F.replace("text", F.lit(c), F.lit(""))) for c in "#*$%&|<"), F.lit(0))
     tenth = lambda x: F.floor(10 * x).cast("string")
     some = F.greatest(n, F.lit(1))
-    form = F.array(F.lit("\u0001bias"), F.concat(F.lit("\u0001kinds"), tenth(F.size("kinds") / some)),
+    form = F.array(F.lit(BIAS), F.concat(F.lit("\u0001kinds"), tenth(F.size("kinds") / some)),
                    F.concat(F.lit("\u0001symbols"), tenth(F.least(symbols / some, F.lit(2.0)))),
                    F.concat(F.lit("\u0001length"), F.floor(F.log2(some)).cast("string")))
     return d.select("rid", "doc_id", n.cast("long").alias("n_tokens"), F.concat("kinds", form).alias("marks"))
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_train: int = MAX_TRAIN,
-          max_features: int = MAX_FEATURES) -> DataFrame | None:
+          max_features: int = MAX_FEATURES, absences: bool = False) -> DataFrame | None:
     """Model table ``h, w_0 .. w_k-1`` from ``labelled(doc_id, domain)``: at most
-    ``max_features`` rows, with the prior on the feature that every document has."""
+    ``max_features`` rows, and one on the feature that every document has, with the prior. With
+    ``absences`` that one has the weights of the absence of all others too, and theirs are those
+    of presence less absence."""
     sample = (labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id")
               .agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
     marks = _marked(docs.join(F.broadcast(sample), "doc_id", "left_semi")).select("rid", "doc_id", "marks")
@@ -76,14 +84,16 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_train: i
          .withColumn("c", sum((F.col(f"c_{i}") for i in range(1, len(domains))), F.col("c_0"))))
     q = F.col("c") / total
     z = F.greatest(*[F.abs(F.col(f"c_{i}") - s * q) / F.sqrt(s * q * (1 - q) + 0.5) for i, s in enumerate(sizes)], F.lit(0.0))
-    weights = [(TEMPER * (F.log((F.col(f"c_{i}") + 0.5) / (s + 1.0)) - F.log((F.col("c") + 0.5) / (total + 1.0)))).alias(f"w_{i}")
-               for i, s in enumerate(sizes)]
-    best = (c.where("c >= 4").withColumn("z", z).where("z >= 4").orderBy(F.desc("z"), "h").limit(max_features)
-            .select("h", *weights))
-    bias = F.xxhash64(F.lit("\u0001bias"))
-    prior = docs.sparkSession.range(1).select(bias.alias("h"), *[F.lit(float(np.log((s + 0.5) / (total + 1)))).alias(f"w_{i}")
-                                                                for i, s in enumerate(sizes)])
-    return best.where(F.col("h") != bias).unionByName(prior)
+    of_all = (F.col("c") + 0.5) / (total + 1.0)
+    best = c.where("c >= 4").where(F.col("h") != F.xxhash64(F.lit(BIAS))).withColumn("z", z).where("z >= 4").orderBy(F.desc("z"), "h").limit(max_features)
+    best = written(best.select("h", of_all.alias("q"), *[((F.col(f"c_{i}") + 0.5) / (s + 1.0)).alias(f"q_{i}") for i, s in enumerate(sizes)]),
+                   "mixing-features")
+    away = [F.log1p(-F.col(f"q_{i}")) if absences else F.lit(0.0) for i in range(len(domains))]
+    absent = best.agg(*[F.sum(x) for x in away]).first()
+    weights = [(TEMPER * (F.log(f"q_{i}") - F.log("q") - x)).alias(f"w_{i}") for i, x in enumerate(away)]
+    prior = docs.sparkSession.range(1).select(F.xxhash64(F.lit(BIAS)).alias("h"), *[
+        F.lit(float(np.log((s + 0.5) / (total + 1)) + TEMPER * (absent[i] or 0.0))).alias(f"w_{i}") for i, s in enumerate(sizes)])
+    return best.select("h", *weights).unionByName(prior)
 
 
 def posteriors(docs: DataFrame, model: DataFrame, domains: list[str]) -> DataFrame:
@@ -101,10 +111,10 @@ def posteriors(docs: DataFrame, model: DataFrame, domains: list[str]) -> DataFra
 
 
 def fit_rates(table: DataFrame, targets: dict[str, float], upsample: bool = True, ridge: float = RIDGE,
-              steps: int = STEPS) -> DataFrame:
+              steps: int = STEPS, most: float | None = None) -> DataFrame:
     """Adds ``rate`` to a written table of ``n_tokens`` and ``p_<domain>``. With ``upsample``
     the mix keeps the corpus's token total; without, it is the largest mix with the target
-    shares that no domain must be repeated for."""
+    shares that no domain must be repeated for. No rate is above ``most``."""
     domains = list(targets)
     p = [F.col(f"p_{k}") for k in domains]
     share = F.col("n_tokens") / F.lit(1.0)
@@ -123,19 +133,20 @@ def fit_rates(table: DataFrame, targets: dict[str, float], upsample: bool = True
     step = 1.0 / (float(np.linalg.eigvalsh(gram)[-1]) + ridge)
     pulled = ahead = np.zeros(k)
     for t in range(1, steps + 1):
-        rate = projected(p, ahead)
+        rate = projected(p, ahead, most)
         mix = np.array(table.agg(*[F.sum(rate * share * x) for x in p]).first()) / total
         if np.abs(mix - want).max() < TOLERANCE:
             break
         before, pulled = pulled, ahead + step * (mix - want - ridge * ahead)
         forth = float((mix - want) @ (pulled - before)) >= 0  # else the momentum overshot: start it anew
         ahead = pulled + (t / (t + 3) * (pulled - before) if forth else 0.0)
-    return table.withColumn("rate", F.when(F.col("n_tokens") == 0, 1.0).otherwise(projected(p, ahead)))
+    return table.withColumn("rate", F.when(F.col("n_tokens") == 0, 1.0).otherwise(projected(p, ahead, most)))
 
 
-def projected(p: list[Column], pulled: np.ndarray) -> Column:
-    """The rates after the gradient steps summed in ``pulled``, projected on r >= 0."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((x * F.lit(float(v)) for x, v in zip(p, pulled)), F.lit(0.0)))
+def projected(p: list[Column], pulled: np.ndarray, most: float | None = None) -> Column:
+    """The rates after the gradient steps summed in ``pulled``, projected on 0 <= r <= most."""
+    rate = F.greatest(F.lit(0.0), F.lit(1.0) - sum((x * F.lit(float(v)) for x, v in zip(p, pulled)), F.lit(0.0)))
+    return rate if most is None else F.least(F.lit(most), rate)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], upsample: bool = True,
@@ -144,13 +155,38 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], upsampl
     column ``row_id`` (a distinct long for each row), or a number given here."""
     rid = F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rid.alias("rid"))
-    domains = list(targets)
-    model = learn(d, labelled, domains)
-    if model is None:
-        return _marked(d).select("rid", "doc_id", "n_tokens", *[F.lit(None).cast("double").alias(f"p_{k}") for k in domains],
-                                 F.lit(1.0).alias("rate"))
-    table = written(posteriors(d, written(model, "mixing-model"), domains), "mixing-posteriors")
-    return fit_rates(table, targets, upsample)
+    table = predicted(d, labelled, list(targets))
+    return _unfitted(d, list(targets)) if table is None else fit_rates(table, targets, upsample)
+
+
+def predicted(d: DataFrame, labelled: DataFrame, domains: list[str], absences: bool = False) -> DataFrame | None:
+    """The written posteriors of ``d(rid, doc_id, text)``; None without a labelled row."""
+    model = learn(d, labelled, domains, absences=absences)
+    return None if model is None else written(posteriors(d, written(model, "mixing-model"), domains), "mixing-posteriors")
+
+
+def _unfitted(d: DataFrame, domains: list[str]) -> DataFrame:
+    return _marked(d).select("rid", "doc_id", "n_tokens", *[F.lit(None).cast("double").alias(f"p_{k}") for k in domains],
+                             F.lit(1.0).alias("rate"))
+
+
+def keep_domain(docs: DataFrame, labelled: DataFrame, domain: str, others: list[str], row_id: str) -> DataFrame:
+    """``rid, copies`` (0 or 1) for every row of ``docs``: the mix is brought to the one that the
+    documents surely of ``domain`` (posterior at least ``SURE``) have, the purest that the
+    posteriors let a mix be. No rate is above 1 and those documents stay, each once; only what
+    is in doubt is rounded by hash. If no document is sure, nothing can be told apart and all stay."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(f"`{row_id}`").alias("rid"))
+    domains = [domain, *others]
+    table = predicted(d, labelled, domains, absences=True)
+    everything = d.select("rid", F.lit(1).alias("copies"))
+    if table is None:
+        return everything
+    sure = F.col(f"p_{domain}") >= SURE
+    pure = table.where(sure).agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{k}")) for k in domains]).first()
+    if not pure[0]:
+        return everything
+    rates = fit_rates(table, dict(zip(domains, map(float, pure))), upsample=False, most=1.0)
+    return rates.select("rid", F.when(sure, 1).otherwise(copies(F.col("rate"), F.col("rid"))).alias("copies"))
 
 
 def copies(rate: Column, key: Column) -> Column:
