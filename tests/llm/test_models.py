@@ -44,6 +44,23 @@ def test_largest_mix_without_repetition(spark):
     assert all(abs(out[k] - (k < 8)) < 1e-3 for k in range(10))
 
 
+@pytest.mark.parametrize("share, sharp", [(0.01, False), (0.002, True), (0.002, False)])
+def test_a_rare_domain_reaches_its_target(spark, share, sharp):
+    rng = np.random.default_rng(9)
+    rows = 2000
+    kind = np.where(np.arange(rows) < share * rows, 2, (np.arange(rows) % 5 == 0).astype(int))
+    p = np.eye(3)[kind] if sharp else 0.94 * np.eye(3)[kind] + 0.06 * rng.dirichlet((8, 4, 0.01), rows)
+    table = spark.createDataFrame([(k, k, 100, *map(float, p[k])) for k in range(rows)], "rid long, doc_id long, n_tokens long, p_a double, p_b double, p_c double")
+    rate = mixing.fit_rates(table, {"a": 0.85, "b": 0.05, "c": 0.10}).orderBy("rid").toPandas().rate.to_numpy()
+    assert np.abs(rate @ p / rows - [0.85, 0.05, 0.10]).max() < 1e-3
+
+
+def test_a_fit_that_does_not_converge_says_so(spark):
+    table = spark.createDataFrame([(k, 10, k / 10, 1 - k / 10) for k in range(11)], "rid long, n_tokens long, p_a double, p_b double")
+    with pytest.raises(RuntimeError, match="residual"):
+        mixing.fit_rates(table, {"a": 0.9, "b": 0.1}, steps=1)
+
+
 def test_domains_are_told_apart(spark, make_docs):
     rng = random.Random(2)
     v = vocabulary(rng, 300)

@@ -8,13 +8,15 @@
    copies that made the posteriors worse (README). It learns from a bounded sample, the
    ``MAX_TRAIN`` labelled ids with the smallest hash; the model table is bounded too and is
    broadcast.
-2. Nonnegative document rates are fitted by projected-gradient least squares. With n_d tokens,
-   posteriors p_dk and T tokens in all, the mix is A_k = sum_d r_d n_d p_dk / T; minimised is
-   sum_k (A_k - t_k)^2 + ridge * sum_d (n_d / T)(r_d - 1)^2 over r >= 0. In the metric n_d / T
-   the gradient at a document is p_d . (A - t), the same k numbers for all documents, so the
-   steps are summed in k numbers and projected: r_d = max(0, 1 - p_d . sum of steps), with
-   momentum and restarts. With ``most`` the rates are projected on 0 <= r <= most. A step is one aggregation to k sums over the written posterior table;
-   the driver holds k numbers, and no rate is kept between steps.
+2. Nonnegative document rates are fitted by least squares. With n_d tokens, posteriors p_dk
+   and T tokens in all, the mix is A_k = sum_d r_d n_d p_dk / T; minimised is
+   sum_k (A_k - t_k)^2 + ridge * sum_d (n_d / T)(r_d - 1)^2 over 0 <= r (and r <= most). In the
+   metric n_d / T the projected gradient vanishes where r_d = max(0, 1 - p_d . v) with the k numbers
+   v = (A - t) / ridge, the same for all documents. They minimise a convex, piecewise quadratic
+   function of k numbers, found by Newton steps with a line search; a step is two aggregations to
+   a few sums over the written posterior table, and no rate is kept between steps. It ends when
+   the residual, ridge * v - (A - t), is under ``RESIDUAL``, and raises if it doesn't get there. A
+   warning tells by how much the best mix misses targets that can't be reached.
 
 DataFrame functions only. Defined results: a null or empty text has no tokens, the
 posteriors of no feature and rate 1 (it can't change the mix); a label repeated for an id counts once
@@ -24,6 +26,8 @@ and all rates are 1 and posteriors null; repeated rows get equal rates; extra co
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,8 @@ MAX_FEATURES = 4_096
 TEMPER = 1.0
 RIDGE = 1e-6
 STEPS = 60
+RESIDUAL = 1e-7
+LINE = 24
 BIAS = "\u0001bias"
 TOLERANCE = 1e-4
 #: A document whose posterior is at least this is surely of its domain.
@@ -118,35 +124,52 @@ def fit_rates(table: DataFrame, targets: dict[str, float], upsample: bool = True
     domains = list(targets)
     p = [F.col(f"p_{k}") for k in domains]
     share = F.col("n_tokens") / F.lit(1.0)
-    sums = [F.sum(share)] + [F.sum(share * x) for x in p] + [F.sum(share * x * y) for x in p for y in p]
+    sums = [F.sum(share)] + [F.sum(share * x) for x in p]
     row = table.agg(*sums).first()
     total = row[0] or 0.0
     if not total:
         return table.withColumn("rate", F.lit(1.0))
     k = len(domains)
-    have = np.array(row[1:1 + k]) / total
-    gram = np.array(row[1 + k:]).reshape(k, k) / total
+    have = np.array(row[1:]) / total
     want = np.array([targets[d] for d in domains], float)
     want = want / want.sum()
     if not upsample:
         want = want * min(h / w for h, w in zip(have, want) if w > 0)
-    step = 1.0 / (float(np.linalg.eigvalsh(gram)[-1]) + ridge)
-    pulled = ahead = np.zeros(k)
-    for t in range(1, steps + 1):
-        rate = projected(p, ahead, most)
-        mix = np.array(table.agg(*[F.sum(rate * share * x) for x in p]).first()) / total
-        if np.abs(mix - want).max() < TOLERANCE:
+    v = np.zeros(k)
+    for _ in range(steps):
+        rate = projected(p, v, most)
+        free = (rate > 0) if most is None else (rate > 0) & (rate < most)
+        row = table.agg(*[F.sum(rate * share * x) for x in p],
+                        *[F.sum(F.when(free, share * x * y).otherwise(0.0)) for x in p for y in p]).first()
+        mix, active = np.array(row[:k]) / total, np.array(row[k:]).reshape(k, k) / total
+        slope = ridge * v + want - mix
+        if np.abs(slope).max() < RESIDUAL:
             break
-        before, pulled = pulled, ahead + step * (mix - want - ridge * ahead)
-        forth = float((mix - want) @ (pulled - before)) >= 0  # else the momentum overshot: start it anew
-        ahead = pulled + (t / (t + 3) * (pulled - before) if forth else 0.0)
-    return table.withColumn("rate", F.when(F.col("n_tokens") == 0, 1.0).otherwise(projected(p, ahead, most)))
+        move = -np.linalg.solve(active + ridge * np.eye(k), slope)
+        tries = [v + move * 2.0 ** -j for j in range(LINE)]
+        sums = table.agg(*[F.sum(share * _bowl(p, x, most)) for x in tries]).first()
+        v = tries[int(np.argmin([ridge * x @ x / 2 + want @ x + s / total for x, s in zip(tries, sums)]))]
+    else:
+        raise RuntimeError(f"the rates don't converge in {steps} steps: residual {np.abs(slope).max():.1e}")
+    if np.abs(mix - want).max() > TOLERANCE:
+        warnings.warn(f"the targets can't be reached: mix {dict(zip(domains, mix.round(5).tolist()))}, wanted {dict(zip(domains, want.round(5).tolist()))}")
+    return table.withColumn("rate", F.when(F.col("n_tokens") == 0, 1.0).otherwise(projected(p, v, most)))
+
+
+def projected(p: list[Column], v: np.ndarray, most: float | None = None) -> Column:
+    """The rates of the k numbers ``v``, projected on 0 <= r <= most."""
+    rate = F.greatest(F.lit(0.0), _unprojected(p, v))
+    return rate if most is None else F.least(F.lit(most), rate)
 
 
-def projected(p: list[Column], pulled: np.ndarray, most: float | None = None) -> Column:
-    """The rates after the gradient steps summed in ``pulled``, projected on 0 <= r <= most."""
-    rate = F.greatest(F.lit(0.0), F.lit(1.0) - sum((x * F.lit(float(v)) for x, v in zip(p, pulled)), F.lit(0.0)))
-    return rate if most is None else F.least(F.lit(most), rate)
+def _unprojected(p: list[Column], v: np.ndarray) -> Column:
+    return F.lit(1.0) - sum((x * F.lit(float(y)) for x, y in zip(p, v)), F.lit(0.0))
+
+
+def _bowl(p: list[Column], v: np.ndarray, most: float | None) -> Column:
+    """The integral of the projected rate over the unprojected one, from 0."""
+    x, rate = _unprojected(p, v), projected(p, v, most)
+    return rate * x - rate * rate / 2
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], upsample: bool = True,
