@@ -27,19 +27,20 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """Of every group of linked documents the one with the smallest doc_id stays; documents
-    without a shingle are in no group and stay."""
+    """Of every group of linked documents the one with the smallest doc_id stays (null after all
+    others); documents without a shingle are in no group and stay."""
     numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
     rows = jaccard_join.classes(numbered, row_id=_ROW)
-    first = rows.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m"))
+    first = rows.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m"))
     keep = first.select(F.col("m.rid").alias(_ROW)).union(rows.where("n_shingles = 0").select("rid"))
     return numbered.join(keep, _ROW, "left_semi").drop(_ROW)
 
 
 def decontamination_stage(spark, docs, sf_dir):
     """Documents that hold a benchmark item go."""
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
+    found = decontaminate.matches(numbered, table(spark, sf_dir, "benchmark"), row_id=_ROW).select(F.col("rid").alias(_ROW)).distinct()
+    return numbered.join(found, _ROW, "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark, docs, sf_dir):

@@ -79,3 +79,19 @@ def test_clean_documents_stay_exactly_once(spark, make_docs, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.mixing_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == [k for k in range(400) if k % 9]
+
+
+def test_null_and_repeated_ids(spark, make_docs, tmp_path):
+    rng = random.Random(19)
+    v = vocabulary(rng, 1500)
+    item = sentence(rng, 30, v)
+    a, b, c, d, e = (sentence(rng, 60, v) for _ in range(5))
+    held = sentence(rng, 20, v) + " " + item
+    make_docs([(None, a), (None, b), (None, b), (7, c), (7, d), (7, held), (None, held + " more"), (8, e), (None, e)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda df: sorted((r.doc_id or 0, r.text) for r in df.select("doc_id", "text").collect())
+    one = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert key(one) == sorted([(0, a), (0, b), (7, c), (7, d), (7, held), (8, e)])
+    clean = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert key(clean) == sorted([(0, a), (0, b), (0, b), (7, c), (7, d), (8, e), (0, e)])

@@ -107,10 +107,13 @@ def item_index(items: DataFrame) -> DataFrame:
                     F.explode("e.values").alias("value")))
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, row_id: str | None = None) -> DataFrame:
     """``doc_id, item_id, start_word, n_words, distance, similarity``: the best window of every
-    contaminated (document, item)."""
-    d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text",
+    contaminated (document, item). ``row_id`` names a column of ``docs`` with a distinct long for
+    each row; then the answers are by row, with that number first as ``rid``."""
+    rid = F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()
+    by = ["rid", "doc_id"] if row_id else ["doc_id"]
+    d = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text",
                     F.xxhash64("text").alias("text_hash")).where("text is not null")
     table = item_table(long_ids(with_column_names(items, "item_id", "text"), "item_id"))
     n_items = table.count()
@@ -129,7 +132,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                         F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("len"))).alias("start")))
         windows = hits if windows is None else windows.unionByName(hits)
     if windows is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, distance int, similarity double")
+        return docs.sparkSession.createDataFrame([], "".join(f"{c} long, " for c in by) + " item_id long, start_word int, n_words int, distance int, similarity double")
     # equal texts have equal windows: their first row stands for all of them
     windows = written(windows.groupBy("text_hash", "len", "gram", "start").agg(F.min("rid").alias("rid")), "bench-windows")
 
@@ -161,8 +164,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
             .withColumn("similarity", F.col("least") / F.col("most")))
     best = F.max_by(F.struct("start", "len", "distance", "similarity"), F.struct("similarity", -F.col("distance"), -F.col("start")))
     told = written(told.groupBy("text_hash", "item_id").agg(best.alias("b")), "bench-matches").select("text_hash", "item_id", "b.*")
-    return (d.select("doc_id", "text_hash").join(told, "text_hash").groupBy("doc_id", "item_id").agg(best.alias("b"))
-            .select("doc_id", "item_id", F.col("b.start").alias("start_word"), F.col("b.len").alias("n_words"),
+    return (d.select(*by, "text_hash").join(told, "text_hash").groupBy(*by, "item_id").agg(best.alias("b"))
+            .select(*by, "item_id", F.col("b.start").alias("start_word"), F.col("b.len").alias("n_words"),
                     F.col("b.distance").cast("int").alias("distance"), F.col("b.similarity").alias("similarity")))
 
 

@@ -262,10 +262,11 @@ def _verify(nodes: DataFrame, placed: DataFrame, off_diagonal: bool) -> DataFram
 
 
 def classes(docs: DataFrame, row_id: str | None = None) -> DataFrame:
-    """``rid, doc_id, n_shingles, class_id, component_id`` of every row: ``class_id`` is the
+    """``rid, doc_id, n_shingles, class_id, component_id, component`` of every row: ``class_id`` is the
     smallest doc_id with the same set, ``component_id`` the smallest one reachable by links.
     ``row_id`` names a column of ``docs`` with a distinct long for each row, which comes back
-    as ``rid``; without it rows are numbered here."""
+    as ``rid``; without it rows are numbered here. ``component`` tells the components apart whatever
+    their doc_ids are (null without a shingle)."""
     spark = docs.sparkSession
     rid = F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rid.alias("rid"), F.monotonically_increasing_id().alias("at"))
@@ -301,10 +302,10 @@ def classes(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     named = one.join(comps, one.digest == comps.node, "left").select(
         "digest", "class_id", F.coalesce("label", "digest").alias("comp"))
     least = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    named = written(named.join(least, "comp").select("digest", "class_id", "component_id"), "jaccard-names")
+    named = written(named.join(least, "comp").select("digest", "class_id", "component_id", F.col("comp").alias("component")), "jaccard-names")
     return sets.select("rid", "doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left").select(
         "rid", "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("component_id", "doc_id").alias("component_id"))
+        F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def digest(docs: DataFrame) -> DataFrame:
