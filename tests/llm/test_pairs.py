@@ -134,6 +134,26 @@ def test_decontamination(spark, make_docs):
         assert abs(r.similarity - n / m) < 1e-12 and r.distance <= decontaminate.RADIUS
 
 
+def test_windows_at_the_limit_with_one_differing_run(spark, make_docs):
+    """Tails and middles replaced, as long as 0.75 is kept: many are beyond the radius."""
+    rng = random.Random(23)
+    v = vocabulary(rng, 2000)
+    items = [(k, sentence(rng, rng.choice([25, 40, 60, 100]), v)) for k in range(20)]
+    rows = []
+    for k, passage in items:
+        p = passage.split()
+        for _ in range(10):
+            for lost in range(len(p), 0, -1):
+                w = p[:len(p) - lost] + [rng.choice(v) for _ in range(lost)]
+                n, m = weighted(w, p)
+                if 100 * n >= 75 * m:
+                    break
+            rows.append((len(rows), " ".join([rng.choice(v) for _ in range(9)] + w + [rng.choice(v) for _ in range(9)])))
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.digest(make_docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(k, k // 10) for k in range(len(rows))}
+    assert any(r.distance > decontaminate.RADIUS for r in got.values())
+
+
 def test_every_fingerprint_within_the_radius_meets(spark):
     rng = random.Random(2)
     prints = [rng.getrandbits(64) for _ in range(30)]
