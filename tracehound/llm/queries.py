@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import public_tokenizers
-
-from . import decontaminate, html_extract, jaccard_join, language_id, mixing, ngram_lm, quality_classifier, quality_rules, sharding, token_codec
+from . import (decontaminate, html_extract, jaccard_join, language_id, lexical_search, mixing, ngram_lm, prefix_trie, quality_classifier,
+               quality_rules, sharding, token_codec, url_filter)
 from .common import table
 
 
 def op1_token_codec(spark, sf_dir):
+    import public_tokenizers   # only this query needs it
     return token_codec.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -48,6 +48,22 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codec, op2_mixing, op3_quality_classifier, op4_jaccard_join, op5_html_extract, op6_decontaminate, op7_language_id, op8_sharding, op9_ngram_lm, op10_quality_rules)}
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_url_filter(spark, sf_dir):
+    return url_filter.digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_codec, op2_mixing, op3_quality_classifier, op4_jaccard_join, op5_html_extract, op6_decontaminate, op7_language_id, op8_sharding,
+    op9_ngram_lm, op10_quality_rules, op11_lexical_search, op12_prefix_trie, op13_url_filter)}
 
-ORACLE_SQL = {"op4_jaccard_join": jaccard_join.DIGEST_SQL, "op10_quality_rules": quality_rules.DIGEST_SQL}
+ORACLE_SQL = {"op4_jaccard_join": jaccard_join.DIGEST_SQL, "op10_quality_rules": quality_rules.DIGEST_SQL,
+              "op11_lexical_search": lexical_search.DIGEST_SQL, "op12_prefix_trie": prefix_trie.DIGEST_SQL,
+              "op13_url_filter": url_filter.DIGEST_SQL}
