@@ -21,7 +21,7 @@ def test_entry_smoke(spark):
 def test_registry_consistent():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
-    assert len(q) >= 39 and len(s) >= 39
+    assert len(q) >= 58 and len(s) >= 58
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,10 @@ def _rows(pdf):
 FAST = ["walk_upstream", "walk_cyclic", "chain_edges", "urn_parse", "owner_label", "props_label", "props_map",
         "symptom_class", "signals", "volume_anomaly", "null_rate", "schema_diff", "freshness", "zero_row_days",
         "hop_volume", "signals_union", "search_entities", "evidence_block", "rank_suspects", "blast_radius",
-        "walk_per_node_cap", "report_parse", "investigate", "report_text", "tags_verify", "writeback_proof", "lineage_dot", "blast_nodes", "report_json"]
+        "walk_per_node_cap", "report_parse", "investigate", "report_text", "tags_verify", "writeback_proof", "lineage_dot", "blast_nodes", "report_json",
+        "null_spikes", "column_diff", "zero_row_runs", "volume_regions", "first_drop", "check_results", "rank_fused", "drawing_lines",
+        "answers_entities", "answers_lineage", "entity_lookup", "guarded_answers", "vocab_ensure", "upsert_entities", "scenario_results",
+        "scenario_score", "action_status", "evidence_columns", "incident_stream", "tags_add", "tags_remove"]
 
 
 @pytest.mark.parametrize("name", FAST)

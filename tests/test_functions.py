@@ -91,6 +91,23 @@ def test_decode_lineage_direction_and_empty_urns(spark):
     assert [r.urn for r in down] == ["z"]
 
 
+def test_decode_answers_keeps_rejects_beside_the_rows(spark):
+    from tracehound.sources.catalog import decode_answers
+    texts = {"ok": json.dumps(RAW), "wrapped": json.dumps({"entities": RAW[:1]}), "none": "[]", "also_none": "{}", "blank": "  ", "null": None,
+             "prose": "not json", "cut": json.dumps(RAW)[:-3], "trailing": json.dumps(RAW) + " ok?", "two": "[] []", "number": "7"}
+    df = spark.createDataFrame(list(texts.items()), "answer_id string, text string")
+    rows = decode_answers(df, keep=("answer_id",)).collect()
+    assert {r.answer_id: r.reject for r in rows if r.reject} == {
+        "blank": "empty", "null": "empty", "prose": "malformed", "cut": "malformed", "trailing": "malformed", "two": "malformed", "number": "malformed"}
+    good = [r for r in rows if r.reject is None]
+    assert {r.answer_id for r in good} == {"ok", "wrapped"} and all(r.urn for r in good)
+    lin = spark.createDataFrame([("s", json.dumps({"upstreams": {"searchResults": [{"entity": {"urn": "a"}}, {"entity": {}}]}})), ("z", "{}"),
+                                 ("d", json.dumps({"downstreams": {"searchResults": [{"entity": {"urn": "b"}}]}})), ("t", "{}}"), ("l", "[1]")],
+                                "start_urn string, text string")
+    got = {(r.start_urn, r.urn, r.reject) for r in decode_answers(lin, "upstreams", keep=("start_urn",)).collect()}
+    assert got == {("s", "a", None), ("t", None, "malformed"), ("l", None, "malformed")}
+
+
 def test_labels(spark):
     df = spark.createDataFrame(
         [("u1", "n", "p", ["o1", "o2"], ["c1"], [("owner", "x"), ("k", "v"), ("z", None)]),

@@ -191,6 +191,50 @@ def test_tagstore_keeps_a_write_that_came_in_between(spark):
     assert sorted(r.entity_urn for r in store.entity_tags().collect()) == ["ours", "theirs"]
 
 
+def test_tagstore_many_writers_at_once(spark):
+    """Writers that commit at the same time: every write is kept, each in a version of its own."""
+    from concurrent.futures import ThreadPoolExecutor
+    store = C.TagStore.fresh(spark)
+    store.ensure_vocabulary()
+
+    def write(k):
+        mine = C.TagStore(spark, store.root)
+        applied, _ = mine.add_tags(spark.createDataFrame([(f"w{k}", C.IMPACT_TAG)], schemas.ENTITY_TAGS))
+        return applied.first().applied
+    with ThreadPoolExecutor(4) as pool:
+        assert all(pool.map(write, range(6)))
+    assert sorted(r.entity_urn for r in store.entity_tags().collect()) == [f"w{k}" for k in range(6)]
+    assert store._versions("entity_tags") == list(range(6))
+
+
+def test_tagstore_claim_of_a_dead_writer_is_an_error(spark):
+    import os
+    store = C.TagStore.fresh(spark)
+    store.seed(spark.createDataFrame([("a", C.IMPACT_TAG)], schemas.ENTITY_TAGS))
+    open(os.path.join(store.root.replace("file:", ""), "entity_tags", "_claim-1"), "w").close()
+    with pytest.raises(RuntimeError, match="_claim-1"):
+        store._update("entity_tags", schemas.ENTITY_TAGS, lambda t: t, attempts=2, patience=0.01)
+    assert store.entity_tags().count() == 1
+
+
+def test_tags_without_per_root_blast(spark):
+    """The union walk tags the same assets as the blast radii, among them a root below another."""
+    cat = f1_catalog(spark)
+    clean = ds("dbt", "wh.clean.scans")
+    sig = spark.createDataFrame([(ds("bigquery", "lake.intake.parcel_scans"), None, "volume", 0.6, 0.6, "data", "rows fell"),
+                                 (clean, None, "volume", 0.6, 0.6, "data", "rows fell")], schemas.SIGNALS)
+    inc = cat.incidents.unionByName(spark.createDataFrame([("D", "a drop", ds("dbt", "wh.agg.daily_parcels"))], schemas.INCIDENTS))
+    stores = []
+    for per_root in (True, False):
+        stores.append(C.TagStore.fresh(spark))
+        inv = investigate(cat.with_(signals=sig, incidents=inc), act=True, store=stores[-1], per_root=per_root)
+        assert (inv.containment["nodes"] is None) == (not per_root)
+        radius = {r.incident_id: r.blast_radius for r in inv.reports.collect()}
+        assert radius["B"] is None and (radius["A"] is not None) == per_root
+    a, b = (sorted(map(tuple, s.entity_tags().collect())) for s in stores)
+    assert a == b and len(a) >= 4
+
+
 def test_nothing_is_cut_by_default(spark):
     """A root with 300 assets below it in a chain of 8 hops, and a symptom with as long an upstream."""
     urn = lambda k: ds("dbt", f"n{k}")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import edges_df, starts_df
-from tracehound.operators.walk import induced_edges, walk, walk_downstream, walked_edges
+from tracehound.operators.walk import induced_edges, walk, walk_downstream, walk_upstream, walked_edges
 from tracehound.sources.seed import chain_edges
 
 
@@ -124,3 +124,50 @@ def test_partitioned_adjacency_same_result(spark):
     part = {(r.incident_id, r.urn, r.hop) for r in
             walk(s, e, upstream=False, max_hops=None, partition_adjacency=True).collect()}
     assert plain == part and len(plain) > 4
+
+
+def random_graph(seed, n=40, m=70, cyclic=True):
+    import random
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+    return sorted((a, b) if cyclic or a < b else (b, a) for a, b in pairs if a != b)
+
+
+def below(pairs, root):
+    seen, todo = {root}, [root]
+    while todo:
+        x = todo.pop()
+        for a, b in pairs:
+            if a == x and b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen - {root}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reach_of_others_is_the_union_of_blast_radii(spark, seed):
+    from tracehound.operators.walk import reach_of_others
+    pairs = random_graph(seed)
+    roots = [0, 1, 2, 3, 5, 8, 39] if seed else [7]
+    edges = edges_df(spark, [(f"n{a}", f"n{b}") for a, b in pairs])
+    got = reach_of_others(spark.createDataFrame([(f"n{r}",) for r in roots + roots[:2]] + [(None,), ("",)], "urn string"), edges)
+    assert sorted(r.urn for r in got.collect()) == sorted(f"n{x}" for x in set().union(*(below(pairs, r) for r in roots)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_distances_from_one_walk_are_those_of_each_incident(spark, seed):
+    """rank_suspects over whole evidence: one walk for all incidents gives what a walk per incident gives."""
+    from tracehound import schemas
+    from tracehound.operators.ranking import rank_suspects
+    pairs = random_graph(seed, cyclic=seed != 1)
+    edges = edges_df(spark, [(f"n{a}", f"n{b}") for a, b in pairs])
+    inc = spark.createDataFrame([(f"i{k}", "a drop" if k % 2 else "blank", f"n{k}") for k in range(10, 40, 3)], schemas.INCIDENTS)
+    sig = spark.createDataFrame([(f"n{k}", None, c, 1.0, 1.0, s, f"{c} at {k}") for k, c, s in (
+        (0, "volume", "data"), (4, "drift", "text"), (9, "stale", "text"), (20, "volume", "text"), (20, "drift", "data"))], schemas.SIGNALS)
+    ents = spark.createDataFrame([], schemas.ENTITIES)
+    ev = walk_upstream(inc.select("incident_id", F.col("affected_urn").alias("urn")), edges)
+    reached = ev.select("urn").distinct()
+    kept = sig.join(reached, "urn", "left_semi")
+    one = rank_suspects(ev, inc, kept, edges, entities=ents, reached=reached)
+    each = rank_suspects(ev, inc, kept, edges, entities=ents)
+    assert sorted(map(str, one.collect())) == sorted(map(str, each.collect())) and one.count() > 5

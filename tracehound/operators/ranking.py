@@ -5,7 +5,9 @@ Replaces the reference's remote reasoning step with an inspectable rule
 
 - score per evidence node: data signal of the symptom's class 4, other data signal 3,
   text signal of the symptom's class 2, other text signal 1, none 0;
-- dist: hops downstream from the nearest scoring node inside the evidence subgraph;
+- dist: hops downstream from the nearest scoring node inside the evidence subgraph. When the
+  evidence is the whole upstream, every node has all its ancestors in it, so its distance is the
+  same for every incident: one walk from all signalled nodes serves them all;
 - order: score desc, dist asc (nulls last), hop desc, urn; the symptom node (hop 0)
   is not a suspect; the first ``top`` are kept;
 - confidence: high for score 4 (or 2 with ``text_only_high``), medium for any other
@@ -21,7 +23,7 @@ from ..functions.evidence import owner_label
 from ..session import materialize
 from .signals import TEXT_RULES, symptom_classes
 from .enrich import enrich
-from .walk import induced_adjacency, walk
+from .walk import induced_adjacency, reached_adjacency, walk
 
 # ---- fixed values: next checks and missing-evidence statements -------------------
 CHECK_NEXT = {
@@ -57,20 +59,30 @@ def best_signal_per_node(signals: DataFrame) -> DataFrame:
                  F.max_by(F.col("detail"), F.struct(F.col("as_of"), F.col("detail"))).alias("detail")))
 
 
+def packed_signals(signals: DataFrame) -> DataFrame:
+    """``(urn, _sigs)``: the signals pre-aggregated per (urn, class, source) and packed into one
+    small array per URN (at most classes x sources entries)."""
+    return (best_signal_per_node(signals).groupBy("urn")
+            .agg(F.collect_list(F.struct("class", "source", "detail")).alias("_sigs")))
+
+
 def score_evidence(evidence: DataFrame, incidents: DataFrame, signals: DataFrame,
                    key: str = "incident_id", rules=TEXT_RULES) -> DataFrame:
     """Score every evidence node; keep its best signal (class, source, detail).
 
-    Signals are pre-aggregated per (urn, class, source) and packed into one small array
-    per URN (at most classes x sources entries), so the best signal of each evidence row
-    is an ``array_max`` over scored structs: no window and no join back. Ties on the score
-    go to the alphabetically first class, then to data over text."""
+    The best signal of each evidence row is an ``array_max`` over scored structs: no window
+    and no join back. Ties on the score go to the alphabetically first class, then to data
+    over text."""
+    return _scored(evidence, incidents, packed_signals(signals), key, rules)
+
+
+def _scored(evidence: DataFrame, incidents: DataFrame, nodes: DataFrame, key: str, rules, on=("urn",)) -> DataFrame:
+    """The evidence rows with their scores from ``nodes(*on, _sigs, ...)``, whose further columns
+    come along."""
     sym = incidents.select(key, symptom_classes("symptom", rules).alias("sym_classes"))
-    packed = (best_signal_per_node(signals).groupBy("urn")
-              .agg(F.collect_list(F.struct("class", "source", "detail")).alias("_sigs")))
     classes = sorted({r[0] for r in rules})
     # narrow rows only: names, owners and properties are joined back for the top rows
-    ev = evidence.select(key, "urn", "hop").join(sym, key, "left").join(packed, "urn", "left")
+    ev = evidence.select(key, "hop", *on).join(sym, key, "left").join(nodes, list(on), "left")
 
     def scored(sg):
         fits = F.coalesce(F.array_contains(F.col("sym_classes"), sg["class"]), F.lit(False))
@@ -85,7 +97,19 @@ def score_evidence(evidence: DataFrame, incidents: DataFrame, signals: DataFrame
     empty = F.array().cast("array<struct<class:string,source:string,detail:string>>")
     best = F.array_max(F.transform(F.coalesce(F.col("_sigs"), empty), scored))
     return ev.select(key, "urn", "hop", F.coalesce(best["score"], F.lit(0)).alias("score"),
-                     best["class"].alias("class"), best["source"].alias("source"), best["detail"].alias("detail"))
+                     best["class"].alias("class"), best["source"].alias("source"), best["detail"].alias("detail"),
+                     *[c for c in nodes.columns if c not in ("urn", "_sigs")])
+
+
+def signal_nodes(signals: DataFrame, reached: DataFrame, edges: DataFrame, edges_distinct: bool = False) -> DataFrame:
+    """``(urn, dist, _sigs)`` for every node that carries a signal (dist 0) or lies downstream of
+    one: one multi-source walk over the edges among the nodes ``reached(urn)`` by all incidents
+    together, however many incidents there are. ``reached`` must be closed upstream."""
+    packed = packed_signals(signals)
+    starts = packed.select(F.lit(0).alias("all"), "urn")
+    adj = materialize(reached_adjacency(reached, edges, edges_distinct), "reached-adjacency")
+    dist = walk(starts, None, upstream=False, max_hops=None, key="all", adj=adj)
+    return dist.select("urn", F.col("hop").alias("dist")).join(packed, "urn", "left")
 
 
 def distance_from_signals(scored: DataFrame, edges: DataFrame, key: str = "incident_id",
@@ -102,21 +126,41 @@ def distance_from_signals(scored: DataFrame, edges: DataFrame, key: str = "incid
 def rank_suspects(evidence: DataFrame, incidents: DataFrame, signals: DataFrame, edges: DataFrame,
                   key: str = "incident_id", top: int = 3, text_only_high: bool = False,
                   rules=TEXT_RULES, edges_distinct: bool = False,
-                  entities: DataFrame | None = None) -> DataFrame:
+                  entities: DataFrame | None = None, reached: DataFrame | None = None) -> DataFrame:
     """R1 + R5: the ``top`` suspects per incident with score, distance, confidence, owner,
     reason and next check. ``evidence`` is the upstream walk (hop 0 = symptom), either
     enriched, or narrow ``(key, urn, hop)`` with ``entities`` given: then only the top
-    rows are joined with the catalog."""
-    scored = materialize(score_evidence(evidence, incidents, signals, key, rules), "scored")
-    dist = distance_from_signals(scored, edges, key, edges_distinct)
-    cand = scored.where(F.col("hop") > 0).join(dist, [key, "urn"], "left")
+    rows are joined with the catalog.
+
+    ``reached``, the distinct ``urn`` of the evidence, says that the evidence is every incident's
+    whole upstream (an unbounded walk): distances then come from one walk for all incidents
+    (:func:`signal_nodes`). Without it they are found inside each incident's own evidence."""
+    if reached is not None:
+        nodes = materialize(signal_nodes(signals, reached, edges, edges_distinct), "signal-nodes")
+        cand = _scored(evidence, incidents, nodes, key, rules).where(F.col("hop") > 0)
+    else:
+        scored = materialize(score_evidence(evidence, incidents, signals, key, rules), "scored")
+        dist = distance_from_signals(scored, edges, key, edges_distinct)
+        cand = scored.where(F.col("hop") > 0).join(dist, [key, "urn"], "left")
+    if entities is not None:
+        return top_suspects(cand, entities, key, top, text_only_high)
+    return _explained(_ranked(cand, key, top).join(
+        evidence.select(key, "urn", "name", "owners", "custom_properties"), [key, "urn"]), key, text_only_high)
+
+
+def top_suspects(cand: DataFrame, entities: DataFrame, key: str = "incident_id", top: int = 3, text_only_high: bool = False) -> DataFrame:
+    """The ``top`` of the scored candidates ``(key, urn, hop, score, dist, class, source,
+    detail)``, joined with the catalog and explained."""
+    return _explained(enrich(_ranked(cand, key, top), entities), key, text_only_high)
+
+
+def _ranked(cand: DataFrame, key: str, top: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("dist").asc_nulls_last(),
                                         F.col("hop").desc(), F.col("urn"))
-    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(top))
-    if entities is not None:
-        ranked = enrich(ranked, entities)
-    else:
-        ranked = ranked.join(evidence.select(key, "urn", "name", "owners", "custom_properties"), [key, "urn"])
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(top))
+
+
+def _explained(ranked: DataFrame, key: str, text_only_high: bool) -> DataFrame:
     high = F.col("score") == 4
     if text_only_high:
         high = high | (F.col("score") == 2)

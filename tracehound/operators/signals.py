@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import materialize
+from .walk import adjacency, walk
 
 # ---- fixed values: signal classes and their text patterns --------------------
 # (class, pattern for node notes/descriptions, pattern for symptoms, veto for notes)
@@ -112,17 +114,36 @@ def null_rates(df: DataFrame, ts: str, columns: list[str], by: list[str] | None
             .withColumn("delta", F.col("null_rate") - F.col("prev_rate")))
 
 
+def null_spikes(rates: DataFrame, by: list[str] | None = None, window_rows: int = 14, min_rows: int = 3,
+                deviations: float = 5.0, min_rise: float = 0.02) -> DataFrame:
+    """``rates`` (:func:`null_rates`) with a robust baseline per column and a flag. The
+    baseline is the median of the column's up to ``window_rows`` earlier days and their median
+    absolute deviation, so a spike in the past doesn't lift it; a day is a spike when its rate
+    is above the median by more than ``deviations`` scaled deviations and by ``min_rise`` at
+    least, given ``min_rows`` earlier days. Windows hold a few numbers of daily aggregates."""
+    w = Window.partitionBy(*(by or []), "column").orderBy("day").rowsBetween(-window_rows, -1)
+
+    def median(sorted_values: Column) -> Column:
+        n = F.size(sorted_values)
+        at = lambda k: F.try_element_at(sorted_values, F.greatest(k, F.lit(1)).cast("int"))
+        return (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
+    out = rates.withColumn("_prior", F.array_sort(F.collect_list("null_rate").over(w)))
+    out = out.withColumn("median", median(F.col("_prior")))
+    out = out.withColumn("mad", median(F.array_sort(F.transform("_prior", lambda x: F.abs(x - F.col("median"))))))
+    out = out.withColumn("threshold", F.col("median") + F.greatest(F.lit(deviations * 1.4826) * F.col("mad"), F.lit(min_rise)))
+    return out.withColumn("spike", (F.size("_prior") >= min_rows) & F.coalesce(F.col("null_rate") > F.col("threshold"), F.lit(False))).drop("_prior")
+
+
 def json_key_drift(df: DataFrame, ts: str, json_col: str) -> DataFrame:
     """X3 on semi-structured payloads: the set of top-level JSON keys seen per day,
-    compared with the previous calendar day when that day has rows. Emits one row per
-    (day, key) that was added or dropped. Key sets are aggregated per day first
-    (bounded by days x keys); the day link is an equi-join on ``day - 1``."""
+    compared with the last day before it that has rows. Emits one row per (day, key) that
+    was added or dropped. Key sets are aggregated per day first (bounded by days x keys);
+    the window that links the days runs over one row per day."""
     keys = (df.select(F.to_date(F.col(ts)).alias("day"),
                       F.explode(F.json_object_keys(F.col(json_col))).alias("key"))
             .distinct())
     days = df.select(F.to_date(F.col(ts)).alias("day")).distinct()
-    pairs = (days.select("day", F.date_sub("day", 1).alias("prev_day"))
-             .join(days.select(F.col("day").alias("prev_day")), "prev_day"))
+    pairs = days.withColumn("prev_day", F.lag("day").over(Window.orderBy("day"))).where(F.col("prev_day").isNotNull())
     cur = keys.join(pairs, "day")
     before = keys.select(F.col("day").alias("prev_day"), "key")
     added = cur.join(before, ["prev_day", "key"], "left_anti")
@@ -152,6 +173,42 @@ def schema_diff(before: DataFrame, after: DataFrame, max_distance: int = 3) -> D
             .unionByName(ren.select("column", "type", F.lit("rename_candidate").alias("change"), "renamed_to")))
 
 
+def schema_changes(columns: DataFrame, by: list[str], snapshot: str = "snapshot", max_distance: int = 6) -> DataFrame:
+    """X3 on column lists ``(by..., snapshot, column, type)``: what changed in each snapshot of a
+    table against the table's last snapshot before it, however long ago that was. Rows ``(by...,
+    snapshot, prev_snapshot, change, column, type, renamed_to)``: ``added``, ``dropped``,
+    ``retyped`` (``type`` is the new one) and ``renamed``.
+
+    A dropped and an added column of the same type are a rename if each is the other's best
+    partner: fewest edits (within ``max_distance``, or one name containing the other), then the
+    names in order. The match is one to one, so two columns renamed at once are two renames.
+    Only columns that changed are ever paired, within one table, snapshot and type."""
+    cols = columns.select(*by, F.col(snapshot).alias("snapshot"), "column", "type").distinct()
+    snaps = cols.select(*by, "snapshot").distinct()
+    snaps = snaps.withColumn("prev_snapshot", F.lag("snapshot").over(Window.partitionBy(*by).orderBy("snapshot")))
+    snaps = snaps.where(F.col("prev_snapshot").isNotNull())
+    now = cols.join(snaps, [*by, "snapshot"]).withColumnRenamed("type", "new_type")
+    before = snaps.join(cols.select(*by, F.col("snapshot").alias("prev_snapshot"), "column", F.col("type").alias("old_type")), [*by, "prev_snapshot"])
+    key = [*by, "snapshot", "prev_snapshot"]
+    both = now.join(before, [*key, "column"], "full_outer")
+    none = F.lit(None).cast("string")
+    retyped = both.where(F.col("old_type") != F.col("new_type")).select(
+        *key, F.lit("retyped").alias("change"), "column", F.col("new_type").alias("type"), none.alias("renamed_to"))
+    added = both.where(F.col("old_type").isNull()).select(*key, F.col("new_type").alias("type"), F.col("column").alias("new"))
+    dropped = both.where(F.col("new_type").isNull()).select(*key, F.col("old_type").alias("type"), F.col("column").alias("old"))
+    pairs = dropped.join(added, [*key, "type"]).withColumn("edits", F.levenshtein("old", "new"))
+    pairs = pairs.where((F.col("edits") <= max_distance) | F.col("old").contains(F.col("new")) | F.col("new").contains(F.col("old")))
+    best = lambda side, other: F.row_number().over(Window.partitionBy(*key, "type", side).orderBy("edits", other))
+    renamed = pairs.withColumn("_o", best("old", "new")).withColumn("_n", best("new", "old")).where("_o = 1 AND _n = 1").select(
+        *key, "type", "old", "new")
+    return (retyped
+            .unionByName(renamed.select(*key, F.lit("renamed").alias("change"), F.col("old").alias("column"), "type", F.col("new").alias("renamed_to")))
+            .unionByName(added.join(renamed.drop("old"), [*key, "type", "new"], "left_anti").select(
+                *key, F.lit("added").alias("change"), F.col("new").alias("column"), "type", none.alias("renamed_to")))
+            .unionByName(dropped.join(renamed.drop("new"), [*key, "type", "old"], "left_anti").select(
+                *key, F.lit("dropped").alias("change"), F.col("old").alias("column"), "type", none.alias("renamed_to"))))
+
+
 def columns_of(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
@@ -167,24 +224,67 @@ def freshness(df: DataFrame, ts: str, by: list[str], stale_days: int, as_of: Col
             .withColumn("stale", F.col("lag_days") > F.lit(stale_days)))
 
 
-def zero_row_days(df: DataFrame, ts: str, by: list[str]) -> DataFrame:
-    """Calendar days between a feed's first and last day on which it wrote no rows.
-    Calendar per feed by ``sequence`` + ``explode``; anti-joined with the days seen."""
-    d = daily_counts(df, ts, by)
-    span = d.groupBy(*by).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    cal = span.select(*by, F.explode(F.sequence("first_day", "last_day")).alias("day"))
-    return cal.join(d.select(*by, "day"), [*by, "day"], "left_anti")
+def zero_row_runs(df: DataFrame, ts: str, by: list[str], as_of: Column | None = None) -> DataFrame:
+    """Runs of calendar days on which a feed wrote no rows, from its first day up to
+    ``as_of`` (default: the table's latest day, evaluated once). Rows ``(by..., start, end,
+    n_days, open)``; a feed that has been silent until ``as_of`` has an ``open`` run. A run is
+    what lies between a day with rows and the feed's next one, so no calendar is made and the
+    window runs over one row per feed and day with rows."""
+    if as_of is None:
+        as_of = df.select(F.max(F.to_date(F.col(ts)))).scalar()
+    days = df.groupBy(*by, F.to_date(F.col(ts)).alias("day")).agg(F.count(F.lit(1)).alias("n")).where(F.col("day").isNotNull())
+    nxt = F.lead("day").over(Window.partitionBy(*by).orderBy("day"))
+    runs = days.withColumn("_next", nxt).withColumn("open", F.col("_next").isNull())
+    runs = runs.withColumn("end", F.when(F.col("open"), as_of).otherwise(F.date_sub("_next", 1)))
+    return runs.withColumn("start", F.date_add("day", 1)).where(F.col("end") >= F.col("start")).select(
+        *by, "start", "end", (F.datediff("end", "start") + 1).alias("n_days"), "open")
+
+
+def zero_row_days(df: DataFrame, ts: str, by: list[str], as_of: Column | None = None) -> DataFrame:
+    """The days of :func:`zero_row_runs`, a row each."""
+    runs = zero_row_runs(df, ts, by, as_of)
+    return runs.select(*by, F.explode(F.sequence("start", "end")).alias("day"))
 
 
 def hop_volume(metrics: DataFrame, edges: DataFrame) -> DataFrame:
     """Per edge and day, the downstream volume against the upstream volume.
-    ``metrics(urn, day, n_rows)``; the metrics are joined to the edges twice."""
-    up = metrics.select(F.col("urn").alias("upstream"), "day", F.col("n_rows").alias("up_rows"))
-    down = metrics.select(F.col("urn").alias("downstream"), "day", F.col("n_rows").alias("down_rows"))
-    return (edges.select("upstream", "downstream").join(up, "upstream")
-            .join(down, ["downstream", "day"], "left")
-            .withColumn("down_rows", F.coalesce(F.col("down_rows"), F.lit(0)))
-            .withColumn("ratio", F.col("down_rows") / F.col("up_rows")))
+    ``metrics(urn, day, n_rows)``; an end without rows on a day counts 0, and the ratio is null
+    where the upstream end has none. The two lookups are added up instead of joined, so a day
+    that only one end has is kept."""
+    e = edges.select("upstream", "downstream").distinct()
+    zero = F.lit(0).cast("long")
+    up = e.join(metrics, F.col("upstream") == F.col("urn")).select("upstream", "downstream", "day", F.col("n_rows").alias("up_rows"), zero.alias("down_rows"))
+    down = e.join(metrics, F.col("downstream") == F.col("urn")).select("upstream", "downstream", "day", zero.alias("up_rows"), F.col("n_rows").alias("down_rows"))
+    return (up.unionByName(down).groupBy("upstream", "downstream", "day").agg(F.sum("up_rows").alias("up_rows"), F.sum("down_rows").alias("down_rows"))
+            .withColumn("ratio", F.try_divide(F.col("down_rows"), F.col("up_rows"))))
+
+
+def edge_breaks(metrics: DataFrame, edges: DataFrame, drop_ratio: float = 0.6, window_days: int = 7, min_days: int = 3) -> DataFrame:
+    """:func:`hop_volume` against each edge's own average ratio on the ``window_days``
+    calendar days before; ``broken`` where it falls below ``drop_ratio`` times that, given
+    ``min_days`` earlier days."""
+    w = Window.partitionBy("upstream", "downstream").orderBy(F.unix_date(F.col("day"))).rangeBetween(-window_days, -1)
+    return (hop_volume(metrics, edges).withColumn("usual", F.avg("ratio").over(w)).withColumn("_n", F.count("ratio").over(w))
+            .withColumn("broken", (F.col("_n") >= min_days) & F.coalesce(F.col("ratio") < F.lit(drop_ratio) * F.col("usual"), F.lit(False)))
+            .drop("_n"))
+
+
+def first_drops(breaks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Where a drop first appears. Per day, the broken edges (:func:`edge_breaks`) that have no
+    other broken edge of that day above them, and every asset below each: ``(day, upstream,
+    downstream, ratio, usual, urn, hops)``, ``hops`` counted from the edge's upstream end.
+
+    Two multi-source walks over the lineage, both for all days at once: the first marks what
+    lies below any broken edge of the day, so that a broken edge whose upstream end is marked
+    is a consequence; the second gives the assets below each first edge. Only assets below a
+    break are ever visited. In a cycle of broken edges each is below the other: none is first."""
+    adj = materialize(adjacency(edges, upstream=False), "drop-adjacency")
+    broken = materialize(breaks.where("broken").select("day", "upstream", "downstream", "ratio", "usual"), "broken")
+    below = walk(broken.select("day", F.col("downstream").alias("urn")), None, upstream=False, max_hops=None, key="day", adj=adj)
+    first = broken.join(below.select("day", F.col("urn").alias("upstream")), ["day", "upstream"], "left_anti")
+    first = materialize(first.withColumn("drop_id", F.monotonically_increasing_id()), "first-drops")
+    reach = walk(first.select("drop_id", F.col("downstream").alias("urn")), None, upstream=False, max_hops=None, key="drop_id", adj=adj)
+    return first.join(reach, "drop_id").select("day", "upstream", "downstream", "ratio", "usual", "urn", (F.col("hop") + 1).alias("hops"))
 
 
 def signals_from_checks(volume: DataFrame | None = None, stale: DataFrame | None = None,

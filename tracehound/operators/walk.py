@@ -85,8 +85,7 @@ def walk(starts: DataFrame, edges: DataFrame | None, *, upstream: bool, max_hops
     of a key is known without a per-level counts table; a key at its cap stops.
     """
     if adj is None:
-        a = _no_dedup(edges, upstream) if edges_distinct else adjacency(edges, upstream)
-        adj = materialize(a, "adjacency")
+        adj = materialize(walk_adjacency(edges, edges_distinct, upstream), "adjacency")
     capped = max_nodes is not None
     level0 = (starts.select(F.col(key), F.col("urn"))
               .where(_nonempty(F.col("urn")) & F.col(key).isNotNull())
@@ -136,6 +135,11 @@ def walk(starts: DataFrame, edges: DataFrame | None, *, upstream: bool, max_hops
     return _union_all([lv.select(key, "urn", "hop") for lv in levels])
 
 
+def walk_adjacency(edges: DataFrame, edges_distinct: bool = False, upstream: bool = False) -> DataFrame:
+    """What :func:`walk` takes as ``adj``; write it once and share it among walks of a direction."""
+    return _no_dedup(edges, upstream) if edges_distinct else adjacency(edges, upstream)
+
+
 def _no_dedup(edges: DataFrame, upstream: bool) -> DataFrame:
     src, dst = ("downstream", "upstream") if upstream else ("upstream", "downstream")
     s1, s2 = node_key(src)
@@ -165,10 +169,10 @@ def walk_upstream(starts: DataFrame, edges: DataFrame, max_hops: int | None = No
 
 def walk_downstream(starts: DataFrame, edges: DataFrame, max_hops: int | None = None, max_nodes: int | None = None,
                     key: str = "incident_id", include_root: bool = False,
-                    edges_distinct: bool = False) -> DataFrame:
+                    edges_distinct: bool = False, adj: DataFrame | None = None) -> DataFrame:
     """G3 (walk part): downstream nodes; the root is counted in the cap but excluded (F2)."""
     out = walk(starts, edges, upstream=False, max_hops=max_hops, max_nodes=max_nodes, key=key,
-               edges_distinct=edges_distinct)
+               edges_distinct=edges_distinct, adj=adj)
     return out if include_root else out.where(F.col("hop") > 0)
 
 
@@ -215,6 +219,42 @@ def induced_adjacency(nodes: DataFrame, edges: DataFrame, key: str = "incident_i
     return out if edges_distinct else out.dropDuplicates([key, "src1", "src2", "n1", "n2"])
 
 
+def reached_adjacency(reached: DataFrame, edges: DataFrame, edges_distinct: bool = False) -> DataFrame:
+    """The downstream walk adjacency among the nodes ``reached(urn)``, for all walks together.
+    ``reached`` is closed upstream (what unbounded upstream walks reach), so an edge whose
+    downstream end is in it has both ends in it."""
+    adj = walk_adjacency(edges, edges_distinct)
+    return adj.join(reached.select(*node_key("urn")), ["n1", "n2"], "left_semi").select("src1", "src2", "n1", "n2", "urn")
+
+
+def reach_of_others(roots: DataFrame, edges: DataFrame | None, *, edges_distinct: bool = False,
+                    adj: DataFrame | None = None) -> DataFrame:
+    """``urn`` of every node downstream of at least one other node of ``roots(urn)``, each once:
+    the union of all blast radii without the (root, node) pairs.
+
+    One walk for all roots: a node takes note of the first two roots that reach it and passes on
+    just these, so there are at most two rows a node, whatever the number of roots. Two are
+    enough: a node that several roots reach has two of them, and a root that only itself reaches
+    (in a cycle, or not at all) has one and is left out."""
+    if adj is None:
+        adj = materialize(walk_adjacency(edges, edges_distinct), "adjacency")
+    start = materialize(roots.where(_nonempty(F.col("urn"))).select("urn").distinct().select(
+        *node_key("urn"), "urn", F.monotonically_increasing_id().alias("origin")), "reach-roots")
+    levels, frontier = [start], start
+    while not frontier.isEmpty():
+        cand = (frontier.select(F.col("n1").alias("src1"), F.col("n2").alias("src2"), "origin").join(adj, ["src1", "src2"])
+                .groupBy("n1", "n2").agg(F.min("origin").alias("lo"), F.max("origin").alias("hi"), F.first("urn").alias("urn")))
+        known = _union_all([lv.select("n1", "n2", "origin") for lv in levels]).groupBy("n1", "n2").agg(
+            F.count(F.lit(1)).alias("c"), F.min("origin").alias("o"))
+        other = F.when(F.col("lo") != F.col("o"), F.col("lo")).when(F.col("hi") != F.col("o"), F.col("hi"))
+        add = F.when(F.col("c").isNull(), F.array_distinct(F.array("lo", "hi"))).when((F.col("c") == 1) & other.isNotNull(), F.array(other))
+        frontier = materialize(cand.join(known, ["n1", "n2"], "left").select("n1", "n2", "urn", F.explode(add).alias("origin")), "reach-level")
+        levels.append(frontier)
+    own = start.select("n1", "n2", F.col("origin").alias("own"))
+    return (_union_all(levels).join(own, ["n1", "n2"], "left").where(F.col("own").isNull() | (F.col("own") != F.col("origin")))
+            .dropDuplicates(["n1", "n2"]).select("urn"))
+
+
 def hop_label(hop="hop"):
     """Reference parity: the start is 0, every other node 1."""
     return F.least(F.col(hop), F.lit(1))

@@ -33,10 +33,14 @@ SUSPECT_FIELDS = ["urn", "why", "check_next", "owner", "confidence", "rank", "sc
                   "class", "source"]
 
 
-def evidence_signals(cat: Catalog, nodes: DataFrame) -> DataFrame:
+def reached_nodes(nodes: DataFrame) -> DataFrame:
+    """The distinct ``urn`` that the walks of all incidents reached, written once."""
+    return materialize(nodes.select("urn").distinct(), "reached")
+
+
+def evidence_signals(cat: Catalog, urns: DataFrame) -> DataFrame:
     """Text signals of the reached entities only (rules run once per reached URN), plus
-    the catalog's data signals for those URNs."""
-    urns = nodes.select("urn").distinct()
+    the catalog's data signals for those URNs; ``urns`` has each reached ``urn`` once."""
     sig = text_signals(cat.entities.join(urns, "urn", "left_semi"))
     if cat.signals is not None:
         sig = sig.unionByName(cat.signals.join(urns, "urn", "left_semi"))
@@ -45,9 +49,10 @@ def evidence_signals(cat: Catalog, nodes: DataFrame) -> DataFrame:
 
 def investigate(cat: Catalog, *, max_hops: int | None = None, max_nodes: int | None = None, top: int = 3,
                 act: bool = False, store: TagStore | None = None, text_only_high: bool = False,
-                act_on_text: bool = False, key: str = "incident_id") -> Investigation:
+                act_on_text: bool = False, per_root: bool = True, key: str = "incident_id") -> Investigation:
     """Reads the whole upstream of every incident unless a bound is given. ``act`` writes tags and
-    needs the ``store`` that they go to."""
+    needs the ``store`` that they go to; without ``per_root`` it leaves out the reports' blast
+    radius, which needs every root's own reach where the tags need only their union."""
     if act and store is None:
         raise ValueError("acting writes tags: pass the store that they go to")
     inc = cat.incidents.select(key, "symptom", "affected_urn")
@@ -55,9 +60,11 @@ def investigate(cat: Catalog, *, max_hops: int | None = None, max_nodes: int | N
     nodes = walk_upstream(starts, cat.edges, max_hops=max_hops, max_nodes=max_nodes, key=key,
                           edges_distinct=cat.edges_distinct)
     ev = enrich(nodes, cat.entities)  # returned for callers; ranking stays narrow
-    sig = evidence_signals(cat, nodes)
+    reached = reached_nodes(nodes)
+    sig = evidence_signals(cat, reached)
+    whole = max_hops is None and max_nodes is None   # bounded evidence has distances of its own
     sus = rank_suspects(nodes, inc, sig, cat.edges, key=key, top=top, text_only_high=text_only_high,
-                        edges_distinct=cat.edges_distinct, entities=cat.entities)
+                        edges_distinct=cat.edges_distinct, entities=cat.entities, reached=reached if whole else None)
     # F7 holds by construction here: suspects are ranked evidence rows. guard_suspects is
     # for suspects that come from outside, e.g. parsed stored answers.
     sus = materialize(sus, "suspects")
@@ -82,12 +89,14 @@ def investigate(cat: Catalog, *, max_hops: int | None = None, max_nodes: int | N
     if act:
         gated = act_gate(sus, key, act_on_text=act_on_text)
         containment = contain(store, gated, cat.edges, cat.entities, key=key,
-                              edges_distinct=cat.edges_distinct)
-        rep = (rep.join(containment["action"], key, "left")
-               .join(containment["blast_radius"], key, "left"))
+                              edges_distinct=cat.edges_distinct, per_root=per_root)
+        rep = rep.join(containment["action"], key, "left")
+    else:
+        rep = rep.withColumn("action", F.lit(None).cast(
+            "struct<urn:string,tag:string,applied:boolean,note:string,downstream_warned:boolean>"))
+    if act and per_root:
+        rep = rep.join(containment["blast_radius"], key, "left")
     else:
-        rep = rep.select("*", F.lit(None).cast(
-            "struct<urn:string,tag:string,applied:boolean,note:string,downstream_warned:boolean>").alias("action"),
-            F.lit(None).cast("struct<impacted_count:bigint,tagged:bigint,n_assets:bigint,"
-                             "n_dashboards:bigint>").alias("blast_radius"))
+        rep = rep.withColumn("blast_radius", F.lit(None).cast(
+            "struct<impacted_count:bigint,tagged:bigint,n_assets:bigint,n_dashboards:bigint>"))
     return Investigation(evidence=ev, suspects=sus, reports=rep, containment=containment)

@@ -227,11 +227,59 @@ va AS (SELECT *, avg(n_rows) OVER (PARTITION BY event_type ORDER BY (day - DATE
 vol AS (SELECT *, n_rows / prior_avg AS ratio, COALESCE(n_rows / prior_avg < {Q.DROP_RATIO}, false) AS flagged FROM va)"""
 
 ZERO = """zd AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day FROM orders GROUP BY ALL),
-zspan AS (SELECT o_orderpriority, min(day) AS f, max(day) AS l FROM zd GROUP BY 1),
+zspan AS (SELECT o_orderpriority, min(day) AS f, (SELECT max(day) FROM zd) AS l FROM zd GROUP BY 1),
 zcal AS (SELECT o_orderpriority, CAST(unnest(generate_series(f, l, INTERVAL 1 DAY)) AS DATE) AS day FROM zspan),
 zero AS (SELECT c.o_orderpriority, c.day FROM zcal c ANTI JOIN zd USING (o_orderpriority, day))"""
 
 
+PLACE = """place AS (SELECT o_orderkey, o_custkey, n_nationkey, n_regionkey, CAST(o_orderdate AS DATE) AS day
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
+
+
+def _spikes(rates: str, by: str, rows: int) -> str:
+    """X2 in SQL: the built-in windowed median and median absolute deviation."""
+    return f"""rated AS (SELECT *, n_null / n_rows AS null_rate FROM {rates}),
+based AS (SELECT *, median(null_rate) OVER w AS med, mad(null_rate) OVER w AS dev, count(*) OVER w AS c FROM rated
+  WINDOW w AS (PARTITION BY {by}, "column" ORDER BY day ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)),
+spikes AS (SELECT *, c >= 3 AND COALESCE(null_rate > med + greatest(5.0 * 1.4826 * dev, 0.02), false) AS spike FROM based)"""
+
+
+RESULTS = f"""rv AS (SELECT n_regionkey, day, count(*) AS n FROM place WHERE day IS NOT NULL GROUP BY ALL),
+rva AS (SELECT *, avg(n) OVER (PARTITION BY n_regionkey ORDER BY (day - DATE '1970-01-01') RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING) AS prior FROM rv),
+sl AS (SELECT l_orderkey, s_suppkey, s_nationkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS m, l_discount FROM lineitem
+  JOIN supplier ON s_suppkey = l_suppkey WHERE l_shipdate IS NOT NULL),
+nr AS (SELECT s_nationkey, m AS day, 'l_discount' AS "column", count(*) AS n_rows, sum(CASE WHEN l_discount IS NULL OR (month(m) IN (4, 10) AND l_orderkey % 5 = 0
+  AND s_nationkey % 3 = 0) THEN 1 ELSE 0 END) AS n_null FROM sl GROUP BY 1, 2),
+{_spikes('nr', 's_nationkey', 12)},
+sm AS (SELECT s_suppkey, m, s_suppkey % 7 = 3 AND (12 * year(m) + month(m)) % 8 = 0 AS other FROM (SELECT DISTINCT s_suppkey, m FROM sl) x),
+sc AS (SELECT *, COALESCE(other <> lag(other) OVER (PARTITION BY s_suppkey ORDER BY m), false) AS changed FROM sm),
+cd AS (SELECT o_custkey, day, lead(day) OVER (PARTITION BY o_custkey ORDER BY day) AS nxt FROM (SELECT DISTINCT o_custkey, day FROM place WHERE day IS NOT NULL) x),
+nd AS (SELECT DISTINCT n_nationkey, day FROM place WHERE day IS NOT NULL),
+ncal AS (SELECT n_nationkey, CAST(unnest(generate_series(min(day), (SELECT max(day) FROM nd), INTERVAL 1 DAY)) AS DATE) AS day FROM nd GROUP BY 1),
+nisl AS (SELECT n_nationkey, min(day) AS f, max(day) AS l FROM (SELECT *, day - CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY day) AS INT) AS island
+  FROM ncal ANTI JOIN nd USING (n_nationkey, day)) x GROUP BY n_nationkey, island HAVING count(*) >= {Q.SILENT_DAYS}),
+res AS (
+  SELECT {U('region', 'n_regionkey')} AS urn, day AS as_of, 'volume' AS "check", 'volume' AS class, COALESCE(n / prior < {Q.FUSED_DROP}, false) AS flagged,
+    n / prior AS measure, 'volume: rows ' || n AS detail FROM rva
+  UNION ALL SELECT {U('nation', 's_nationkey')}, last_day(day), 'nulls', 'drift', spike, null_rate, 'nulls: l_discount null in ' || n_null FROM spikes
+  UNION ALL SELECT {U('supplier', 's_suppkey')}, m, 'schema', 'drift', changed, CASE WHEN changed THEN 1.0 ELSE 0.0 END,
+    'schema: ' || CASE WHEN changed THEN '1' ELSE '0' END || ' columns changed' FROM sc
+  UNION ALL SELECT {U('customer', 'o_custkey')}, day, 'freshness', 'stale', false, 0.0, 'freshness: fresh' FROM cd
+  UNION ALL SELECT {U('customer', 'o_custkey')}, day + {Q.STALE_DAYS + 1}, 'freshness', 'stale', true, {float(Q.STALE_DAYS + 1)}, 'freshness: no data since ' || day FROM cd
+    WHERE day + {Q.STALE_DAYS + 1} < COALESCE(nxt, (SELECT max(day) FROM cd) + 1)
+  UNION ALL SELECT {U('nation', 'n_nationkey')}, f + {Q.SILENT_DAYS - 1}, 'zero_rows', 'stale', true, {float(Q.SILENT_DAYS)}, 'zero_rows: no rows since ' || f FROM nisl
+  UNION ALL SELECT {U('nation', 'n_nationkey')}, l + 1, 'zero_rows', 'stale', false, 0.0, 'zero_rows: rows again' FROM nisl WHERE l < (SELECT max(day) FROM nd))"""
+
+
+def _table_of(col: str) -> str:
+    return f"regexp_extract({col}, 'dataPlatform:[^,]+,([a-z]+)[.]', 1)"
+
+
+def _turn(col: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FK.PLATFORM.items())
+    return f"('urn:li:dataset:(urn:li:dataPlatform:' || CASE {col} {whens} END || ',' || {col} || ',PROD)')"
+
+
 def _sql() -> dict[str, str]:
     s: dict[str, str] = {}
     s["walk_upstream"] = _with(FK_EDGES, FK_INCIDENTS, _walk("w", INC_STARTS, True, Q.UP_HOPS)) + \
@@ -309,9 +357,118 @@ r AS (SELECT *, n_null / n_rows AS null_rate FROM long),
 p AS (SELECT *, lag(null_rate) OVER (PARTITION BY "column" ORDER BY day) AS prev_rate FROM r)
 SELECT CAST(day AS VARCHAR) AS day, "column", n_rows, CAST(n_null AS BIGINT) AS n_null, round(null_rate, 6) AS null_rate,
   round(prev_rate, 6) AS prev_rate, round(null_rate - prev_rate, 6) AS delta FROM p"""
-    s["schema_diff"] = "WITH " + FAULTY + """, keys AS (SELECT DISTINCT CAST(ts AS DATE) AS day, unnest(json_keys(props)) AS key FROM faulty),
-days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM faulty),
-pairs AS (SELECT a.day, b.day AS prev_day FROM days a JOIN days b ON b.day = a.day - 1)
+    feed = [c for c in cols if c != "event_type"]
+    sums = ", ".join(f"sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS {c}" for c in feed)
+    s["null_spikes"] = f"""WITH {FAULTY}, daily AS (SELECT event_type AS feed, CAST(f.ts AS DATE) AS day, count(*) AS n_rows, {sums} FROM faulty f GROUP BY 1, 2),
+long AS (UNPIVOT daily ON {', '.join(feed)} INTO NAME "column" VALUE n_null),
+{_spikes('long', 'feed', 14)}
+SELECT feed AS event_type, CAST(day AS VARCHAR) AS day, "column", CAST(n_null AS BIGINT) AS n_null, round(null_rate, 6) AS null_rate,
+  round(med, 6) AS median, round(dev, 6) AS mad, spike FROM spikes"""
+    s["column_diff"] = """WITH p AS (SELECT event_type, CAST(ts AS DATE) AS day, day(ts) AS d FROM events WHERE day(ts) <> 17 AND props IS NOT NULL),
+cols AS (SELECT DISTINCT event_type, day, unnest(CASE WHEN d < 15 THEN ['k'] ELSE ['key'] END) AS "column", 'number' AS type FROM p
+  UNION SELECT DISTINCT event_type, day, unnest(CASE WHEN d < 22 THEN ['lat', 'lon'] ELSE ['latitude', 'longitude'] END) AS c,
+    CASE WHEN d = 26 AND c = 'latitude' THEN 'text' ELSE 'number' END FROM p),
+days AS (SELECT event_type, day, lag(day) OVER (PARTITION BY event_type ORDER BY day) AS prev FROM (SELECT DISTINCT event_type, day FROM cols) x),
+added AS (SELECT n.event_type, n.day, d.prev, n."column", n.type FROM cols n JOIN days d USING (event_type, day) WHERE d.prev IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM cols o WHERE o.event_type = n.event_type AND o.day = d.prev AND o."column" = n."column")),
+dropped AS (SELECT o.event_type, d.day, d.prev, o."column", o.type FROM days d JOIN cols o ON o.event_type = d.event_type AND o.day = d.prev
+  WHERE NOT EXISTS (SELECT 1 FROM cols n WHERE n.event_type = d.event_type AND n.day = d.day AND n."column" = o."column")),
+retyped AS (SELECT n.event_type, n.day, d.prev, n."column", n.type FROM cols n JOIN days d USING (event_type, day)
+  JOIN cols o ON o.event_type = d.event_type AND o.day = d.prev AND o."column" = n."column" WHERE o.type <> n.type),
+cand AS (SELECT a.event_type, a.day, a.prev, a.type, d."column" AS old, a."column" AS new, levenshtein(d."column", a."column") AS edits
+  FROM dropped d JOIN added a USING (event_type, day, type) WHERE levenshtein(d."column", a."column") <= 6 OR contains(a."column", d."column")
+    OR contains(d."column", a."column")),
+ren AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand x WHERE x.event_type = c.event_type AND x.day = c.day AND x.type = c.type AND
+  ((x.old = c.old AND (x.edits, x.new) < (c.edits, c.new)) OR (x.new = c.new AND (x.edits, x.old) < (c.edits, c.old)))))
+SELECT event_type, CAST(day AS VARCHAR) AS snapshot, CAST(prev AS VARCHAR) AS prev_snapshot, change, "column", type, renamed_to FROM (
+  SELECT event_type, day, prev, 'retyped' AS change, "column", type, NULL AS renamed_to FROM retyped
+  UNION ALL SELECT event_type, day, prev, 'renamed', old, type, new FROM ren
+  UNION ALL SELECT event_type, day, prev, 'added', "column", type, NULL FROM added a WHERE NOT EXISTS (
+    SELECT 1 FROM ren WHERE ren.event_type = a.event_type AND ren.day = a.day AND ren.new = a."column" AND ren.type = a.type)
+  UNION ALL SELECT event_type, day, prev, 'dropped', "column", type, NULL FROM dropped d WHERE NOT EXISTS (
+    SELECT 1 FROM ren WHERE ren.event_type = d.event_type AND ren.day = d.day AND ren.old = d."column" AND ren.type = d.type)) x"""
+    s["zero_row_runs"] = """WITH d AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate IS NOT NULL),
+cal AS (SELECT o_custkey, CAST(unnest(generate_series(min(day), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1),
+z AS (SELECT * FROM cal ANTI JOIN d USING (o_custkey, day)),
+g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY day) AS INT) AS island FROM z)
+SELECT o_custkey, CAST(min(day) AS VARCHAR) AS start, CAST(max(day) AS VARCHAR) AS "end", count(*) AS n_days,
+  max(day) = (SELECT max(day) FROM d) AS open FROM g GROUP BY o_custkey, island"""
+    s["volume_regions"] = "WITH " + PLACE + f""", vr AS (SELECT n_regionkey, day, count(*) AS n_rows FROM place GROUP BY ALL),
+va AS (SELECT *, avg(n_rows) OVER (PARTITION BY n_regionkey ORDER BY (day - DATE '1970-01-01') RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING) AS prior FROM vr)
+SELECT n_regionkey, CAST(day AS VARCHAR) AS day, n_rows, round(prior, 4) AS prior_avg, COALESCE(n_rows / prior < {Q.FUSED_DROP}, false) AS flagged FROM va"""
+    s["first_drop"] = _with(FK_EDGES, PLACE, f"""te AS (SELECT DISTINCT {_table_of('upstream')} AS u, {_table_of('downstream')} AS v FROM fk_edges),
+ord AS (SELECT p.*, day(day) <> 20 OR o_orderkey % 4 = 0 AS kept, (SELECT count(*) FROM lineitem WHERE l_orderkey = p.o_orderkey) AS lines
+  FROM place p WHERE day IS NOT NULL),
+vol AS (SELECT day, unnest(['region', 'nation', 'customer', 'orders', 'supplier', 'lineitem']) AS t, unnest([count(*), count(*), count(*) FILTER (WHERE kept),
+  count(*) FILTER (WHERE kept), CAST(sum(lines) AS BIGINT), CAST(COALESCE(sum(lines) FILTER (WHERE kept), 0) AS BIGINT)]) AS n FROM ord GROUP BY day),
+hv AS (SELECT te.u, te.v, a.day, a.n AS up, b.n AS down, CASE WHEN a.n <> 0 THEN b.n / a.n END AS ratio FROM te JOIN vol a ON a.t = te.u JOIN vol b ON b.t = te.v AND b.day = a.day),
+br AS (SELECT *, avg(ratio) OVER w AS usual, count(ratio) OVER w AS c FROM hv WINDOW w AS (PARTITION BY u, v ORDER BY (day - DATE '1970-01-01')
+  RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+bad AS (SELECT *, row_number() OVER () AS id FROM br WHERE c >= 3 AND ratio < {Q.DROP_RATIO} * usual)""",
+        "below(id, day, t, hop) AS (SELECT id, day, v, 1 FROM bad UNION SELECT b.id, b.day, te.v, b.hop + 1 FROM below b JOIN te ON te.u = b.t WHERE b.hop < 10)") + f"""
+SELECT CAST(x.day AS VARCHAR) AS day, {_turn('x.u')} AS upstream, {_turn('x.v')} AS downstream, round(x.ratio, 4) AS ratio, round(x.usual, 4) AS usual,
+  {_turn('b.t')} AS urn, CAST(min(b.hop) AS BIGINT) AS hops
+FROM bad x JOIN below b ON b.id = x.id WHERE NOT EXISTS (SELECT 1 FROM below y WHERE y.day = x.day AND y.t = x.u)
+GROUP BY x.id, x.day, x.u, x.v, x.ratio, x.usual, b.t"""
+    s["check_results"] = "WITH " + PLACE + ", " + RESULTS + """
+SELECT urn, CAST(as_of AS VARCHAR) AS as_of, "check", class, flagged, round(measure, 4) AS measure, detail FROM res"""
+    s["rank_fused"] = _with(FK_EDGES, FK_INCIDENTS, FK_ENTITIES, _walk("w", INC_STARTS, True, None), _nodes("w", "ev"), TEXT_SIGNALS, PLACE, RESULTS,
+        f"""dated AS (SELECT 'L' || {LINE} AS incident_id, CAST(max(l_shipdate) AS DATE) AS day FROM lineitem GROUP BY l_orderkey, l_linenumber),
+pairs AS (SELECT DISTINCT urn, day FROM ev JOIN dated USING (incident_id)),
+one AS (SELECT urn, "check", as_of, arg_max(struct_pack(class := class, flagged := flagged, detail := detail), (flagged, detail)) AS r FROM res GROUP BY 1, 2, 3),
+ask AS (SELECT p.urn, p.day, c."check" FROM pairs p JOIN (SELECT DISTINCT urn, "check" FROM one) c USING (urn)),
+seen AS (SELECT a.urn, a.day, o.as_of, o.r FROM ask a ASOF JOIN one o ON o.urn = a.urn AND o."check" = a."check" AND a.day >= o.as_of),
+sig AS (SELECT urn, day, r.class AS class, 'data' AS source, r.detail AS detail FROM seen WHERE r.flagged AND date_diff('day', as_of, day) <= {Q.RESULT_AGE}
+  UNION ALL SELECT DISTINCT p.urn, p.day, t.class, t.source, t.detail FROM pairs p JOIN tsig t USING (urn)),
+hits AS (SELECT ev.incident_id, ev.urn, s.class, s.source, s.detail,
+  CASE WHEN s.source = 'data' THEN CASE WHEN {_fits('i.symptom')} THEN 4 ELSE 3 END ELSE CASE WHEN {_fits('i.symptom')} THEN 2 ELSE 1 END END AS score
+  FROM ev JOIN dated dt ON dt.incident_id = ev.incident_id JOIN sig s ON s.urn = ev.urn AND s.day = dt.day JOIN fk_incidents i ON i.incident_id = ev.incident_id),
+best AS (SELECT incident_id, urn, score, class, source, detail FROM (SELECT *, row_number() OVER (
+  PARTITION BY incident_id, urn ORDER BY score DESC, class, source, detail DESC) AS r FROM hits) h WHERE r = 1)""", *RANKED[11:17]) + """
+SELECT incident_id, CAST(rank AS BIGINT) AS rank, urn, CAST(score AS BIGINT) AS score, CAST(dist AS BIGINT) AS dist, class, source, confidence,
+  CASE WHEN score > 0 THEN source || ' signal (' || class || '): ' || COALESCE(detail, '') WHEN dist IS NOT NULL THEN 'downstream of a flagged node ('
+    || CAST(dist AS VARCHAR) || ' hop(s)); no signal of its own' ELSE 'on the upstream path of the symptom; no signal found' END AS why FROM conf"""
+    num = "CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT)"
+    s["answers_entities"] = _with(FK_ENTITIES) + f""", k AS (SELECT *, {num} AS k, {num} % 6 AS v FROM fk_entities),
+  r AS (SELECT *, CASE WHEN k % 11 = 10 THEN 'malformed' WHEN k % 13 = 12 THEN 'empty' WHEN k % 17 = 16 THEN 'malformed' END AS reject FROM k)
+SELECT name AS answer_id, reject, urn_ AS urn, n AS name, p AS platform, d AS description, o AS owners, f AS fields, x AS props, g AS tags FROM (SELECT name, reject,
+  CASE WHEN reject IS NULL THEN urn END AS urn_, CASE WHEN reject IS NULL THEN CASE v WHEN 0 THEN name || ' (stored)' ELSE name END END AS n,
+  CASE WHEN reject IS NULL THEN platform END AS p,
+  CASE WHEN reject IS NULL THEN CASE v WHEN 3 THEN 'edited: ' || description WHEN 4 THEN NULL ELSE description END END AS d,
+  CASE WHEN reject IS NULL THEN owners_str END AS o, CASE WHEN reject IS NULL THEN fields_str END AS f,
+  CASE WHEN reject IS NULL THEN CASE WHEN v = 4 THEN '' ELSE concat_ws('|', 'last_run_note=' || note, 'owner=' || owner_prop, 'run_status=success') END END AS x,
+  CASE WHEN reject IS NULL THEN CASE WHEN k % 4 = 0 THEN {_s(C.IMPACT_TAG)} ELSE '' END END AS g FROM r) y"""
+    s["answers_lineage"] = _with(FK_EDGES) + """, k AS (SELECT downstream, upstream,
+  CAST(regexp_extract(downstream, 'dataPlatform:[^,]+,[a-z]+[.]([0-9]+)', 1) AS BIGINT) AS k FROM fk_edges)
+SELECT downstream AS start_urn, upstream AS urn, NULL AS reject FROM k WHERE k % 7 <> 3 AND k % 5 <> 0
+UNION ALL SELECT DISTINCT downstream, NULL, 'malformed' FROM k WHERE k % 7 = 3"""
+    s["entity_lookup"] = _with(FK_ENTITIES) + f"""SELECT urn, name, platform FROM fk_entities
+WHERE urn IN (SELECT {U('supplier', 'l_suppkey')} FROM lineitem)"""
+    s["guarded_answers"] = _with(FK_EDGES, FK_INCIDENTS, _walk("w", INC_STARTS, True, None), _nodes("w", "ev"),
+        f"""named AS (SELECT incident_id, 1 AS rank, {U('orders', "split_part(substr(incident_id, 2), '-', 1)")} AS urn FROM fk_incidents
+  UNION ALL SELECT incident_id, 2, {U('customer', "split_part(incident_id, '-', 2)")} FROM fk_incidents)""") + """
+SELECT n.incident_id, CAST(n.rank AS BIGINT) AS rank, n.urn FROM named n JOIN ev ON ev.incident_id = n.incident_id AND ev.urn = n.urn"""
+    s["vocab_ensure"] = f"""SELECT 'urn:li:tag:' || n_name AS tag_urn, n_name AS name, 'of a nation' AS description FROM nation
+UNION ALL SELECT {_s(C.QUARANTINE_TAG)}, 'ours', r_name FROM region WHERE r_regionkey = 0
+UNION ALL SELECT {_s(C.IMPACT_TAG)}, {_s(C.IMPACT_TAG.split(":")[-1])}, 'Reads, directly or not, from a quarantined asset.'"""
+    s["upsert_entities"] = f"""WITH o AS (SELECT o_custkey, max(o_orderkey) AS k, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1)
+SELECT COALESCE({U('customer', 'c_custkey')}, {U('customer', 'o_custkey')}) AS urn,
+  CASE WHEN k IS NULL THEN c_name ELSE 'customer.' || o_custkey END AS name, CASE WHEN k IS NULL THEN 'never ordered' ELSE 'ordered ' || k || ' ' || p END AS description,
+  COALESCE(k, -1) AS version FROM customer FULL JOIN o ON o_custkey = c_custkey"""
+    expected = f"""expd AS (SELECT 'L' || {LINE} AS incident_id, 'supplier.' || max(l_suppkey) || ',' AS expected_root FROM lineitem GROUP BY l_orderkey, l_linenumber),
+  scen AS (SELECT x.incident_id, x.expected_root, c.urn AS top_urn, COALESCE(strpos(c.urn, x.expected_root) > 0, false) AS ok
+  FROM expd x LEFT JOIN conf c ON c.incident_id = x.incident_id AND c.rank = 1)"""
+    s["scenario_results"] = _with(*RANKED) + ", " + expected + " SELECT incident_id, expected_root, top_urn, ok FROM scen"
+    s["scenario_score"] = _with(*RANKED) + ", " + expected + """ SELECT CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS passed, count(*) AS total,
+  bool_and(ok) AS all_passed FROM scen"""
+    s["action_status"] = _with(*CONTAINED) + f"""SELECT entity_urn, string_split(tag_urn, ':')[-1] AS tag, '[OK] APPLIED' AS status FROM requested
+UNION ALL SELECT {U('region', 'r_regionkey')}, {_s(Q.UNKNOWN_TAG.split(":")[-1])}, '[..] attempted' FROM region"""
+    s["evidence_columns"] = _with(*EVIDENCE) + f"""SELECT ev.incident_id, urn, CAST(ev.hop AS BIGINT) AS hop,
+  {ITEM('ev.hop').replace('|| fields_str', "|| array_to_string(string_split(fields_str, ', ')[1:4], ', ')")} AS line FROM ev JOIN fk_entities e USING (urn)"""
+    s["incident_stream"] = _with(FK_INCIDENTS) + "SELECT incident_id, symptom, affected_urn FROM fk_incidents"
+    s["schema_diff"] = "WITH " + FAULTY + """, keys AS (SELECT DISTINCT CAST(ts AS DATE) AS day, unnest(json_keys(props)) AS key FROM faulty WHERE day(ts) <> 12),
+days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM faulty WHERE day(ts) <> 12),
+pairs AS (SELECT a.day, max(b.day) AS prev_day FROM days a JOIN days b ON b.day < a.day GROUP BY a.day)
 SELECT CAST(p.day AS VARCHAR) AS day, k.key, 'added' AS change FROM pairs p JOIN keys k ON k.day = p.day
   WHERE NOT EXISTS (SELECT 1 FROM keys b WHERE b.day = p.prev_day AND b.key = k.key)
 UNION ALL
@@ -421,6 +578,19 @@ FROM inv v LEFT JOIN sus su ON su.incident_id = v.incident_id LEFT JOIN acted a
     UNION ALL SELECT incident_id, 0, unnest([{", ".join(_s(x) for x in RP.DOT_HEAD)}]) FROM inc
     UNION ALL SELECT incident_id, 3, '}}' FROM inc)
 SELECT incident_id, CAST(part AS BIGINT) AS part, line FROM lines"""
+    s["drawing_lines"] = s["lineage_dot"][:s["lineage_dot"].index(",\n  bn AS (")] + f""",
+  styled AS (SELECT 'incident' AS scope, incident_id AS id, root AS urn, CASE WHEN COALESCE(applied, false) THEN 'quarantine' ELSE 'suspect' END AS role FROM inc WHERE root IS NOT NULL
+    UNION ALL SELECT 'incident', incident_id, affected_urn, 'symptom' FROM inc WHERE affected_urn IS DISTINCT FROM root
+    UNION ALL SELECT DISTINCT 'evidence', urn, urn, 'other' FROM ev
+    UNION ALL SELECT 'root', root_urn, urn, 'impacted' FROM bnodes),
+  labelled AS (SELECT scope, id, urn, role, CASE WHEN regexp_extract(n.urn, 'dataPlatform:([^,]+)', 1) <> ''
+    THEN regexp_extract(n.urn, 'dataPlatform:([^,]+)', 1) || ': ' || {name} ELSE {name} END AS label FROM styled n),
+  reach AS (SELECT root_urn, urn FROM bnodes UNION SELECT root_urn, root_urn FROM roots)
+SELECT scope, id, CAST(1 AS BIGINT) AS part, '"' || {q_('urn')} || '" [label="' || {q_('label')} || {suffix} || '" fillcolor=' || {style} || ']' AS line FROM labelled
+UNION ALL SELECT 'evidence', downstream, 2, '"' || {q_('upstream')} || '" -> "' || {q_('downstream')} || '"' FROM fk_edges WHERE downstream IN (SELECT urn FROM ev)
+UNION ALL SELECT 'root', r.root_urn, 2, '"' || {q_('upstream')} || '" -> "' || {q_('downstream')} || '"' FROM fk_edges e JOIN reach r ON r.urn = e.upstream
+UNION ALL SELECT 'incident', incident_id, 0, unnest([{", ".join(_s(x) for x in RP.DOT_HEAD)}]) FROM inc
+UNION ALL SELECT 'incident', incident_id, 3, '}}' FROM inc"""
     s["report_parse"] = f"""SELECT conv_id, turn,
   CASE WHEN conv_id % 7 = 3 THEN regexp_replace('{{"summary": ' || text, '^\\s+|\\s+$', '', 'g')
     WHEN turn % 3 = 2 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE text END AS summary,

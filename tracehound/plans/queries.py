@@ -10,23 +10,28 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.evidence import cols_label, node_summary, owner_label, props_label
-from ..functions.text import parse_answer
-from ..functions.urn import tag_short, urn_name, urn_platform, urn_tail
+from ..functions.text import action_status, parse_answer
+from ..functions.urn import tag_short, tag_urn, urn_name, urn_platform, urn_tail
 from ..operators import containment as C
+from ..operators import fusion as FU
 from ..operators import signals as X
 from ..operators.enrich import enrich, evidence_count, evidence_lines
-from ..operators.ranking import act_gate, rank_suspects
+from ..operators.evaluate import scenario_results, scenario_score
+from ..operators.ranking import act_gate, guard_suspects, rank_suspects
 from ..operators.sequence import next_in_sequence
 from ..operators.walk import hop_label, walk, walked_edges
-from ..plans.investigate import evidence_signals, investigate
+from ..plans.investigate import evidence_signals, investigate, reached_nodes
 from ..plans.report import lineage_dot, report_json, report_text
-from ..session import configure, materialize
+from ..session import configure, materialize, scratch_path
 from ..sources import fk_catalog as FK
-from ..sources.catalog import Catalog, search_entities
+from ..sources.catalog import Catalog, decode_answers, lookup_entities, search_entities
+from ..sources.seed import upsert_entities
+from ..streaming.intake import start_stream
+from . import report as RP
 
 # ---- fixed parameters of the registered queries ------------------------------------
 UP_HOPS = 3                        # hop bound of the bounded upstream walks (F3)
@@ -37,6 +42,9 @@ DROP_RATIO = 0.6                   # volume anomaly threshold (X1)
 SEARCH_TERM = "license"            # keyword for S12
 EVENT_PLATFORM = "kafka"
 UNKNOWN_TAG = "urn:li:tag:NOT_IN_VOCABULARY"
+FUSED_DROP = 0.5                   # X1 on regions
+SILENT_DAYS = 20                   # a nation's days without orders that are a fault (X5)
+RESULT_AGE = 60                    # days for which a check result counts (X7)
 # -------------------------------------------------------------------------------------
 
 
@@ -257,9 +265,9 @@ def q_signals(spark, sf):
 def _ranked(spark, sf, text_only_high=False):
     cat = fk(spark, sf, True)
     w = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=None, edges_distinct=True)
-    sig = evidence_signals(cat, w)
-    return cat, rank_suspects(w, cat.incidents, sig, cat.edges, text_only_high=text_only_high,
-                              edges_distinct=True, entities=cat.entities)
+    reached = reached_nodes(w)
+    return cat, rank_suspects(w, cat.incidents, evidence_signals(cat, reached), cat.edges, text_only_high=text_only_high,
+                              edges_distinct=True, entities=cat.entities, reached=reached)
 
 
 def q_rank_suspects(spark, sf):
@@ -274,15 +282,15 @@ def q_act_gate(spark, sf):
 
 # ---- containment and write-back (C1-C4, C7, J5, J6, S7, A5, A6) -------------------------------
 
-def _contained(spark, sf):
+def _contained(spark, sf, per_root=True):
     cat = fk(spark, sf, True)
     store = C.TagStore.fresh(spark)
-    inv = investigate(cat, act=True, store=store)
+    inv = investigate(cat, act=True, store=store, per_root=per_root)
     return cat, inv, store
 
 
 def q_tags_add(spark, sf):
-    _, inv, _ = _contained(spark, sf)
+    _, inv, _ = _contained(spark, sf, per_root=False)
     store_root = inv.containment
     return store_root["quarantine_applied"].unionByName(store_root["impact_applied"]).select(
         "entity_urn", "tag_urn").distinct()
@@ -291,7 +299,7 @@ def q_tags_add(spark, sf):
 def q_tags_verify(spark, sf):
     """J5 + J6: what containment requested, and one request per region for a tag that the
     vocabulary lacks: it is rejected, and found missing in the read-back."""
-    _, inv, store = _contained(spark, sf)
+    _, inv, store = _contained(spark, sf, per_root=False)
     c = inv.containment
     unknown = FK.read_tables(spark, sf, ["region"])["region"].select(
         FK.node_urn("region", F.col("r_regionkey")).alias("entity_urn"), F.lit(UNKNOWN_TAG).alias("tag_urn"))
@@ -303,9 +311,7 @@ def q_tags_verify(spark, sf):
 
 
 def q_tags_remove(spark, sf):
-    cat = fk(spark, sf, True)
-    store = C.TagStore.fresh(spark)
-    investigate(cat, act=True, store=store)  # containment writes run inside
+    _, _, store = _contained(spark, sf, per_root=False)  # containment writes run inside
     removal = store.entity_tags().where(F.col("tag_urn") == C.QUARANTINE_TAG)
     return store.remove_tags(removal)
 
@@ -373,9 +379,44 @@ def q_null_rate(spark, sf):
                     F.round("delta", 6).alias("delta"))
 
 
+def q_null_spikes(spark, sf):
+    """X2 with its rule: per event type, the days on which a column's null rate spikes."""
+    configure(spark)
+    columns = [c for c in EVENT_COLUMNS if c != "event_type"]
+    s = X.null_spikes(X.null_rates(faulty_events(spark, sf), "ts", columns, ["event_type"]), ["event_type"])
+    return s.select("event_type", F.col("day").cast("string").alias("day"), "column", "n_null", F.round("null_rate", 6).alias("null_rate"),
+                    F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), "spike")
+
+
+def event_columns(spark, sf) -> DataFrame:
+    """The column lists of the event feeds per day, from their property maps, with schema changes by
+    rule: from the 15th ``k`` is ``key``; from the 22nd ``lat`` and ``lon`` are ``latitude`` and
+    ``longitude``; on the 26th ``lat`` holds text; the 17th has no rows."""
+    e = _t(spark, sf, "events")
+    day = F.dayofmonth("ts")
+    k = F.get_json_object("props", "$.k")
+    props = F.concat(F.when(day < 15, F.lit('{"k": ')).otherwise(F.lit('{"key": ')), k,
+                     F.when(day < 22, F.lit(', "lat": 1, "lon": 2')).when(day == 26, F.lit(', "latitude": "n/a", "longitude": 2'))
+                     .otherwise(F.lit(', "latitude": 1, "longitude": 2')), F.lit("}"))
+    entries = F.explode(F.map_entries(F.from_json(props, "map<string,string>")))
+    c = e.where(day != 17).select("event_type", F.to_date("ts").alias("snapshot"), entries.alias("e"))
+    return c.select("event_type", "snapshot", F.col("e")["key"].alias("column"),
+                    F.when(F.col("e")["value"].rlike(r"^-?[0-9.]+$"), "number").otherwise("text").alias("type")).distinct()
+
+
+def q_column_diff(spark, sf):
+    """X3 on column lists: added, dropped, retyped and renamed columns of every feed, each day
+    against the feed's last day with rows."""
+    configure(spark)
+    d = X.schema_changes(event_columns(spark, sf), ["event_type"])
+    return d.select("event_type", F.col("snapshot").cast("string").alias("snapshot"), F.col("prev_snapshot").cast("string").alias("prev_snapshot"),
+                    "change", "column", "type", "renamed_to")
+
+
 def q_schema_diff(spark, sf):
+    """X3 on payload keys; the 12th, the first of the days with one more key, has no rows."""
     configure(spark)
-    d = X.json_key_drift(faulty_events(spark, sf), "ts", "props")
+    d = X.json_key_drift(faulty_events(spark, sf).where(F.dayofmonth("ts") != 12), "ts", "props")
     return d.select(F.col("day").cast("string").alias("day"), "key", "change")
 
 
@@ -393,6 +434,51 @@ def q_zero_row_days(spark, sf):
     return z.select("o_orderpriority", F.col("day").cast("string").alias("day"))
 
 
+def q_zero_row_runs(spark, sf):
+    """X5 as runs: every customer's stretches without an order, up to the table's latest day."""
+    configure(spark)
+    r = X.zero_row_runs(_t(spark, sf, "orders"), "o_orderdate", ["o_custkey"])
+    return r.select("o_custkey", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"),
+                    F.col("n_days").cast("bigint").alias("n_days"), "open")
+
+
+def orders_by_place(spark, sf) -> DataFrame:
+    """Orders with their day, customer, nation and region."""
+    o, c, n = (_t(spark, sf, x) for x in ("orders", "customer", "nation"))
+    return (o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select("o_orderkey", "o_custkey", "n_nationkey", "n_regionkey", F.to_date("o_orderdate").alias("day")))
+
+
+def q_volume_regions(spark, sf):
+    """X1 on untouched tables: orders per region and day."""
+    configure(spark)
+    v = X.volume_anomaly(orders_by_place(spark, sf), "day", ["n_regionkey"], FUSED_DROP)
+    return v.select("n_regionkey", F.col("day").cast("string").alias("day"), "n_rows", F.round("prior_avg", 4).alias("prior_avg"), "flagged")
+
+
+def stage_volumes(spark, sf) -> DataFrame:
+    """Daily volumes ``(urn, day, n_rows)`` of the six tables as stages: the orders of a day that
+    have arrived at region, nation, customer and orders, and their lines at supplier and
+    lineitem. On the 20th of a month three of four orders are lost between nation and customer."""
+    o = orders_by_place(spark, sf).where(F.col("day").isNotNull()).withColumn("kept", (F.dayofmonth("day") != 20) | (F.col("o_orderkey") % 4 == 0))
+    li = _t(spark, sf, "lineitem").select("l_orderkey")
+    per_order = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+    o = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+    kept = F.when(F.col("kept"), 1).otherwise(0)
+    daily = o.groupBy("day").agg(*[F.sum(x).cast("long").alias(name) for name, x in (
+        ("region", F.lit(1)), ("nation", F.lit(1)), ("customer", kept), ("orders", kept), ("supplier", F.col("lines")), ("lineitem", kept * F.col("lines")))])
+    return daily.unpivot(["day"], list(FK.TABLES), "name", "n_rows").select(FK.table_urn(F.col("name")).alias("urn"), "day", "n_rows")
+
+
+def q_first_drop(spark, sf):
+    """Per day and table, the edge of the tables' lineage at which a drop first appears."""
+    cat = fk(spark, sf, False, ("edges",))
+    edges = materialize(FK.table_edges(cat.edges), "table-edges")
+    d = X.first_drops(X.edge_breaks(stage_volumes(spark, sf), edges, DROP_RATIO), edges)
+    return d.select(F.col("day").cast("string").alias("day"), "upstream", "downstream", F.round("ratio", 4).alias("ratio"),
+                    F.round("usual", 4).alias("usual"), "urn", F.col("hops").cast("bigint").alias("hops"))
+
+
 ORDERS_TABLE_URN = "urn:li:dataset:(urn:li:dataPlatform:looker,orders,PROD)"
 LINEITEM_TABLE_URN = "urn:li:dataset:(urn:li:dataPlatform:looker,lineitem,PROD)"
 
@@ -412,6 +498,58 @@ def q_hop_volume(spark, sf):
                      F.round("ratio", 4).alias("ratio"))
 
 
+def fused_results(spark, sf) -> DataFrame:
+    """The results of X1 to X5 on the assets whose rows they check: order volume per region,
+    null rates of line discounts per supplier's nation and month, column lists per supplier and
+    month, freshness per customer, runs without orders per nation. Faults by rule for X2 (in
+    April and October every fifth order has no discounts in every third nation) and X3 (in every
+    eighth month every seventh supplier calls the discount by another name)."""
+    place = materialize(orders_by_place(spark, sf).where(F.col("day").isNotNull()), "place")
+    urn = lambda table, c: FK.node_urn(table, F.col(c))
+    v = X.volume_anomaly(place, "day", ["n_regionkey"], FUSED_DROP)
+    out = FU.result_rows("volume", v, urn("region", "n_regionkey"), F.col("day"), F.col("flagged"), F.col("ratio"),
+                         F.concat(F.lit("rows "), F.col("n_rows").cast("string")))
+    s = _t(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    li = _t(spark, sf, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    li = li.where(F.col("l_shipdate").isNotNull()).withColumn("month", F.trunc("l_shipdate", "month"))
+    bare = F.month("month").isin(4, 10) & (F.col("l_orderkey") % 5 == 0) & (F.col("s_nationkey") % 3 == 0)
+    n = X.null_rates(li.withColumn("l_discount", F.when(bare, None).otherwise(F.col("l_discount"))), "month", ["l_discount"], ["s_nationkey"])
+    n = X.null_spikes(n, ["s_nationkey"], window_rows=12)
+    out = out.unionByName(FU.result_rows("nulls", n, urn("nation", "s_nationkey"), F.last_day("day"), F.col("spike"), F.col("null_rate"),
+                                         F.concat("column", F.lit(" null in "), F.col("n_null").cast("string"))))
+    feeds = li.select("s_suppkey", "month").distinct()
+    other = (F.col("s_suppkey") % 7 == 3) & ((12 * F.year("month") + F.month("month")) % 8 == 0)
+    names = F.transform(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type")) for c, t in X.columns_of(_t(spark, sf, "lineitem"))]),
+                        lambda x: F.struct(F.when(other & (x["column"] == "l_discount"), "l_discount_pct").otherwise(x["column"]).alias("column"), x["type"]))
+    changes = X.schema_changes(feeds.select("s_suppkey", F.col("month").alias("snapshot"), F.inline(names)), ["s_suppkey"])
+    changes = feeds.join(changes.groupBy("s_suppkey", F.col("snapshot").alias("month")).agg(F.count(F.lit(1)).alias("n")), ["s_suppkey", "month"], "left")
+    out = out.unionByName(FU.result_rows("schema", changes, urn("supplier", "s_suppkey"), F.col("month"), F.col("n") > 0, F.coalesce("n", F.lit(0)),
+                                         F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" columns changed"))))
+    days = place.select("o_custkey", "day").distinct()
+    days = days.withColumn("next_day", F.lead("day").over(Window.partitionBy("o_custkey").orderBy("day")))
+    as_of = place.select(F.max("day")).scalar()
+    out = out.unionByName(FU.freshness_results(days, urn("customer", "o_custkey"), STALE_DAYS, as_of))
+    return out.unionByName(FU.zero_run_results(X.zero_row_runs(place, "day", ["n_nationkey"]), urn("nation", "n_nationkey"), SILENT_DAYS))
+
+
+def q_check_results(spark, sf):
+    """The results of all checks as one typed table."""
+    configure(spark)
+    return fused_results(spark, sf).select("urn", F.col("as_of").cast("string").alias("as_of"), "check", "class", "flagged",
+                                           F.round("measure", 4).alias("measure"), "detail")
+
+
+def q_rank_fused(spark, sf):
+    """X7 + R1: suspects from the results of all five checks as of each incident's day, and text."""
+    cat = fk(spark, sf, False)
+    ev = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=None, edges_distinct=True)
+    inc = cat.incidents.join(FK.incident_days(FK.read_tables(spark, sf, ["lineitem"])), "incident_id", "left")
+    results = materialize(fused_results(spark, sf), "check-results")
+    text = evidence_signals(cat, reached_nodes(ev))
+    s = FU.rank_as_of(ev, inc, results, text, cat.edges, cat.entities, max_age_days=RESULT_AGE, edges_distinct=True)
+    return _big(s.select("incident_id", "rank", "urn", "score", "dist", "class", "source", "confidence", "why"), "rank", "score", "dist")
+
+
 EVENTS_TABLE = "urn:li:dataset:(urn:li:dataPlatform:kafka,events.{},PROD)"
 ORDERS_FEED = "urn:li:dataset:(urn:li:dataPlatform:looker,orders.priority.{},PROD)"
 
@@ -463,6 +601,159 @@ def q_report_parse(spark, sf):
                     F.size(p["suspects"]).cast("bigint").alias("n_suspects"))
 
 
+# ---- raw catalog answers (S2-S4, P4-P10) -------------------------------------------------------
+
+def _number(name):
+    return F.regexp_extract(name, "([0-9]+)", 1).cast("long")
+
+
+def raw_entity_answers(ents: DataFrame) -> DataFrame:
+    """A JSON answer ``(answer_id, text)`` per entity in the shapes that a catalog service gives, by
+    the number in its name: a list or an object, names, descriptions, owners and columns in
+    their alternative places, repeated and empty property keys, an entity without an URN; some
+    cut off, some empty, some with text behind them."""
+    k = _number("name")
+    v = k % 6
+    s = lambda **c: F.struct(*[x.alias(n) for n, x in c.items()])
+    none = F.lit(None).cast("string")
+    kv = lambda a, b: s(key=a, value=b)
+    props = F.transform(F.map_entries("custom_properties"), lambda x: kv(x["key"], x["value"]))
+    props = F.when(v == 0, F.concat(F.array(kv(F.lit("run_status"), F.lit("old")), kv(F.lit(""), F.lit("no key"))), props)).when(v != 4, props)
+    owners = F.transform("owners", lambda u: s(owner=s(urn=F.when(v != 3, u)), ownerUrn=F.when(v == 3, u)))
+    owners = F.when(v == 3, F.concat(owners, F.array(s(owner=s(urn=none), ownerUrn=none)))).otherwise(owners)
+    fields = s(fields=F.transform("schema_fields", lambda f: s(fieldPath=f)))
+    entity = s(urn=F.col("urn"), name=F.when(v == 0, "").when(v != 4, F.col("name")), platform=s(name=F.col("platform")),
+               properties=s(name=F.when(v == 0, F.concat(F.col("name"), F.lit(" (stored)"))), description=F.when(v != 4, F.col("description")), customProperties=props),
+               editableProperties=s(description=F.when(v == 2, "").when(v == 3, F.concat(F.lit("edited: "), "description"))),
+               ownership=s(owners=owners), schemaMetadata=F.when(v != 1, fields), schema=F.when(v == 1, fields),
+               tags=F.when(k % 4 == 0, s(tags=F.array(s(tag=s(urn=F.lit(C.IMPACT_TAG)))))))
+    listed = F.to_json(F.when(v == 5, F.array(entity, entity.withField("urn", none))).otherwise(F.array(entity)))
+    text = F.when((v == 1) | (v == 3), F.concat(F.lit('{"entities": '), listed, F.lit("}"))).otherwise(F.concat(F.lit(" "), listed, F.lit("\n")))
+    text = F.when(k % 11 == 10, F.substring(text, 1, 30)).when(k % 13 == 12, F.lit(" ")).when(k % 17 == 16, F.concat(text, F.lit(" and so on"))).otherwise(text)
+    return ents.select(F.col("name").alias("answer_id"), text.alias("text"))
+
+
+def q_answers_entities(spark, sf):
+    """Entity answers decoded in one pass, rejects beside the entities."""
+    configure(spark)
+    d = decode_answers(raw_entity_answers(FK.entities(FK.read_tables(spark, sf))), "entities", keep=("answer_id",))
+    props = F.array_sort(F.transform(F.map_entries("custom_properties"), lambda x: F.concat_ws("=", x["key"], x["value"])))
+    good = F.col("reject").isNull()
+    return d.select("answer_id", "reject", "urn", F.when(good, F.col("name")).alias("name"), "platform", "description",
+                    F.when(good, F.array_join("owners", ", ")).alias("owners"), F.when(good, F.array_join("schema_fields", ", ")).alias("fields"),
+                    F.when(good, F.array_join(props, "|")).alias("props"), F.when(good, F.array_join("tag_urns", ", ")).alias("tags"))
+
+
+def q_answers_lineage(spark, sf):
+    """S3: upstream answers per asset, from the edges into it; some have the other direction only,
+    some an entity without an URN, some are cut off."""
+    cat = fk(spark, sf, False, ("edges",))
+    key = _number(F.substring_index(F.regexp_extract("start_urn", r"dataPlatform:[^,]+,([^,]+),", 1), ".", -1))
+    into = cat.edges.groupBy(F.col("downstream").alias("start_urn")).agg(F.collect_list("upstream").alias("up"))   # an asset's few inputs
+    found = F.transform(F.when(key % 9 == 4, F.concat("up", F.array(F.lit("")))).otherwise(F.col("up")),
+                        lambda u: F.struct(F.struct(u.alias("urn")).alias("entity")))
+    block = F.struct(found.alias("searchResults"))
+    text = F.to_json(F.struct(F.when(key % 5 != 0, block).alias("upstreams"), F.when(key % 5 == 0, block).alias("downstreams")))
+    text = F.when(key % 7 == 3, F.concat(F.substring(text, 1, 40), F.lit("..."))).otherwise(text)
+    d = decode_answers(into.select("start_urn", text.alias("text")), "upstreams", keep=("start_urn",))
+    return d.select("start_urn", "urn", "reject")
+
+
+def q_entity_lookup(spark, sf):
+    """S2 by key: the entities of the suppliers of all lines, each asked for as often as it has
+    lines, beside empty and unknown URNs."""
+    configure(spark)
+    t = FK.read_tables(spark, sf)
+    asked = t["lineitem"].select(FK.node_urn("supplier", F.col("l_suppkey")).alias("urn"))
+    asked = asked.unionByName(t["region"].select(F.lit("").alias("urn"))).unionByName(t["nation"].select(FK.node_urn("nation", -F.col("n_nationkey") - 1).alias("urn")))
+    return lookup_entities(FK.entities(t), asked).select("urn", "name", "platform")
+
+
+def q_guarded_answers(spark, sf):
+    """F7 on P16: stored answers for every incident name its order, a customer with the incident's
+    line number and an asset that doesn't exist; only suspects among its evidence are kept."""
+    cat = fk(spark, sf, False, ("edges", "incidents"))
+    ev = walk(_starts(cat.incidents), cat.edges, upstream=True, max_hops=None, edges_distinct=True)
+    order, line = (F.regexp_extract("incident_id", r"L([0-9]+)-([0-9]+)", k) for k in (1, 2))
+    sus = F.array(*[F.struct(FK.node_urn(t, k).alias("urn"), F.lit("high").alias("confidence")) for t, k in (
+        ("orders", order), ("customer", line), ("region", F.concat(F.lit("made-up-"), line)))])
+    answers = cat.incidents.select("incident_id", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("symptom").alias("summary"), sus.alias("suspects"))),
+                                                           F.lit("\n```")).alias("answer"))
+    named = answers.select("incident_id", F.posexplode(parse_answer(F.col("answer"))["suspects"]).alias("pos", "s")).select(
+        "incident_id", (F.col("pos") + 1).cast("bigint").alias("rank"), F.col("s")["urn"].alias("urn"))
+    return guard_suspects(named, ev)
+
+
+# ---- vocabulary, seed, evaluation (S5, S7, C6, A4, P21, W6) --------------------------------------
+
+def q_vocab_ensure(spark, sf):
+    """S7 on a store that holds tags already: one per nation, and the quarantine tag under a name
+    of its own, which is kept."""
+    configure(spark)
+    store = C.TagStore.fresh(spark)
+    n = _t(spark, sf, "nation")
+    mine = n.select(tag_urn(F.col("n_name")).alias("tag_urn"), F.col("n_name").alias("name"), F.lit("of a nation").alias("description"))
+    kept = _t(spark, sf, "region").where("r_regionkey = 0").select(F.lit(C.QUARANTINE_TAG).alias("tag_urn"), F.lit("ours").alias("name"), "r_name")
+    store.ensure_vocabulary_from(mine.unionByName(kept.toDF("tag_urn", "name", "description")))
+    store.ensure_vocabulary()
+    return store.ensure_vocabulary()
+
+
+def q_upsert_entities(spark, sf):
+    """Customers as entities, updated by every order of theirs; the latest order's stays."""
+    configure(spark)
+    c, o = _t(spark, sf, "customer"), _t(spark, sf, "orders")
+    cur = c.select(FK.node_urn("customer", F.col("c_custkey")).alias("urn"), F.col("c_name").alias("name"),
+                   F.lit("dbt").alias("platform"), F.lit("never ordered").alias("description"), F.lit(-1).cast("long").alias("version"))
+    upd = o.select(F.lit("dbt").alias("platform"), F.concat(F.lit("customer."), F.col("o_custkey").cast("string")).alias("name"),
+                   F.concat(F.lit("ordered "), F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderpriority").alias("description"),
+                   F.col("o_orderkey").cast("long").alias("version"))
+    return upsert_entities(cur, upd).select("urn", "name", "description", "version")
+
+
+def q_scenario_results(spark, sf):
+    """Every incident is a scenario whose expected root is its supplier."""
+    return _scenarios(spark, sf).select("incident_id", "expected_root", "top_urn", "ok")
+
+
+def _scenarios(spark, sf):
+    cat, s = _ranked(spark, sf)
+    li = _t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("s"))
+    expected = li.select(F.concat(F.lit("L"), FK.line_key()).alias("incident_id"), F.concat(F.lit("supplier."), F.col("s").cast("string"), F.lit(",")).alias("expected_root"))
+    return scenario_results(s, expected)
+
+
+def q_scenario_score(spark, sf):
+    """A4: how many of them passed."""
+    return scenario_score(_scenarios(spark, sf))
+
+
+def q_action_status(spark, sf):
+    """P21, both ways: the status of every requested tag, among them ones that the vocabulary lacks."""
+    return q_tags_verify(spark, sf).select("entity_urn", tag_short("tag_urn").alias("tag"), action_status("applied").alias("status"))
+
+
+def q_evidence_columns(spark, sf):
+    """The evidence of every incident with the first four columns of each asset."""
+    _, ev = _evidence(spark, sf)
+    return _big(evidence_lines(ev, max_columns=4), "hop")
+
+
+# ---- intake (S8) ----------------------------------------------------------------------------------
+
+def q_incident_stream(spark, sf):
+    """All incidents, those of every third order sent again in a second file and all in a third,
+    through the intake stream, a batch per file; each comes out once."""
+    configure(spark)
+    inc = FK.incidents(FK.read_tables(spark, sf, ["lineitem"]))
+    again = F.regexp_extract("incident_id", "L([0-9]+)-", 1).cast("long") % 3 == 0
+    source, sink, ckpt = (scratch_path(spark, f"intake-{x}") for x in ("source", "sink", "checkpoint"))
+    for part in (inc.where(~again), inc.where(again), inc):
+        part.coalesce(1).write.mode("append").parquet(source)
+        start_stream(spark, source, sink, lambda b: b, checkpoint_location=ckpt).awaitTermination()
+    return spark.read.schema(inc.schema).parquet(sink).select("incident_id", "symptom", "affected_urn")
+
+
 # ---- reports (S9-S11, C5) ---------------------------------------------------------------------
 
 def q_investigate(spark, sf):
@@ -486,6 +777,14 @@ def q_report_text(spark, sf):
     return report_text(_contained(spark, sf)[1].reports)
 
 
+def q_drawing_lines(spark, sf):
+    """S11 + G6: the lines that all drawings share, once each."""
+    cat, inv, _ = _contained(spark, sf)
+    inc = RP.drawn_incidents(inv.reports)
+    lines = RP.drawing_lines(inv.evidence, inc, cat.edges, inv.containment["nodes"])
+    return _big(lines.select("scope", "id", "part", "line"), "part")
+
+
 def q_lineage_dot(spark, sf):
     cat, inv, _ = _contained(spark, sf)
     return _big(lineage_dot(inv.evidence, inv.reports, cat.edges, inv.containment["nodes"]), "part")
@@ -520,15 +819,34 @@ QUERIES = {
     "writeback_proof": q_writeback_proof,
     "volume_anomaly": q_volume_anomaly,
     "null_rate": q_null_rate,
+    "null_spikes": q_null_spikes,
     "schema_diff": q_schema_diff,
+    "column_diff": q_column_diff,
     "freshness": q_freshness,
     "zero_row_days": q_zero_row_days,
+    "zero_row_runs": q_zero_row_runs,
+    "volume_regions": q_volume_regions,
     "hop_volume": q_hop_volume,
+    "first_drop": q_first_drop,
     "signals_union": q_signals_union,
+    "check_results": q_check_results,
+    "rank_fused": q_rank_fused,
     "search_entities": q_search_entities,
     "report_parse": q_report_parse,
     "investigate": q_investigate,
     "report_json": q_report_json,
     "report_text": q_report_text,
     "lineage_dot": q_lineage_dot,
+    "drawing_lines": q_drawing_lines,
+    "answers_entities": q_answers_entities,
+    "answers_lineage": q_answers_lineage,
+    "entity_lookup": q_entity_lookup,
+    "guarded_answers": q_guarded_answers,
+    "vocab_ensure": q_vocab_ensure,
+    "upsert_entities": q_upsert_entities,
+    "scenario_results": q_scenario_results,
+    "scenario_score": q_scenario_score,
+    "action_status": q_action_status,
+    "evidence_columns": q_evidence_columns,
+    "incident_stream": q_incident_stream,
 }

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.evidence import normalise_entity, raw_tag_urns
+from ..functions.urn import strip_ws
 
 
 @dataclass(frozen=True)
@@ -71,36 +72,60 @@ def write_catalog(cat: Catalog, path: str, mode: str = "errorifexists") -> None:
             df.write.mode(mode).parquet(os.path.join(path, name))
 
 
-# ---- S3: lineage answers ------------------------------------------------------
+# ---- S2, S3: entity and lineage answers -------------------------------------------
+
+def _body(text, schema):
+    """The JSON document that is the whole of ``text``, and whether it isn't one. It is parsed as
+    the first field of an object with a corrupt-record column: cut off text, text after the
+    document and another kind of document make that record corrupt, or it ends before its last
+    field (a brace too many; the parser passes over what follows a document)."""
+    checked = schemas.T.StructType([schemas.T.StructField("body", schema), schemas.T.StructField("_end_of_answer", schemas.B),
+                                    schemas.T.StructField("_corrupt", schemas.S)])
+    doc = F.from_json(F.concat(F.lit('{"body":'), text, F.lit(',"_end_of_answer":true}')), checked,
+                      {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return doc["body"], doc["_corrupt"].isNotNull() | doc["_end_of_answer"].isNull()
+
+
+def decode_answers(answers: DataFrame, kind: str = "entities", text_col: str = "text", keep=()) -> DataFrame:
+    """S2, S3, S4 and P10 in one pass: JSON answers of ``kind`` "entities" (a list, or
+    {"entities": [...]}), "upstreams" or "downstreams" -> a row per entity with the columns
+    ``keep``, the normalised entity, its ``tag_urns`` and ``reject``.
+
+    ``reject`` is null on entity rows. An answer that can't be read is a row of its own:
+    "malformed" (not exactly one document of the kind) or "empty" (null or blank), so that it is
+    never taken for "no entities" or "no lineage". Only the wanted direction's block is used
+    (SURVEY 2.12 #3); entities without an URN are dropped (F1)."""
+    t = strip_ws(F.coalesce(F.col(text_col), F.lit("")))
+    if kind == "entities":
+        many, bad_many = _body(t, schemas.T.ArrayType(schemas.RAW_ENTITY))
+        one, bad_one = _body(t, schemas.RAW_ENTITY_LIST)
+        found = F.when(t.startswith("["), many).otherwise(one["entities"])
+        bad = F.when(t.startswith("["), bad_many).otherwise(bad_one)
+    else:
+        doc, bad = _body(t, schemas.RAW_LINEAGE)
+        found = F.transform(doc[kind]["searchResults"], lambda r: r["entity"])
+    reject = F.when(t == "", "empty").when(bad, "malformed")
+    rows = answers.select(*keep, reject.alias("reject"), found.alias("_found"))
+    good = F.filter(F.coalesce("_found", F.array().cast(schemas.T.ArrayType(schemas.RAW_ENTITY))), lambda e: _nonempty(e["urn"]))
+    rows = rows.select(*keep, "reject", F.explode_outer(F.when(F.col("reject").isNull(), good)).alias("e"))
+    rows = rows.where(F.col("e").isNotNull() | F.col("reject").isNotNull())
+    return rows.select(*keep, "reject", *normalise_entity("e"), raw_tag_urns("e").alias("tag_urns")).withColumn(
+        "urn", F.when(F.col("reject").isNull(), F.col("urn")))
+
 
 def decode_lineage(answers: DataFrame, upstream: bool = True, text_col: str = "text",
                    keep=("start_urn",)) -> DataFrame:
-    """S3: one JSON lineage answer per row -> one row per reached entity (normalised).
-
-    The wanted direction's block is used; there is no fallback to the other direction
-    (SURVEY 2.12 #3). Entities without an URN are dropped (F1). Answers that are not JSON
-    give no rows here and are returned by :func:`malformed_answers`."""
-    block = "upstreams" if upstream else "downstreams"
-    parsed = F.from_json(F.col(text_col), schemas.RAW_LINEAGE)
+    """S3: one JSON lineage answer per row -> one row per reached entity (normalised): the good
+    rows of :func:`decode_answers`."""
     keep_cols = [c for c in keep if c in answers.columns]
-    rows = (answers.select(*keep_cols, F.explode_outer(parsed[block]["searchResults"]).alias("r"))
-            .select(*keep_cols, F.col("r")["entity"].alias("e"))
-            .where(_nonempty(F.col("e")["urn"])))
-    return rows.select(*keep_cols, *normalise_entity("e"))
+    rows = decode_answers(answers, "upstreams" if upstream else "downstreams", text_col, keep_cols)
+    return rows.where(F.col("reject").isNull()).drop("reject", "tag_urns")
 
 
-# ---- S2: entity answers ---------------------------------------------------------
-
 def decode_entities(answers: DataFrame, text_col: str = "text") -> DataFrame:
-    """JSON entity answers (a list, or {"entities": [...]}) -> normalised entities with
-    their tags. Entities without an URN are dropped; answers that are not JSON give no rows
-    here and are returned by :func:`malformed_answers`."""
-    t = F.trim(F.col(text_col))
-    as_list = F.from_json(t, schemas.T.ArrayType(schemas.RAW_ENTITY))
-    as_obj = F.from_json(t, schemas.RAW_ENTITY_LIST)["entities"]
-    arr = F.when(t.startswith("["), as_list).otherwise(as_obj)
-    e = answers.select(F.explode(arr).alias("e")).where(_nonempty(F.col("e")["urn"]))
-    return e.select(*normalise_entity("e"), raw_tag_urns("e").alias("tag_urns"))
+    """JSON entity answers -> normalised entities with their tags: the good rows of
+    :func:`decode_answers`."""
+    return decode_answers(answers, "entities", text_col).where(F.col("reject").isNull()).drop("reject")
 
 
 def malformed_answers(answers: DataFrame, text_col: str = "text") -> DataFrame:

@@ -179,6 +179,26 @@ def incidents(t: dict[str, DataFrame], lines: DataFrame | None = None) -> DataFr
                     node_urn("lineitem", line_key()).alias("affected_urn")))
 
 
+def incident_days(t: dict[str, DataFrame]) -> DataFrame:
+    """``(incident_id, day)``: each line item's incident is reported on its latest ship date."""
+    return t["lineitem"].groupBy("l_orderkey", "l_linenumber").agg(F.max(F.to_date("l_shipdate")).alias("day")).select(
+        F.concat(F.lit("L"), line_key()).alias("incident_id"), "day")
+
+
+def table_urn(name: Column) -> Column:
+    """The asset of a whole table, by its name."""
+    platform = F.lit(None).cast("string")
+    for k, v in PLATFORM.items():
+        platform = F.when(name == k, F.lit(v)).otherwise(platform)
+    return dataset_urn(platform, name)
+
+
+def table_edges(row_edges: DataFrame) -> DataFrame:
+    """The lineage between whole tables: the distinct table pairs of the row-level edges."""
+    name = lambda c: table_urn(F.regexp_extract(c, r"dataPlatform:[^,]+,([a-z]+)\.", 1))
+    return row_edges.select(name("upstream").alias("upstream"), name("downstream").alias("downstream")).distinct()
+
+
 def region_incidents(t: dict[str, DataFrame]) -> DataFrame:
     """One incident per region (a hub start: its downstream reaches a fifth of all nodes)."""
     return t["region"].select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("incident_id"),

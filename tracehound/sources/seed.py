@@ -6,7 +6,7 @@ upserts that can take any number of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urn import dataset_urn
@@ -22,8 +22,9 @@ def upsert_entities(current: DataFrame, updates: DataFrame, version_col: str = "
         updates = updates.withColumn("urn", F.coalesce(F.col("urn"), dataset_urn(F.col("platform"), F.col("name"))))
     both = (current.withColumn("_src", F.lit(0))
             .unionByName(updates.withColumn("_src", F.lit(1)), allowMissingColumns=True))
-    w = Window.partitionBy("urn").orderBy(F.col(version_col).desc_nulls_last(), F.col("_src").desc())
-    return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_src")
+    # an aggregate, not a window: an asset with very many updates is reduced before the shuffle
+    latest = F.max_by(F.struct(*[c for c in both.columns if c != "_src"]), F.struct(version_col, "_src"))
+    return both.groupBy(F.col("urn").alias("_urn")).agg(latest.alias("r")).select("r.*")
 
 
 def chain_edges(assets: DataFrame, chain: str = "chain", pos: str = "pos", urn: str = "urn") -> DataFrame:
