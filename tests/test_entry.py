@@ -50,8 +50,8 @@ FAST = ["walk_upstream", "walk_cyclic", "chain_edges", "urn_parse", "owner_label
         "hop_volume", "signals_union", "search_entities", "evidence_block", "rank_suspects", "blast_radius",
         "walk_per_node_cap", "report_parse", "investigate", "report_text", "tags_verify", "writeback_proof", "lineage_dot", "blast_nodes", "report_json",
         "null_spikes", "column_diff", "zero_row_runs", "volume_regions", "first_drop", "check_results", "rank_fused", "drawing_lines",
-        "answers_entities", "answers_lineage", "entity_lookup", "guarded_answers", "vocab_ensure", "upsert_entities", "scenario_results",
-        "scenario_score", "action_status", "evidence_columns", "incident_stream", "tags_add", "tags_remove"]
+        "answers_entities", "answers_lineage", "entity_lookup", "guarded_answers", "vocab_ensure", "upsert_entities",
+        "scenario_score", "incident_stream"]
 
 
 @pytest.mark.parametrize("name", FAST)

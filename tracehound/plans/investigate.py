@@ -19,6 +19,7 @@ from ..operators.signals import text_signals
 from ..operators.walk import walk_upstream
 from ..session import materialize
 from ..sources.catalog import Catalog
+from .report import drawing_lines, drawn_incidents
 
 
 @dataclass
@@ -84,7 +85,8 @@ def investigate(cat: Catalog, *, max_hops: int | None = None, max_nodes: int | N
             F.lit(" upstream nodes; suspects are ranked by position only.")))
     rep = rep.select(key, "symptom", "affected_urn", summary.alias("summary"),
                      F.coalesce(F.col("suspects"), F.array()).alias("suspects"), "missing_evidence",
-                     F.coalesce(F.col("evidence_nodes"), F.lit(0)).alias("evidence_nodes"))
+                     F.coalesce(F.col("evidence_nodes"), F.lit(0)).alias("evidence_nodes"),
+                     F.greatest(F.coalesce(F.col("evidence_nodes"), F.lit(0)) - 1, F.lit(0)).alias("upstream_nodes"))
     containment = None
     if act:
         gated = act_gate(sus, key, act_on_text=act_on_text)
@@ -100,3 +102,10 @@ def investigate(cat: Catalog, *, max_hops: int | None = None, max_nodes: int | N
         rep = rep.withColumn("blast_radius", F.lit(None).cast(
             "struct<impacted_count:bigint,tagged:bigint,n_assets:bigint,n_dashboards:bigint>"))
     return Investigation(evidence=ev, suspects=sus, reports=rep, containment=containment)
+
+
+def drawing(inv: Investigation, cat: Catalog, key: str = "incident_id") -> DataFrame:
+    """The drawing that belongs to the reports of an unbounded investigation, as the lines that
+    incidents share (``report.drawing_lines``); ``report.lineage_dot`` joins them to a text each."""
+    nodes = inv.containment["nodes"] if inv.containment else None
+    return drawing_lines(inv.evidence, drawn_incidents(inv.reports, key), cat.edges, nodes, key)

@@ -512,7 +512,7 @@ SELECT 'urn:li:dataset:(urn:li:dataPlatform:looker,orders.priority.' || o_orderp
 FROM fk_incidents i LEFT JOIN top1 t ON t.incident_id = i.incident_id
   LEFT JOIN cnt ON cnt.incident_id = i.incident_id LEFT JOIN ns ON ns.incident_id = i.incident_id)"""
     s["investigate"] = _with(*RANKED) + ", " + inv_ctes + \
-        "\nSELECT incident_id, summary, missing_evidence, evidence_nodes, n_suspects FROM inv"
+        "\nSELECT incident_id, summary, missing_evidence, evidence_nodes, evidence_nodes - 1 AS upstream_nodes, n_suspects FROM inv"
     icon = "CASE lower(c.confidence) " + " ".join(f"WHEN {_s(k)} THEN {_s(v)}" for k, v in TX.CONF_ICONS.items()) + \
         f" ELSE {_s(TX.UNKNOWN_ICON)} END"
     nxt = "CASE c.class " + " ".join(f"WHEN {_s(k)} THEN {_s(v)}" for k, v in R.CHECK_NEXT.items()) + \

@@ -24,14 +24,13 @@ from ..operators.evaluate import scenario_results, scenario_score
 from ..operators.ranking import act_gate, guard_suspects, rank_suspects
 from ..operators.sequence import next_in_sequence
 from ..operators.walk import hop_label, walk, walked_edges
-from ..plans.investigate import evidence_signals, investigate, reached_nodes
+from ..plans.investigate import drawing, evidence_signals, investigate, reached_nodes
 from ..plans.report import lineage_dot, report_json, report_text
 from ..session import configure, materialize, scratch_path
 from ..sources import fk_catalog as FK
 from ..sources.catalog import Catalog, decode_answers, lookup_entities, search_entities
 from ..sources.seed import upsert_entities
 from ..streaming.intake import start_stream
-from . import report as RP
 
 # ---- fixed parameters of the registered queries ------------------------------------
 UP_HOPS = 3                        # hop bound of the bounded upstream walks (F3)
@@ -759,7 +758,7 @@ def q_incident_stream(spark, sf):
 def q_investigate(spark, sf):
     cat = fk(spark, sf, True)
     inv = investigate(cat, act=False)
-    return inv.reports.select("incident_id", "summary", "missing_evidence", "evidence_nodes",
+    return inv.reports.select("incident_id", "summary", "missing_evidence", "evidence_nodes", "upstream_nodes",
                               F.size("suspects").cast("bigint").alias("n_suspects"))
 
 
@@ -780,9 +779,7 @@ def q_report_text(spark, sf):
 def q_drawing_lines(spark, sf):
     """S11 + G6: the lines that all drawings share, once each."""
     cat, inv, _ = _contained(spark, sf)
-    inc = RP.drawn_incidents(inv.reports)
-    lines = RP.drawing_lines(inv.evidence, inc, cat.edges, inv.containment["nodes"])
-    return _big(lines.select("scope", "id", "part", "line"), "part")
+    return _big(drawing(inv, cat).select("scope", "id", "part", "line"), "part")
 
 
 def q_lineage_dot(spark, sf):
