@@ -79,9 +79,10 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the five-word shingles of a lower-cased text."""
-    return np.unique(gram_hashes(word_hashes(words(text)), SHINGLE_WORDS))
+def shingle_set(text: str | bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of the five-word shingles of a lower-cased text (or its UTF-8)."""
+    ws = text.lower().split() if isinstance(text, bytes) else words(text)
+    return np.unique(gram_hashes(word_hashes(ws), SHINGLE_WORDS))
 
 
 def with_column_names(df: DataFrame, *names: str) -> DataFrame:

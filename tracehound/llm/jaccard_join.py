@@ -3,9 +3,10 @@
 Two texts are linked when the sets of their five-word shingles have a Jaccard similarity of
 at least 0.75. Tokens are shingle hashes; a *class* is all documents with one set.
 
-1. Document frequencies. Every page of the input (a run of rows) sends its distinct tokens,
-   four bytes each in buckets by their leading bits, to the buckets' tasks, which answer each
-   page with those of its tokens that other sets have too, and their frequency class.
+1. Document frequencies. The input is packed in pages, runs of rows of bounded bytes. Every page
+   sends its distinct tokens, four bytes each in buckets by their leading bits and packed as
+   differences, to the buckets' tasks, which answer each page with those of its tokens that
+   other sets have too, and their frequency class.
 2. Prefixes. A set's tokens are ordered by (frequency class, hash). With n tokens, a linked set
    misses at most m - 1 = n - ceil(0.75 n) of them. A set with m tokens that nobody else has is
    linked with nothing and leaves. For the others, rare tokens index singly; frequent ones
@@ -42,12 +43,13 @@ from pyspark.sql import functions as F
 
 from .common import MIN_SIMILARITY_PCT, mix, shingle_set, written
 from .components import connected, numbered
+from .pages import pack, squeeze, stretch, unpack
 
-PAGE_ROWS = 11  # a page is 2**11 consecutive rows of a partition
 FREQUENT = 20  # frequency class (four to a doubling) of 32 sets and more
 SUBCLASS_TOKENS = 32  # set tokens to a sub-class: about 8 of a prefix
 SMALL_BAND = 8  # bands below hold sets of under ten tokens: single tokens only
 BLOCK = 128
+BUCKET_BYTES = 12 << 20  # of packed text to a bucket of tokens, and 32 buckets at least
 TOKEN_COLUMNS = 4096
 
 _BAND_LOW = [0, 1]
@@ -119,31 +121,28 @@ def _requests(bits: int):
         many = [np.flatnonzero(counts[a:e] > 1).astype("<u4") for a, e in zip(cut, ends)]
         return pa.RecordBatch.from_arrays(
             [pa.array([page] * len(cut), pa.int64()), pa.array(bucket[cut], pa.int32()),
-             pa.array([low[a:e].tobytes() for a, e in zip(cut, ends)], pa.binary()),
+             pa.array([squeeze(low[a:e], ascending=True) for a, e in zip(cut, ends)], pa.binary()),
              pa.array([x.tobytes() for x in many], pa.binary()),
              pa.array([counts[a:e][x].astype("<u4").tobytes() for a, e, x in zip(cut, ends, many)], pa.binary())],
             ["page", "bucket", "vals", "many", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, sets = None, {}
         for b in batches:
-            for p, t in zip(b.column("page").to_pylist(), b.column("text")):
-                if p != page:
-                    if sets:
-                        yield rows(page, sets)
-                    page, sets = p, {}
-                s = shingle_set(t.as_py())
-                if len(s):
-                    sets[set_digest(s)] = s
-        if sets:
-            yield rows(page, sets)
+            for r in b.to_pylist():
+                sets = {}
+                for _, _, _, raw in unpack(r["rid"], r["doc_id"], r["flag"], r["size"], r["texts"]):
+                    s = shingle_set(raw)
+                    if len(s):
+                        sets[set_digest(s)] = s
+                if sets:
+                    yield rows(r["page"], sets)
 
     return run
 
 
 def _answers(group: pd.DataFrame) -> pd.DataFrame:
     """One bucket: its tokens from all pages; back go the shared ones with their class."""
-    vals = [np.frombuffer(v, "<u4") for v in group.vals]
+    vals = [stretch(v, "<u4", ascending=True) for v in group.vals]
     size = np.array([len(v) for v in vals])
     every = np.concatenate(vals)
     times = np.ones(len(every), np.int64)
@@ -159,7 +158,7 @@ def _answers(group: pd.DataFrame) -> pd.DataFrame:
     for page, bucket, v in zip(group.page, group.bucket, vals):
         shared = df[at:at + len(v)] > 1
         if shared.any():
-            out.append((page, bucket, v[shared].tobytes(), cls[at:at + len(v)][shared].tobytes()))
+            out.append((page, bucket, squeeze(v[shared], ascending=True), squeeze(cls[at:at + len(v)][shared])))
         at += len(v)
     return pd.DataFrame(out, columns=["page", "bucket", "vals", "cls"])
 
@@ -169,18 +168,18 @@ def _answers(group: pd.DataFrame) -> pd.DataFrame:
 def _index(bits: int):
     shift = np.uint64(32 - bits)
 
-    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def run(page: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if len(answers):
-            known = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(v, "<u4").astype(np.uint64)
+            known = np.concatenate([(np.uint64(b) << np.uint64(32)) | stretch(v, "<u4", ascending=True).astype(np.uint64)
                                     for b, v in zip(answers.bucket, answers.vals)])
-            cls = np.concatenate([np.frombuffer(c, np.uint8) for c in answers.cls])
+            cls = np.concatenate([stretch(c, "<u1") for c in answers.cls])
             order = np.argsort(known, kind="stable")
             known, cls = known[order], cls[order]
         else:
             known, cls = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
         out = []
-        for rid, doc, text in zip(docs.rid, docs.doc_id, docs.text):
-            s = shingle_set(text)
+        for rid, doc, raw in ((r, d, raw) for p in page.itertuples() for r, d, _, raw in unpack(p.rid, p.doc_id, p.flag, p.size, p.texts)):
+            s = shingle_set(raw)
             tokens = keys = None
             digest = None
             if len(s):
@@ -267,13 +266,12 @@ def classes(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     ``row_id`` names a column of ``docs`` with a distinct long for each row, which comes back
     as ``rid``; without it rows are numbered here. ``component`` tells the components apart whatever
     their doc_ids are (null without a shingle)."""
-    spark = docs.sparkSession
     rid = F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rid.alias("rid"), F.monotonically_increasing_id().alias("at"))
-    d = written(d, "jaccard-docs").withColumn("page", F.shiftright("at", PAGE_ROWS))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(24, max(4, (2 * parts - 1).bit_length()))  # buckets: two to four to a shuffle partition
-    asked = d.select("page", "text").mapInArrow(_requests(bits), "page long, bucket int, vals binary, many binary, times binary")
+    d = pack(docs, rid, F.lit(False), "jaccard-docs")
+    # by the input's size, so that a bucket's tokens fit a task and its messages aren't tiny
+    packed = d.agg(F.sum(F.length("texts"))).first()[0] or 0
+    bits = min(24, max(5, (packed // BUCKET_BYTES).bit_length()))
+    asked = d.mapInArrow(_requests(bits), "page long, bucket int, vals binary, many binary, times binary")
     answers = asked.groupBy("bucket").applyInPandas(_answers, "page long, bucket int, vals binary, cls binary")
     sets = written(d.groupBy("page").cogroup(answers.groupBy("page")).applyInPandas(
         _index(bits), "rid long, doc_id long, n long, digest long, tokens binary, keys array<long>"), "jaccard-sets")
