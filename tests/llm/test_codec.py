@@ -49,9 +49,8 @@ def test_round_trip_and_single_blocks():
 def test_encoder_is_the_library():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     texts = ["", " ", "  ", "it's 5 o'clock  \n\n  x", "a b 漢字 ２", "  lead", "trail  ", "''s ’s <|endoftext|> z", "\t\ttabs\r\n\x0b x",
-             "a   b", "x. \nY \n z", "a\n\nb c", "é ñ ª º ² ½ Ω   x", "word, word. (word) word's", "x " * 300]
+             "a   b", "x. \nY \n z", "a\n\nb c", "x <|endoftext|> z", "<|endoftext|>", "a<|endoftext|>b c d", "é ñ ª º ² ½ Ω   x", "word, word. (word) word's", "x " * 300]
     enc = tc.TextEncoder.of(BPE)
     enc.generation = 3  # the memo turns over all the time
     for _ in range(3):

@@ -75,7 +75,10 @@ class TextEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.untouched = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        #: tokens that the library cuts out of a text before all else; a text with one is encoded whole
+        #: by the untouched tokenizer, and the other need not look for them
+        self.added = sorted(t.content for t in self.untouched.get_added_tokens_decoder().values())
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = id_type(size)
@@ -107,7 +110,8 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of the vocabulary's width."""
-        cut = [None if _whole(t) else t.split(" ") for t in texts]
+        special = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        cut = [None if k in special or _whole(t) else t.split(" ") for k, t in enumerate(texts)]
         if len(self.memo) > self.generation:
             self.memo, self.elder = {}, self.memo
         memo, elder = self.memo, self.elder
@@ -122,25 +126,37 @@ class TextEncoder:
             memo[""] = self.library([" "])[0].tobytes()
         if new:
             self._learn(list(new))
-        first = iter(self.library([t if c is None else c[0] for t, c in zip(texts, cut)]))
-        return [next(first).tobytes() + (b"".join(map(memo.__getitem__, c[1:])) if c else b"") for c in cut]
+        first = self.library(["" if k in special else t if c is None else c[0] for k, (t, c) in enumerate(zip(texts, cut))])
+        for k in special:
+            first[k] = np.array(self.untouched.encode(texts[k], add_special_tokens=False).ids, self.dtype)
+        return [f.tobytes() + (b"".join(map(memo.__getitem__, c[1:])) if c else b"") for f, c in zip(first, cut)]
 
 
 def token_rows(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """``part, doc_id, at, n, ids``: documents in ascending id order within and across
-    parts; ``at`` counts the ids before a document in its part."""
+    parts; ``at`` counts the ids before a document in its part. A last row of each part, with a
+    null ``n``, has the part's count of every id (as 64-bit integers) in ``ids``."""
+    names = ["part", "doc_id", "at", "n", "ids"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = TextEncoder.of(path), 0
+        encoder, at, part = TextEncoder.of(path), 0, None
+        seen = np.zeros(max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1), np.int64)
         end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
         for b in batches:
             texts = b.column("text")
             out = [x + end for k in range(0, len(texts), TEXTS) for x in encoder.encode(texts.slice(k, TEXTS).to_pylist())]
+            if not out:
+                continue
+            seen += np.bincount(np.frombuffer(b"".join(out), encoder.dtype), minlength=len(seen))
+            part = b.column("part")[0].as_py()
             ns = np.array([len(x) // width for x in out], np.int64)
             ends = at + np.cumsum(ns)
             yield pa.RecordBatch.from_arrays(
-                [b.column("part"), b.column("doc_id"), pa.array(ends - ns), pa.array(ns), pa.array(out, pa.binary())],
-                ["part", "doc_id", "at", "n", "ids"])
-            at = int(ends[-1]) if len(ends) else at
+                [b.column("part"), b.column("doc_id"), pa.array(ends - ns), pa.array(ns), pa.array(out, pa.binary())], names)
+            at = int(ends[-1])
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([at]), pa.array([None], pa.int64()),
+                                              pa.array([seen.astype("<i8").tobytes()], pa.binary())], names)
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     d = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(*order)
@@ -233,19 +249,17 @@ class Code:
 # --- files -------------------------------------------------------------------------------
 
 def count_ids(rows: DataFrame) -> DataFrame:
-    """``symbol, n`` over all documents; each task sums its batches before the shuffle."""
+    """``symbol, n`` over all documents, from the parts' counts; each task sums its own first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids, n in zip(b.column("ids"), b.column("n")):
-                raw = ids.as_py()
-                got = np.bincount(np.frombuffer(raw, _width(raw, n.as_py())), minlength=len(total))
-                got[:len(total)] += total
-                total = got
+            for counts in b.column(0).to_pylist():
+                got = np.frombuffer(counts, "<i8")
+                total = got + total if len(total) else got.copy()
         s = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(total[s], pa.int64())], ["symbol", "n"])
 
-    return rows.select("n", "ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return rows.where("n IS NULL").select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
@@ -254,6 +268,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
     spark = docs.sparkSession
     rows = written(token_rows(docs, tokenizer_path, end_id), "token-rows")
     counts = {r.symbol: r.n for r in count_ids(rows).toLocalIterator()}
+    rows = rows.where("n IS NOT NULL")
     lengths = code_lengths(counts, max_bits)
     spark.createDataFrame([(s, b) for s, b in lengths.items()], "symbol long, bits int").coalesce(1) \
         .write.parquet(f"{path}/codebook")
