@@ -23,7 +23,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +36,13 @@ from .common import with_column_names
 MAX_TRAIN_PAGES = 500
 ADJACENT, NEAR = 0.35, 0.5  # smoothness capacities: neighbours, and siblings under one parent
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"[>\"']")
+_NAME_END = re.compile(r"[\s/>]")
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
-_SKIP = frozenset("script style noscript template svg math iframe object select textarea title head".split())
+_SKIP = frozenset("script style noscript template iframe select textarea title head".split())
 _RAW = frozenset("script style textarea title noscript iframe template".split())
+_ENDLESS = frozenset("script style textarea title".split())  # without an end they take the rest of the page
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
                     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p "
@@ -64,10 +65,67 @@ ROLES = ("main", "menu", "head", "foot", "side", "form", "note", "advert", "talk
 
 
 class Block:
-    __slots__ = ("text", "path", "tag", "roles", "linked")
-
-    def __init__(self, text, path, tag, roles, linked):
-        self.text, self.path, self.tag, self.roles, self.linked = text, path, tag, roles, linked
+    """A text block: ``depth`` block elements are open around it, ``parent`` is the number of the
+    innermost one's parent, ``common`` of them are open since the block before."""
+    __slots__ = ("text", "depth", "parent", "common", "tag", "roles", "linked")
+
+    def __init__(self, text, depth, parent, common, tag, roles, linked):
+        self.text, self.depth, self.parent, self.common = text, depth, parent, common
+        self.tag, self.roles, self.linked = tag, roles, linked
+
+
+class _Tags:
+    """Finds tags in one pass: the marks that may end a tag are listed once, and a mark from which
+    none ends is noted, so that many unfinished tags cost no more than one."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.marks = [m.start() for m in _MARK.finditer(source)]
+        self.same, seen = [0] * len(self.marks), {}   # the next mark of the same kind
+        for k in range(len(self.marks) - 1, -1, -1):
+            c = source[self.marks[k]]
+            self.same[k] = seen.get(c, -1)
+            seen[c] = k
+        self.name_ends = None
+        self.dead: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """Where the tag with attributes from ``at`` on ends (its ``>``, outside quotes), or -1."""
+        k, path = bisect_left(self.marks, at), []
+        while 0 <= k < len(self.marks) and k not in self.dead:
+            if self.source[self.marks[k]] == ">":
+                return self.marks[k]
+            path.append(k)
+            k = self.same[k] + 1 if self.same[k] >= 0 else -1
+        self.dead.update(path)
+        return -1
+
+    def name_end(self, at: int) -> int:
+        if self.name_ends is None:
+            self.name_ends = [m.start() for m in _NAME_END.finditer(self.source)]
+        k = bisect_left(self.name_ends, at)
+        return self.name_ends[k] if k < len(self.name_ends) else len(self.source)
+
+    def next(self, pos: int):
+        """The next tag: start, end, its name ("" for comments and declarations), whether it is an
+        end tag, and its attributes; None if there is none."""
+        s = self.source
+        while (at := s.find("<", pos)) >= 0:
+            c = s[at + 1:at + 2]
+            if c == "!" or c == "?":
+                close = s.find("-->", at + 4) + 2 if s.startswith("<!--", at) else s.find(">", at)
+                return at, len(s) if close < at + 2 else close + 1, "", False, ""
+            name = at + 2 if c == "/" else at + 1
+            if "a" <= s[name:name + 1].lower() <= "z" and s[name:name + 1].isascii():
+                stop = self.name_end(name + 1)
+                close = self.end(stop)
+                if close < 0:   # a quote inside the name
+                    k = bisect_left(self.marks, name + 1)
+                    close, stop = self.end(name + 1), min(stop, self.marks[k] if k < len(self.marks) else stop)
+                if close >= 0:
+                    return at, close + 1, s[name:stop].lower(), c == "/", s[stop:close]
+            pos = at + 1
+        return None
 
 
 def _roles(tag: str, attrs: str, within_main: bool) -> tuple[str, ...]:
@@ -85,48 +143,60 @@ def _roles(tag: str, attrs: str, within_main: bool) -> tuple[str, ...]:
 
 
 def blocks(source: str | None) -> list[Block]:
-    """The text blocks of a page in order. White space is one space, ends trimmed."""
+    """The text blocks of a page in order. White space is one space, ends trimmed. The time is
+    linear in the page, whatever its nesting and unfinished tags."""
     if not source:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, int, tuple[str, ...]]] = [("", 0, ())]  # tag, number, roles so far
+    stack: list[tuple[str, int, frozenset]] = [("", 0, frozenset())]  # tag, number, roles so far
+    around: list[tuple[str, int]] = [("", 0)]                         # the block elements of it: tag, number
+    opened: dict[str, list[int]] = {}                                 # tag -> where it is open in the stack
     text: list[str] = []
-    linked = [0]
-    skip = count = 0
-    anchor = 0
+    linked = skip = count = anchor = 0
+    low = 1   # the fewest block elements open since the last block
+    unended: set[str] = set()   # raw elements that have no end from here on
 
     def flush():
+        nonlocal linked, low
         joined = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
         text.clear()
         if joined:
-            tag = next((t for t, _, _ in reversed(stack) if t in _BLOCK), "")
-            out.append(Block(joined, tuple(n for t, n, _ in stack if t in _BLOCK or not t), tag, frozenset(stack[-1][2]), min(1.0, linked[0] / len(joined))))
-        linked[0] = 0
+            parent = around[-2][1] if len(around) > 1 else -1
+            out.append(Block(joined, len(around), parent, min(low, len(around)), around[-1][0], stack[-1][2], min(1.0, linked / len(joined))))
+            low = len(around)
+        linked = 0
 
     def close(k: int):
-        nonlocal skip, anchor
+        nonlocal skip, anchor, low
         for t, _, _ in stack[k:]:
             skip -= t in _SKIP
             anchor -= t == "a"
+            opened[t].pop()
+            if t in _BLOCK:
+                around.pop()
         del stack[k:]
+        low = min(low, len(around))
+
+    def where(tag: str) -> int:
+        at = opened.get(tag)
+        return at[-1] if at else 0
 
-    pos, end = 0, len(source)
+    tags, pos, end = _Tags(source), 0, len(source)
     while pos < end:
-        m = _TOKEN.search(source, pos)
-        chunk = source[pos:m.start() if m else end]
+        found = tags.next(pos)
+        chunk = source[pos:found[0] if found else end]
         if chunk and not skip:
             text.append(chunk)
             if anchor:
-                linked[0] += len(chunk.strip())
-        if not m:
+                linked += len(chunk.strip())
+        if not found:
             break
-        pos = m.end()
-        if not m[2]:
+        _, pos, tag, ends, attrs = found
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if any(t in _BLOCK for t, _, _ in stack[at:]) and at or tag in _BLOCK:
+        if ends:
+            at = where(tag)
+            if tag in _BLOCK or at and any(t in _BLOCK for t, _, _ in stack[at:]):
                 flush()
             if at:
                 close(at)
@@ -139,23 +209,27 @@ def blocks(source: str | None) -> list[Block]:
             continue
         if tag in _BLOCK:
             flush()
-            shut = _CLOSES.get(tag)
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t == "p" or shut and t in shut:
-                    close(k)
-                    break
-                if t in _SCOPE:
-                    break
-        if m[3].endswith("/") and tag not in _BLOCK:
+            at = max(map(where, ("p", *_CLOSES.get(tag, ()))))
+            if at > max(map(where, _SCOPE)):
+                close(at)
+        if attrs.endswith("/") and tag not in _BLOCK:
             continue
+        stop = None
+        if tag in _RAW:
+            stop = re.compile(rf"</{tag}\s*>", re.I).search(source, pos) if tag not in unended else None
+            if not stop:
+                unended.add(tag)
+                if tag not in _ENDLESS:
+                    continue   # its text is text of the page
         count += 1
         before = stack[-1][2]
-        stack.append((tag, count, before + _roles(tag, m[3], "main" in before)))
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, count, before.union(_roles(tag, attrs, "main" in before))))
+        if tag in _BLOCK:
+            around.append((tag, count))
         skip += tag in _SKIP
         anchor += tag == "a"
         if tag in _RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(source, pos)
             pos = stop.start() if stop else end
     flush()
     return out
@@ -233,37 +307,59 @@ def train(pages: DataFrame, max_pages: int = MAX_TRAIN_PAGES) -> np.ndarray:
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for the nodes on the source side of a minimum cut. ``gain`` > 0 is a node's net
     capacity from the source, < 0 its net capacity to the sink; edges hold both ways.
-    Shortest augmenting paths (breadth first)."""
-    n = len(gain)
-    cap: list[dict[int, float]] = [{} for _ in range(n)]
+    Maximum flow by phases: distances from all supplies, then as many shortest paths at once as
+    the distances allow; each phase passes over the edges once and makes the paths longer."""
+    n, least = len(gain), 1e-12
+    to: list[int] = []
+    cap: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n)]   # edges of a node; edge e's reverse is e ^ 1
     for a, b, c in edges:
-        cap[a][b] = cap[a].get(b, 0.0) + c
-        cap[b][a] = cap[b].get(a, 0.0) + c
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to += [b, a]
+        cap += [c, c]
     supply, demand = [max(g, 0.0) for g in gain], [max(-g, 0.0) for g in gain]
     while True:
-        parent = {k: -1 for k in range(n) if supply[k] > 1e-12}
-        queue, hit = deque(parent), -1
-        while queue and hit < 0:
-            u = queue.popleft()
-            if demand[u] > 1e-12:
-                hit = u
+        level = [0 if x > least else -1 for x in supply]
+        queue, reach = [k for k in range(n) if level[k] == 0], None
+        for u in queue:   # grows while it is read
+            if reach is not None and level[u] >= reach:
+                break
+            if demand[u] > least:
+                reach = level[u]
                 break
-            for v, c in cap[u].items():
-                if c > 1e-12 and v not in parent:
-                    parent[v] = u
+            for e in out[u]:
+                v = to[e]
+                if cap[e] > least and level[v] < 0:
+                    level[v] = level[u] + 1
                     queue.append(v)
-        if hit < 0:
-            return [k in parent for k in range(n)]
-        path, u = [hit], hit
-        while parent[u] >= 0:
-            u = parent[u]
-            path.append(u)
-        flow = min(supply[u], demand[hit], *[cap[a][b] for b, a in zip(path, path[1:])])
-        supply[u] -= flow
-        demand[hit] -= flow
-        for b, a in zip(path, path[1:]):
-            cap[a][b] -= flow
-            cap[b][a] = cap[b].get(a, 0.0) + flow
+        if reach is None:
+            return [x >= 0 for x in level]
+        at = [0] * n
+        for root in range(n):
+            while supply[root] > least:
+                path, u = [], root   # edges taken; dead ends are left for good in this phase
+                while demand[u] <= least:
+                    edges_u = out[u]
+                    while at[u] < len(edges_u) and not (cap[edges_u[at[u]]] > least and level[to[edges_u[at[u]]]] == level[u] + 1 and level[u] < reach):
+                        at[u] += 1
+                    if at[u] < len(edges_u):
+                        path.append(edges_u[at[u]])
+                        u = to[path[-1]]
+                    elif path:
+                        u = to[path.pop() ^ 1]
+                        at[u] += 1
+                    else:
+                        u = -1
+                        break
+                if u < 0:
+                    break
+                flow = min([supply[root], demand[u], *[cap[e] for e in path]])
+                supply[root] -= flow
+                demand[u] -= flow
+                for e in path:
+                    cap[e] -= flow
+                    cap[e ^ 1] += flow
 
 
 def smoothness(bs: list[Block]) -> list[tuple[int, int, float]]:
@@ -272,17 +368,10 @@ def smoothness(bs: list[Block]) -> list[tuple[int, int, float]]:
     edges, last = [], {}
     for k, b in enumerate(bs):
         if k:
-            a = bs[k - 1].path
-            common = 0
-            for x, y in zip(a, b.path):
-                if x != y:
-                    break
-                common += 1
-            edges.append((k - 1, k, ADJACENT / (1 + max(len(a), len(b.path)) - common)))
-        parent = b.path[:-1]
-        if parent in last:
-            edges.append((last[parent], k, NEAR))
-        last[parent] = k
+            edges.append((k - 1, k, ADJACENT / (1 + max(bs[k - 1].depth, b.depth) - b.common)))
+        if b.parent in last:
+            edges.append((last[b.parent], k, NEAR))
+        last[b.parent] = k
     return edges
 
 
