@@ -95,6 +95,46 @@ def test_a_score_is_a_sparse_dot_product(spark, make_docs):
     assert abs(quality_classifier.score(make_docs([(1, text)]), w).first().score - want) < 1e-5
 
 
+def test_ftrl_is_the_plain_rule(spark, make_docs):
+    """The learnt weights against FTRL-proximal written out per coordinate, and the scores of the
+    registered query against those weights, shards and all."""
+    q = quality_classifier
+    rng = random.Random(21)
+    v = vocabulary(rng, 60)
+    rows = [(k, sentence(rng, rng.randint(1, 25), v)) for k in range(60)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    docs = make_docs(rows)
+    learn = spark.createDataFrame([(k,) for k in range(60) if zlib.crc32(str(k).encode()) % 5], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()
+    models = []
+    for shard in range(q.SHARDS):
+        mine = sorted((r.h, r.doc_id) for r in learn if r.h % q.SHARDS == shard)
+        if not mine:
+            continue
+        z, n, used = {}, {}, set()
+
+        def w(i):
+            if abs(z.get(i, 0.0)) <= q.L1:
+                return 0.0
+            return (math.copysign(q.L1, z[i]) - z[i]) / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + q.L2)
+        for _ in range(q.EPOCHS):
+            for _, doc in mine:
+                idx, val = q.features(dict(rows)[doc])
+                pairs = [(int(i), float(x)) for i, x in zip(idx, val)]
+                ws = {i: w(i) for i, _ in pairs}
+                p = 1 / (1 + math.exp(-sum(ws[i] * x for i, x in pairs)))
+                for i, x in pairs:
+                    g = (p - int(doc % 3 > 0)) * x
+                    sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / q.ALPHA
+                    z[i] = z.get(i, 0.0) + g - sigma * ws[i]
+                    n[i] = n.get(i, 0.0) + g * g
+                    used.add(i)
+        models.append({i: w(i) for i in used})
+    mean = lambda i: sum(m.get(i, 0.0) for m in models) / len(models)
+    for r in q.digest(docs, labels).collect():
+        idx, val = q.features(dict(rows)[r.doc_id])
+        assert abs(r.score - 1 / (1 + math.exp(-sum(mean(int(i)) * float(x) for i, x in zip(idx, val))))) < 1e-4
+
+
 # --- 5: HTML extraction --------------------------------------------------------------------
 
 def test_min_cut_is_minimal():
@@ -123,6 +163,44 @@ def test_extraction():
     assert html_extract.main_text(PAGE, html_extract.PRIOR) == want
 
 
+def test_nothing_else_is_dropped():
+    """Formulas and fallbacks inside the article stay, and an element that is never closed takes nothing
+    with it."""
+    page = ("<body><nav><a href=1>Home</a></nav><article><p>The area is <math><mi>pi</mi><mo>times</mo><mi>r squared</mi></math> for any circle.</p>"
+            "<p>See the <object>drawing described here in words</object> and <svg><text>its label</text></svg> for more.</p>"
+            "<noscript>Please switch scripts on.</noscript><p>The paragraph after it is read to its very end.</p>"
+            "<noscript><p>And so is the one behind an element without an end.</p></article></body>")
+    got = html_extract.main_text(page, html_extract.PRIOR)
+    for piece in ("area is pitimesr squared for any", "drawing described here in words and its label", "after it is read", "behind an element without"):
+        assert piece in got
+    assert "switch scripts" not in got and "Home" not in got
+
+
+@pytest.mark.parametrize("page, blocks", [
+    ("<a " * 350_000, 1), ('<a "' * 250_000, 1), ("<aaaa" * 200_000, 1), ("<p>some words here, and more.</p><li><a>x</a></li>" * 50_000, 100_000),
+    ("<div>x " * 100_000, 100_000), ("<nav>x " * 100_000, 100_000), ("<span>" * 50_000 + "</x>" * 50_000 + "<h1>a" * 50_000, 50_000),
+    ("<!--" * 200_000, 0), ("<noscript>" * 50_000 + "kept", 1)], ids=lambda x: str(x)[:12])
+def test_long_pages_take_linear_time(page, blocks):
+    import time
+    start = time.process_time()
+    found = html_extract.blocks(page)
+    html_extract.main_text(page, html_extract.PRIOR)
+    assert len(found) == blocks and time.process_time() - start < 30
+
+
+def test_cut_of_a_long_chain_is_minimal():
+    """Against dynamic programming along a chain of 3,000 nodes with weak and strong gains."""
+    rng = random.Random(12)
+    gain = [rng.choice([0.05, 0.4, 2]) * rng.uniform(-1, 1) for _ in range(3000)]
+    edges = [(k, k + 1, rng.uniform(0, 0.5)) for k in range(2999)]
+    side = html_extract.min_cut(gain, edges)
+    cost = sum(abs(g) for g, s in zip(gain, side) if (g > 0) != s) + sum(c for a, b, c in edges if side[a] != side[b])
+    out, inside = max(gain[0], 0), max(-gain[0], 0)
+    for g, (_, _, c) in zip(gain[1:], edges):
+        out, inside = min(out, inside + c) + max(g, 0), min(inside, out + c) + max(-g, 0)
+    assert abs(cost - min(out, inside)) < 1e-6
+
+
 def test_extraction_without_roles(spark):
     """The classifier learns from marked pages and serves a page that marks nothing."""
     bare = ("<html><body><div><a href=1>Home</a> <a href=2>News</a></div><div>A long first paragraph with many words, some commas, and an end.</div>"
@@ -146,6 +224,27 @@ def test_languages(spark, make_docs):
     assert sum(r.lang_pred == rows[r.doc_id][2] for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_a_language_is_the_smallest_compression(spark, make_docs):
+    """Every prediction against compressing the text with each dictionary; every sampled text is in its
+    language's dictionary, from its start to its end."""
+    import zstandard
+    rng = random.Random(16)
+    words = {"aa": vocabulary(rng, 80, "abcdefg"), "bb": vocabulary(rng, 80, "efghijk"), "cc": vocabulary(rng, 80, "ijklmno")}
+    rows = [(k, sentence(rng, rng.choice([3, 30, 900]), words[lang]), lang) for k, lang in enumerate(["aa", "bb", "cc", "aa"] * 30)]
+    docs = make_docs(rows)
+    held = language_id.learn(docs.where("doc_id < 100"))
+    for k, text, lang in rows[:100]:
+        for piece in ([text] if len(text) < 100 else [text[:40], text[-40:], text[len(text) // 3 + 20:len(text) // 3 + 50]]):
+            assert piece.encode() in held[lang]
+    got = {r.doc_id: r for r in language_id.predict(docs, held).collect()}
+    for k, text, _ in rows:
+        sizes = {}
+        for lang, raw in held.items():
+            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = len(zstandard.ZstdCompressor(dict_data=d, compression_params=language_id.PARAMETERS).compress(text.encode()))
+        assert got[k].lang_pred == min(sizes, key=lambda x: (sizes[x], x))
+
+
 def test_narrow_margins_are_rejected(spark, make_docs):
     docs = make_docs([(1, "zq")])
     same = {"aa": b"one two three four " * 40, "bb": b"one two three four " * 40}

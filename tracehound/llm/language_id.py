@@ -7,8 +7,9 @@ dictionary gives the smallest result wins. When the second smallest is within
 answer is rejected: ``confident`` is false, and the general interface can put ``und``.
 
 The sample: per language the ids whose hash falls in a share that gives ``docs_per_language``
-ids on average (all ids of a smaller language), at most ``dictionary_bytes`` of text in
-all; the dictionaries (languages x 64 kB) are broadcast.
+ids on average (all ids of a smaller language). Every one of them gives an equal share of about
+``dictionary_bytes`` in all, in ``PASSAGES`` passages spread evenly over its whole text; a short
+text gives itself. The dictionaries (languages x 64 kB on average) are broadcast.
 Prediction reads every whole text in one pass without a shuffle.
 
 Defined results: null text or a text without a letter gives ``und``, score 0, not
@@ -25,13 +26,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, long_ids, with_column_names
 
 DOCS_PER_LANGUAGE = 400
 DICTIONARY_BYTES = 64_000
+PASSAGES = 4
 #: Short matches count in short texts: a lazy search for matches of four bytes and more.
 PARAMETERS = zstandard.ZstdCompressionParameters(
     window_log=20, hash_log=16, chain_log=16, search_log=4, min_match=4, target_length=16,
@@ -52,15 +54,17 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE,
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     ids = narrow.join(F.broadcast(sizes), "lang").where(draw < share_of).select("doc_id", "lang").distinct()
     texts = docs.join(F.broadcast(ids), ["doc_id", "lang"]).where("text is not null")
-    # every sampled text gives an equal share of its language's dictionary
-    share = dictionary_bytes // docs_per_language
-    part = texts.select("lang", "doc_id", F.substring("text", 1, 4 * share).alias("text"))
-    out: dict[str, bytes] = {}
-    for r in part.orderBy("lang", F.xxhash64("doc_id"), "text").toLocalIterator():
-        got = out.get(r.lang, b"")
-        if len(got) < dictionary_bytes:
-            out[r.lang] = (got + r.text.lower().encode("utf-8", "surrogatepass") + b"\n")[:dictionary_bytes]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+    # one text per id, however often it is repeated; a smaller language's ids give more each
+    one = texts.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    share = F.greatest(F.lit(dictionary_bytes // docs_per_language), F.floor(F.lit(dictionary_bytes) / F.count(F.lit(1)).over(Window.partitionBy("lang"))))
+    one = one.withColumn("share", share.cast("int")).withColumn("span", F.floor(F.col("share") / PASSAGES).cast("int"))
+    step = (F.length("text") - F.col("span")) / float(PASSAGES - 1)
+    spread = F.concat_ws(" ", *[F.substr("text", (1 + F.floor(step * k)).cast("int"), F.col("span")) for k in range(PASSAGES)])
+    part = one.select("lang", "doc_id", F.when(F.length("text") <= F.col("share"), F.col("text")).otherwise(spread).alias("text"))
+    out: dict[str, list[bytes]] = {}
+    for r in part.orderBy("lang", F.xxhash64("doc_id")).toLocalIterator():
+        out.setdefault(r.lang, []).append(r.text.lower().encode("utf-8", "surrogatepass") + b"\n")
+    return {k: b"".join(v) for k, v in out.items() if sum(map(len, v)) >= 8}
 
 
 class Model:
