@@ -127,7 +127,9 @@ def item_probes(items: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame, row_id: str | None = None) -> DataFrame:
     """``doc_id, item_id, start_word, n_words, distance, similarity``: the best window of every
     contaminated (document, item). ``row_id`` names a column of ``docs`` with a distinct long for
-    each row; then the answers are by row, with that number first as ``rid``."""
+    each row; then the answers are by row, with that number first as ``rid``. Without it the rows are
+    numbered by their place in two scans, so ``docs`` must be a table read from files; for anything
+    else (a shuffled or sampled frame) write it first or give ``row_id``."""
     rid = F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()
     by = ["rid", "doc_id"] if row_id else ["doc_id"]
     d = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text",
