@@ -63,3 +63,19 @@ def test_rank_from_lists(spark):
     assert reach.complete()
     want = rank_suspects(ev, inc, sig, e, entities=ent, reached=ev.select("urn").distinct())
     assert rows(got) == rows(want.select(*got.columns))
+
+
+def test_levels_join_on_the_edges_as_they_are(spark, tmp_path):
+    """No second copy of the edges with wider keys is written for walks over an edge set."""
+    import os
+
+    from tracehound.operators.walk import reach_of_others, walk_adjacency
+    from tracehound.session import checkpoint_root
+    e = edges_df(spark, sorted(set(FAN)))
+    assert walk_adjacency(e, True).columns == ["src", "urn"]
+    kept = lambda: {x for x in os.listdir(os.path.join(checkpoint_root(spark).removeprefix("file:"), "tracehound")) if "adjacency" in x}
+    walk(starts_df(spark, [("x", "n1")]), e, upstream=False, max_hops=1, edges_distinct=True).count()
+    before = kept()
+    assert walk(starts_df(spark, [("i", "c1")]), e, upstream=False, max_hops=None, edges_distinct=True).count() == len(bfs(FAN, "c1", False, None))
+    assert sorted(r.urn for r in reach_of_others(starts_df(spark, [("i", "c1")]).select("urn"), e, edges_distinct=True).collect()) == sorted(set(bfs(FAN, "c1", False, None)) - {"c1"})
+    assert kept() == before
