@@ -79,3 +79,14 @@ def test_levels_join_on_the_edges_as_they_are(spark, tmp_path):
     assert walk(starts_df(spark, [("i", "c1")]), e, upstream=False, max_hops=None, edges_distinct=True).count() == len(bfs(FAN, "c1", False, None))
     assert sorted(r.urn for r in reach_of_others(starts_df(spark, [("i", "c1")]).select("urn"), e, edges_distinct=True).collect()) == sorted(set(bfs(FAN, "c1", False, None)) - {"c1"})
     assert kept() == before
+
+
+def test_guard_from_lists(spark):
+    """Suspects among a key's reached nodes are kept, as often as they come."""
+    from tracehound.operators.ranking import guard_reached, guard_suspects
+    e, s = edges_df(spark, FAN), starts_df(spark, LINES)
+    sus = spark.createDataFrame([("i0", "c1", 1), ("i0", "c1", 1), ("i0", "c2", 2), ("i1", None, 1), ("i3", "l3", 1), ("nobody", "c1", 1), (None, "c1", 1)],
+                                "incident_id string, urn string, rank int")
+    got = guard_reached(R.reach_upstream(s, e, shrink=0.9), sus)
+    assert rows(got) == rows(guard_suspects(sus, walk_levels(s, e, upstream=True, max_hops=None)).select(*got.columns)) == [("i0", "c1", 1)] * 2 + [("i0", "c2", 2), ("i3", "l3", 1)]
+    assert rows(guard_reached(R.reach_upstream(s.where("incident_id = 'i0'"), e, shrink=0.0), sus)) == [("i0", "c1", 1)] * 2 + [("i0", "c2", 2)]
