@@ -90,3 +90,20 @@ def test_guard_from_lists(spark):
     got = guard_reached(R.reach_upstream(s, e, shrink=0.9), sus)
     assert rows(got) == rows(guard_suspects(sus, walk_levels(s, e, upstream=True, max_hops=None)).select(*got.columns)) == [("i0", "c1", 1)] * 2 + [("i0", "c2", 2), ("i3", "l3", 1)]
     assert rows(guard_reached(R.reach_upstream(s.where("incident_id = 'i0'"), e, shrink=0.0), sus)) == [("i0", "c1", 1)] * 2 + [("i0", "c2", 2)]
+
+
+def test_candidates_are_ranked_within_their_lists(spark):
+    """No window over all candidates; the nodes of all evidence come from the levels, counts from the lists."""
+    inc = spark.createDataFrame([(k, "fewer rows than usual", u) for k, u in LINES], "incident_id string, symptom string, affected_urn string")
+    sig = spark.createDataFrame([("n1", "volume", "data", "few"), ("n1", "stale", "data", "late"), ("s1", "stale", "text", "old")],
+                                "urn string, class string, source string, detail string").selectExpr("*", "date'2024-01-01' as as_of")
+    ent = spark.createDataFrame([], "urn string, name string, platform string, description string, owners array<string>, schema_fields array<string>, custom_properties map<string,string>")
+    e = edges_df(spark, FAN)
+    reach = R.reach_upstream(inc.selectExpr("incident_id", "affected_urn as urn"), e, shrink=0.9)
+    got = rank_reached(reach, inc, sig, ent)
+    assert reach.complete() and "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    top = {r.incident_id: (r.urn, r.score, r["class"], r.why) for r in got.where("rank = 1").collect()}
+    assert top == {k: ("n1", 4, "volume", "data signal (volume): few") for k, _ in LINES}
+    ev = walk_levels(inc.selectExpr("incident_id", "affected_urn as urn"), e, upstream=True, max_hops=None)
+    assert rows(reach.nodes()) == rows(ev.select("urn").distinct())
+    assert rows(reach.counts()) == rows(ev.groupBy("incident_id").count())
