@@ -108,6 +108,14 @@ def test_decode_answers_keeps_rejects_beside_the_rows(spark):
     assert got == {("s", "a", None), ("t", None, "malformed"), ("l", None, "malformed")}
 
 
+def test_every_answer_is_parsed_once(spark):
+    from tracehound.sources.catalog import decode_answers
+    df = spark.range(3).selectExpr("cast(id as string) answer_id", "concat('[', id, ']') text")
+    plan = lambda kind: decode_answers(df, kind, keep=("answer_id",))._jdf.queryExecution().executedPlan().toString()
+    assert plan("upstreams").count("from_json(") == 1
+    assert plan("entities").count("from_json(") == 2   # one of a list, one of an object; a row has either
+
+
 def test_labels(spark):
     df = spark.createDataFrame(
         [("u1", "n", "p", ["o1", "o2"], ["c1"], [("owner", "x"), ("k", "v"), ("z", None)]),
