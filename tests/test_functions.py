@@ -165,3 +165,9 @@ def test_icons_owner_status(spark):
     assert [r.i for r in rows] == ["[!!!]", "[!! ]", "[!  ]", "•"]
     assert [r.w for r in rows] == ["owner unknown", "owner unknown", "x", "y"]
     assert [r.s for r in rows] == ["[OK] APPLIED", "[..] attempted", "[..] attempted", "[OK] APPLIED"]
+
+
+def test_intermediates_are_written_with_zstd(spark):
+    from tracehound.session import materialize
+    df = materialize(spark.range(3), "zstd-test")
+    assert df.inputFiles() and all(f.endswith(".zstd.parquet") for f in df.inputFiles()) and df.count() == 3

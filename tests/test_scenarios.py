@@ -249,3 +249,10 @@ def test_nothing_is_cut_by_default(spark):
     assert (r.blast_radius.impacted_count, r.blast_radius.tagged) == (308, 308)
     line = evidence_lines(inv.evidence).where("hop = 9").first().line
     assert "c29" in line  # all columns, not the first twenty
+
+
+def test_an_incident_without_id_misses_no_evidence(spark):
+    cat = f1_catalog(spark)
+    inc = cat.incidents.unionByName(cat.incidents.limit(1).withColumn("incident_id", F.lit(None).cast("string")))
+    row, = investigate(cat.with_(incidents=inc)).reports.where("incident_id IS NULL").collect()
+    assert row.missing_evidence is None and row.suspects == [] and row.evidence_nodes == 0
