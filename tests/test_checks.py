@@ -117,6 +117,27 @@ def test_schema_changes_match_one_to_one(spark):
         ("v", "2", "1", "added", "zzzzzzzzzz", "int", None)])
 
 
+def test_schema_lists_are_taken_apart_only_where_they_differ(spark):
+    """F32: as the row form, and equal lists are never made into rows."""
+    rows = [("t", 1, [("a", "int"), ("b", "int")]), ("t", 2, [("b", "int"), ("a", "int")]), ("t", 3, [("b", "int"), ("a", "string")]),
+            ("t", None, [("z", "int")]), (None, 1, [("a", "int")]), (None, 2, [("b", "int")]),
+            ("u", 1, [("a", "int"), ("a", "string")]), ("u", 2, [("a", "string"), ("a", "int")]),     # a column twice
+            ("v", 1, [(None, "int")]), ("v", 2, [(None, "int")]), ("w", 1, [("c", None)]), ("w", 2, [("c", None)])]
+    df = spark.createDataFrame(rows, "table string, snapshot int, columns array<struct<column:string,type:string>>")
+    key = lambda r: (r.table, r.snapshot, r.prev_snapshot, r.change, r.column, r.type, r.renamed_to)
+    out = X.schema_list_changes(df, ["table"])
+    got = sorted(map(key, out.collect()), key=str)
+    assert got == sorted(map(key, X.schema_changes(df.select("table", "snapshot", F.inline("columns")), ["table"]).collect()), key=str)
+    assert got == sorted([("t", 3, 2, "retyped", "a", "string", None),
+                          ("u", 2, 1, "retyped", "a", "int", None), ("u", 2, 1, "retyped", "a", "string", None),
+                          ("v", 2, 1, "added", None, "int", None), ("v", 2, 1, "dropped", None, "int", None),
+                          ("w", 2, 1, "added", "c", None, None), ("w", 2, 1, "dropped", "c", None, None)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    for k, line in enumerate(plan):
+        if "Generate inline" in line:
+            assert "ShuffledHashJoin" in "".join(plan[k + 1:k + 4])
+
+
 def test_zero_row_runs(spark):
     rows = [("a", d) for d in ("2024-01-01", "2024-01-02", "2024-01-06", "2024-01-06")] + [("b", "2024-01-10"), ("c", None)]
     df = spark.createDataFrame(rows, "feed string, ts string").withColumn("ts", F.to_timestamp("ts"))
