@@ -59,6 +59,21 @@ def test_encoder_is_the_library():
     del tc.TextEncoder._shared[BPE]
 
 
+def test_pieces_are_put_together_from_known_words():
+    """A known word with marks or a line feed isn't encoded anew, and the ids are the library's."""
+    from tokenizers import Tokenizer
+    encoder, plain = tc.TextEncoder(BPE), Tokenizer.from_file(BPE)
+    texts = ["x zorbel qwilm Éclat", "a zorbel. zorbel,\nqwilm zorbel.\nÉclat$$$ zorbel's zorbel'\ns qwilm.\n\nzorbel zorbel' zorbel.qwilm", "zorbel.\nzorbel",
+             "a qwilm..\nzorbel! qwilm\nzorbel_ zorbel5. qwilm.\n5 zorbel\u00aa. \u00d7zorbel zorbel\u0149s zorbel ", "b zorbel.' zorbel'\nre zorbel\n're", " ", "a ", ""]
+    for t in texts + [" ".join(texts[1:3])]:
+        got, = encoder.encode([t])
+        assert np.frombuffer(got, encoder.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids
+    asked, library = [], encoder.library
+    encoder.library = lambda x: asked.extend(x) or library(x)
+    encoder.encode(["a zorbel; qwilm!\nzorbel Éclat..."])
+    assert not any("zorbel" in x or "qwilm" in x or "clat" in x for x in asked)
+
+
 def test_files(spark, make_docs, tmp_path):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(BPE)

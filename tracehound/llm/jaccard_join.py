@@ -49,7 +49,7 @@ FREQUENT = 20  # frequency class (four to a doubling) of 32 sets and more
 SUBCLASS_TOKENS = 32  # set tokens to a sub-class: about 8 of a prefix
 SMALL_BAND = 8  # bands below hold sets of under ten tokens: single tokens only
 BLOCK = 128
-BUCKET_BYTES = 12 << 20  # of packed text to a bucket of tokens, and 32 buckets at least
+BUCKET_BYTES = 6 << 20  # of packed text to a bucket of tokens, and 64 buckets at least
 TOKEN_COLUMNS = 4096
 
 _BAND_LOW = [0, 1]
@@ -145,18 +145,21 @@ def _answers(group: pd.DataFrame) -> pd.DataFrame:
     vals = [stretch(v, "<u4", ascending=True) for v in group.vals]
     size = np.array([len(v) for v in vals])
     every = np.concatenate(vals)
-    times = np.ones(len(every), np.int64)
+    times = np.ones(len(every), np.uint32)
     for start, many, n in zip(np.cumsum(size) - size, group.many, group.times):
         times[start + np.frombuffer(many, "<u4")] = np.frombuffer(n, "<u4")
-    order = np.argsort(every, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
-    total = np.add.reduceat(times[order], first)
-    df = np.empty(len(every), np.int64)
-    df[order] = np.repeat(total, np.diff(np.append(first, len(every))))
-    cls = np.minimum(255, np.floor(4 * np.log2(df))).astype(np.uint8)
+    order = np.argsort(every, kind="stable").astype(np.uint32)  # a bucket's tokens are far below 2**32
+    every = every[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    total = np.add.reduceat(times[order], first, dtype=np.int64)
+    runs = np.diff(np.append(first, len(every)))
+    del every, times, first
+    # class 0: in no other set
+    cls = np.empty(len(order), np.uint8)
+    cls[order] = np.repeat(np.minimum(255, np.floor(4 * np.log2(total))).astype(np.uint8), runs)
     out, at = [], 0
     for page, bucket, v in zip(group.page, group.bucket, vals):
-        shared = df[at:at + len(v)] > 1
+        shared = cls[at:at + len(v)] > 0
         if shared.any():
             out.append((page, bucket, squeeze(v[shared], ascending=True), squeeze(cls[at:at + len(v)][shared])))
         at += len(v)
@@ -270,7 +273,7 @@ def classes(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     d = pack(docs, rid, F.lit(False), "jaccard-docs")
     # by the input's size, so that a bucket's tokens fit a task and its messages aren't tiny
     packed = d.agg(F.sum(F.length("texts"))).first()[0] or 0
-    bits = min(24, max(5, (packed // BUCKET_BYTES).bit_length()))
+    bits = min(24, max(6, (packed // BUCKET_BYTES).bit_length()))
     asked = d.mapInArrow(_requests(bits), "page long, bucket int, vals binary, many binary, times binary")
     answers = asked.groupBy("bucket").applyInPandas(_answers, "page long, bucket int, vals binary, cls binary")
     sets = written(d.groupBy("page").cogroup(answers.groupBy("page")).applyInPandas(

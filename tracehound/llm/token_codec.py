@@ -22,6 +22,8 @@ empty table gives an empty data set and codebook; extra columns are not read.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 import zlib
@@ -61,6 +63,12 @@ def _width(raw: bytes, n: int) -> np.dtype:
 _ODD = re.compile(r"[^\n\x20-\x7e\xa1-\u024f]")
 
 
+#: A piece of letters and marks, perhaps with a line feed and the like behind. GPT-2's pre-tokenizer cuts it
+#: before each run of marks and on both sides of the line feed (no letter follows a mark, so there is no 's).
+_LETTERS, _MARKS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+", r"[!-/:-@\[-`{-~]*"
+_PARTS = re.compile(f"({_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?")
+
+
 def _whole(text: str) -> bool:
     return _ODD.search(text) is not None or "  " in text or " \n" in text or "\n " in text
 
@@ -84,6 +92,11 @@ class TextEncoder:
         self.dtype = id_type(size)
         #: ids whose token begins with the byte-level mark of a space
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        made = json.loads(self.untouched.to_str())
+        cutter = made.get("pre_tokenizer") or {}
+        #: whether pieces are cut as ``_PARTS`` has it
+        self.parts = made.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+        self.line_feed = self.library(["\n"])[0].tolist()
         self.memo: dict[str, bytes] = {}
         self.elder: dict[str, bytes] = {}
 
@@ -97,46 +110,96 @@ class TextEncoder:
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _unknown(self, pieces) -> list[str]:
+        """The pieces in neither generation; those in the elder move to the younger."""
+        memo, elder, out = self.memo, self.elder, []
+        for p in pieces:
+            if p not in memo:
+                ids = elder.get(p)
+                if ids is None:
+                    out.append(p)
+                else:
+                    memo[p] = ids
+        return out
+
+    def _ask(self, pieces: list[str]) -> None:
         """Encodes the pieces together; every piece opens with a token that opens with a space."""
         ids, = self.library([" " + " ".join(pieces)])
-        at = np.flatnonzero(self.opens[ids])
-        if len(at) == len(pieces):
+        self._keep(pieces, ids, self.opens[ids], [" " + p for p in pieces])
+
+    def _keep(self, keys: list[str], ids: np.ndarray, opens: np.ndarray, texts: list[str]) -> None:
+        at = np.flatnonzero(opens)
+        if len(at) == len(keys):
             raw, w = ids.tobytes(), self.dtype.itemsize
             ends = (np.append(at[1:], len(ids)) * w).tolist()
-            self.memo.update(zip(pieces, [raw[a:e] for a, e in zip((at * w).tolist(), ends)]))
+            self.memo.update(zip(keys, [raw[a:e] for a, e in zip((at * w).tolist(), ends)]))
         else:
-            self.memo.update((p, i.tobytes()) for p, i in zip(pieces, self.library([" " + p for p in pieces])))
+            self.memo.update((k, i.tobytes()) for k, i in zip(keys, self.library(texts)))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Learns the pieces. One with marks or a line feed is put together from its words, which
+        are mostly known; a word after a line feed is kept with it as its key."""
+        plain, cut, lines, tails = [], [], set(), set()
+        whole = _PARTS.fullmatch
+        for p in pieces if self.parts else ():
+            m = whole(p)
+            if m is None or m.end(1) == len(p):
+                plain.append(p)
+            else:
+                word, tail, line, last = m.groups()
+                if line:
+                    line = "\n" + line
+                    lines.add(line)
+                    tails.add(last)
+                tails.add(tail)
+                cut.append((p, word, tail, line, last))
+        words = set(plain if self.parts else pieces)
+        words.update(self._unknown({c[1] for c in cut}))
+        if words:
+            self._ask(list(words))
+        lines = self._unknown(lines)
+        if lines:
+            ids, = self.library(["".join(lines)])
+            opens = ids == self.line_feed[0] if len(self.line_feed) == 1 else np.zeros(0, bool)
+            self._keep(lines, ids, opens, lines)
+        memo, marks = self.memo, {"": b""}
+        if tails := list(tails - marks.keys()):
+            marks.update(zip(tails, [i.tobytes() for i in self.library(tails)]))
+        for p, word, tail, line, last in cut:
+            memo[p] = memo[word] + marks[tail] + memo[line] + marks[last] if line else memo[word] + marks[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of the vocabulary's width."""
         special = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
-        cut = [None if k in special or _whole(t) else t.split(" ") for k, t in enumerate(texts)]
+        heads, cut = [], []
+        for k, t in enumerate(texts):
+            head, space, rest = ("" if k in special else t, "", "") if k in special or _whole(t) else t.partition(" ")
+            heads.append(head)
+            cut.append(rest.split(" ") if space else None)
         if len(self.memo) > self.generation:
             self.memo, self.elder = {}, self.memo
-        memo, elder = self.memo, self.elder
-        new = set()
-        new.update(*(c[1:] for c in cut if c))
-        new -= memo.keys()
-        known = new & elder.keys()
-        memo.update((p, elder[p]) for p in known)
-        new -= known
-        if "" in new:
+        memo, pieces = self.memo, set()
+        for c in cut:
+            if c:
+                pieces.update(c)
+        new = self._unknown(pieces)
+        if "" in pieces and "" not in memo:
             new.remove("")
             memo[""] = self.library([" "])[0].tobytes()
         if new:
-            self._learn(list(new))
-        first = self.library(["" if k in special else t if c is None else c[0] for k, (t, c) in enumerate(zip(texts, cut))])
+            self._learn(new)
+        first = self.library(heads)
         for k in special:
             first[k] = np.array(self.untouched.encode(texts[k], add_special_tokens=False).ids, self.dtype)
-        return [f.tobytes() + (b"".join(map(memo.__getitem__, c[1:])) if c else b"") for f, c in zip(first, cut)]
+        return [f.tobytes() + (b"".join(map(memo.__getitem__, c)) if c else b"") for f, c in zip(first, cut)]
 
 
 def token_rows(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """``part, doc_id, at, n, ids``: documents in ascending id order within and across
+    """``part, doc_id, at, n, ids, seen``: documents in ascending id order within and across
     parts; ``at`` counts the ids before a document in its part. A last row of each part, with a
-    null ``n``, has the part's count of every id (as 64-bit integers) in ``ids``."""
-    names = ["part", "doc_id", "at", "n", "ids"]
+    null ``n``, has the part's count of every id (as 64-bit integers) in ``seen``, a column of its own, so that
+    the counts are read without the ids."""
+    names = ["part", "doc_id", "at", "n", "ids", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, part = TextEncoder.of(path), 0, None
@@ -152,16 +215,23 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             ns = np.array([len(x) // width for x in out], np.int64)
             ends = at + np.cumsum(ns)
             yield pa.RecordBatch.from_arrays(
-                [b.column("part"), b.column("doc_id"), pa.array(ends - ns), pa.array(ns), pa.array(out, pa.binary())], names)
+                [b.column("part"), b.column("doc_id"), pa.array(ends - ns), pa.array(ns), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names)
             at = int(ends[-1])
         if part is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([at]), pa.array([None], pa.int64()),
-                                              pa.array([seen.astype("<i8").tobytes()], pa.binary())], names)
+                                              pa.array([None], pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], names)
+
+    def uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the memo's many objects are in no cycle, and each collection would walk them all
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     d = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(*order)
          .sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
-    return d.mapInArrow(run, "part int, doc_id long, at long, n long, ids binary")
+    return d.mapInArrow(uncollected, "part int, doc_id long, at long, n long, ids binary, seen binary")
 
 
 # --- the code ----------------------------------------------------------------------------
@@ -259,7 +329,7 @@ def count_ids(rows: DataFrame) -> DataFrame:
         s = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(total[s], pa.int64())], ["symbol", "n"])
 
-    return rows.where("n IS NULL").select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return rows.where("seen IS NOT NULL").select("seen").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
