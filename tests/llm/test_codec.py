@@ -74,6 +74,70 @@ def test_pieces_are_put_together_from_known_words():
     assert not any("zorbel" in x or "qwilm" in x or "clat" in x for x in asked)
 
 
+def test_words_are_looked_up_once_for_many_texts():
+    """The memo is asked for the distinct pieces of a slice of texts, not for every word, and a
+    word before any marks is the known word."""
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+    encoder = tc.TextEncoder(BPE)
+    first, = encoder.encode(["a zorbel, qwilm\nzorbel"])
+    encoder.memo = Counted(encoder.memo)
+    asked, library = [], encoder.library
+    encoder.library = lambda x: asked.extend(x) or library(x)
+    got = encoder.encode(["a zorbel, qwilm\nzorbel"] * 2000 + ["a zorbel(qwilm\nzorbel.. zorbel,5 qwilm)"])
+    assert got[:2000] == [first] * 2000 and encoder.memo.asked < 50
+    assert not any("zorbel" in x for x in asked) and max(map(len, asked)) < 10
+
+
+def test_the_library_gets_short_runs():
+    """What is held while the library encodes unknown words doesn't grow with the texts."""
+    from tokenizers import Tokenizer
+    encoder, plain = tc.TextEncoder(BPE), Tokenizer.from_file(BPE)
+    texts = [" ".join(f"w{chr(97 + k % 26)}{k}x\ny{k}" for k in range(j, j + 500)) for j in range(0, 10_000, 500)] + [f"漢字 {k}" for k in range(1000)]
+    calls, library = [], encoder.library
+    encoder.library = lambda x: calls.append(sum(map(len, x))) or library(x)
+    got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)]
+    assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert max(calls) <= 20 * tc.ASKED
+    assert "漢字 7" in encoder.memo and not any(len(p) > encoder.longest for p in encoder.memo)
+
+
+def test_cuts_agree_with_the_library():
+    """Random texts of letters, marks, digits and blanks of all kinds, and every character up to U+024F."""
+    from tokenizers import Tokenizer
+    encoder, plain, rng = tc.TextEncoder(BPE), Tokenizer.from_file(BPE), random.Random(5)
+    encoder.generation = 500
+    plainly = ["a", "Zo", "the", "s", "'", "'ll", "..", ",", "$", "_", " a", " .", " ", "\n", "é", "×", "÷", "ª", "²", "½", "ɏ", "12", " é", " ×", "ŉ", "ß", "«"]
+    oddly = ["ɐ", "\xa0", "\x85", "\xad", "漢", "<|endoftext|>", "<|", "\t", "  ", "\x7f", "\r", "\u2028", "\U0001f600", "\n\n", "\0"]
+    allowed = ["\n", *map(chr, range(0x20, 0x7f)), *map(chr, range(0xa1, 0x250))]
+    texts = ["".join(rng.choice(plainly + oddly * (k % 2)) for _ in range(rng.randint(0, 12))) for k in range(6000)]
+    texts += [f"x y{c}z{c}.{c}' w {c}a{c}{d}{c}s" for c in allowed for d in "'.\n5×"]
+    got = [np.frombuffer(x, encoder.dtype).tolist() for k in range(0, len(texts), 50) for x in encoder.encode(texts[k:k + 50])]
+    assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_slices_hold_all_rows(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(tc, "TEXT_BYTES", 10)
+    texts = ["", "four", None, "x" * 35, "é" * 6, "", "a", "b", "c" * 8, "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], ["doc_id", "text"])
+    got = list(tc.slices(iter([batch.slice(0, 0), batch.slice(0, 4), batch.slice(4)])))
+    assert [t for b in got for t in b.column("text").to_pylist()] == texts
+    assert [i for b in got for i in b.column("doc_id").to_pylist()] == list(range(10))
+    assert all(len(b) and sum(len((t or "").encode()) for t in b.column("text").to_pylist()[1:]) <= 10 for b in got) and len(got) == 4
+    encoder = tc.TextEncoder(BPE)  # a slice of an array, with a null text
+    assert [encoder.ids(b.column("text"))[1].tolist() for b in got][0] == [0, *[len(encoder.encode(["four"])[0]) // 2] * (len(got[0]) - 1)]
+
+
 def test_files(spark, make_docs, tmp_path):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(BPE)

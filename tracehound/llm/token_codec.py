@@ -25,12 +25,13 @@ from __future__ import annotations
 import gc
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,9 @@ END_ID = 2
 MAX_BITS = 16
 BLOCK_IDS = 512
 SEGMENT_IDS = 1 << 20
-TEXTS = 500  # encoded together
+TEXT_BYTES = 4 << 20  # of texts encoded together
+ASKED = 2000  # unknown pieces for one call of the library
+ASKED_WHOLE = 100  # unknown whole texts for one call
 _ID = np.dtype("<u4")
 
 
@@ -56,45 +59,53 @@ def _width(raw: bytes, n: int) -> np.dtype:
 
 # --- text to ids -------------------------------------------------------------------------
 
-#: A text with none of these is cut at its spaces: each piece (a space and what follows up
-#: to the next one) is a union of the pre-tokenizer's pieces, which a byte-level BPE merges
-#: independently. Any other text (rare characters, whose classes could differ between
-#: libraries, or a space beside other white space) goes to the library as it is.
-_ODD = re.compile(r"[^\n\x20-\x7e\xa1-\u024f]")
+#: Kinds of UTF-8 bytes. Letters, digits and the bytes of U+00C0 to U+024F are plain.
+_SPACE, _LINE, _MARK, _C2, _C9, _ODD = range(1, 7)
 
 
-#: A piece of letters and marks, perhaps with a line feed and the like behind. GPT-2's pre-tokenizer cuts it
-#: before each run of marks and on both sides of the line feed (no letter follows a mark, so there is no 's).
-_LETTERS, _MARKS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+", r"[!-/:-@\[-`{-~]*"
-_PARTS = re.compile(f"({_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?")
+def _byte_kinds() -> bytes:
+    kinds = bytearray([_ODD]) * 256
+    for b in (*range(0x80, 0xC0), *range(0xC3, 0xC9)):
+        kinds[b] = 0
+    for b in range(0x21, 0x7F):
+        kinds[b] = 0 if chr(b).isalnum() else _MARK
+    kinds[0x20], kinds[0x0A], kinds[0xC2], kinds[0xC9] = _SPACE, _LINE, _C2, _C9
+    return bytes(kinds)
 
 
-def _whole(text: str) -> bool:
-    return _ODD.search(text) is not None or "  " in text or " \n" in text or "\n " in text
+_KINDS = _byte_kinds()
 
 
 class TextEncoder:
-    """The ``tokenizers`` library with a bounded memo of the pieces between spaces, which
-    lives as long as its worker process. The memo has two generations: when the younger
-    is full, the elder is forgotten, so that frequent pieces stay."""
-
-    generation = 700_000
+    """The ``tokenizers`` library with a bounded memo of the texts' pieces, which lives as
+    long as its worker process. The memo has two generations: when the younger is full, the
+    elder is forgotten, so that frequent pieces stay.
+
+    A text of printable characters up to U+024F without a space beside other white space is
+    cut before each space, before each run of line feeds and before marks that follow a letter
+    or a digit. GPT-2's pre-tokenizer cuts there too, whatever stands around, so the ids of a
+    text are those of its pieces. Any other text (rare characters, whose classes could differ
+    between libraries) is one piece. All of a slice's texts are cut at once, as an array over
+    their bytes, and only its distinct pieces become Python strings."""
+
+    generation = 400_000
+    longest = 200  # characters of a piece that is remembered
     _shared: dict[str, TextEncoder] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer, self.untouched = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
         #: tokens that the library cuts out of a text before all else; a text with one is encoded whole
-        #: by the untouched tokenizer, and the other need not look for them
-        self.added = sorted(t.content for t in self.untouched.get_added_tokens_decoder().values())
+        #: by an untouched tokenizer, and the other need not look for them
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        made = json.loads(self.tokenizer.to_str())
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = id_type(size)
         #: ids whose token begins with the byte-level mark of a space
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        made = json.loads(self.untouched.to_str())
         cutter = made.get("pre_tokenizer") or {}
-        #: whether pieces are cut as ``_PARTS`` has it
+        #: whether the library cuts as GPT-2 does; if not, texts are cut at spaces only
         self.parts = made.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
         self.line_feed = self.library(["\n"])[0].tolist()
         self.memo: dict[str, bytes] = {}
@@ -107,91 +118,130 @@ class TextEncoder:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
+    @cached_property
+    def untouched(self):
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
+
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _unknown(self, pieces) -> list[str]:
+    def _cuts(self, data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of the texts begin, and which texts are one piece."""
+        raw, kinds = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(_KINDS), np.uint8)
+        at = np.flatnonzero(kinds != 0)
+        # what stands before a text's first byte belongs to another text; a text begins a piece in any
+        # case, and one that is taken for odd by mistake is encoded rightly too
+        kind, before = kinds[at], kinds[at - 1]
+        odd = [at[(kind == _ODD) | ((kind == _SPACE) & ((before == _SPACE) | (before == _LINE))) | ((kind == _LINE) & (before == _SPACE))]]
+        for lead, fits in ((_C2, lambda x: x >= 0xA1), (_C9, lambda x: x < 0x90)):
+            leads = at[kind == lead]
+            odd.append(leads[~fits(raw[np.minimum(leads + 1, len(raw) - 1)])])
+        for token in self.added:
+            token, k = token.encode(), -1
+            while (k := data.find(token, k + 1)) >= 0:
+                odd.append(np.array([k]))
+        whole = np.unique(np.searchsorted(starts, np.concatenate(odd), "right") - 1)
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[at[kind == _SPACE]] = True
+        if self.parts:
+            begins[at[(kind == _LINE) & (before != _LINE)]] = True
+            marks = at[kind == _MARK]
+            last, lead = raw[marks - 1], raw[marks - 2]
+            # the end of U+00C0 to U+024F, but for the signs of multiplication and division
+            wide = (last >= 0x80) & (lead >= 0xC3) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+            begins[marks[wide | ((last < 0x80) & (kinds[marks - 1] == 0))]] = True
+        for k in whole.tolist():
+            begins[starts[k]:starts[k + 1] if k + 1 < len(starts) else len(raw)] = False
+        begins[starts] = True
+        return np.flatnonzero(begins[:-1]), whole
+
+    def _unknown(self, pieces: list[str]) -> list[str]:
         """The pieces in neither generation; those in the elder move to the younger."""
-        memo, elder, out = self.memo, self.elder, []
+        memo, elder = self.memo, self.elder
+        new = [p for p in pieces if p not in memo]
+        if not elder:
+            return new
+        found = [elder.get(p) for p in new]
+        memo.update((p, ids) for p, ids in zip(new, found) if ids is not None)
+        return [p for p, ids in zip(new, found) if ids is None]
+
+    def _ask(self, pieces: list[str], opens) -> None:
+        """Encodes the pieces in a row, if every one opens with an id that ``opens`` tells and has no other such."""
+        for k in range(0, len(pieces), ASKED):
+            some = pieces[k:k + ASKED]
+            ids, = self.library(["".join(some)])
+            at = np.flatnonzero(opens(ids))
+            if len(at) == len(some):
+                raw, w = ids.tobytes(), self.dtype.itemsize
+                ends = (np.append(at[1:], len(ids)) * w).tolist()
+                self.memo.update(zip(some, [raw[a:e] for a, e in zip((at * w).tolist(), ends)]))
+            else:
+                self.memo.update((p, i.tobytes()) for p, i in zip(some, self.library(some)))
+
+    def _learn(self, pieces: list[str], whole: set[str]) -> None:
+        """Words after a space, and those after a line feed, are encoded together, the rest one by one."""
+        words, lines, rest = [], [], []
         for p in pieces:
-            if p not in memo:
-                ids = elder.get(p)
-                if ids is None:
-                    out.append(p)
-                else:
-                    memo[p] = ids
-        return out
-
-    def _ask(self, pieces: list[str]) -> None:
-        """Encodes the pieces together; every piece opens with a token that opens with a space."""
-        ids, = self.library([" " + " ".join(pieces)])
-        self._keep(pieces, ids, self.opens[ids], [" " + p for p in pieces])
-
-    def _keep(self, keys: list[str], ids: np.ndarray, opens: np.ndarray, texts: list[str]) -> None:
-        at = np.flatnonzero(opens)
-        if len(at) == len(keys):
-            raw, w = ids.tobytes(), self.dtype.itemsize
-            ends = (np.append(at[1:], len(ids)) * w).tolist()
-            self.memo.update(zip(keys, [raw[a:e] for a, e in zip((at * w).tolist(), ends)]))
-        else:
-            self.memo.update((k, i.tobytes()) for k, i in zip(keys, self.library(texts)))
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Learns the pieces. One with marks or a line feed is put together from its words, which
-        are mostly known; a word after a line feed is kept with it as its key."""
-        plain, cut, lines, tails = [], [], set(), set()
-        whole = _PARTS.fullmatch
-        for p in pieces if self.parts else ():
-            m = whole(p)
-            if m is None or m.end(1) == len(p):
-                plain.append(p)
+            if p in whole or p[-1] <= " ":
+                rest.append(p)
+            elif p[0] == " ":
+                words.append(p)
+            elif self.parts and p[0] == "\n" != p[1]:
+                lines.append(p)
             else:
-                word, tail, line, last = m.groups()
-                if line:
-                    line = "\n" + line
-                    lines.add(line)
-                    tails.add(last)
-                tails.add(tail)
-                cut.append((p, word, tail, line, last))
-        words = set(plain if self.parts else pieces)
-        words.update(self._unknown({c[1] for c in cut}))
-        if words:
-            self._ask(list(words))
-        lines = self._unknown(lines)
-        if lines:
-            ids, = self.library(["".join(lines)])
-            opens = ids == self.line_feed[0] if len(self.line_feed) == 1 else np.zeros(0, bool)
-            self._keep(lines, ids, opens, lines)
-        memo, marks = self.memo, {"": b""}
-        if tails := list(tails - marks.keys()):
-            marks.update(zip(tails, [i.tobytes() for i in self.library(tails)]))
-        for p, word, tail, line, last in cut:
-            memo[p] = memo[word] + marks[tail] + memo[line] + marks[last] if line else memo[word] + marks[tail]
+                rest.append(p)
+        self._ask(words, self.opens.__getitem__)
+        if len(self.line_feed) == 1:
+            self._ask(lines, lambda ids: ids == self.line_feed[0])
+        else:
+            rest += lines
+        special = {p for p in whole if any(a in p for a in self.added)}
+        self.memo.update((p, np.array(self.untouched.encode(p, add_special_tokens=False).ids, self.dtype).tobytes()) for p in special)
+        for some, run in (([p for p in rest if p not in whole], ASKED), (list(whole.intersection(rest) - special), ASKED_WHOLE)):
+            for k in range(0, len(some), run):
+                self.memo.update((p, i.tobytes()) for p, i in zip(some[k:k + run], self.library(some[k:k + run])))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's end."""
+        if len(self.memo) > self.generation:
+            self.memo, self.elder = {}, self.memo
+        texts = texts.cast(pa.large_string())
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = data.slice(at[0], at[-1] - at[0]).to_pybytes() if at[-1] > at[0] else b""
+        at = at - at[0]
+        if not data:
+            return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
+        cuts, whole = self._cuts(data, at[:-1])
+        pieces = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        keys = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()  # str objects, sooner than by to_pylist
+        if new := self._unknown(keys):
+            self._learn(new, {data[at[k]:at[k + 1]].decode() for k in whole.tolist()})
+        found = pa.array(list(map(self.memo.__getitem__, keys)), pa.large_binary())
+        for p in [p for p in new if len(p) > self.longest]:
+            del self.memo[p]
+        row = found.take(pieces.indices)
+        _, offsets, data = row.buffers()
+        ends = np.frombuffer(offsets, np.int64)[row.offset:row.offset + len(row) + 1] // self.dtype.itemsize
+        return np.frombuffer(data, self.dtype)[:ends[-1]], ends[np.searchsorted(cuts, at[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of the vocabulary's width."""
-        special = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
-        heads, cut = [], []
-        for k, t in enumerate(texts):
-            head, space, rest = ("" if k in special else t, "", "") if k in special or _whole(t) else t.partition(" ")
-            heads.append(head)
-            cut.append(rest.split(" ") if space else None)
-        if len(self.memo) > self.generation:
-            self.memo, self.elder = {}, self.memo
-        memo, pieces = self.memo, set()
-        for c in cut:
-            if c:
-                pieces.update(c)
-        new = self._unknown(pieces)
-        if "" in pieces and "" not in memo:
-            new.remove("")
-            memo[""] = self.library([" "])[0].tobytes()
-        if new:
-            self._learn(new)
-        first = self.library(heads)
-        for k in special:
-            first[k] = np.array(self.untouched.encode(texts[k], add_special_tokens=False).ids, self.dtype)
-        return [f.tobytes() + (b"".join(map(memo.__getitem__, c)) if c else b"") for f, c in zip(first, cut)]
+        ids, ends = self.ids(pa.array(texts, pa.large_string()))
+        return [ids[a:e].tobytes() for a, e in zip([0, *ends.tolist()], ends.tolist())]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, about ``TEXT_BYTES`` of text at a time (a longer text by itself)."""
+    for b in batches:
+        if len(b):
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = (np.flatnonzero(np.diff(size // TEXT_BYTES)) + 1).tolist()
+            for k, e in zip([0, *cuts], [*cuts, len(b)]):
+                yield b.slice(k, e - k)
 
 
 def token_rows(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -204,19 +254,17 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, part = TextEncoder.of(path), 0, None
         seen = np.zeros(max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1), np.int64)
-        end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
-        for b in batches:
-            texts = b.column("text")
-            out = [x + end for k in range(0, len(texts), TEXTS) for x in encoder.encode(texts.slice(k, TEXTS).to_pylist())]
-            if not out:
-                continue
-            seen += np.bincount(np.frombuffer(b"".join(out), encoder.dtype), minlength=len(seen))
+        for b in slices(batches):
+            ids, ends = encoder.ids(b.column("text"))
+            ids = np.insert(ids, ends, end_id)
+            ends = ends + np.arange(1, len(ends) + 1)
+            ns = np.diff(ends, prepend=0)
+            seen += np.bincount(ids, minlength=len(seen))
             part = b.column("part")[0].as_py()
-            ns = np.array([len(x) // width for x in out], np.int64)
-            ends = at + np.cumsum(ns)
+            held = pa.Array.from_buffers(pa.binary(), len(ns), [None, pa.py_buffer(np.append(0, ends * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("part"), b.column("doc_id"), pa.array(ends - ns), pa.array(ns), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names)
-            at = int(ends[-1])
+                [b.column("part"), b.column("doc_id"), pa.array(at + ends - ns), pa.array(ns), held, pa.nulls(len(ns), pa.binary())], names)
+            at += int(ends[-1])
         if part is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([at]), pa.array([None], pa.int64()),
                                               pa.array([None], pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], names)
