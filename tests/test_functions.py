@@ -171,3 +171,27 @@ def test_intermediates_are_written_with_zstd(spark):
     from tracehound.session import materialize
     df = materialize(spark.range(3), "zstd-test")
     assert df.inputFiles() and all(f.endswith(".zstd.parquet") for f in df.inputFiles()) and df.count() == 3
+
+
+def test_labels_are_made_once_an_entity(spark):
+    """P11, P14 and P15 of a node are found before it meets the keys that reach it; unknown nodes
+    and entities that come twice give what they gave."""
+    from tracehound import schemas
+    from tracehound.functions.evidence import node_summary, owner_label
+    from tracehound.operators.enrich import enrich, enrich_made, enriched_lines, evidence_lines, summaries
+    urn = lambda n: f"urn:li:dataset:(urn:li:dataPlatform:dbt,{n},PROD)"
+    rows = [(urn("a"), "", None, None, None, None, None), (urn("b"), "bee", "dbt", "a thing", ["o1", "o2"], ["x", "y", "z"], {"owner": "me", "k": "v"}),
+            (urn("b"), "bee2", "dbt", "", [], [], {"owner": "you"})]
+    ents = spark.createDataFrame(rows, schemas.ENTITIES)
+    nodes = spark.createDataFrame([(f"i{i}", u, i) for i in range(3) for u in (urn("a"), urn("b"), urn("none"), "odd", None)] + [("j", urn("b"), None)],
+                                  "incident_id string, urn string, hop int")
+    ev = enrich(nodes, ents)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    got = summaries(nodes, ents, F.least("hop", F.lit(1)))
+    assert same(got, ev.withColumn("summary", node_summary(hop=F.least("hop", F.lit(1)))))
+    for n in (None, 2):
+        assert same(enriched_lines(nodes, ents, max_columns=n), evidence_lines(ev, max_columns=n))
+    owners = enrich_made(nodes, ents, lambda c: {x: c[x] for x in ("name", "platform", "description")} | {"owner": owner_label(c["owners"], c["custom_properties"])})
+    assert same(owners, ev.withColumn("owner", owner_label()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_filter" in plan.split("Join LeftOuter")[1]
