@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,10 @@ def _c(x) -> Column:
 def strip_fence(text) -> Column:
     """If the (stripped) text starts with a code fence, keep what lies between the
     first two fences, drop a leading 'json', strip again. Otherwise the stripped text."""
-    t = strip_ws(_c(text))
+    return _unfenced(strip_ws(_c(text)))
+
+
+def _unfenced(t: Column) -> Column:
     inner = F.coalesce(F.try_element_at(F.split(t, FENCE), F.lit(2)), F.lit(""))
     return F.when(t.startswith(FENCE), strip_ws(F.regexp_replace(inner, "^json", ""))).otherwise(t)
 
@@ -44,7 +47,10 @@ def answer_is_valid(text) -> Column:
     """True when the text (after P17) is exactly one JSON object: parsable, not corrupt,
     and with nothing after the closing brace (``from_json`` ignores trailing text)."""
     t = strip_fence(text)
-    p = _parsed(t)
+    return _valid(t, _parsed(t))
+
+
+def _valid(t: Column, p: Column) -> Column:
     return F.coalesce(t.startswith("{") & t.endswith("}") & p.isNotNull()
                       & p["_corrupt_record"].isNull(), F.lit(False))
 
@@ -54,14 +60,27 @@ def parse_answer(text) -> Column:
     (summary = the text, no suspects, a missing-evidence note) when it is not one JSON
     object. A list or other non-object JSON also takes the fallback (SURVEY 2.12 #14b)."""
     t = strip_fence(text)
-    p = _parsed(t)
+    return _answer(t, _parsed(t))
+
+
+def parsed_answers(df: DataFrame, text: str, name: str = "parsed") -> DataFrame:
+    """``df`` with the column ``name``, P16 of its column ``text``, found in steps: a row's text is
+    stripped and parsed once, where the one expression of :func:`parse_answer` does so wherever it
+    mentions them."""
+    df = df.withColumn("_stripped", strip_ws(F.col(text)))
+    df = df.withColumn("_stripped", _unfenced(F.col("_stripped")))
+    df = df.withColumn("_read", _parsed(F.col("_stripped")))
+    return df.withColumn(name, _answer(F.col("_stripped"), F.col("_read"))).drop("_stripped", "_read")
+
+
+def _answer(t: Column, p: Column) -> Column:
     empty = F.array().cast(ANSWER["suspects"].dataType)
     fallback = F.struct(t.alias("summary"), empty.alias("suspects"),
                         F.lit(FALLBACK_MISSING).alias("missing_evidence"))
     good = F.struct(p["summary"].alias("summary"),
                     F.coalesce(p["suspects"], empty).alias("suspects"),
                     p["missing_evidence"].alias("missing_evidence"))
-    return F.when(answer_is_valid(text), good).otherwise(fallback)
+    return F.when(_valid(t, p), good).otherwise(fallback)
 
 
 def conf_icon(conf) -> Column:
