@@ -107,3 +107,30 @@ def test_candidates_are_ranked_within_their_lists(spark):
     ev = walk_levels(inc.selectExpr("incident_id", "affected_urn as urn"), e, upstream=True, max_hops=None)
     assert rows(reach.nodes()) == rows(ev.select("urn").distinct())
     assert rows(reach.counts()) == rows(ev.groupBy("incident_id").count())
+
+
+def test_only_suspects_and_lengths_are_written_for_a_ranking(spark):
+    """The lists, many times as large, are written when someone asks for the evidence itself."""
+    inc = spark.createDataFrame([(k, "fewer rows than usual", u) for k, u in LINES], "incident_id string, symptom string, affected_urn string")
+    sig = spark.createDataFrame([("n1", "volume", "data", "few")], "urn string, class string, source string, detail string").selectExpr("*", "date'2024-01-01' as as_of")
+    ent = spark.createDataFrame([], "urn string, name string, platform string, description string, owners array<string>, schema_fields array<string>, custom_properties map<string,string>")
+    s, e = inc.selectExpr("incident_id", "affected_urn as urn"), edges_df(spark, FAN)
+    reach, kept = R.reach_upstream(s, e, shrink=0.9), R.reach_upstream(s, e, shrink=0.9)
+    got, want = rank_reached(reach, inc, sig, ent), rank_reached(kept, inc, sig, ent, keep_lists=True)
+    assert reach.lists is None and "nodes" not in reach.made.columns and kept.lists is not None
+    assert rows(got) == rows(want)
+    assert rows(reach.counts()) == rows(kept.counts()) and rows(reach.rows()) == rows(kept.rows())
+
+
+def test_starts_are_grouped_only_if_keys_repeat(spark):
+    """Keys are told apart by hashes; those that come once are taken as they are."""
+    once, some = starts_df(spark, LINES), starts_df(spark, LINES + LINES[:2] + [("i3", "l4")])
+    assert R.repeated_keys(once, "incident_id") == (None, 12)
+    again, n = R.repeated_keys(some, "incident_id")
+    assert again.count() == 3 and n == 15
+    reach = R.reach_upstream(once, edges_df(spark, FAN), shrink=0.9)
+    assert "Aggregate" not in reach.levels[0][0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in reach.levels[0][1]._jdf.queryExecution().optimizedPlan().toString()
+    reach = R.reach_upstream(some, edges_df(spark, FAN), shrink=0.9)
+    assert rows(reach.rows()) == rows(walk_levels(some, edges_df(spark, FAN), upstream=True, max_hops=None))
+    assert [r.incident_id for r in reach.several.collect()] == ["i3"]
