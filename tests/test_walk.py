@@ -171,3 +171,23 @@ def test_distances_from_one_walk_are_those_of_each_incident(spark, seed):
     one = rank_suspects(ev, inc, kept, edges, entities=ents, reached=reached)
     each = rank_suspects(ev, inc, kept, edges, entities=ents)
     assert sorted(map(str, one.collect())) == sorted(map(str, each.collect())) and one.count() > 5
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_capped_walks_by_key_are_those_by_node(spark, seed, monkeypatch):
+    """A small cap cuts a hub's children before they are shuffled; revisited nodes take no room."""
+    from tracehound.operators import walk as W
+    rnd = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(30)]
+    pairs = [(rnd.choice(names), rnd.choice(names)) for _ in range(60)] + [("n00", n) for n in names] + [(names[1], n) for n in names[:20]]
+    starts = [(f"k{i % 6}", rnd.choice(names)) for i in range(9)] + [("k0", "n00"), ("k1", "n01")]
+    e, s = edges_df(spark, pairs), starts_df(spark, starts)
+    for cap, hops in ((2, None), (7, 3), (25, None)):
+        monkeypatch.setattr(W, "LISTED_NODES", 1000)
+        got = W.walk_levels(s, e, upstream=False, max_hops=hops, max_nodes=cap)
+        monkeypatch.setattr(W, "LISTED_NODES", 0)
+        want = W.walk_levels(s, e, upstream=False, max_hops=hops, max_nodes=cap)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    visited = s.selectExpr("incident_id", "urn")
+    plan = W._unvisited_of_capped(visited.selectExpr("incident_id", "urn", "1 as n_prev"), visited, "incident_id", 3)._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
